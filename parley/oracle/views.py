@@ -184,4 +184,6 @@ sc AS (
 
 
 def wrap(body: str, tz: str = TZ) -> str:
+    if body.lstrip().upper().startswith("WITH"):
+        body = f"SELECT * FROM ({body}) q_"
     return f"WITH {ctes(tz)}\n{body}"
