@@ -35,9 +35,9 @@ def zero_fill(cells_df: DataFrame, counts: DataFrame, keys: list[str], value_col
                     *[F.coalesce(F.col(v), F.lit(0)).cast("long").alias(v) for v in value_cols])
 
 
-def names_array(top: DataFrame, name_col: str, order_col: str) -> Column:
-    """Scalar subquery: the (bounded) top-k names as one ordered array."""
+def names_array(top: DataFrame, name_col: str, order: Column) -> Column:
+    """Scalar subquery: the (bounded) top-k names as one array sorted by `order`."""
     return top.agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(name_col).alias("v")))),
+        F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(name_col).alias("v")))),
                     lambda s: s["v"]).alias("names")
     ).scalar()

@@ -105,7 +105,8 @@ def vt_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(uid, F.lit("#"), (1 + F.col("event_id") % 8).cast("string")).alias("message_uuid"),
         _pick(k % 9, VT_TOOL_NAMES).alias("name"),
         (F.col("event_type") == "error").alias("is_error"),
-        F.col("ts").alias("start_timestamp"),
+        # parquet stores a UTC wall clock without zone (TIMESTAMP_NTZ); sessions run in UTC
+        F.col("ts").cast("timestamp").alias("start_timestamp"),
         F.col("value").alias("duration_s"),
         _pick(k % 11, VT_ERROR_TEXTS).alias("error_text"),
     )
