@@ -21,18 +21,25 @@ class Context:
 
 
 REGISTRY: dict[str, tuple[str, Callable[[Context], DataFrame]]] = {}
+# input tables a report needs beyond messages / conversations (e.g. "attachments")
+NEEDS: dict[str, tuple[str, ...]] = {}
 
 
-def report(module: str, key: str):
+def report(module: str, key: str, needs: tuple[str, ...] = ()):
     """Register `fn(ctx) -> DataFrame` as report `key` of `module` (m01 ... m13, overview)."""
 
     def deco(fn):
         REGISTRY[key] = (module, fn)
+        NEEDS[key] = needs
         return fn
 
     return deco
 
 
+def runnable(key: str, t: Tables) -> bool:
+    return all(getattr(t, n, None) is not None for n in NEEDS.get(key, ()))
+
+
 def module_keys(module: str) -> list[str]:
     return [k for k, (m, _) in REGISTRY.items() if m == module]
 
@@ -41,7 +48,7 @@ def run_module(module: str, ctx: Context) -> dict[str, DataFrame]:
     """All frames of one module, by key (lazy DataFrames; nothing runs yet)."""
     if not module_keys(module):
         raise KeyError(f"unknown module: {module}")
-    return {k: REGISTRY[k][1](ctx) for k in module_keys(module)}
+    return {k: REGISTRY[k][1](ctx) for k in module_keys(module) if runnable(k, ctx.tables)}
 
 
 _CACHE: dict[tuple, Context] = {}
