@@ -50,7 +50,7 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS conversation_uuid,
        concat(CAST(user_id AS VARCHAR),'#',CAST(1 + event_id % 8 AS VARCHAR)) AS message_uuid,
        CASE k % 9 WHEN 0 THEN 'web_search' WHEN 1 THEN 'web_fetch' WHEN 2 THEN 'filesystem:write_file' WHEN 3 THEN 'bash_tool'
             WHEN 4 THEN 'view' WHEN 5 THEN 'artifacts' WHEN 6 THEN 'grep' WHEN 7 THEN 'list_directory' ELSE 'custom:x' END AS name,
-       event_type = 'error' AS is_error, ts AS start_timestamp, value AS duration_s,
+       event_type = 'error' AS is_error, ts AS start_timestamp, value AS duration_s, props AS input,
        CASE k % 11 WHEN 0 THEN 'File not found: /tmp/a.txt' WHEN 1 THEN 'HTTP 403 forbidden' WHEN 2 THEN 'Request timed out'
             WHEN 3 THEN '429 Too Many Requests' WHEN 4 THEN 'blocked by robots.txt' WHEN 5 THEN 'client_error: https://a.b/c'
             WHEN 6 THEN 'validation failed' WHEN 7 THEN 'No result received' WHEN 8 THEN 'parse error' WHEN 9 THEN 'unknown error' ELSE 'boom' END AS error_text

@@ -109,6 +109,7 @@ def vt_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("start_timestamp"),
         F.col("value").alias("duration_s"),
         _pick(k % 11, VT_ERROR_TEXTS).alias("error_text"),
+        F.col("props").alias("input"),
     )
 
 
@@ -174,8 +175,8 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         .select("conversation_uuid", "name", "created_at",
                 F.coalesce("message_count", F.lit(0)).alias("message_count"))
     )
-    tool_calls = tools.select("conversation_uuid", "message_uuid", "name",
-                              F.lit(None).cast("string").alias("input"),
+    # the event's JSON props stand in for the tool input (typeless, commandless artifacts)
+    tool_calls = tools.select("conversation_uuid", "message_uuid", "name", "input",
                               "start_timestamp", "duration_s")
     tool_results = tools.select("conversation_uuid", "message_uuid", "name", "is_error",
                                 F.array("error_text").alias("texts"))
