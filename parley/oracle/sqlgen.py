@@ -6,6 +6,8 @@ A series is (keys: dict, value_sql, cond_sql | None[, total_cond_sql]).
 
 from __future__ import annotations
 
+import math
+
 QS = (0.5, 0.9, 0.95, 0.99)
 
 
@@ -24,6 +26,10 @@ def _key_names(series) -> list[str]:
     return names
 
 
+def _num(x) -> str:
+    return "CAST('Infinity' AS DOUBLE)" if isinstance(x, float) and math.isinf(x) else repr(x)
+
+
 def _filt(cond: str | None) -> str:
     return "" if cond is None else f" FILTER (WHERE {cond})"
 
@@ -54,8 +60,8 @@ def buckets(src: str, series, edges, closed: bool = False) -> str:
         v = f"CAST({val} AS DOUBLE)"
         base = cond or "TRUE"
         for j, (label, lo, hi) in enumerate(edges):
-            up = f"{v} <= {hi!r}" if closed else f"{v} < {hi!r}"
-            inside = f"({base}) AND {v} >= {lo!r} AND {up}"
+            up = f"{v} <= {_num(hi)}" if closed else f"{v} < {_num(hi)}"
+            inside = f"({base}) AND {v} >= {_num(lo)} AND {up}"
             cols = [f"{_lit(kv.get(k))} AS {k}" for k in keys]
             cols += [f"CAST({j} AS INTEGER) AS bucket_index", f"{_lit(label)} AS bucket",
                      f"CAST(count(*) FILTER (WHERE {inside}) AS BIGINT) AS n",
@@ -79,7 +85,7 @@ def bucket_case(val: str, edges, closed: bool = False, what: str = "index") -> s
     v = f"CAST({val} AS DOUBLE)"
     whens = []
     for j, (label, lo, hi) in enumerate(edges):
-        up = f"{v} <= {hi!r}" if closed else f"{v} < {hi!r}"
+        up = f"{v} <= {_num(hi)}" if closed else f"{v} < {_num(hi)}"
         out = str(j) if what == "index" else _lit(label)
-        whens.append(f"WHEN {v} >= {lo!r} AND {up} THEN {out}")
+        whens.append(f"WHEN {v} >= {_num(lo)} AND {up} THEN {out}")
     return "CASE " + " ".join(whens) + " END"
