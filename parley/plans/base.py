@@ -66,14 +66,32 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
     if ctx is None:
         ensure_checkpoint_dir(spark)
         t = testdata.load(spark, sf_dir)
+        if materialize:
+            t = materialize_tables(spark, t)
         stats = prepare.build(t, cfg)
         if materialize:
-            stats = prepare.materialize(stats)
+            stats = prepare.materialize(stats, spark)
         ctx = Context(spark, t, stats, cfg)
         _CACHE[key] = ctx
     return ctx
 
 
+def materialize_tables(spark: SparkSession, t: Tables) -> Tables:
+    """Persist the normalised input tables the reports read repeatedly (tool calls / results,
+    citations, projects, docs) as parquet in the shared checkpoint folder. Messages and
+    conversations are only read through the stat tables, so they stay lazy."""
+    from dataclasses import replace
+
+    base = prepare.scratch_dir(spark, "tables")
+    done = {}
+    for name in ("tool_calls", "tool_results", "citations", "projects", "docs"):
+        df = getattr(t, name)
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+            done[name] = spark.read.parquet(f"{base}/{name}")
+    return replace(t, **done)
+
+
 def context_for_tables(spark: SparkSession, t: Tables, cfg: Config | None = None,
                        materialize: bool = False) -> Context:
     cfg = cfg or Config()

@@ -192,13 +192,26 @@ def build(t: Tables, cfg: Config) -> Stats:
     return Stats(message=sm, code_block=stats_code_block(t, sm), conversation=stats_conversation(t, sm, cfg))
 
 
-def materialize(stats: Stats, checkpoint: bool = True) -> Stats:
-    """Cut lineage once so every report reuses the stats (reliable checkpoint in
-    spark.checkpoint.dir: survives executor loss, unlike localCheckpoint)."""
-    if not checkpoint:
-        return stats
-    return Stats(
-        message=stats.message.checkpoint(eager=True),
-        code_block=stats.code_block.checkpoint(eager=True),
-        conversation=stats.conversation.checkpoint(eager=True),
-    )
+def materialize(stats: Stats, spark=None, base_dir: str | None = None) -> Stats:
+    """Write the stat tables once as parquet under the shared checkpoint folder and read them
+    back: lineage is cut (a lost executor re-reads files instead of recomputing the text
+    parsing), the tables are computed exactly once, and readers get column pruning and
+    predicate pushdown. Never a machine-local folder on a cluster: the folder comes from
+    spark.checkpoint.dir, which the cluster sets (tests set their own when it is unset)."""
+    spark = spark or stats.message.sparkSession
+    base = base_dir or scratch_dir(spark, "stats")
+    out = {}
+    for name in ("message", "code_block", "conversation"):
+        path = f"{base}/{name}"
+        getattr(stats, name).write.mode("overwrite").parquet(path)
+        out[name] = spark.read.parquet(path)
+    return Stats(**out)
+
+
+def scratch_dir(spark, what: str) -> str:
+    import uuid
+
+    from parley.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/parley/{what}-{uuid.uuid4().hex[:12]}"
