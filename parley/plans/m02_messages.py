@@ -112,6 +112,7 @@ def code_share_summary(ctx: Context):
     )
 
 
+@report(M, "m02_voice_notes", needs=("blocks",))
 def voice_notes(ctx: Context):
     """m02.8: distinct messages with a voice_note block (export input only: needs blocks)."""
     b = ctx.tables.blocks

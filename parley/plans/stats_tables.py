@@ -20,6 +20,12 @@ def message_base(ctx: Context):
         F.date_format("created_local", TS_FMT).alias("created_local"))
 
 
+@report(M, "message_text", needs=("blocks",))
+def message_text(ctx: Context):
+    """Ordered text / thinking of each message (export input: built from content blocks)."""
+    return ctx.tables.messages.select("message_uuid", "text", "thinking", "chars_text", "chars_thinking")
+
+
 @report(M, "message_tokens")
 def message_tokens(ctx: Context):
     return ctx.stats.message.select("message_uuid", "tokens_text", "tokens_thinking", "chars_code", "tokens_code")
