@@ -244,7 +244,9 @@ def key_violations(t: Tables) -> DataFrame:
         if df is None:
             continue
         k = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in keys])
-        missing = F.exists(F.array(*[F.col(c) for c in keys]), lambda x: x.isNull())
+        missing = F.lit(False)
+        for c in keys:
+            missing = missing | F.col(c).isNull()
         g = df.groupBy(k.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max(missing.cast("int")).alias("null_key"))
         bad = g.where((F.col("n") > 1) | (F.col("null_key") == 1)).select(
             F.lit(name).alias("table"), "key", "n",

@@ -58,7 +58,8 @@ def tctx(spark):
 def rows(df, *cols):
     """Collect a (small, test-sized) frame as sorted tuples."""
     cols = cols or tuple(df.columns)
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    out = [tuple(r[c] for c in cols) for r in df.collect()]
+    return sorted(out, key=lambda t: tuple((x is None, "" if x is None else x) for x in t))
 
 
 def one(df):
