@@ -15,6 +15,8 @@ class Config:
     approx_accuracy  accuracy parameter of percentile_approx.
     fanout_m07       reproduce the attachment x file join fan-out of the monthly counts.
     merge_by_name    group the m13 top-3 lists by (name, message_count) instead of id.
+    window_chunk_rows  conversations above this many rows are split into ordered chunks for
+                     lag / rank / next-row windows (hot-key protection).
     """
 
     tz: str = "Europe/Istanbul"
@@ -22,3 +24,4 @@ class Config:
     approx_accuracy: int = 100000
     fanout_m07: bool = False
     merge_by_name: bool = False
+    window_chunk_rows: int = 2_000_000

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parley.functions import time as TM
+from parley.operators.ordered import row_number_within
 from parley.operators.ranking import flag_first
 from parley.operators.stats import S, bucketize, r6, summary_stats
 from parley.plans.base import Context, report
@@ -55,10 +55,12 @@ def monthly(ctx: Context):
 @report(M, "m03_assistant_rows")
 def assistant_rows(ctx: Context):
     # Full rank inside the conversation (a report row per message); ties by position, uuid.
-    w = Window.partitionBy("conversation_uuid").orderBy(
-        F.col("created_at").asc_nulls_last(), F.col("position"), F.col("message_uuid"))
-    return _asst(ctx).select("message_uuid", "conversation_uuid", "tokens_text", "tokens_thinking",
-                             "tool_use_count", F.row_number().over(w).alias("rn_asst"))
+    a = _asst(ctx).select("message_uuid", "conversation_uuid", "tokens_text", "tokens_thinking", "tool_use_count",
+                          "created_at", "position")
+    r = row_number_within(a, "conversation_uuid", ["created_at", "position", "message_uuid"], "rn_asst",
+                          ctx.cfg.window_chunk_rows)
+    return r.select("message_uuid", "conversation_uuid", "tokens_text", "tokens_thinking", "tool_use_count",
+                    F.col("rn_asst").cast("int").alias("rn_asst"))
 
 
 def _with_without(ctx: Context):

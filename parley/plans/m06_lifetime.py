@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from parley.functions import time as TM
 from parley.operators.grid import axis, cells, seq, zero_fill
+from parley.operators.ordered import lag_within
 from parley.operators.stats import S, bucket_index, bucketize, r6, summary_stats
 from parley.plans.base import Context, report
 
@@ -44,13 +45,13 @@ def lifetime_buckets(ctx: Context):
 
 def _gaps(ctx: Context):
     """Consecutive human/assistant messages of a conversation by time (ties: position, uuid)."""
-    m = ctx.stats.message.where(F.col("sender").isin("human", "assistant"))
-    w = Window.partitionBy("conversation_uuid").orderBy(
-        F.col("created_at").asc_nulls_last(), F.col("position"), F.col("message_uuid"))
-    g = m.select("conversation_uuid", "sender", "created_at",
-                 F.lag("created_at").over(w).alias("prev_at"), F.lag("sender").over(w).alias("prev_sender"))
-    return g.where(F.col("prev_at").isNotNull()).select(
-        "conversation_uuid", "sender", "prev_sender", TM.epoch_seconds_between("created_at", "prev_at").alias("gap_s"))
+    m = ctx.stats.message.where(F.col("sender").isin("human", "assistant")).select(
+        "conversation_uuid", "message_uuid", "position", "sender", "created_at")
+    g = lag_within(m, "conversation_uuid", ["created_at", "position", "message_uuid"], ["created_at", "sender"],
+                   ctx.cfg.window_chunk_rows)
+    return g.where(F.col("prev_created_at").isNotNull()).select(
+        "conversation_uuid", "sender", F.col("prev_sender"),
+        TM.epoch_seconds_between("created_at", "prev_created_at").alias("gap_s"))
 
 
 def _positive_gaps(ctx: Context):

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from parley.functions import text as T
 from parley.functions.categorize import regex_categorize
 from parley.operators.grid import axis, cells, names_array, zero_fill
+from parley.operators.ordered import min_after
 from parley.operators.ranking import top_k, top_k_per_group
 from parley.operators.stats import cohort_compare, r6
 from parley.plans.base import Context, report
@@ -158,10 +159,10 @@ def _post_error(ctx: Context):
     """m12.9 with windows instead of range joins: for every message, the next human and the
     next assistant position after it; an error message's follow-up is read in two hops."""
     m = ctx.stats.message.select("conversation_uuid", "message_uuid", "position", "sender")
-    after = Window.partitionBy("conversation_uuid").orderBy("position").rowsBetween(1, Window.unboundedFollowing)
-    nxt = m.select("conversation_uuid", "message_uuid", "position",
-                   F.min(F.when(F.col("sender") == "human", F.col("position"))).over(after).alias("next_h"),
-                   F.min(F.when(F.col("sender") == "assistant", F.col("position"))).over(after).alias("next_a"))
+    nxt = min_after(m, "conversation_uuid", ["position", "message_uuid"],
+                    {"next_h": F.when(F.col("sender") == "human", F.col("position")),
+                     "next_a": F.when(F.col("sender") == "assistant", F.col("position"))},
+                    ctx.cfg.window_chunk_rows).select("conversation_uuid", "message_uuid", "position", "next_h", "next_a")
     errs = (_results(ctx).where(F.col("is_error")).groupBy("conversation_uuid", "message_uuid")
             .agg(F.collect_set("name").alias("err_tools")))
     e = errs.join(nxt.select("message_uuid", F.col("next_h").alias("h_pos")), "message_uuid")
