@@ -41,3 +41,16 @@ def names_array(top: DataFrame, name_col: str, order: Column) -> Column:
         F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(name_col).alias("v")))),
                     lambda s: s["v"]).alias("names")
     ).scalar()
+
+
+def dense_rows(counts: DataFrame, row_key: str, col_key: str, value: str, names: Column) -> DataFrame:
+    """Every row of `counts` x every name of the (bounded) `names` axis, zero-filled.
+
+    One aggregation: each row key folds its (name -> value) pairs into a map (at most
+    len(names) entries, since counts were restricted to those names), then the axis is
+    exploded and looked up; the counts are not read twice (no self-join for the row axis)."""
+    per = counts.groupBy(row_key).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(col_key), F.col(value)))).alias("_m"))
+    cells_df = per.select(row_key, F.explode(names).alias(col_key), "_m")
+    return cells_df.select(row_key, col_key,
+                           F.coalesce(F.try_element_at(F.col("_m"), F.col(col_key)), F.lit(0)).cast("long").alias(value))

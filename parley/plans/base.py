@@ -77,14 +77,15 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
 
 
 def materialize_tables(spark: SparkSession, t: Tables) -> Tables:
-    """Persist the normalised input tables the reports read repeatedly (tool calls / results,
-    citations, projects, docs) as parquet in the shared checkpoint folder. Messages and
-    conversations are only read through the stat tables, so they stay lazy."""
+    """Persist the normalised tables (the ETL output) once as parquet in the shared checkpoint
+    folder: parsing / derivation runs once, later readers get pruning and pushdown, and a
+    lost executor re-reads files instead of recomputing lineage."""
     from dataclasses import replace
 
     base = prepare.scratch_dir(spark, "tables")
     done = {}
-    for name in ("tool_calls", "tool_results", "citations", "projects", "docs"):
+    for name in ("messages", "conversations", "tool_calls", "tool_results", "citations", "projects", "docs",
+                 "attachments", "files", "blocks", "users"):
         df = getattr(t, name)
         if df is not None:
             df.write.mode("overwrite").parquet(f"{base}/{name}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import time as TM
 from parley.functions.categorize import member_category, strip_server_prefix
-from parley.operators.grid import axis, cells, names_array, zero_fill
+from parley.operators.grid import axis, cells, dense_rows, names_array
 from parley.operators.ranking import top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
@@ -118,10 +118,8 @@ def monthly_top5(ctx: Context):
              .join(F.broadcast(top.select("name")), "name", "left_semi")  # <= 5 rows: bounded broadcast
              .select(TM.month(TM.local("start_timestamp", ctx.cfg.tz)).alias("month"), "name"))
     counts = calls.groupBy("month", "name").agg(F.count(F.lit(1)).alias("calls"))
-    months = counts.select("month").distinct()
     order = F.struct((-F.col("calls")).alias("c"), F.col("name").alias("n"))
-    grid = cells(months, {"name": names_array(top, "name", order)})
-    return zero_fill(grid, counts, ["month", "name"], ["calls"])
+    return dense_rows(counts, "month", "name", "calls", names_array(top, "name", order))
 
 
 @report(M, "m05_error_rate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import time as TM
-from parley.operators.grid import cells, names_array, zero_fill
+from parley.operators.grid import dense_rows, names_array
 from parley.operators.ranking import flag_first, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
@@ -75,8 +75,7 @@ def type_monthly(ctx: Context):
             .select(TM.month("created_local").alias("month"), "file_type"))
     counts = rows.groupBy("month", "file_type").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct((-F.col("n")).alias("c"), F.col("file_type").alias("t"))
-    grid = cells(counts.select("month").distinct(), {"file_type": names_array(top, "file_type", order)})
-    return zero_fill(grid, counts, ["month", "file_type"], ["n"])
+    return dense_rows(counts, "month", "file_type", "n", names_array(top, "file_type", order))
 
 
 def _sized(ctx: Context):

@@ -62,23 +62,25 @@ def stats_message(t: Tables, cfg: Config) -> DataFrame:
         T.approx_tokens("_code").alias("tokens_code"),
     ).drop("_code")
 
+    # One aggregation keyed by message uuid for everything counted "per message": tool calls,
+    # tool results, and children (a child row is keyed by its parent's uuid). Root / NULL
+    # parents are dropped before the exchange (they would form one giant key).
+    parts = [m.where(~is_root_parent()).select(F.col("parent_message_uuid").alias("message_uuid"),
+                                               F.lit(0).alias("c"), F.lit(0).alias("r"), F.lit(1).alias("k"))]
     if t.tool_calls is not None:
-        calls = t.tool_calls.groupBy("message_uuid").agg(F.count(F.lit(1)).alias("tool_use_count"))
-        base = base.join(calls, "message_uuid", "left")
-    else:
-        base = base.withColumn("tool_use_count", F.lit(None).cast("long"))
+        parts.append(t.tool_calls.select("message_uuid", F.lit(1).alias("c"), F.lit(0).alias("r"), F.lit(0).alias("k")))
     if t.tool_results is not None:
-        res = t.tool_results.groupBy("message_uuid").agg(F.count(F.lit(1)).alias("tool_result_count"))
-        base = base.join(res, "message_uuid", "left")
-    else:
-        base = base.withColumn("tool_result_count", F.lit(None).cast("long"))
-
-    cc = child_counts(m)
-    # own children
-    base = base.join(cc.withColumnRenamed("puuid", "message_uuid"), "message_uuid", "left")
-    # parent's children
-    parent_cc = cc.select(F.col("puuid").alias("parent_message_uuid"),
-                          F.col("child_count").alias("_siblings"))
+        parts.append(t.tool_results.select("message_uuid", F.lit(0).alias("c"), F.lit(1).alias("r"),
+                                           F.lit(0).alias("k")))
+    per_uuid = parts[0]
+    for p in parts[1:]:
+        per_uuid = per_uuid.unionByName(p)
+    per_uuid = per_uuid.where(F.col("message_uuid").isNotNull()).groupBy("message_uuid").agg(
+        F.sum("c").alias("tool_use_count"), F.sum("r").alias("tool_result_count"), F.sum("k").alias("child_count"))
+    base = base.join(per_uuid, "message_uuid", "left")
+    # parent's children (S10): the same aggregate, looked up by the parent key
+    parent_cc = per_uuid.where(F.col("child_count") > 0).select(
+        F.col("message_uuid").alias("parent_message_uuid"), F.col("child_count").alias("_siblings"))
     base = base.join(parent_cc, "parent_message_uuid", "left")
 
     delta = TM.epoch_seconds_between("updated_at", "created_at")
