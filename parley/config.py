@@ -11,8 +11,12 @@ class Config:
     """Report configuration.
 
     tz               wall-clock zone for hour / weekday / local month columns.
-    approx_quantiles use percentile_approx instead of exact percentile (huge inputs).
+    approx_quantiles use percentile_approx instead of exact quantiles (opt-in, inexact).
     approx_accuracy  accuracy parameter of percentile_approx.
+    quantile_mode    "auto": exact `percentile` for integer metrics (bounded distinct values),
+                     bounded-memory exact quantiles (sketch bracket + exact pass) for
+                     fractional ones; "exact" / "bounded" force one of the two.
+    bounded_accuracy sketch accuracy of the bounded exact mode.
     fanout_m07       reproduce the attachment x file join fan-out of the monthly counts.
     merge_by_name    group the m13 top-3 lists by (name, message_count) instead of id.
     window_chunk_rows  conversations above this many rows are split into ordered chunks for
@@ -22,6 +26,8 @@ class Config:
     tz: str = "Europe/Istanbul"
     approx_quantiles: bool = False
     approx_accuracy: int = 100000
+    quantile_mode: str = "auto"
+    bounded_accuracy: int = 10000
     fanout_m07: bool = False
     merge_by_name: bool = False
     window_chunk_rows: int = 2_000_000

@@ -60,25 +60,39 @@ def _key_names(series: list[Series]) -> list[str]:
     return names
 
 
+def _is_fractional(df: DataFrame, value: Column) -> bool:
+    t = df.select(value.alias("_v")).schema["_v"].dataType
+    return t.typeName() in ("double", "float") or t.typeName().startswith("decimal")
+
+
+def _use_bounded(df: DataFrame, s: Series, cfg: Config) -> bool:
+    if cfg.approx_quantiles or cfg.quantile_mode == "exact":
+        return False
+    return cfg.quantile_mode == "bounded" or _is_fractional(df, s.value)
+
+
 def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None) -> DataFrame:
-    """N, p50, p90, p95, p99, mean, max, min per series (linear interpolation)."""
+    """N, p50, p90, p95, p99, mean, max, min per series (linear interpolation).
+
+    Quantiles of integer metrics use Spark's exact `percentile` inside the same aggregation
+    (its value -> count map is bounded by the value range); fractional metrics, whose
+    distinct values grow with the data, use the bounded-memory exact operator
+    (operators/quantiles.py). `cfg.approx_quantiles` switches to percentile_approx."""
     cfg = cfg or Config()
+    bounded = [_use_bounded(df, s, cfg) for s in series]
     aggs = []
     for i, s in enumerate(series):
         x = _masked(s)
-        aggs += [
-            F.count(x).alias(f"n{i}"),
-            _quantiles(x, cfg).alias(f"q{i}"),
-            F.avg(x).alias(f"a{i}"),
-            F.max(x).alias(f"x{i}"),
-            F.min(x).alias(f"m{i}"),
-        ]
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.max(x).alias(f"x{i}"), F.min(x).alias(f"m{i}")]
+        if not bounded[i]:
+            aggs.append(_quantiles(x, cfg).alias(f"q{i}"))
     wide = df.agg(*aggs)
     keys = _key_names(series)
     rows = []
     for i, s in enumerate(series):
-        q = F.col(f"q{i}")
+        q = F.lit(None).cast("array<double>") if bounded[i] else F.col(f"q{i}")
         rows.append(F.struct(
+            F.lit(i).alias("_sid"),
             *[F.lit(s.keys.get(k)).cast("string").alias(k) for k in keys],
             F.col(f"n{i}").cast("long").alias("n"),
             *[r6(q.getItem(j)).alias(f"p{int(p * 100)}") for j, p in enumerate(QS)],
@@ -86,7 +100,20 @@ def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None
             r6(F.col(f"x{i}")).alias("max"),
             r6(F.col(f"m{i}")).alias("min"),
         ))
-    return wide.select(F.inline(F.array(*rows)))
+    out = wide.select(F.inline(F.array(*rows)))
+    if any(bounded):
+        from parley.operators.quantiles import exact_bounded
+
+        ids = [i for i, b in enumerate(bounded) if b]
+        qv = exact_bounded(df, [_masked(series[i]) for i in ids], QS, cfg.bounded_accuracy)
+        sid = F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("sid") + 1)
+        piv = qv.groupBy(sid.alias("_sid")).agg(
+            *[F.max(F.when(F.col("qi") == j, F.col("value"))).alias(f"_b{int(p * 100)}") for j, p in enumerate(QS)])
+        out = out.join(piv, "_sid", "left")
+        for p in QS:
+            c = f"p{int(p * 100)}"
+            out = out.withColumn(c, F.coalesce(F.col(c), r6(F.col(f"_b{int(p * 100)}")))).drop(f"_b{int(p * 100)}")
+    return out.select(*keys, *STAT_COLS)
 
 
 def bucketize(df: DataFrame, series: list[Series], edges: list[tuple], closed: bool = False) -> DataFrame:

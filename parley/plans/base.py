@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +18,22 @@ class Context:
     tables: Tables
     stats: prepare.Stats
     cfg: Config
+    materialized: bool = False
+    _derived: dict = field(default_factory=dict)
+
+    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table several reports read (e.g. message gaps): built once; when the context is
+        materialised it is written as parquet in the checkpoint folder and read back, so
+        the window behind it runs once and later passes are column-pruned scans."""
+        df = self._derived.get(name)
+        if df is None:
+            df = build()
+            if self.materialized:
+                path = prepare.scratch_dir(self.spark, f"derived-{name}")
+                df.write.mode("overwrite").parquet(path)
+                df = self.spark.read.parquet(path)
+            self._derived[name] = df
+        return df
 
 
 REGISTRY: dict[str, tuple[str, Callable[[Context], DataFrame]]] = {}
@@ -71,7 +87,7 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
         stats = prepare.build(t, cfg)
         if materialize:
             stats = prepare.materialize(stats, spark)
-        ctx = Context(spark, t, stats, cfg)
+        ctx = Context(spark, t, stats, cfg, materialized=materialize)
         _CACHE[key] = ctx
     return ctx
 
@@ -99,4 +115,4 @@ def context_for_tables(spark: SparkSession, t: Tables, cfg: Config | None = None
     stats = prepare.build(t, cfg)
     if materialize:
         stats = prepare.materialize(stats)
-    return Context(spark, t, stats, cfg)
+    return Context(spark, t, stats, cfg, materialized=materialize)

@@ -44,7 +44,12 @@ def lifetime_buckets(ctx: Context):
 
 
 def _gaps(ctx: Context):
-    """Consecutive human/assistant messages of a conversation by time (ties: position, uuid)."""
+    """Consecutive human/assistant messages of a conversation by time (ties: position, uuid);
+    shared by five reports, so built once per dataset."""
+    return ctx.derived("gaps", lambda: _build_gaps(ctx))
+
+
+def _build_gaps(ctx: Context):
     m = ctx.stats.message.where(F.col("sender").isin("human", "assistant")).select(
         "conversation_uuid", "message_uuid", "position", "sender", "created_at")
     g = lag_within(m, "conversation_uuid", ["created_at", "position", "message_uuid"], ["created_at", "sender"],
