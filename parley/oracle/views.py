@@ -77,6 +77,14 @@ SELECT CAST(page_id % 40 AS VARCHAR) AS conversation_uuid,
 """
 
 
+# Single-backtick spans without lookbehind (RE2 has none): tokenise the text into backtick runs
+# and the gaps between them; encode runs as S (one backtick) / M (several) and gaps as g (no
+# newline) / n; a span is a non-overlapping "SgS". Equal to the lookbehind pattern (fuzzed).
+INLINE = ("len(regexp_extract_all(array_to_string(list_transform(regexp_extract_all(coalesce({t}, ''), '`+|[^`]+'), "
+          "lambda x: CASE WHEN x[1] = chr(96) THEN (CASE WHEN length(x) = 1 THEN 'S' ELSE 'M' END) "
+          "ELSE (CASE WHEN contains(x, chr(10)) THEN 'n' ELSE 'g' END) END), ''), 'SgS'))")
+
+
 def ctes(tz: str = TZ) -> str:
     code = f"array_to_string(regexp_extract_all(coalesce(text, ''), '{FENCE}', 2), chr(10) || chr(10))"
     return f"""
@@ -110,6 +118,7 @@ sm AS (
          CAST(m.attachment_count AS BIGINT) AS attachment_count, CAST(m.file_count AS BIGINT) AS file_count,
          {_tok('m.text')} AS tokens_text, {_tok('m.thinking')} AS tokens_thinking,
          CAST(length(m.code_text) AS BIGINT) AS chars_code, {_tok('m.code_text')} AS tokens_code,
+         CAST({INLINE.format(t='m.text')} AS BIGINT) AS inline_code_count,
          CASE WHEN m.updated_at IS NOT NULL AND m.created_at IS NOT NULL
               THEN epoch(m.updated_at) - epoch(m.created_at) END AS edit_delta_seconds,
          coalesce(m.updated_at IS NOT NULL AND m.created_at IS NOT NULL AND m.chars_text > 0

@@ -138,7 +138,7 @@ def code_share(ctx: Context):
 
 @report(M, "m10_inline")
 def inline(ctx: Context):
-    """Single-backtick spans per sender (no SQL oracle: the pattern needs lookbehind)."""
+    """Single-backtick spans per sender (the span pattern uses lookbehind, in the JVM regex)."""
     m = ctx.stats.message.where(F.col("sender").isin(*SENDERS))
     g = m.groupBy("sender").agg(
         F.count(F.lit(1)).alias("messages"), F.count_if(F.col("inline_code_count") > 0).alias("messages_with_inline"),

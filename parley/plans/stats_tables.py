@@ -39,7 +39,6 @@ def code_blocks(ctx: Context):
 
 @report(M, "inline_code_count")
 def inline_code_count(ctx: Context):
-    """No SQL oracle: the span pattern needs lookbehind."""
     return ctx.stats.message.select("message_uuid", "inline_code_count")
 
 
