@@ -1,20 +1,21 @@
 """Exact quantiles with bounded memory (for metrics whose distinct values grow with the data).
 
-Spark's exact `percentile` merges a value -> count map of the whole population in one task
-for a global aggregate: fine for integer counts (distinct values are bounded by the value
-range), not for continuous metrics such as gaps in seconds. Here:
+Spark's exact `percentile` merges a value -> count map of a whole group in one task: fine for
+small-range integer counts, not for continuous metrics (gap seconds, durations) or byte
+sizes. Here, per group:
 
-  pass 1  one aggregation: n and a sketch (`percentile_approx`, rank error <= n / accuracy)
-          at q - d and q + d for every requested q (d = 3 / accuracy), per series;
-  pass 2  one aggregation: rows strictly below each bracket, plus a value histogram of the
-          rows inside each bracket (grouped by value, so duplicates collapse);
-  pass 3  per (series, q), a running count over that small histogram finds the values at
+  pass 1  one aggregation: n, min, max and a sketch (`percentile_approx`, rank error
+          <= n / accuracy) at q - d and q + d for every requested q (d = 3 / accuracy);
+  pass 2  the brackets join back as ONE row per group (no row expansion): rows strictly below
+          each bracket are counted in one aggregation, and only rows inside a bracket are
+          kept, histogrammed by value (duplicates collapse);
+  pass 3  per (group, q), a running count over that small histogram finds the values at
           ranks floor((n-1)q) and ceil((n-1)q), interpolated as Spark's `percentile` does.
 
-For n <= 10 * accuracy the bracket is simply the whole series (at most that many rows). Above
-that, 3n/accuracy covers the sketch error plus the 1-rank gap between the sketch's q*n rank
-and the (n-1)q interpolation rank. Every step is a partial-aggregated groupBy or a small
-frame; no task ever holds more than max(10 * accuracy, ~6n/accuracy) values of a series.
+For n <= 10 * accuracy the bracket is the whole group (at most that many rows). Above that,
+3n/accuracy covers the sketch error plus the one-rank gap between the sketch's q*n rank and
+the (n-1)q interpolation rank. No task holds more than max(10 * accuracy, ~6n / accuracy)
+values of one group, however large or skewed the group is.
 """
 
 from __future__ import annotations
@@ -24,45 +25,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def exact_bounded(df: DataFrame, values: list[Column], qs: tuple[float, ...], accuracy: int = 10000) -> DataFrame:
-    """One row per (sid, qi): value of quantile qs[qi] of `values[sid]` (NULLs ignored)."""
+def grouped_exact(long: DataFrame, groups: list[str], value: str, qs: tuple[float, ...], accuracy: int = 10000,
+                  small_groups: bool = False) -> DataFrame:
+    """Rows (groups..., qi, value): quantile qs[qi] of `value` per group (NULL values ignored).
+
+    small_groups: the group list is tiny and fixed (e.g. a few series), so the bracket
+    row may be broadcast; otherwise Spark picks the join (AQE splits skewed groups)."""
     d = 3.0 / accuracy
     small = 10 * accuracy
-    brackets = []
+    brackets: list[float] = []
     for q in qs:
         brackets += [max(0.0, q - d), min(1.0, q + d)]
-    # pass 1
-    aggs = []
-    for i, v in enumerate(values):
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.percentile_approx(v, brackets, accuracy).alias(f"b{i}")]
-    p1 = df.agg(*aggs)
-    rows = []
-    for i in range(len(values)):
-        n = F.col(f"n{i}")
-        for j, q in enumerate(qs):
-            pos = (n - 1) * F.lit(q)
-            whole = n <= small
-            rows.append(F.struct(
-                F.lit(i).alias("sid"), F.lit(j).alias("qi"), n.alias("n"), pos.alias("pos"),
-                F.when(whole, F.col(f"lo{i}")).otherwise(F.col(f"b{i}")[2 * j]).alias("L"),
-                F.when(whole, F.col(f"hi{i}")).otherwise(F.col(f"b{i}")[2 * j + 1]).alias("H")))
-    br = p1.select(F.inline(F.array(*rows))).where(F.col("n") > 0)  # series x quantiles rows
-    # pass 2: long form (sid, x) joined to its brackets (tiny broadcast: series x quantiles rows)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("sid"), v.alias("x"))
+    x = F.col(value)
+    long = long.where(x.isNotNull())
+    p1 = long.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_min"), F.max(x).alias("_max"),
+                                   F.percentile_approx(x, brackets, accuracy).alias("_b"))
+    whole = F.col("_n") <= small
+    br = p1.select(*groups, "_n", *[
+        c for j in range(len(qs)) for c in (
+            F.when(whole, F.col("_min")).otherwise(F.col("_b")[2 * j]).alias(f"_L{j}"),
+            F.when(whole, F.col("_max")).otherwise(F.col("_b")[2 * j + 1]).alias(f"_H{j}"))])
+    j = long.join(F.broadcast(br) if small_groups else br, groups)
+    below = j.groupBy(*groups).agg(*[F.count_if(x < F.col(f"_L{k}")).alias(f"_below{k}") for k in range(len(qs))])
+    inside = F.filter(F.array(*[F.struct(F.lit(k).alias("qi"), ((x >= F.col(f"_L{k}")) & (x <= F.col(f"_H{k}")))
+                                         .alias("in")) for k in range(len(qs))]), lambda s: s["in"])
+    hist = (j.select(*groups, x.alias("_x"), F.explode(inside).alias("_s"))
+            .groupBy(*groups, F.col("_s.qi").alias("qi"), "_x").agg(F.count(F.lit(1)).alias("_c")))
+    # per (group, q): position and rows below the bracket (one row each)
+    meta = br.join(below, groups).select(*groups, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("qi"), ((F.col("_n") - 1) * F.lit(qs[k])).alias("_pos"),
+                 F.col(f"_below{k}").alias("_below")) for k in range(len(qs))])))
+    w = Window.partitionBy(*groups, "qi").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = hist.join(meta, [*groups, "qi"]).withColumn("_upto", F.col("_below") + F.sum("_c").over(w))
+    fl, ce = F.floor(F.col("_pos")), F.ceil(F.col("_pos"))
+    picked = h.groupBy(*groups, "qi", "_pos").agg(
+        F.min(F.when(F.col("_upto") > fl, F.col("_x"))).alias("_lo"),
+        F.min(F.when(F.col("_upto") > ce, F.col("_x"))).alias("_hi"))
+    pos, fl, ce = F.col("_pos"), F.floor(F.col("_pos")), F.ceil(F.col("_pos"))
+    val = F.when(fl == ce, F.col("_lo")).otherwise((ce - pos) * F.col("_lo") + (pos - fl) * F.col("_hi"))
+    return picked.select(*groups, "qi", val.alias("value"))
+
+
+def exact_bounded(df: DataFrame, values: list[Column], qs: tuple[float, ...], accuracy: int = 10000) -> DataFrame:
+    """One row per (sid, qi): quantile qs[qi] of `values[sid]` over df (series form)."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("sid"), v.cast("double").alias("x"))
                                          for i, v in enumerate(values)])).alias("e")).select("e.sid", "e.x")
-    long = long.where(F.col("x").isNotNull())
-    j = long.join(F.broadcast(br), "sid").where(F.col("x") <= F.col("H"))
-    below = (j.where(F.col("x") < F.col("L")).groupBy("sid", "qi").agg(F.count(F.lit(1)).alias("below")))
-    hist = (j.where(F.col("x") >= F.col("L")).groupBy("sid", "qi", "x").agg(F.count(F.lit(1)).alias("c")))
-    # pass 3: running count inside each bracket (bounded rows per (sid, qi))
-    w = Window.partitionBy("sid", "qi").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = (hist.join(below, ["sid", "qi"], "left").join(br.select("sid", "qi", "pos"), ["sid", "qi"])
-         .withColumn("upto", F.coalesce(F.col("below"), F.lit(0)) + F.sum("c").over(w)))
-    lo_r, hi_r = F.floor(F.col("pos")), F.ceil(F.col("pos"))
-    picked = h.groupBy("sid", "qi", "pos").agg(
-        F.min(F.when(F.col("upto") > lo_r, F.col("x"))).alias("v_lo"),
-        F.min(F.when(F.col("upto") > hi_r, F.col("x"))).alias("v_hi"))
-    pos, fl, ce = F.col("pos"), F.floor(F.col("pos")), F.ceil(F.col("pos"))
-    val = F.when(fl == ce, F.col("v_lo")).otherwise((ce - pos) * F.col("v_lo") + (pos - fl) * F.col("v_hi"))
-    return picked.select("sid", "qi", val.alias("value"))
+    return grouped_exact(long, ["sid"], "x", qs, accuracy, small_groups=True)
+
+
+def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, qs: tuple[float, ...], bounded: bool,
+                      accuracy: int = 10000) -> DataFrame:
+    """(groups..., p<q>...) with exact quantiles per group; `bounded` picks the bounded path."""
+    names = [f"p{int(round(q * 100))}" for q in qs]
+    if not bounded:
+        g = df.groupBy(*groups).agg(F.percentile(value.cast("double"), list(qs)).alias("_q"))
+        return g.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    long = df.select(*groups, value.cast("double").alias("_v"))
+    q = grouped_exact(long, groups, "_v", qs, accuracy)
+    return q.groupBy(*groups).agg(*[F.max(F.when(F.col("qi") == i, F.col("value"))).alias(n)
+                                    for i, n in enumerate(names)])

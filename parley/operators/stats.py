@@ -29,11 +29,12 @@ class Series:
     cond: Column | None = None
     keys: dict = field(default_factory=dict)
     total_cond: Column | None = None  # denominator population for bucket pct (default: cond)
+    wide: bool = False  # integer metric whose distinct values grow with the data (byte sizes)
 
 
-def S(value, cond=None, total_cond=None, **keys) -> Series:
+def S(value, cond=None, total_cond=None, wide=False, **keys) -> Series:
     v = F.col(value) if isinstance(value, str) else value
-    return Series(v, cond, keys, total_cond)
+    return Series(v, cond, keys, total_cond, wide)
 
 
 def r6(c: Column) -> Column:
@@ -68,7 +69,7 @@ def _is_fractional(df: DataFrame, value: Column) -> bool:
 def _use_bounded(df: DataFrame, s: Series, cfg: Config) -> bool:
     if cfg.approx_quantiles or cfg.quantile_mode == "exact":
         return False
-    return cfg.quantile_mode == "bounded" or _is_fractional(df, s.value)
+    return cfg.quantile_mode == "bounded" or s.wide or _is_fractional(df, s.value)
 
 
 def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import time as TM
 from parley.operators.grid import dense_rows, names_array
+from parley.operators.quantiles import grouped_quantiles
 from parley.operators.ranking import flag_first, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
@@ -84,7 +85,7 @@ def _sized(ctx: Context):
 
 @report(M, "m07_size", needs=("attachments",))
 def size(ctx: Context):
-    return summary_stats(_sized(ctx), [S("file_size")], ctx.cfg)
+    return summary_stats(_sized(ctx), [S("file_size", wide=True)], ctx.cfg)
 
 
 @report(M, "m07_size_buckets", needs=("attachments",))
@@ -127,11 +128,15 @@ def first_human(ctx: Context):
 
 @report(M, "m07_type_size", needs=("attachments",))
 def type_size(ctx: Context):
-    g = _sized(ctx).groupBy("file_type").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile(F.col("file_size").cast("double"), [0.5, 0.95]).alias("q"),
-        F.max("file_size").alias("size_max"))
-    return top_k(g, TOP_TYPE_SIZE, [F.desc("n"), F.asc("file_type")]).select(
-        "file_type", "n", r6(F.col("q")[0]).alias("size_p50"), r6(F.col("q")[1]).alias("size_p95"),
+    sized = _sized(ctx)
+    g = sized.groupBy("file_type").agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("size_max"))
+    top = top_k(g, TOP_TYPE_SIZE, [F.desc("n"), F.asc("file_type")])
+    # byte sizes: distinct values grow with the data -> bounded exact quantiles, top types only
+    rows = sized.join(F.broadcast(top.select("file_type")), "file_type", "left_semi")  # <= 6 rows
+    q = grouped_quantiles(rows, ["file_type"], F.col("file_size"), (0.5, 0.95), bounded=not ctx.cfg.approx_quantiles
+                          and ctx.cfg.quantile_mode != "exact", accuracy=ctx.cfg.bounded_accuracy)
+    return top.join(q, "file_type", "left").select(
+        "file_type", "n", r6(F.col("p50")).alias("size_p50"), r6(F.col("p95")).alias("size_p95"),
         F.col("size_max").cast("long").alias("size_max"))
 
 

@@ -152,7 +152,8 @@ def normalized(ctx: Context):
 @report(M, "m12_samples", needs=NEEDS)
 def samples(ctx: Context):
     g = normalized(ctx).groupBy("category", "normalized").agg(F.count(F.lit(1)).alias("n"))
-    return top_k_per_group(g, ["category"], SAMPLES_PER_CATEGORY, [F.desc("n"), F.asc("normalized")])
+    return top_k_per_group(g, ["category"], SAMPLES_PER_CATEGORY, [F.desc("n"), F.asc("normalized")],
+                           target_rows=ctx.cfg.window_chunk_rows)
 
 
 def _post_error(ctx: Context):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.config import SENTINEL_ROOT
+from parley.operators.quantiles import grouped_quantiles
 from parley.operators.ranking import flag_first, order_key, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
@@ -148,10 +149,15 @@ def _multi_root(ctx: Context):
 
 @report(M, "m13_multi_root")
 def multi_root(ctx: Context):
-    return _multi_root(ctx).groupBy("root_count").agg(
+    mr = _multi_root(ctx)
+    g = mr.groupBy("root_count").agg(
         F.count(F.lit(1)).alias("n"),
-        r6(F.percentile(F.col("message_count").cast("double"), 0.5)).alias("message_count_p50"),
-        r6(F.percentile("lifetime_seconds", 0.5)).alias("lifetime_p50"))
+        r6(F.percentile(F.col("message_count").cast("double"), 0.5)).alias("message_count_p50"))
+    # lifetime is fractional seconds: bounded exact quantile per group
+    life = grouped_quantiles(mr, ["root_count"], F.col("lifetime_seconds"), (0.5,),
+                             bounded=ctx.cfg.quantile_mode != "exact", accuracy=ctx.cfg.bounded_accuracy)
+    return g.join(life, "root_count", "left").select("root_count", "n", "message_count_p50",
+                                                     r6(F.col("p50")).alias("lifetime_p50"))
 
 
 @report(M, "m13_multi_root_list")

@@ -59,3 +59,23 @@ def test_reports_equal_with_forced_chunking(spark, key):
     plain = context_for_testdata(spark, SF_SMALL, Config())
     chunked = context_for_testdata(spark, SF_SMALL, Config(window_chunk_rows=2))
     assert rows(REGISTRY[key][1](chunked)) == rows(REGISTRY[key][1](plain))
+
+
+@pytest.mark.parametrize("target", [1, 2, 5, 10 ** 9])
+def test_top_k_per_group_salted_equals_plain(msgs, target):
+    from parley.operators.ranking import top_k_per_group
+
+    order = [F.col("position").desc(), F.col("message_uuid").asc()]
+    got = top_k_per_group(msgs, ["conversation_uuid"], 2, order, "rank", target).select("message_uuid", "rank")
+    w = Window.partitionBy("conversation_uuid").orderBy(*order)
+    plain = msgs.withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("message_uuid", "rank")
+    assert rows(got) == rows(plain)
+
+
+def test_grouped_bounded_quantiles_equal_percentile(spark, tctx):
+    from parley.operators.quantiles import grouped_quantiles
+
+    m = tctx.stats.message
+    exact = grouped_quantiles(m, ["sender"], F.col("chars_text"), (0.5, 0.9), bounded=False)
+    bounded = grouped_quantiles(m, ["sender"], F.col("chars_text"), (0.5, 0.9), bounded=True, accuracy=2)
+    assert rows(bounded) == rows(exact)
