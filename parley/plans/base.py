@@ -77,6 +77,10 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
     from parley.sources import testdata
 
     cfg = cfg or Config()
+    # the driver tables hold UTC wall clocks (parquet timestamps without zone); reading them as
+    # instants and the session-zone months (m03 / m11) assume a UTC session
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (spark.sparkContext.applicationId, sf_dir, cfg, materialize)
     ctx = _CACHE.get(key)
     if ctx is None:
