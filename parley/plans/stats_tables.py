@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.functions import text as T
 from parley.operators.stats import r6
 from parley.plans import prepare
 from parley.plans.base import Context, report
@@ -31,6 +32,13 @@ def message_tokens(ctx: Context):
     return ctx.stats.message.select("message_uuid", "tokens_text", "tokens_thinking", "chars_code", "tokens_code")
 
 
+@report(M, "code_concat")
+def code_concat(ctx: Context):
+    """All fenced bodies of the message text joined by a blank line."""
+    return ctx.tables.messages.select("message_uuid", T.code_concat("text").alias("code"),
+                                      F.length(T.code_concat("text")).cast("long").alias("chars_code"))
+
+
 @report(M, "code_blocks")
 def code_blocks(ctx: Context):
     return ctx.stats.code_block.select("message_uuid", "conversation_uuid", "sender", "position", "language",
