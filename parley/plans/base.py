@@ -120,3 +120,15 @@ def context_for_tables(spark: SparkSession, t: Tables, cfg: Config | None = None
     if materialize:
         stats = prepare.materialize(stats)
     return Context(spark, t, stats, cfg, materialized=materialize)
+
+
+def context_for_export(spark: SparkSession, root: str, cfg: Config | None = None, multiline: bool = True) -> Context:
+    """Context over one chat export folder: the JSON is parsed once into staged parquet under
+    the shared checkpoint folder, the normalised and stat tables are written once, and every
+    report reads those files."""
+    from parley.session import ensure_checkpoint_dir
+    from parley.sources import export
+
+    ensure_checkpoint_dir(spark)
+    t = export.load_dir(spark, root, multiline, stage_dir=prepare.scratch_dir(spark, "export"))
+    return context_for_tables(spark, materialize_tables(spark, t), cfg, materialize=True)

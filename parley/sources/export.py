@@ -71,7 +71,8 @@ def conversations(raw: DataFrame) -> DataFrame:
         "created_at", "updated_at", F.size(F.coalesce("chat_messages", F.array())).cast("int").alias("message_count"))
 
 
-def _message_rows(raw: DataFrame) -> DataFrame:
+def message_rows(raw: DataFrame) -> DataFrame:
+    """One row per message with its blocks parsed once (`b`) next to their raw JSON text."""
     m = raw.select(F.col("uuid").alias("conversation_uuid"),
                    F.posexplode(F.coalesce("chat_messages", F.array())).alias("position", "m"))
     parsed = F.transform(F.coalesce(F.col("m.content"), F.array()), lambda b: F.from_json(b, SC.BLOCK_DDL))
@@ -91,9 +92,8 @@ def _sum_len(blocks: Column, types: list[str], field: str) -> Column:
     return F.aggregate(lens, F.lit(0).cast("long"), lambda acc, v: acc + v)
 
 
-def messages(raw: DataFrame) -> DataFrame:
-    """E5 + S1/S2: one row per message with its ordered text / thinking and char sums."""
-    r = _message_rows(raw)
+def messages(r: DataFrame) -> DataFrame:
+    """E5 + S1/S2 from `message_rows`: ordered text / thinking and char sums per message."""
     b = F.col("b")
     thinking_text = F.transform(b, lambda x: F.when(x["type"] == "thinking", x["thinking"]))
     return r.select(
@@ -112,9 +112,10 @@ def messages(raw: DataFrame) -> DataFrame:
     )
 
 
-def blocks(raw: DataFrame) -> DataFrame:
-    """One row per content block; text_length only for text / thinking / voice_note."""
-    r = _message_rows(raw).select("conversation_uuid", F.col("m.uuid").alias("message_uuid"),
+def blocks(rows: DataFrame) -> DataFrame:
+    """E6 from `message_rows`: one row per content block; text_length only for text /
+    thinking / voice_note."""
+    r = rows.select("conversation_uuid", F.col("m.uuid").alias("message_uuid"),
                                   F.posexplode(F.arrays_zip("b", "raw_blocks")).alias("position", "z"))
     x = F.col("z.b")
     tl = (F.when(x["type"].isin("text", "voice_note"), F.coalesce(F.length(x["text"]), F.lit(0)))
@@ -160,9 +161,9 @@ def citations(bl: DataFrame) -> DataFrame:
                     url.alias("url"), F.regexp_extract(url, r"https?://([^/]+)", 1).alias("domain"), "cited_at")
 
 
-def attachments(raw: DataFrame) -> DataFrame:
-    """Extracted text dropped, only its length kept."""
-    a = _message_rows(raw).select(F.col("m.uuid").alias("message_uuid"),
+def attachments(rows: DataFrame) -> DataFrame:
+    """E9 from `message_rows`: extracted text dropped, only its length kept."""
+    a = rows.select(F.col("m.uuid").alias("message_uuid"),
                                   F.posexplode(F.col("m.attachments")).alias("position", "a"))
     return a.select("message_uuid", F.col("position").cast("int").alias("position"),
                     F.col("a.file_name").alias("file_name"), F.col("a.file_size").alias("file_size"),
@@ -170,39 +171,49 @@ def attachments(raw: DataFrame) -> DataFrame:
                     F.length(F.coalesce(F.col("a.extracted_content"), F.lit(""))).cast("long").alias("content_length"))
 
 
-def files(raw: DataFrame) -> DataFrame:
-    """E10."""
-    f = _message_rows(raw).select(F.col("m.uuid").alias("message_uuid"),
+def files(rows: DataFrame) -> DataFrame:
+    """E10 from `message_rows`."""
+    f = rows.select(F.col("m.uuid").alias("message_uuid"),
                                   F.posexplode(F.col("m.files")).alias("position", "f"))
     return f.select("message_uuid", F.col("position").cast("int").alias("position"),
                     F.col("f.file_uuid").alias("file_uuid"), F.col("f.file_name").alias("file_name"))
 
 
 def load(spark: SparkSession, conversations_path: str, projects_path: str | None = None,
-         users_path: str | None = None, multiline: bool = True) -> Tables:
-    """Normalised tables of one export (lazy DataFrames)."""
+         users_path: str | None = None, multiline: bool = True, stage_dir: str | None = None) -> Tables:
+    """Normalised tables of one export (lazy DataFrames).
+
+    stage_dir: parse the conversations file once into parquet there (conversation rows and
+    message rows with parsed blocks) and derive every table from it; without it each table
+    re-reads the JSON. Use a folder on shared storage (e.g. under spark.checkpoint.dir)."""
     craw = _read(spark, conversations_path, SC.CONVERSATION, multiline)
-    bl = blocks(craw)
+    convs, rows = conversations(craw), message_rows(craw)
+    if stage_dir:
+        convs.write.mode("overwrite").parquet(f"{stage_dir}/conversations")
+        rows.write.mode("overwrite").parquet(f"{stage_dir}/message_rows")
+        convs = spark.read.parquet(f"{stage_dir}/conversations")
+        rows = spark.read.parquet(f"{stage_dir}/message_rows")
+    bl = blocks(rows)
     praw = _read(spark, projects_path, SC.PROJECT, multiline) if projects_path else None
     uraw = _read(spark, users_path, SC.USER, multiline) if users_path else None
     return Tables(
-        conversations=conversations(craw),
-        messages=messages(craw),
+        conversations=convs,
+        messages=messages(rows),
         tool_calls=tool_calls(bl),
         tool_results=tool_results(bl),
         citations=citations(bl),
         projects=projects(praw) if praw is not None else None,
         docs=docs(praw) if praw is not None else None,
-        attachments=attachments(craw),
-        files=files(craw),
+        attachments=attachments(rows),
+        files=files(rows),
         blocks=bl.drop("b"),
         users=users(uraw) if uraw is not None else None,
     )
 
 
-def load_dir(spark: SparkSession, root: str, multiline: bool = True) -> Tables:
+def load_dir(spark: SparkSession, root: str, multiline: bool = True, stage_dir: str | None = None) -> Tables:
     p = find_export(spark, root)
-    return load(spark, p["conversations.json"], p["projects.json"], p["users.json"], multiline)
+    return load(spark, p["conversations.json"], p["projects.json"], p["users.json"], multiline, stage_dir)
 
 
 # ---------------------------------------------------------------- validation

@@ -26,7 +26,7 @@ def message_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int
     """Streaming messages (E5 + S2) from conversation JSON Lines files."""
     raw = (spark.readStream.schema(SC.CONVERSATION).option("maxFilesPerTrigger", max_files_per_trigger)
            .option("mode", "PERMISSIVE").json(src_dir))
-    return export.messages(raw)
+    return export.messages(export.message_rows(raw))
 
 
 def heatmap_counts(messages: DataFrame, tz: str) -> DataFrame:

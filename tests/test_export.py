@@ -97,3 +97,21 @@ def test_duplicate_message_uuid_rejected(spark):
     assert ("messages", "dup", "duplicate key") in bad
     with pytest.raises(ValueError):
         export.validate(t)
+
+
+def test_staged_load_equals_direct(spark, export_tables, tmp_path):
+    staged = export.load_dir(spark, os.path.join(FIXTURES, "export"), stage_dir=str(tmp_path / "stage"))
+    for name in ("conversations", "messages", "tool_calls", "tool_results", "citations", "attachments", "files"):
+        a, b = getattr(staged, name), getattr(export_tables, name)
+        assert rows(a.drop(*[c for c in a.columns if c in ("raw",)])) == rows(b.drop(*[c for c in b.columns
+                                                                                       if c in ("raw",)])), name
+
+
+def test_context_for_export_materialised(spark):
+    from parley.plans import REGISTRY
+    from parley.plans.base import context_for_export
+
+    ctx = context_for_export(spark, os.path.join(FIXTURES, "export"))
+    assert ctx.materialized
+    got = rows(REGISTRY["m12_post_error"][1](ctx), "outcome", "n")
+    assert [n for _, n in got] == [1, 1, 1, 1, 1]

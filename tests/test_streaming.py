@@ -22,7 +22,7 @@ def _batch_heatmap(spark, src):
     from parley.sources import export
     from parley.sources import schema as SC
 
-    m = export.messages(spark.read.schema(SC.CONVERSATION).json(src))
+    m = export.messages(export.message_rows(spark.read.schema(SC.CONVERSATION).json(src)))
     local = TM.local("created_at", "UTC")
     return m.groupBy(TM.isodow(local).alias("dow"), TM.hour(local).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
