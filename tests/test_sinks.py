@@ -42,3 +42,13 @@ def test_chart_buckets_shape(jctx):
     c = sinks.chart_buckets(frames["m01_buckets"])
     assert c.columns == ["metric", "label", "count", "pct"]
     assert c.where(F.col("metric") == "message_count").count() == 6
+
+
+def test_cli_writes_tables_and_reports(spark, tmp_path):
+    from parley.__main__ import main
+    from tests.conftest import FIXTURES
+
+    assert main([os.path.join(FIXTURES, "export"), str(tmp_path), "--modules", "m12,overview", "--tz", "UTC"]) == 0
+    assert spark.read.parquet(str(tmp_path / "tables" / "messages")).count() == 26
+    assert glob.glob(f"{tmp_path}/reports/m12/summary.json/part-*")
+    assert glob.glob(f"{tmp_path}/reports/overview/overview_blocks.csv/*.csv")
