@@ -27,6 +27,15 @@ def approx_tokens(s: Column | str) -> Column:
     return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
 
 
+def fences(text: Column | str) -> Column:
+    """ARRAY<STRUCT<tag, body>> of fenced blocks with ONE pass of the pattern over the text:
+    whole matches are extracted once, tag and body are then read from each (short) match
+    with the same pattern (a match re-matches itself from its start)."""
+    whole = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(FENCE_RE), 0)
+    return F.transform(whole, lambda m: F.struct(F.regexp_extract(m, FENCE_RE, 1).alias("tag"),
+                                                 F.regexp_extract(m, FENCE_RE, 2).alias("body")))
+
+
 def fence_bodies(text: Column | str) -> Column:
     """ARRAY<STRING> of fenced code bodies (unterminated block runs to the end)."""
     return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(FENCE_RE), 2)

@@ -53,14 +53,15 @@ def stats_message(t: Tables, cfg: Config) -> DataFrame:
         TM.local("created_at", cfg.tz).alias("created_local"),
         T.approx_tokens("text").alias("tokens_text"),
         T.approx_tokens("thinking").alias("tokens_thinking"),
-        T.code_concat("text").alias("_code"),
+        T.fences("text").alias("fences"),
         T.inline_code_count("text").alias("inline_code_count"),
     )
+    code = F.array_join(F.col("fences.body"), "\n\n")  # S4: bodies joined by a blank line
     base = base.select(
         "*",
-        F.length("_code").cast("long").alias("chars_code"),
-        T.approx_tokens("_code").alias("tokens_code"),
-    ).drop("_code")
+        F.length(code).cast("long").alias("chars_code"),
+        T.approx_tokens(code).alias("tokens_code"),
+    )
 
     # One aggregation keyed by message uuid for everything counted "per message": tool calls,
     # tool results, and children (a child row is keyed by its parent's uuid). Root / NULL
@@ -94,7 +95,7 @@ def stats_message(t: Tables, cfg: Config) -> DataFrame:
         F.coalesce("tool_result_count", F.lit(0)).cast("long").alias("tool_result_count"),
         F.coalesce("attachment_count", F.lit(0)).cast("long").alias("attachment_count"),
         F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count"),
-        "tokens_text", "tokens_thinking", "chars_code", "tokens_code", "inline_code_count",
+        "tokens_text", "tokens_thinking", "chars_code", "tokens_code", "inline_code_count", "fences",
         F.when(both, delta).alias("edit_delta_seconds"),
         F.coalesce(both & (F.col("chars_text") > 0) & (delta > 60), F.lit(False)).alias("inplace_edit_flag"),
         F.coalesce(F.col("child_count"), F.lit(0)).cast("long").alias("child_count"),
@@ -105,21 +106,17 @@ def stats_message(t: Tables, cfg: Config) -> DataFrame:
     )
 
 
-def stats_code_block(t: Tables, sm: DataFrame) -> DataFrame:
-    """One row per fenced block of the message text (thinking excluded)."""
-    blocks = t.messages.select(
-        "message_uuid",
-        F.posexplode(F.arrays_zip(T.fence_tags("text").alias("tag"),
-                                  T.fence_bodies("text").alias("body"))).alias("position", "b"),
-    )
-    blocks = blocks.select(
-        "message_uuid",
+def stats_code_block(sm: DataFrame) -> DataFrame:
+    """One row per fenced block of the message text (thinking excluded), exploded from the
+    `fences` column of the message stats (the text is not read again)."""
+    b = sm.select("message_uuid", "conversation_uuid", "sender", F.posexplode("fences").alias("position", "f"))
+    return b.select(
+        "message_uuid", "conversation_uuid", "sender",
         F.col("position").cast("int").alias("position"),
-        T.strip_ws(F.col("b.tag")).alias("language"),
-        F.length(F.col("b.body")).cast("long").alias("chars"),
-        T.approx_tokens(F.col("b.body")).alias("tokens"),
+        T.strip_ws(F.col("f.tag")).alias("language"),
+        F.length(F.col("f.body")).cast("long").alias("chars"),
+        T.approx_tokens(F.col("f.body")).alias("tokens"),
     )
-    return blocks.join(sm.select("message_uuid", "conversation_uuid", "sender"), "message_uuid")
 
 
 def stats_conversation(t: Tables, sm: DataFrame, cfg: Config) -> DataFrame:
@@ -191,7 +188,7 @@ def sanity(stats: Stats) -> DataFrame:
 
 def build(t: Tables, cfg: Config) -> Stats:
     sm = stats_message(t, cfg)
-    return Stats(message=sm, code_block=stats_code_block(t, sm), conversation=stats_conversation(t, sm, cfg))
+    return Stats(message=sm, code_block=stats_code_block(sm), conversation=stats_conversation(t, sm, cfg))
 
 
 def materialize(stats: Stats, spark=None, base_dir: str | None = None) -> Stats:
@@ -203,10 +200,14 @@ def materialize(stats: Stats, spark=None, base_dir: str | None = None) -> Stats:
     spark = spark or stats.message.sparkSession
     base = base_dir or scratch_dir(spark, "stats")
     out = {}
-    for name in ("message", "code_block", "conversation"):
+    for name in ("message", "conversation"):
         path = f"{base}/{name}"
         getattr(stats, name).write.mode("overwrite").parquet(path)
         out[name] = spark.read.parquet(path)
+    # code blocks are exploded from the written message stats (reads only the fences column)
+    path = f"{base}/code_block"
+    stats_code_block(out["message"]).write.mode("overwrite").parquet(path)
+    out["code_block"] = spark.read.parquet(path)
     return Stats(**out)
 
 
