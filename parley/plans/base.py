@@ -87,7 +87,7 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
         ensure_checkpoint_dir(spark)
         t = testdata.load(spark, sf_dir)
         if materialize:
-            t = materialize_tables(spark, t)
+            t = materialize_tables(spark, t, REREAD_TABLES)
         stats = prepare.build(t, cfg)
         if materialize:
             stats = prepare.materialize(stats, spark)
@@ -96,7 +96,13 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
     return ctx
 
 
-def materialize_tables(spark: SparkSession, t: Tables) -> Tables:
+ALL_TABLES = ("messages", "conversations", "tool_calls", "tool_results", "citations", "projects", "docs",
+              "attachments", "files", "blocks", "users")
+# driver-table adapters: messages / conversations are column arithmetic read once (by prepare)
+REREAD_TABLES = ("tool_calls", "tool_results", "citations", "projects", "docs")
+
+
+def materialize_tables(spark: SparkSession, t: Tables, names: tuple[str, ...] = ALL_TABLES) -> Tables:
     """Persist the normalised tables (the ETL output) once as parquet in the shared checkpoint
     folder: parsing / derivation runs once, later readers get pruning and pushdown, and a
     lost executor re-reads files instead of recomputing lineage."""
@@ -104,8 +110,7 @@ def materialize_tables(spark: SparkSession, t: Tables) -> Tables:
 
     base = prepare.scratch_dir(spark, "tables")
     done = {}
-    for name in ("messages", "conversations", "tool_calls", "tool_results", "citations", "projects", "docs",
-                 "attachments", "files", "blocks", "users"):
+    for name in names:
         df = getattr(t, name)
         if df is not None:
             df.write.mode("overwrite").parquet(f"{base}/{name}")
