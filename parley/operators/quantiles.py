@@ -60,9 +60,15 @@ def grouped_exact(long: DataFrame, groups: list[str], value: str, qs: tuple[floa
     fl, ce = F.floor(F.col("_pos")), F.ceil(F.col("_pos"))
     picked = h.groupBy(*groups, "qi", "_pos").agg(
         F.min(F.when(F.col("_upto") > fl, F.col("_x"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > ce, F.col("_x"))).alias("_hi"))
+        F.min(F.when(F.col("_upto") > ce, F.col("_x"))).alias("_hi"),
+        F.max("_below").alias("_below"))
     pos, fl, ce = F.col("_pos"), F.floor(F.col("_pos")), F.ceil(F.col("_pos"))
     val = F.when(fl == ce, F.col("_lo")).otherwise((ce - pos) * F.col("_lo") + (pos - fl) * F.col("_hi"))
+    # never a silently wrong value: the bracket must start at or below the lower target rank
+    # and reach the upper one (guaranteed by the sketch bound; checked anyway)
+    ok = (F.col("_below") <= fl) & F.col("_lo").isNotNull() & F.col("_hi").isNotNull()
+    val = F.when(ok, val).otherwise(F.raise_error(F.lit("bounded quantile bracket missed its rank; "
+                                                        "raise Config.bounded_accuracy")).cast("double"))
     return picked.select(*groups, "qi", val.alias("value"))
 
 
