@@ -30,11 +30,12 @@ class Series:
     keys: dict = field(default_factory=dict)
     total_cond: Column | None = None  # denominator population for bucket pct (default: cond)
     wide: bool = False  # integer metric whose distinct values grow with the data (byte sizes)
+    edges: list | None = None  # own bucket edges (else the bucketize call's edges)
 
 
-def S(value, cond=None, total_cond=None, wide=False, **keys) -> Series:
+def S(value, cond=None, total_cond=None, wide=False, edges=None, **keys) -> Series:
     v = F.col(value) if isinstance(value, str) else value
-    return Series(v, cond, keys, total_cond, wide)
+    return Series(v, cond, keys, total_cond, wide, edges)
 
 
 def r6(c: Column) -> Column:
@@ -117,11 +118,13 @@ def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None
     return out.select(*keys, *STAT_COLS)
 
 
-def bucketize(df: DataFrame, series: list[Series], edges: list[tuple], closed: bool = False) -> DataFrame:
+def bucketize(df: DataFrame, series: list[Series], edges: list[tuple] | None = None,
+              closed: bool = False) -> DataFrame:
     """P2 (half-open [lo, hi)) / P3 (closed [lo, hi]) buckets with n and pct of the series total.
 
     A value outside every bucket counts in the total but in no bucket; empty buckets
-    are kept with n = 0. With several series this is P4 (paired buckets) in long form.
+    are kept with n = 0. With several series this is P4 (paired buckets) in long form; a
+    series may carry its own edges, so differently bucketed metrics still share one scan.
     """
     aggs = []
     for i, s in enumerate(series):
@@ -129,7 +132,7 @@ def bucketize(df: DataFrame, series: list[Series], edges: list[tuple], closed: b
         base = F.lit(True) if s.cond is None else s.cond
         tot = base if s.total_cond is None else s.total_cond
         aggs.append(F.count(F.when(tot, 1)).alias(f"t{i}"))
-        for j, (_, lo, hi) in enumerate(edges):
+        for j, (_, lo, hi) in enumerate(s.edges or edges):
             inside = (v >= lo) & ((v <= hi) if closed else (v < hi))
             aggs.append(F.count(F.when(base & inside, 1)).alias(f"b{i}_{j}"))
     wide = df.agg(*aggs)
@@ -137,7 +140,7 @@ def bucketize(df: DataFrame, series: list[Series], edges: list[tuple], closed: b
     rows = []
     for i, s in enumerate(series):
         t = F.col(f"t{i}")
-        for j, (label, _, _) in enumerate(edges):
+        for j, (label, _, _) in enumerate(s.edges or edges):
             n = F.col(f"b{i}_{j}")
             rows.append(F.struct(
                 *[F.lit(s.keys.get(k)).cast("string").alias(k) for k in keys],

@@ -50,10 +50,8 @@ def quantiles(ctx: Context):
 @report(M, "m01_buckets")
 def buckets(ctx: Context):
     ne = F.col("message_count") > 0
-    c = _conv(ctx)
-    return (
-        bucketize(c, [S("message_count", ne, metric="message_count")], MSG_BUCKETS)
-        .unionByName(bucketize(c, [S("human_turn_count", ne & (F.col("human_turn_count") > 0),
-                                     metric="human_turn_count")], TURN_BUCKETS))
-        .unionByName(bucketize(c, [S("tokens_total", ne, metric="tokens_total")], TOKEN_BUCKETS))
-    )
+    return bucketize(_conv(ctx), [
+        S("message_count", ne, edges=MSG_BUCKETS, metric="message_count"),
+        S("human_turn_count", ne & (F.col("human_turn_count") > 0), edges=TURN_BUCKETS, metric="human_turn_count"),
+        S("tokens_total", ne, edges=TOKEN_BUCKETS, metric="tokens_total"),
+    ])

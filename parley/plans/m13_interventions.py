@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.config import SENTINEL_ROOT
+from parley.operators.grid import axis, cells
 from parley.operators.quantiles import grouped_quantiles
 from parley.operators.ranking import flag_first, order_key, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
@@ -78,53 +79,55 @@ def fork_per_convo_buckets(ctx: Context):
     return bucketize(_sc(ctx), _fork_series(), FORK_PER_CONVO_BUCKETS, closed=True)
 
 
-def _children(ctx: Context, kind: str):
-    """Children of the fork parents of one kind, with first / last sibling flags."""
-    parents = _sm(ctx).where(F.col("fork_parent_flag") & (F.col("sender") == KINDS[kind])).select(
-        F.col("message_uuid").alias("parent_message_uuid"))
-    ch = _sm(ctx).join(parents, "parent_message_uuid", "left_semi").select(
-        "message_uuid", "parent_message_uuid", "created_at", "chars_text",
+def _fork_children(ctx: Context):
+    """Children of fork parents with the fork kind (from the parent's sender), in one pass."""
+    kind = F.when(F.col("sender") == KINDS["human_fork"], F.lit("human_fork")).otherwise(F.lit("assistant_fork"))
+    parents = _sm(ctx).where(F.col("fork_parent_flag") & F.col("sender").isin(*KINDS.values())).select(
+        F.col("message_uuid").alias("parent_message_uuid"), kind.alias("kind"))
+    # parents are unique keys; a parent with very many children is a skewed key on the message
+    # side only, which AQE's skew join splits
+    return _sm(ctx).join(parents, "parent_message_uuid").select(
+        "kind", "message_uuid", "parent_message_uuid", "created_at", "chars_text",
         (F.col("child_count") > 0).alias("cont"))
-    ch = flag_first(ch, "parent_message_uuid", ["created_at"], "message_uuid", "is_first")
-    return flag_first(ch, "parent_message_uuid", ["created_at"], "message_uuid", "is_last", last=True)
+
+
+def _per_kind(ctx: Context, agg_df, cols: list[str]):
+    """Both kinds always present (zeros / NULLs for a kind without fork parents)."""
+    grid = cells(ctx.spark.range(1).select(), {"kind": axis(list(KINDS))})
+    return grid.join(agg_df, "kind", "left").select("kind", *cols)
 
 
 @report(M, "m13_branch_continued")
 def branch_continued(ctx: Context):
-    out = None
-    for kind in KINDS:
-        c, f, la = F.col("cont"), F.col("is_first"), F.col("is_last")
-        a = _children(ctx, kind).agg(
-            F.count_if(c & f).alias("first_continued"), F.count_if(c & la).alias("last_continued"),
-            F.count_if(c & ~f & ~la).alias("middle_continued"), F.count_if(c).alias("continued"),
-            F.count(F.lit(1)).alias("children"))
-        a = a.select(F.lit(kind).alias("kind"), "*")
-        out = a if out is None else out.unionByName(a)
-    return out
+    ch = flag_first(_fork_children(ctx), "parent_message_uuid", ["created_at"], "message_uuid", "is_first")
+    ch = flag_first(ch, "parent_message_uuid", ["created_at"], "message_uuid", "is_last", last=True)
+    c, f, la = F.col("cont"), F.col("is_first"), F.col("is_last")
+    a = ch.groupBy("kind").agg(
+        F.count_if(c & f).alias("first_continued"), F.count_if(c & la).alias("last_continued"),
+        F.count_if(c & ~f & ~la).alias("middle_continued"), F.count_if(c).alias("continued"),
+        F.count(F.lit(1)).alias("children"))
+    cols = ["first_continued", "last_continued", "middle_continued", "continued", "children"]
+    return _per_kind(ctx, a, [F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in cols])
 
 
 @report(M, "m13_len_delta")
 def len_delta(ctx: Context):
-    out = None
-    for kind, psender in KINDS.items():
-        parents = _sm(ctx).where(F.col("fork_parent_flag") & (F.col("sender") == psender)).select(
-            F.col("message_uuid").alias("parent_message_uuid"))
-        ch = _sm(ctx).join(parents, "parent_message_uuid", "left_semi")
-        key = order_key("created_at", "message_uuid")
-        keyd = order_key("created_at", "message_uuid", desc=True)
-        per = ch.groupBy("parent_message_uuid").agg(
-            F.min(F.struct(key.alias("k"), F.col("chars_text").alias("v")))["v"].alias("first_chars"),
-            F.max(F.struct(keyd.alias("k"), F.col("chars_text").alias("v")))["v"].alias("last_chars"))
-        fc, lc = F.col("first_chars").cast("double"), F.col("last_chars").cast("double")
-        a = per.agg(
-            F.count(F.lit(1)).alias("n"),
-            r6(F.percentile(fc, 0.5)).alias("first_p50"), r6(F.percentile(lc, 0.5)).alias("last_p50"),
-            r6(F.percentile(fc, 0.95)).alias("first_p95"), r6(F.percentile(lc, 0.95)).alias("last_p95"),
-            F.count_if(lc > fc).alias("lengthened"), F.count_if(lc < fc).alias("shortened"),
-            F.count_if(lc == fc).alias("unchanged"))
-        a = a.select(F.lit(kind).alias("kind"), "*")
-        out = a if out is None else out.unionByName(a)
-    return out
+    key = order_key("created_at", "message_uuid")
+    keyd = order_key("created_at", "message_uuid", desc=True)
+    per = _fork_children(ctx).groupBy("kind", "parent_message_uuid").agg(
+        F.min(F.struct(key.alias("k"), F.col("chars_text").alias("v")))["v"].alias("first_chars"),
+        F.max(F.struct(keyd.alias("k"), F.col("chars_text").alias("v")))["v"].alias("last_chars"))
+    fc, lc = F.col("first_chars").cast("double"), F.col("last_chars").cast("double")
+    a = per.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"),
+        r6(F.percentile(fc, 0.5)).alias("first_p50"), r6(F.percentile(lc, 0.5)).alias("last_p50"),
+        r6(F.percentile(fc, 0.95)).alias("first_p95"), r6(F.percentile(lc, 0.95)).alias("last_p95"),
+        F.count_if(lc > fc).alias("lengthened"), F.count_if(lc < fc).alias("shortened"),
+        F.count_if(lc == fc).alias("unchanged"))
+    counts = ["n", "lengthened", "shortened", "unchanged"]
+    return _per_kind(ctx, a, [F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) if x in counts else F.col(x)
+                              for x in ["n", "first_p50", "last_p50", "first_p95", "last_p95", "lengthened",
+                                        "shortened", "unchanged"]])
 
 
 def _inplace(ctx: Context):
