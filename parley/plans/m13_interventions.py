@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parley.config import SENTINEL_ROOT
 from parley.operators.grid import axis, cells
 from parley.operators.quantiles import grouped_quantiles
-from parley.operators.ranking import flag_first, order_key, top_k
+from parley.operators.ranking import flag_first_last, order_key, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
 
@@ -99,8 +99,7 @@ def _per_kind(ctx: Context, agg_df, cols: list[str]):
 
 @report(M, "m13_branch_continued")
 def branch_continued(ctx: Context):
-    ch = flag_first(_fork_children(ctx), "parent_message_uuid", ["created_at"], "message_uuid", "is_first")
-    ch = flag_first(ch, "parent_message_uuid", ["created_at"], "message_uuid", "is_last", last=True)
+    ch = flag_first_last(_fork_children(ctx), "parent_message_uuid", ["created_at"], "message_uuid")
     c, f, la = F.col("cont"), F.col("is_first"), F.col("is_last")
     a = ch.groupBy("kind").agg(
         F.count_if(c & f).alias("first_continued"), F.count_if(c & la).alias("last_continued"),
