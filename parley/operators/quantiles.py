@@ -6,9 +6,9 @@ sizes. Here, per group:
 
   pass 1  one aggregation: n, min, max and a sketch (`percentile_approx`, rank error
           <= n / accuracy) at q - d and q + d for every requested q (d = 3 / accuracy);
-  pass 2  the brackets join back as ONE row per group (no row expansion): rows strictly below
-          each bracket are counted in one aggregation, and only rows inside a bracket are
-          kept, histogrammed by value (duplicates collapse);
+  pass 2  the brackets join back as ONE row per group; one aggregation histograms the rows
+          inside each bracket by value (duplicates collapse) and counts the rows below it in
+          one flagged cell (partial aggregation folds those to one row per task);
   pass 3  per (group, q), a running count over that small histogram finds the values at
           ranks floor((n-1)q) and ceil((n-1)q), interpolated as Spark's `percentile` does.
 
@@ -46,22 +46,26 @@ def grouped_exact(long: DataFrame, groups: list[str], value: str, qs: tuple[floa
             F.when(whole, F.col("_min")).otherwise(F.col("_b")[2 * j]).alias(f"_L{j}"),
             F.when(whole, F.col("_max")).otherwise(F.col("_b")[2 * j + 1]).alias(f"_H{j}"))])
     j = long.join(F.broadcast(br) if small_groups else br, groups)
-    below = j.groupBy(*groups).agg(*[F.count_if(x < F.col(f"_L{k}")).alias(f"_below{k}") for k in range(len(qs))])
-    inside = F.filter(F.array(*[F.struct(F.lit(k).alias("qi"), ((x >= F.col(f"_L{k}")) & (x <= F.col(f"_H{k}")))
-                                         .alias("in")) for k in range(len(qs))]), lambda s: s["in"])
-    hist = (j.select(*groups, x.alias("_x"), F.explode(inside).alias("_s"))
-            .groupBy(*groups, F.col("_s.qi").alias("qi"), "_x").agg(F.count(F.lit(1)).alias("_c")))
-    # per (group, q): position and rows below the bracket (one row each)
-    meta = br.join(below, groups).select(*groups, F.inline(F.array(*[
-        F.struct(F.lit(k).alias("qi"), ((F.col("_n") - 1) * F.lit(qs[k])).alias("_pos"),
-                 F.col(f"_below{k}").alias("_below")) for k in range(len(qs))])))
-    w = Window.partitionBy(*groups, "qi").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = hist.join(meta, [*groups, "qi"]).withColumn("_upto", F.col("_below") + F.sum("_c").over(w))
+    cell = F.filter(F.array(*[
+        F.struct(F.lit(k).alias("qi"), (x < F.col(f"_L{k}")).alias("below"),
+                 F.when(x >= F.col(f"_L{k}"), x).alias("v"), (x <= F.col(f"_H{k}")).alias("keep"))
+        for k in range(len(qs))]), lambda c: c["keep"])
+    hist = (j.select(*groups, F.explode(cell).alias("_s"))
+            .groupBy(*groups, F.col("_s.qi").alias("qi"), F.col("_s.below").alias("_is_below"), F.col("_s.v").alias("_x"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    # per (group, q): interpolation position (one row each)
+    meta = br.select(*groups, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("qi"), ((F.col("_n") - 1) * F.lit(qs[k])).alias("_pos")) for k in range(len(qs))])))
+    # the "below" cell sorts first, then the bracket's values ascending
+    w = (Window.partitionBy(*groups, "qi").orderBy(F.col("_is_below").desc(), F.col("_x").asc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    h = hist.join(meta, [*groups, "qi"]).withColumn("_upto", F.sum("_c").over(w))
     fl, ce = F.floor(F.col("_pos")), F.ceil(F.col("_pos"))
+    inb = ~F.col("_is_below")
     picked = h.groupBy(*groups, "qi", "_pos").agg(
-        F.min(F.when(F.col("_upto") > fl, F.col("_x"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > ce, F.col("_x"))).alias("_hi"),
-        F.max("_below").alias("_below"))
+        F.min(F.when(inb & (F.col("_upto") > fl), F.col("_x"))).alias("_lo"),
+        F.min(F.when(inb & (F.col("_upto") > ce), F.col("_x"))).alias("_hi"),
+        F.coalesce(F.sum(F.when(F.col("_is_below"), F.col("_c"))), F.lit(0)).alias("_below"))
     pos, fl, ce = F.col("_pos"), F.floor(F.col("_pos")), F.ceil(F.col("_pos"))
     val = F.when(fl == ce, F.col("_lo")).otherwise((ce - pos) * F.col("_lo") + (pos - fl) * F.col("_hi"))
     # never a silently wrong value: the bracket must start at or below the lower target rank

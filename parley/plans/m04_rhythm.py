@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parley.functions import time as TM
 from parley.operators.grid import cells, seq, zero_fill
@@ -51,7 +52,7 @@ def _hours(ctx: Context, df, name: str):
 @report(M, "m04_new_convo_hour")
 def new_convo_hour(ctx: Context):
     h = _hours(ctx, _conv(ctx), "n")
-    total = h.agg(F.sum("n").alias("t")).scalar()
+    total = F.sum("n").over(Window.partitionBy())  # over the 24-row report frame
     return h.select("hour", "n", F.when(total == 0, 0.0).otherwise(r6(100.0 * F.col("n") / total)).alias("pct"))
 
 
@@ -67,23 +68,22 @@ def daily_new(ctx: Context):
 
 @report(M, "m04_peaks")
 def peaks(ctx: Context):
+    """Peak hour / weekday (first maximum: lowest index on ties), totals, weekend share: the
+    hour and weekday sums of the 168-cell heatmap in one union, folded by one aggregation."""
     heat = heatmap(ctx)
-    by_hour = heat.groupBy("hour").agg(F.sum("n").alias("n"))
-    by_dow = heat.groupBy("dow").agg(F.sum("n").alias("n"))
-    # first maximum: largest n, then lowest index
-    ph = by_hour.agg(F.max(F.struct(F.col("n"), (-F.col("hour")).alias("neg"))).alias("b"))
-    pd = by_dow.agg(F.max(F.struct(F.col("n"), (-F.col("dow")).alias("neg"))).alias("b"))
-    tot = heat.agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("dow") >= 6, F.col("n")).otherwise(0)).alias("weekend"),
-    )
-    return tot.select(
+    sums = (heat.groupBy("hour").agg(F.sum("n").alias("n")).select(F.lit("h").alias("axis"), F.col("hour").alias("i"), "n")
+            .unionByName(heat.groupBy("dow").agg(F.sum("n").alias("n"))
+                         .select(F.lit("d").alias("axis"), F.col("dow").alias("i"), "n")))
+    is_h, is_d = F.col("axis") == "h", F.col("axis") == "d"
+    best = lambda cond: F.max(F.when(cond, F.struct(F.col("n"), (-F.col("i")).alias("neg"))))
+    a = sums.agg(F.sum(F.when(is_h, F.col("n"))).alias("total"),
+                 F.sum(F.when(is_d & (F.col("i") >= 6), F.col("n"))).alias("weekend"),
+                 best(is_h).alias("ph"), best(is_d).alias("pd"))
+    return a.select(
         F.col("total").cast("long").alias("total_messages"),
-        (-ph.select(F.col("b.neg")).scalar()).cast("int").alias("peak_hour"),
-        ph.select(F.col("b.n")).scalar().cast("long").alias("peak_hour_messages"),
-        (-pd.select(F.col("b.neg")).scalar()).cast("int").alias("peak_dow"),
-        pd.select(F.col("b.n")).scalar().cast("long").alias("peak_dow_messages"),
-        r6(100.0 * F.col("weekend") / F.greatest(F.col("total"), F.lit(1))).alias("weekend_pct"),
+        (-F.col("ph.neg")).cast("int").alias("peak_hour"), F.col("ph.n").cast("long").alias("peak_hour_messages"),
+        (-F.col("pd.neg")).cast("int").alias("peak_dow"), F.col("pd.n").cast("long").alias("peak_dow_messages"),
+        r6(100.0 * F.coalesce(F.col("weekend"), F.lit(0)) / F.greatest(F.col("total"), F.lit(1))).alias("weekend_pct"),
     )
 
 
@@ -92,8 +92,8 @@ def hourly_pct(ctx: Context):
     hm = _hours(ctx, _msg(ctx), "messages")
     hc = _hours(ctx, _conv(ctx), "conversations")
     j = hm.join(hc, "hour")
-    tm = hm.agg(F.sum("messages")).scalar()
-    tc = hc.agg(F.sum("conversations")).scalar()
+    everything = Window.partitionBy()  # over the 24-row report frame
+    tm, tc = F.sum("messages").over(everything), F.sum("conversations").over(everything)
     return j.select(
         "hour",
         F.when(tm == 0, 0.0).otherwise(r6(100.0 * F.col("messages") / tm)).alias("messages_pct"),

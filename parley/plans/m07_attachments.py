@@ -146,8 +146,7 @@ def totals(ctx: Context):
         F.count_if(F.col("attachment_total") > 0).alias("conversations_with_attachments"),
         F.count_if(F.col("file_total") > 0).alias("conversations_with_files"),
         F.count(F.lit(1)).alias("conversations"))
-    m = ctx.stats.message.agg(F.sum("attachment_count").cast("long").alias("attachments"),
-                              F.sum("file_count").cast("long").alias("files"))
-    return c.select(m.select("attachments").scalar().alias("attachments"),
-                    m.select("files").scalar().alias("files"),
+    m = ctx.stats.message.agg(F.struct(F.sum("attachment_count").cast("long").alias("attachments"),
+                                       F.sum("file_count").cast("long").alias("files"))).scalar()
+    return c.select(m["attachments"].alias("attachments"), m["files"].alias("files"),
                     "conversations_with_attachments", "conversations_with_files", "conversations")

@@ -91,8 +91,8 @@ def languages(ctx: Context):
     b = _blocks(ctx)
     g = b.groupBy(normalize_lang(F.col("language")).alias("language")).agg(
         F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
-    tot = b.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
-    nb, nt = tot.select("n").scalar(), tot.select("t").scalar()
+    tot = b.agg(F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))).scalar()
+    nb, nt = tot["n"], tot["t"]
     return top_k(g, TOP_LANGUAGES, [F.desc("blocks"), F.asc("language")]).select(
         "language", "blocks", "tokens",
         F.when(nb == 0, 0.0).otherwise(r6(100.0 * F.col("blocks") / nb)).alias("pct_blocks"),

@@ -46,15 +46,16 @@ def _sc(ctx: Context):
 @report(M, "m13_totals")
 def totals(ctx: Context):
     fp, snd = F.col("fork_parent_flag"), F.col("sender")
-    m = _sm(ctx).agg(F.count_if(fp & (snd == "assistant")).alias("human_fork_points"),
-                     F.count_if(fp & (snd == "human")).alias("assistant_fork_points"),
-                     F.count_if("inplace_edit_flag").alias("inplace_edits"))
+    m = _sm(ctx).agg(F.struct(F.count_if(fp & (snd == "assistant")).alias("human_fork_points"),
+                              F.count_if(fp & (snd == "human")).alias("assistant_fork_points"),
+                              F.count_if("inplace_edit_flag").alias("inplace_edits"))).scalar()
     c = _sc(ctx).agg(F.count_if(F.col("human_fork_count") > 0).alias("human_fork_conversations"),
                      F.count_if(F.col("assistant_fork_count") > 0).alias("assistant_fork_conversations"),
                      F.count_if(F.col("inplace_edit_count") > 0).alias("inplace_conversations"),
                      F.count_if(F.col("root_count") > 1).alias("multi_root_conversations"),
                      F.count_if(F.col("message_count") > 0).alias("nonempty_conversations"))
-    return c.select(*[m.select(x).scalar().alias(x) for x in m.columns], *c.columns)
+    return c.select(*[m[x].alias(x) for x in ("human_fork_points", "assistant_fork_points", "inplace_edits")],
+                    *c.columns)
 
 
 @report(M, "m13_extra_children")

@@ -58,21 +58,22 @@ def portrait(ctx: Context):
     mon = monthly(ctx)
     # first maximum: most conversations, the earliest month on ties
     peak = mon.agg(F.min(F.struct((-F.col("conversations")).alias("neg"), F.col("month").alias("month"))).alias("b"))
-    m = ctx.stats.message.agg(
+    m = ctx.stats.message.agg(F.struct(
         F.count_if(F.col("sender") == "human").alias("human"),
         F.count_if(F.col("sender") == "assistant").alias("assistant"),
         F.count(F.lit(1)).alias("sender_total"),
-        F.count_if(F.col("chars_thinking") > 0).alias("thinking"))
+        F.count_if(F.col("chars_thinking") > 0).alias("thinking"))).scalar()
     span = c.agg(F.min("first_msg_at").alias("f"), F.max("last_msg_at").alias("l")).select(
         F.date_format("f", "yyyy-MM-dd").alias("first"), F.date_format("l", "yyyy-MM-dd").alias("last"),
         F.when(F.col("f").isNull() | F.col("l").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(1), (
             (F.year("l") - F.year("f")) * 12 + F.month("l") - F.month("f") + 1))).alias("months"))
     tool_use = ctx.tables.tool_calls.agg(F.count(F.lit(1))).scalar()
-    h, a, t = (m.select(x).scalar() for x in ("human", "assistant", "sender_total"))
+    h, a, t = m["human"], m["assistant"], m["sender_total"]
+    pk = peak.select("b").scalar()
     return span.select(
         "first", "last", "months",
-        peak.select(F.col("b.month")).scalar().alias("peak_month"),
-        (-peak.select(F.col("b.neg")).scalar()).cast("long").alias("peak_conversations"),
+        pk["month"].alias("peak_month"),
+        (-pk["neg"]).cast("long").alias("peak_conversations"),
         h.alias("human"), a.alias("assistant"), t.alias("sender_total"),
         F.when(t == 0, F.lit(None).cast("double")).otherwise(r6(100.0 * a / t)).alias("assistant_share"),
-        tool_use.alias("tool_use"), m.select("thinking").scalar().alias("thinking"))
+        tool_use.alias("tool_use"), m["thinking"].alias("thinking"))
