@@ -157,20 +157,23 @@ def samples(ctx: Context):
 
 
 def _post_error(ctx: Context):
-    """m12.9 with windows instead of range joins: for every message, the next human and the
-    next assistant position after it; an error message's follow-up is read in two hops."""
+    """m12.9 with two chained windows instead of range joins: (1) for every message, the next
+    assistant message after it, as (position, uuid); (2) for every message, the next human
+    message after it, carrying that human message's next assistant. An error message then
+    reads its follow-up from its own row: no self-joins."""
     m = ctx.stats.message.select("conversation_uuid", "message_uuid", "position", "sender")
-    nxt = min_after(m, "conversation_uuid", ["position", "message_uuid"],
-                    {"next_h": F.when(F.col("sender") == "human", F.col("position")),
-                     "next_a": F.when(F.col("sender") == "assistant", F.col("position"))},
-                    ctx.cfg.window_chunk_rows).select("conversation_uuid", "message_uuid", "position", "next_h", "next_a")
+    order = ["position", "message_uuid"]
+    rows = ctx.cfg.window_chunk_rows
+    a = min_after(m, "conversation_uuid", order, {"next_a": F.when(
+        F.col("sender") == "assistant", F.struct(F.col("position").alias("pos"), F.col("message_uuid").alias("uuid")))},
+        rows)
+    h = min_after(a, "conversation_uuid", order, {"next_h": F.when(
+        F.col("sender") == "human", F.struct(F.col("position").alias("pos"), F.col("next_a").alias("a")))}, rows)
+    nxt = h.select("message_uuid", F.col("next_h.pos").alias("h_pos"), F.col("next_h.a.pos").alias("a_pos"),
+                   F.col("next_h.a.uuid").alias("a_uuid"))
     errs = (_results(ctx).where(F.col("is_error")).groupBy("conversation_uuid", "message_uuid")
             .agg(F.collect_set("name").alias("err_tools")))
-    e = errs.join(nxt.select("message_uuid", F.col("next_h").alias("h_pos")), "message_uuid")
-    h = nxt.select("conversation_uuid", F.col("position").alias("h_pos"), F.col("next_a").alias("a_pos"))
-    e = e.join(h, ["conversation_uuid", "h_pos"], "left")
-    a = nxt.select("conversation_uuid", F.col("position").alias("a_pos"), F.col("message_uuid").alias("a_uuid"))
-    e = e.join(a, ["conversation_uuid", "a_pos"], "left")
+    e = errs.join(nxt, "message_uuid")  # error messages that exist in the message table
     tools = (ctx.tables.tool_calls.where(F.col("name").isNotNull()).groupBy(F.col("message_uuid").alias("a_uuid"))
              .agg(F.collect_set("name").alias("a_tools")))
     e = e.join(tools, "a_uuid", "left")
