@@ -1,13 +1,16 @@
 """Per-message, per-code-block and per-conversation stat tables.
 
 Shuffle plan (what `.explain()` shows):
-  * tool counts per message   groupBy(message_uuid)  (partial aggregation first)
-  * child counts per parent   groupBy(parent)        root/NULL parents filtered *before*
-                                                     the exchange (they would be one giant key)
-  * fork_child flag           join on parent_message_uuid; a parent with very many children
-                              is a skewed key on the message side only -> AQE skew join splits it
-  * per-conversation stats    one groupBy(conversation_uuid) with partial aggregation
-Nothing is collected; text is parsed by JVM regex expressions in the same stage as the scan.
+  * per message uuid   ONE partial aggregation over a union of tool calls, tool results and
+                       child rows (a child is keyed by its parent's uuid; root / NULL parents
+                       are filtered before the exchange — they would be one giant key), joined
+                       to the messages on their unique uuid
+  * fork_child flag    the same aggregate looked up by parent_message_uuid; a parent with very
+                       many children is a skewed key on the message side only -> AQE skew join
+  * per conversation   one groupBy(conversation_uuid) with partial aggregation
+The text is scanned once: token estimates, the fenced-block array (kept as a column, so the
+code-block table is exploded from the stats without reading the text again) and inline spans
+are JVM expressions in the scan stage. Nothing is collected.
 """
 
 from __future__ import annotations
