@@ -17,6 +17,8 @@ class Config:
                      bounded-memory exact quantiles (sketch bracket + exact pass) for
                      fractional ones; "exact" / "bounded" force one of the two.
     bounded_accuracy sketch accuracy of the bounded exact mode.
+    approx_distinct  approx_count_distinct (HyperLogLog++) for the distinct totals of m11
+                     (opt-in, inexact; exact counts by default).
     fanout_m07       reproduce the attachment x file join fan-out of the monthly counts.
     merge_by_name    group the m13 top-3 lists by (name, message_count) instead of id.
     window_chunk_rows  conversations above this many rows are split into ordered chunks for
@@ -28,6 +30,7 @@ class Config:
     approx_accuracy: int = 100000
     quantile_mode: str = "auto"
     bounded_accuracy: int = 10000
+    approx_distinct: bool = False
     fanout_m07: bool = False
     merge_by_name: bool = False
     window_chunk_rows: int = 2_000_000

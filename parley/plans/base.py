@@ -100,6 +100,8 @@ ALL_TABLES = ("messages", "conversations", "tool_calls", "tool_results", "citati
               "attachments", "files", "blocks", "users")
 # driver-table adapters: messages / conversations are column arithmetic read once (by prepare)
 REREAD_TABLES = ("tool_calls", "tool_results", "citations", "projects", "docs")
+# content blocks by type (a handful of values): type-filtered reads skip the other folders
+PARTITION_BY = {"blocks": ["type"]}
 
 
 def materialize_tables(spark: SparkSession, t: Tables, names: tuple[str, ...] = ALL_TABLES) -> Tables:
@@ -113,8 +115,11 @@ def materialize_tables(spark: SparkSession, t: Tables, names: tuple[str, ...] =
     for name in names:
         df = getattr(t, name)
         if df is not None:
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
-            done[name] = spark.read.parquet(f"{base}/{name}")
+            w = df.write.mode("overwrite")
+            if name in PARTITION_BY:  # filters on the column prune whole folders
+                w = w.partitionBy(*PARTITION_BY[name])
+            w.parquet(f"{base}/{name}")
+            done[name] = spark.read.parquet(f"{base}/{name}").select(*df.columns)
     return replace(t, **done)
 
 

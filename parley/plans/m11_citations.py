@@ -28,10 +28,15 @@ def citations(ctx: Context):
 
 @report(M, "m11_totals", needs=NEEDS)
 def totals(ctx: Context):
+    """Four distinct counts; exact ones share one Expand-rewritten aggregation, or HyperLogLog++
+    sketches (one pass, fixed memory) with cfg.approx_distinct."""
+    def distinct(c):
+        return (F.approx_count_distinct(c, 0.01) if ctx.cfg.approx_distinct else F.countDistinct(c)).cast("long")
+
     return _cites(ctx).agg(
-        F.count(F.lit(1)).alias("citations"), F.countDistinct("message_uuid").alias("messages"),
-        F.countDistinct("conversation_uuid").alias("conversations"), F.countDistinct("domain").alias("domains"),
-        F.countDistinct("url").alias("urls"))
+        F.count(F.lit(1)).alias("citations"), distinct("message_uuid").alias("messages"),
+        distinct("conversation_uuid").alias("conversations"), distinct("domain").alias("domains"),
+        distinct("url").alias("urls"))
 
 
 @report(M, "m11_types", needs=NEEDS)

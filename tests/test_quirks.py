@@ -103,3 +103,15 @@ def test_first_last_in_one_aggregation_matches_single_flags(spark):
     first = {r["id"]: r["is_first"] for r in flag_first(df, "g", ["t"], "id").collect()}
     last = {r["id"]: r["is_last"] for r in flag_first(df, "g", ["t"], "id", "is_last", last=True).collect()}
     assert both == {k: (first[k], last[k]) for k in first}
+
+
+def test_approx_distinct_switch(spark):
+    from parley.plans.base import context_for_testdata
+
+    exact = context_for_testdata(spark, SF_SMALL, Config())
+    approx = context_for_testdata(spark, SF_SMALL, Config(approx_distinct=True))
+    e = REGISTRY["m11_totals"][1](exact).collect()[0]
+    a = REGISTRY["m11_totals"][1](approx).collect()[0]
+    assert e["citations"] == a["citations"]
+    for c in ("messages", "conversations", "domains", "urls"):
+        assert abs(a[c] - e[c]) <= max(1, 0.05 * e[c])
