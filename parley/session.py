@@ -6,7 +6,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
+              conf: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests / bench; on a cluster the submitter's session is reused."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -24,6 +25,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
