@@ -85,7 +85,7 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
     ctx = _CACHE.get(key)
     if ctx is None:
         ensure_checkpoint_dir(spark)
-        t = testdata.load(spark, sf_dir)
+        t = testdata.load(spark, sf_dir, prepare.scratch_dir(spark, "testdata") if materialize else None)
         if materialize:
             t = materialize_tables(spark, t, REREAD_TABLES)
         stats = prepare.build(t, cfg)
@@ -99,7 +99,7 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
 ALL_TABLES = ("messages", "conversations", "tool_calls", "tool_results", "citations", "projects", "docs",
               "attachments", "files", "blocks", "users")
 # driver-table adapters: messages / conversations are column arithmetic read once (by prepare)
-REREAD_TABLES = ("tool_calls", "tool_results", "citations", "projects", "docs")
+REREAD_TABLES = ("citations", "projects", "docs")  # tool tables come from staged tool events
 # content blocks by type (a handful of values): type-filtered reads skip the other folders
 PARTITION_BY = {"blocks": ["type"]}
 

@@ -162,10 +162,16 @@ def vc_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """Tables for the report modules from the driver test tables."""
+def load(spark: SparkSession, sf_dir: str, stage_dir: str | None = None) -> Tables:
+    """Tables for the report modules from the driver test tables.
+
+    stage_dir: write the derived tool events once as parquet there; tool calls and tool
+    results are both column selections of it (one pass over `events` instead of two)."""
     msgs = vm_messages(spark, sf_dir)
     tools = vt_tools(spark, sf_dir)
+    if stage_dir:
+        tools.write.mode("overwrite").parquet(f"{stage_dir}/tool_events")
+        tools = spark.read.parquet(f"{stage_dir}/tool_events")
     per_conv = msgs.groupBy("conversation_uuid").agg(
         F.count(F.lit(1)).cast("int").alias("message_count"),
         F.min("created_at").alias("created_at"),
