@@ -13,9 +13,10 @@ class Config:
     tz               wall-clock zone for hour / weekday / local month columns.
     approx_quantiles use percentile_approx instead of exact quantiles (opt-in, inexact).
     approx_accuracy  accuracy parameter of percentile_approx.
-    quantile_mode    "auto": exact `percentile` for integer metrics (bounded distinct values),
-                     bounded-memory exact quantiles (sketch bracket + exact pass) for
-                     fractional ones; "exact" / "bounded" force one of the two.
+    quantile_mode    "auto": exact `percentile` for integer metrics (bounded distinct values)
+                     and for inputs estimated below `bounded_min_bytes`; bounded-memory exact
+                     quantiles (sketch bracket + exact pass) for larger fractional / wide
+                     metrics; "exact" / "bounded" force one of the two.
     bounded_accuracy sketch accuracy of the bounded exact mode.
     approx_distinct  approx_count_distinct (HyperLogLog++) for the distinct totals of m11
                      (opt-in, inexact; exact counts by default).
@@ -30,6 +31,7 @@ class Config:
     approx_accuracy: int = 100000
     quantile_mode: str = "auto"
     bounded_accuracy: int = 10000
+    bounded_min_bytes: int = 64 * 1024 * 1024
     approx_distinct: bool = False
     fanout_m07: bool = False
     merge_by_name: bool = False

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.operators.sizing import is_small
+
 DEFAULT_TARGET_ROWS = 2_000_000
 NULL_CHUNK = 2 ** 62  # rows whose sort key is NULL sort last: their own final chunk
 BROADCAST_ROWS_LIMIT = 5_000_000
@@ -32,6 +34,9 @@ def _key(col: str, kind: str) -> Column:
 def add_chunk(df: DataFrame, group: str, key: str, target_rows: int) -> tuple[DataFrame, bool]:
     """Add `_chunk` (0 for ordinary groups; contiguous key ranges of ~target_rows rows for hot
     groups, NULL keys last). Returns (frame, any_hot_group)."""
+    if is_small(df, target_rows):
+        # fewer bytes than the row target means fewer rows than the target: nothing is hot
+        return df.withColumn("_chunk", F.lit(0).cast("long")), False
     kind = "timestamp" if df.schema[key].dataType.typeName().startswith("timestamp") else "number"
     k = _key(key, kind)
     stats = (df.groupBy(group)

@@ -94,3 +94,13 @@ def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, qs: tuple
     q = grouped_exact(long, groups, "_v", qs, accuracy)
     return q.groupBy(*groups).agg(*[F.max(F.when(F.col("qi") == i, F.col("value"))).alias(n)
                                     for i, n in enumerate(names)])
+
+
+def use_bounded(df: DataFrame, cfg) -> bool:
+    """Grouped quantiles of a wide / fractional metric: bounded path unless forced exact,
+    approximate, or the input is estimated small (see Config.quantile_mode)."""
+    from parley.operators.sizing import is_small
+
+    if cfg.approx_quantiles or cfg.quantile_mode == "exact":
+        return False
+    return cfg.quantile_mode == "bounded" or not is_small(df, cfg.bounded_min_bytes)

@@ -1,0 +1,22 @@
+"""Plan-time size estimates (no job runs): the optimizer's sizeInBytes of a DataFrame.
+
+Used like Spark's own broadcast threshold: small inputs take the one-pass plan, large ones
+the scalable plan. For parquet inputs the estimate is the bytes of the files read; joins and
+aggregations propagate upper-bound style estimates, so errors lean to the scalable side.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 — no estimate: callers fall back to the scalable plan
+        return None
+
+
+def is_small(df: DataFrame, limit_bytes: int) -> bool:
+    n = estimated_bytes(df)
+    return n is not None and n <= limit_bytes

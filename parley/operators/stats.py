@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.config import Config
+from parley.operators.sizing import is_small
 
 QS = (0.5, 0.9, 0.95, 0.99)
 STAT_COLS = ["n", "p50", "p90", "p95", "p99", "mean", "max", "min"]
@@ -70,7 +71,12 @@ def _is_fractional(df: DataFrame, value: Column) -> bool:
 def _use_bounded(df: DataFrame, s: Series, cfg: Config) -> bool:
     if cfg.approx_quantiles or cfg.quantile_mode == "exact":
         return False
-    return cfg.quantile_mode == "bounded" or s.wide or _is_fractional(df, s.value)
+    if cfg.quantile_mode == "bounded":
+        return True
+    if not (s.wide or _is_fractional(df, s.value)):
+        return False
+    # a small input cannot hold more distinct values than fit one task's value map
+    return not is_small(df, cfg.bounded_min_bytes)
 
 
 def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None) -> DataFrame:

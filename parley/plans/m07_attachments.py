@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import time as TM
 from parley.operators.grid import dense_rows, names_array
-from parley.operators.quantiles import grouped_quantiles
+from parley.operators.quantiles import grouped_quantiles, use_bounded
 from parley.operators.ranking import flag_first, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
@@ -133,8 +133,8 @@ def type_size(ctx: Context):
     top = top_k(g, TOP_TYPE_SIZE, [F.desc("n"), F.asc("file_type")])
     # byte sizes: distinct values grow with the data -> bounded exact quantiles, top types only
     rows = sized.join(F.broadcast(top.select("file_type")), "file_type", "left_semi")  # <= 6 rows
-    q = grouped_quantiles(rows, ["file_type"], F.col("file_size"), (0.5, 0.95), bounded=not ctx.cfg.approx_quantiles
-                          and ctx.cfg.quantile_mode != "exact", accuracy=ctx.cfg.bounded_accuracy)
+    q = grouped_quantiles(rows, ["file_type"], F.col("file_size"), (0.5, 0.95), bounded=use_bounded(rows, ctx.cfg),
+                          accuracy=ctx.cfg.bounded_accuracy)
     return top.join(q, "file_type", "left").select(
         "file_type", "n", r6(F.col("p50")).alias("size_p50"), r6(F.col("p95")).alias("size_p95"),
         F.col("size_max").cast("long").alias("size_max"))

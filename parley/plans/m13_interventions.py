@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.config import SENTINEL_ROOT
 from parley.operators.grid import axis, cells
-from parley.operators.quantiles import grouped_quantiles
+from parley.operators.quantiles import grouped_quantiles, use_bounded
 from parley.operators.ranking import flag_first_last, order_key, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
@@ -158,7 +158,7 @@ def multi_root(ctx: Context):
         r6(F.percentile(F.col("message_count").cast("double"), 0.5)).alias("message_count_p50"))
     # lifetime is fractional seconds: bounded exact quantile per group
     life = grouped_quantiles(mr, ["root_count"], F.col("lifetime_seconds"), (0.5,),
-                             bounded=ctx.cfg.quantile_mode != "exact", accuracy=ctx.cfg.bounded_accuracy)
+                             bounded=use_bounded(mr, ctx.cfg), accuracy=ctx.cfg.bounded_accuracy)
     return g.join(life, "root_count", "left").select("root_count", "n", "message_count_p50",
                                                      r6(F.col("p50")).alias("lifetime_p50"))
 
