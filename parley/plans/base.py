@@ -88,9 +88,7 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
         t = testdata.load(spark, sf_dir, prepare.scratch_dir(spark, "testdata") if materialize else None)
         if materialize:
             t = materialize_tables(spark, t, REREAD_TABLES)
-        stats = prepare.build(t, cfg)
-        if materialize:
-            stats = prepare.materialize(stats, spark)
+        stats = prepare.build_materialized(t, cfg, spark) if materialize else prepare.build(t, cfg)
         ctx = Context(spark, t, stats, cfg, materialized=materialize)
         _CACHE[key] = ctx
     return ctx
@@ -126,9 +124,7 @@ def materialize_tables(spark: SparkSession, t: Tables, names: tuple[str, ...] =
 def context_for_tables(spark: SparkSession, t: Tables, cfg: Config | None = None,
                        materialize: bool = False) -> Context:
     cfg = cfg or Config()
-    stats = prepare.build(t, cfg)
-    if materialize:
-        stats = prepare.materialize(stats)
+    stats = prepare.build_materialized(t, cfg, spark) if materialize else prepare.build(t, cfg)
     return Context(spark, t, stats, cfg, materialized=materialize)
 
 

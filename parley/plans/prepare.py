@@ -194,24 +194,23 @@ def build(t: Tables, cfg: Config) -> Stats:
     return Stats(message=sm, code_block=stats_code_block(sm), conversation=stats_conversation(t, sm, cfg))
 
 
-def materialize(stats: Stats, spark=None, base_dir: str | None = None) -> Stats:
-    """Write the stat tables once as parquet under the shared checkpoint folder and read them
-    back: lineage is cut (a lost executor re-reads files instead of recomputing the text
-    parsing), the tables are computed exactly once, and readers get column pruning and
-    predicate pushdown. Never a machine-local folder on a cluster: the folder comes from
-    spark.checkpoint.dir, which the cluster sets (tests set their own when it is unset)."""
-    spark = spark or stats.message.sparkSession
+def build_materialized(t: Tables, cfg: Config, spark=None, base_dir: str | None = None) -> Stats:
+    """Build the stat tables and write each once as parquet under the shared checkpoint
+    folder, in dependency order: message stats first; code blocks and conversation stats are
+    then computed FROM the written message stats, so the per-message stage (text regex, the
+    per-uuid aggregate and its joins) runs exactly once. Lineage is cut (a lost executor
+    re-reads files), and readers get column pruning and predicate pushdown. The folder comes
+    from spark.checkpoint.dir (set by the cluster; tests set their own when it is unset)."""
+    spark = spark or t.messages.sparkSession
     base = base_dir or scratch_dir(spark, "stats")
-    out = {}
-    for name in ("message", "conversation"):
-        path = f"{base}/{name}"
-        getattr(stats, name).write.mode("overwrite").parquet(path)
-        out[name] = spark.read.parquet(path)
-    # code blocks are exploded from the written message stats (reads only the fences column)
-    path = f"{base}/code_block"
-    stats_code_block(out["message"]).write.mode("overwrite").parquet(path)
-    out["code_block"] = spark.read.parquet(path)
-    return Stats(**out)
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    sm = write(stats_message(t, cfg), "message")
+    return Stats(message=sm, code_block=write(stats_code_block(sm), "code_block"),
+                 conversation=write(stats_conversation(t, sm, cfg), "conversation"))
 
 
 def scratch_dir(spark, what: str) -> str:
