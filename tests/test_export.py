@@ -115,3 +115,18 @@ def test_context_for_export_materialised(spark):
     assert ctx.materialized
     got = rows(REGISTRY["m12_post_error"][1](ctx), "outcome", "n")
     assert [n for _, n in got] == [1, 1, 1, 1, 1]
+
+
+def test_json_lines_input_equals_array_input(spark, export_tables, tmp_path):
+    import json
+
+    src = os.path.join(FIXTURES, "export")
+    p = export.find_export(spark, src)
+    for name, path in p.items():
+        arr = json.load(open(path.replace("file:", ""), encoding="utf-8"))
+        with open(tmp_path / name, "w", encoding="utf-8") as f:
+            for item in arr:
+                f.write(json.dumps(item) + "\n")
+    t = export.load_dir(spark, str(tmp_path), multiline=False)
+    for name in ("conversations", "messages", "tool_calls", "citations", "attachments", "files", "projects", "docs"):
+        assert rows(getattr(t, name).drop("raw")) == rows(getattr(export_tables, name).drop("raw")), name
