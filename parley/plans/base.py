@@ -70,6 +70,13 @@ def run_module(module: str, ctx: Context) -> dict[str, DataFrame]:
 _CACHE: dict[tuple, Context] = {}
 
 
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 — Spark Connect: no SparkContext
+        return f"session-{id(spark)}"
+
+
 def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
                          materialize: bool = True) -> Context:
     """Context over the driver test tables; stats are checkpointed once per app + dataset."""
@@ -81,7 +88,7 @@ def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None =
     # instants and the session-zone months (m03 / m11) assume a UTC session
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    key = (spark.sparkContext.applicationId, sf_dir, cfg, materialize)
+    key = (_session_key(spark), sf_dir, cfg, materialize)
     ctx = _CACHE.get(key)
     if ctx is None:
         ensure_checkpoint_dir(spark)

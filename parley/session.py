@@ -28,7 +28,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in (conf or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 — Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -39,5 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="parley-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 — Spark Connect sessions have no SparkContext; parquet paths suffice
+        pass
     return d
