@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,7 @@ def run_module(module: str, ctx: Context) -> dict[str, DataFrame]:
 
 
 _CACHE: dict[tuple, Context] = {}
+_LOCK = threading.Lock()
 
 
 def _session_key(spark: SparkSession) -> str:
@@ -79,25 +81,28 @@ def _session_key(spark: SparkSession) -> str:
 
 def context_for_testdata(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
                          materialize: bool = True) -> Context:
-    """Context over the driver test tables; stats are checkpointed once per app + dataset."""
-    from parley.session import ensure_checkpoint_dir
-    from parley.sources import testdata
-
+    """Context over the driver test tables; stats are written once per app + dataset."""
     cfg = cfg or Config()
     # the driver tables hold UTC wall clocks (parquet timestamps without zone); reading them as
     # instants and the session-zone months (m03 / m11) assume a UTC session
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (_session_key(spark), sf_dir, cfg, materialize)
-    ctx = _CACHE.get(key)
-    if ctx is None:
-        ensure_checkpoint_dir(spark)
-        t = testdata.load(spark, sf_dir, prepare.scratch_dir(spark, "testdata") if materialize else None)
-        if materialize:
-            t = materialize_tables(spark, t, REREAD_TABLES)
-        stats = prepare.build_materialized(t, cfg, spark) if materialize else prepare.build(t, cfg)
-        ctx = Context(spark, t, stats, cfg, materialized=materialize)
-        _CACHE[key] = ctx
+    with _LOCK:  # one build per dataset even when queries arrive from several threads
+        return _CACHE.get(key) or _build_testdata_context(spark, sf_dir, cfg, materialize, key)
+
+
+def _build_testdata_context(spark: SparkSession, sf_dir: str, cfg: Config, materialize: bool, key) -> Context:
+    from parley.session import ensure_checkpoint_dir
+    from parley.sources import testdata
+
+    ensure_checkpoint_dir(spark)
+    t = testdata.load(spark, sf_dir, prepare.scratch_dir(spark, "testdata") if materialize else None)
+    if materialize:
+        t = materialize_tables(spark, t, REREAD_TABLES)
+    stats = prepare.build_materialized(t, cfg, spark) if materialize else prepare.build(t, cfg)
+    ctx = Context(spark, t, stats, cfg, materialized=materialize)
+    _CACHE[key] = ctx
     return ctx
 
 
