@@ -21,20 +21,22 @@ class Context:
     cfg: Config
     materialized: bool = False
     _derived: dict = field(default_factory=dict)
+    _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table several reports read (e.g. message gaps): built once; when the context is
         materialised it is written as parquet in the checkpoint folder and read back, so
         the window behind it runs once and later passes are column-pruned scans."""
-        df = self._derived.get(name)
-        if df is None:
-            df = build()
-            if self.materialized:
-                path = prepare.scratch_dir(self.spark, f"derived-{name}")
-                df.write.mode("overwrite").parquet(path)
-                df = self.spark.read.parquet(path)
-            self._derived[name] = df
-        return df
+        with self._lock:
+            df = self._derived.get(name)
+            if df is None:
+                df = build()
+                if self.materialized:
+                    path = prepare.scratch_dir(self.spark, f"derived-{name}")
+                    df.write.mode("overwrite").parquet(path)
+                    df = self.spark.read.parquet(path)
+                self._derived[name] = df
+            return df
 
 
 REGISTRY: dict[str, tuple[str, Callable[[Context], DataFrame]]] = {}
