@@ -5,8 +5,9 @@ Shuffle plan (what `.explain()` shows):
                        child rows (a child is keyed by its parent's uuid; root / NULL parents
                        are filtered before the exchange — they would be one giant key), joined
                        to the messages on their unique uuid
-  * fork_child flag    the same aggregate looked up by parent_message_uuid; a parent with very
-                       many children is a skewed key on the message side only -> AQE skew join
+  * fork_child flag    the same aggregate looked up by parent_message_uuid on the narrow
+                       (uuid, parent) projection; a parent with very many children is a skewed
+                       key on that side only -> AQE skew join. The wide rows join once, by uuid
   * per conversation   one groupBy(conversation_uuid) with partial aggregation
 The text is scanned once: token estimates, the fenced-block array (kept as a column, so the
 code-block table is exploded from the stats without reading the text again) and inline spans
@@ -81,11 +82,14 @@ def stats_message(t: Tables, cfg: Config) -> DataFrame:
         per_uuid = per_uuid.unionByName(p)
     per_uuid = per_uuid.where(F.col("message_uuid").isNotNull()).groupBy("message_uuid").agg(
         F.sum("c").alias("tool_use_count"), F.sum("r").alias("tool_result_count"), F.sum("k").alias("child_count"))
-    base = base.join(per_uuid, "message_uuid", "left")
-    # parent's children (S10): the same aggregate, looked up by the parent key
+    # parent's children (S10): the same aggregate looked up by the parent key, on the narrow
+    # (uuid, parent) projection; the wide per-message rows (they carry the code bodies) are
+    # then shuffled once, for a single join by their unique uuid
     parent_cc = per_uuid.where(F.col("child_count") > 0).select(
         F.col("message_uuid").alias("parent_message_uuid"), F.col("child_count").alias("_siblings"))
-    base = base.join(parent_cc, "parent_message_uuid", "left")
+    siblings = m.select("message_uuid", "parent_message_uuid").join(parent_cc, "parent_message_uuid", "left")
+    flags = siblings.select("message_uuid", "_siblings").join(per_uuid, "message_uuid", "left")
+    base = base.join(flags, "message_uuid", "left")
 
     delta = TM.epoch_seconds_between("updated_at", "created_at")
     both = F.col("updated_at").isNotNull() & F.col("created_at").isNotNull()
