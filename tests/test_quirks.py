@@ -115,3 +115,48 @@ def test_approx_distinct_switch(spark):
     assert e["citations"] == a["citations"]
     for c in ("messages", "conversations", "domains", "urls"):
         assert abs(a[c] - e[c]) <= max(1, 0.05 * e[c])
+
+
+def test_q1_one_zone_for_local_time_columns(spark):
+    from parley.plans.base import context_for_testdata
+
+    utc = context_for_testdata(spark, SF_SMALL, Config(tz="UTC"))
+    tokyo = context_for_testdata(spark, SF_SMALL, Config(tz="Asia/Tokyo"))  # UTC+9, no DST
+    a = dict(rows(REGISTRY["m04_new_convo_hour"][1](utc), "hour", "n"))
+    b = dict(rows(REGISTRY["m04_new_convo_hour"][1](tokyo), "hour", "n"))
+    assert all(b[h] == a[(h - 9) % 24] for h in range(24))
+
+
+def test_q2_thinking_months_use_the_session_zone(spark):
+    from parley.plans.base import context_for_testdata
+
+    a = REGISTRY["m03_monthly"][1](context_for_testdata(spark, SF_SMALL, Config(tz="UTC")))
+    b = REGISTRY["m03_monthly"][1](context_for_testdata(spark, SF_SMALL, Config(tz="Pacific/Kiritimati")))
+    assert rows(a) == rows(b)
+
+
+def test_q7_ties_broken_by_position_then_uuid(spark):
+    df = spark.createDataFrame([("g", "b", 1, 2), ("g", "a", 1, 2), ("g", "c", 1, 1)],
+                               "g string, id string, t int, pos int")
+    first = [r["id"] for r in flag_first(df, "g", ["t", "pos"], "id").where("is_first").collect()]
+    assert first == ["c"]  # same time: lowest position wins
+    first2 = [r["id"] for r in flag_first(df.where("id != 'c'"), "g", ["t", "pos"], "id").where("is_first").collect()]
+    assert first2 == ["a"]  # same time and position: lowest uuid wins
+
+
+def test_q9_code_share_message_counts_truncated_to_integers(spark):
+    from parley.plans.base import context_for_testdata
+
+    df = REGISTRY["m10_code_share"][1](context_for_testdata(spark, SF_SMALL, Config()))
+    types = dict(df.dtypes)
+    assert types["message_count_p50"] == "bigint" and types["message_count_p95"] == "bigint"
+    assert types["pct"] == "double"
+
+
+def test_q12_block_length_pct_counts_zero_length_blocks(spark):
+    from parley.operators.stats import S, bucketize
+
+    df = spark.createDataFrame([(0,), (50,), (150,), (0,)], "chars long")
+    b = rows(bucketize(df, [S("chars", F.col("chars") > 0, total_cond=F.lit(True))],
+                       [("<100", 0, 100), ("100+", 100, 10 ** 9)]), "bucket", "n", "pct")
+    assert b == [("100+", 1, 25.0), ("<100", 1, 25.0)]  # denominator 4 blocks, not 2
