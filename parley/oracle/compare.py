@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 
 SPARK2DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
               "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE",
@@ -25,21 +26,24 @@ def connect(sf_dir: str):
     return con
 
 
-def norm(v):
+STRICT = bool(int(os.environ.get("ORACLE_STRICT", "0")))  # compare floats bit for bit
+
+
+def norm(v, strict: bool = STRICT):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else (v if strict else round(v, 6))
     if hasattr(v, "item"):
-        return norm(v.item())
+        return norm(v.item(), strict)
     return v
 
 
-def digest(cols, rows):
+def digest(cols, rows, strict: bool = STRICT):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    lines = sorted(repr(tuple(norm(r[i]) for i in order)) for r in rows)
+    lines = sorted(repr(tuple(norm(r[i], strict) for i in order)) for r in rows)
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:12], lines
 
 
-def compare(df, con, sql: str) -> tuple[bool, str]:
+def compare(df, con, sql: str, strict: bool = STRICT) -> tuple[bool, str]:
     srows = [tuple(r) for r in df.collect()]
     scols = df.columns
     rel = con.sql(sql)
@@ -53,8 +57,8 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
         return False, f"types differ: {tbad}"
     if len(srows) != len(orows):
         return False, f"rows differ: {len(srows)} vs {len(orows)}"
-    sh, sl = digest(scols, srows)
-    oh, ol = digest(ocols, orows)
+    sh, sl = digest(scols, srows, strict)
+    oh, ol = digest(ocols, orows, strict)
     if sh != oh:
         so = set(ol)
         return False, f"values differ, e.g. spark-only {[x for x in sl if x not in so][:3]}"

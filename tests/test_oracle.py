@@ -23,7 +23,7 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_matches_oracle(spark, tctx, con, key):
-    ok, msg = compare(QUERIES[key](spark, SF_SMALL), con, ORACLE[key])
+    ok, msg = compare(QUERIES[key](spark, SF_SMALL), con, ORACLE[key], strict=True)  # floats bit for bit
     assert ok, msg
 
 
