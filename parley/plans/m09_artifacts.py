@@ -35,7 +35,12 @@ M = "m09"
 
 
 def parsed(ctx: Context):
-    """m09.1: one row per artifact call whose input parses as a JSON object (others skipped)."""
+    """m09.1: one row per artifact call whose input parses as a JSON object (others skipped);
+    parsed once per dataset and shared by every m09 report."""
+    return ctx.derived("artifacts", lambda: _parse(ctx))
+
+
+def _parse(ctx: Context):
     c = ctx.tables.tool_calls.where((F.col("name") == ARTIFACT_TOOL) & F.col("input").isNotNull())
     v = F.try_parse_json("input")
     p = c.select("conversation_uuid", v.alias("v")).where(

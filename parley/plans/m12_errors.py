@@ -120,7 +120,11 @@ def error_messages(ctx: Context):
 
 
 def _categorized(ctx: Context):
-    return _error_rows(ctx).select("name", "message_uuid", "msg", categorize(F.col("msg")).alias("category"))
+    """Error texts with category and normalised form: regexes run once per dataset, shared by
+    the category, cross-tab, normalisation and sample reports."""
+    return ctx.derived("error_texts", lambda: _error_rows(ctx).select(
+        "name", "message_uuid", "msg", categorize(F.col("msg")).alias("category"),
+        normalize(F.col("msg")).alias("normalized")))
 
 
 @report(M, "m12_categories", needs=NEEDS)
@@ -146,7 +150,7 @@ def category_tool(ctx: Context):
 
 @report(M, "m12_normalize", needs=NEEDS)
 def normalized(ctx: Context):
-    return _categorized(ctx).select("name", "message_uuid", "category", normalize(F.col("msg")).alias("normalized"))
+    return _categorized(ctx).select("name", "message_uuid", "category", "normalized")
 
 
 @report(M, "m12_samples", needs=NEEDS)
