@@ -81,7 +81,12 @@ def fork_per_convo_buckets(ctx: Context):
 
 
 def _fork_children(ctx: Context):
-    """Children of fork parents with the fork kind (from the parent's sender), in one pass."""
+    """Children of fork parents with the fork kind (from the parent's sender), in one pass;
+    built once per dataset (two reports read it)."""
+    return ctx.derived("fork_children", lambda: _build_fork_children(ctx))
+
+
+def _build_fork_children(ctx: Context):
     kind = F.when(F.col("sender") == KINDS["human_fork"], F.lit("human_fork")).otherwise(F.lit("assistant_fork"))
     parents = _sm(ctx).where(F.col("fork_parent_flag") & F.col("sender").isin(*KINDS.values())).select(
         F.col("message_uuid").alias("parent_message_uuid"), kind.alias("kind"))
