@@ -79,6 +79,25 @@ def _use_bounded(df: DataFrame, s: Series, cfg: Config) -> bool:
     return not is_small(df, cfg.bounded_min_bytes)
 
 
+def _sql_str(v) -> str:
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_num(x) -> str:
+    """Exact double literal (the Python float's shortest repr, parsed by the JVM)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _keys_sql(s: Series, keys: list[str]) -> str:
+    return "".join(f"'{k}', {_sql_str(s.keys.get(k))}, " for k in keys)
+
+
+# The per-series / per-bucket aggregates and the unpivot are SQL expression strings over
+# helper columns: one JVM call per expression instead of ~10 for the equivalent Column
+# arithmetic (report plans have hundreds of such expressions). The plan is the same.
+
 def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None) -> DataFrame:
     """N, p50, p90, p95, p99, mean, max, min per series (linear interpolation).
 
@@ -88,27 +107,29 @@ def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None
     (operators/quantiles.py). `cfg.approx_quantiles` switches to percentile_approx."""
     cfg = cfg or Config()
     bounded = [_use_bounded(df, s, cfg) for s in series]
+    helper = df.select(*[_masked(s).alias(f"_x{i}") for i, s in enumerate(series)])
+    qs = ", ".join(_sql_num(q) for q in QS)
     aggs = []
-    for i, s in enumerate(series):
-        x = _masked(s)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.max(x).alias(f"x{i}"), F.min(x).alias(f"m{i}")]
+    for i in range(len(series)):
+        x = f"_x{i}"
+        aggs += [f"count({x}) AS n{i}", f"avg({x}) AS a{i}", f"max({x}) AS x{i}", f"min({x}) AS m{i}"]
         if not bounded[i]:
-            aggs.append(_quantiles(x, cfg).alias(f"q{i}"))
-    wide = df.agg(*aggs)
+            q = (f"percentile_approx({x}, array({qs}), {int(cfg.approx_accuracy)})" if cfg.approx_quantiles
+                 else f"percentile({x}, array({qs}))")
+            aggs.append(f"{q} AS q{i}")
+    wide = helper.agg(*[F.expr(a) for a in aggs])
     keys = _key_names(series)
-    rows = []
+
+    def r6s(e: str) -> str:
+        return f"round(CAST({e} AS DOUBLE), 6)"
+
+    structs = []
     for i, s in enumerate(series):
-        q = F.lit(None).cast("array<double>") if bounded[i] else F.col(f"q{i}")
-        rows.append(F.struct(
-            F.lit(i).alias("_sid"),
-            *[F.lit(s.keys.get(k)).cast("string").alias(k) for k in keys],
-            F.col(f"n{i}").cast("long").alias("n"),
-            *[r6(q.getItem(j)).alias(f"p{int(p * 100)}") for j, p in enumerate(QS)],
-            r6(F.col(f"a{i}")).alias("mean"),
-            r6(F.col(f"x{i}")).alias("max"),
-            r6(F.col(f"m{i}")).alias("min"),
-        ))
-    out = wide.select(F.inline(F.array(*rows)))
+        ps = "".join(f"'p{int(p * 100)}', " + ("CAST(NULL AS DOUBLE)" if bounded[i] else r6s(f"q{i}[{j}]")) + ", "
+                     for j, p in enumerate(QS))
+        structs.append(f"named_struct('_sid', {i}, {_keys_sql(s, keys)}'n', CAST(n{i} AS BIGINT), {ps}"
+                       f"'mean', {r6s(f'a{i}')}, 'max', {r6s(f'x{i}')}, 'min', {r6s(f'm{i}')})")
+    out = wide.selectExpr(f"inline(array({', '.join(structs)}))")
     if any(bounded):
         from parley.operators.quantiles import exact_bounded
 
@@ -132,30 +153,28 @@ def bucketize(df: DataFrame, series: list[Series], edges: list[tuple] | None = N
     are kept with n = 0. With several series this is P4 (paired buckets) in long form; a
     series may carry its own edges, so differently bucketed metrics still share one scan.
     """
-    aggs = []
+    cols = []
     for i, s in enumerate(series):
-        v = s.value.cast("double")
         base = F.lit(True) if s.cond is None else s.cond
-        tot = base if s.total_cond is None else s.total_cond
-        aggs.append(F.count(F.when(tot, 1)).alias(f"t{i}"))
+        cols += [s.value.cast("double").alias(f"_v{i}"), base.alias(f"_c{i}"),
+                 (base if s.total_cond is None else s.total_cond).alias(f"_t{i}")]
+    helper = df.select(*cols)
+    up = "<=" if closed else "<"
+    aggs = []
+    for i, s in enumerate(series):
+        aggs.append(f"count(CASE WHEN _t{i} THEN 1 END) AS t{i}")
         for j, (_, lo, hi) in enumerate(s.edges or edges):
-            inside = (v >= lo) & ((v <= hi) if closed else (v < hi))
-            aggs.append(F.count(F.when(base & inside, 1)).alias(f"b{i}_{j}"))
-    wide = df.agg(*aggs)
+            aggs.append(f"count(CASE WHEN _c{i} AND _v{i} >= {_sql_num(lo)} AND _v{i} {up} {_sql_num(hi)} "
+                        f"THEN 1 END) AS b{i}_{j}")
+    wide = helper.agg(*[F.expr(a) for a in aggs])
     keys = _key_names(series)
-    rows = []
+    structs = []
     for i, s in enumerate(series):
-        t = F.col(f"t{i}")
         for j, (label, _, _) in enumerate(s.edges or edges):
-            n = F.col(f"b{i}_{j}")
-            rows.append(F.struct(
-                *[F.lit(s.keys.get(k)).cast("string").alias(k) for k in keys],
-                F.lit(j).alias("bucket_index"),
-                F.lit(label).alias("bucket"),
-                n.cast("long").alias("n"),
-                F.when(t == 0, F.lit(0.0)).otherwise(r6(F.lit(100.0) * n / t)).alias("pct"),
-            ))
-    return wide.select(F.inline(F.array(*rows)))
+            pct = f"CASE WHEN t{i} = 0 THEN 0.0D ELSE round(CAST(100.0D * b{i}_{j} / t{i} AS DOUBLE), 6) END"
+            structs.append(f"named_struct({_keys_sql(s, keys)}'bucket_index', {j}, 'bucket', {_sql_str(label)}, "
+                           f"'n', CAST(b{i}_{j} AS BIGINT), 'pct', {pct})")
+    return wide.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def bucket_index(value: Column, edges: list[tuple], closed: bool = False) -> Column:

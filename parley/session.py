@@ -24,6 +24,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Python call-site capture for error messages costs several JVM round trips per
+        # Column function while plans are built; report plans have hundreds of expressions
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in (conf or {}).items():
         b = b.config(k, v)
