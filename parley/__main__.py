@@ -27,12 +27,9 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = get_spark()
     cfg = Config(tz=a.tz) if a.tz else Config()
-    ctx = context_for_export(spark, a.export_dir, cfg, multiline=not a.jsonl)
-    tables = {n: getattr(ctx.tables, n) for n in ("users", "projects", "docs", "conversations", "messages",
-                                                   "blocks", "tool_calls", "tool_results", "attachments", "files")}
-    tables.update({"stats_message": ctx.stats.message, "stats_conversation": ctx.stats.conversation,
-                   "stats_code_block": ctx.stats.code_block})
-    sinks.materialise(tables, f"{a.out_dir.rstrip('/')}/tables")
+    # normalised tables and stat tables are written once, straight into OUT_DIR/tables
+    ctx = context_for_export(spark, a.export_dir, cfg, multiline=not a.jsonl,
+                             tables_dir=f"{a.out_dir.rstrip('/')}/tables")
     modules = [m for m in a.modules.split(",") if m] or sorted({m for m, _ in REGISTRY.values()})
     for m in modules:
         keys = sinks.write_module(m, ctx, f"{a.out_dir.rstrip('/')}/reports")

@@ -116,13 +116,14 @@ REREAD_TABLES = ("citations", "projects", "docs")  # tool tables come from stage
 PARTITION_BY = {"blocks": ["type"]}
 
 
-def materialize_tables(spark: SparkSession, t: Tables, names: tuple[str, ...] = ALL_TABLES) -> Tables:
+def materialize_tables(spark: SparkSession, t: Tables, names: tuple[str, ...] = ALL_TABLES,
+                       base: str | None = None) -> Tables:
     """Persist the normalised tables (the ETL output) once as parquet in the shared checkpoint
     folder: parsing / derivation runs once, later readers get pruning and pushdown, and a
     lost executor re-reads files instead of recomputing lineage."""
     from dataclasses import replace
 
-    base = prepare.scratch_dir(spark, "tables")
+    base = base or prepare.scratch_dir(spark, "tables")
     done = {}
     for name in names:
         df = getattr(t, name)
@@ -142,13 +143,18 @@ def context_for_tables(spark: SparkSession, t: Tables, cfg: Config | None = None
     return Context(spark, t, stats, cfg, materialized=materialize)
 
 
-def context_for_export(spark: SparkSession, root: str, cfg: Config | None = None, multiline: bool = True) -> Context:
+def context_for_export(spark: SparkSession, root: str, cfg: Config | None = None, multiline: bool = True,
+                       tables_dir: str | None = None) -> Context:
     """Context over one chat export folder: the JSON is parsed once into staged parquet under
-    the shared checkpoint folder, the normalised and stat tables are written once, and every
-    report reads those files."""
+    the shared checkpoint folder, the normalised and stat tables are written once (into
+    `tables_dir` when given — the W5 output — else the checkpoint folder), and every report
+    reads those files."""
     from parley.session import ensure_checkpoint_dir
     from parley.sources import export
 
     ensure_checkpoint_dir(spark)
+    cfg = cfg or Config()
     t = export.load_dir(spark, root, multiline, stage_dir=prepare.scratch_dir(spark, "export"))
-    return context_for_tables(spark, materialize_tables(spark, t), cfg, materialize=True)
+    t = materialize_tables(spark, t, base=tables_dir)
+    stats = prepare.build_materialized(t, cfg, spark, base_dir=f"{tables_dir}/stats" if tables_dir else None)
+    return Context(spark, t, stats, cfg, materialized=True)

@@ -50,5 +50,6 @@ def test_cli_writes_tables_and_reports(spark, tmp_path):
 
     assert main([os.path.join(FIXTURES, "export"), str(tmp_path), "--modules", "m12,overview", "--tz", "UTC"]) == 0
     assert spark.read.parquet(str(tmp_path / "tables" / "messages")).count() == 26
+    assert spark.read.parquet(str(tmp_path / "tables" / "stats" / "conversation")).count() == 8
     assert glob.glob(f"{tmp_path}/reports/m12/summary.json/part-*")
     assert glob.glob(f"{tmp_path}/reports/overview/overview_blocks.csv/*.csv")
