@@ -21,16 +21,22 @@ EXPORT_FILES = ("conversations.json", "projects.json", "users.json")
 
 
 def find_export(spark: SparkSession, root: str) -> dict[str, str]:
-    """Locate the three export files at any depth below `root` (shallowest wins);
-    raise when one is missing. Listing runs through Spark's file index, only paths return."""
+    """Locate the three export inputs at any depth below `root` (shallowest wins) and
+    raise when one is missing. Each input may be `<name>.json`, `<name>.jsonl`, or a folder
+    `<name>/` of part files (large exports: many splittable JSON Lines files read in
+    parallel). Listing runs through Spark's file index; only one path per input returns."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+             .select(F.col("path")))
     found: dict[str, str] = {}
     for name in EXPORT_FILES:
-        paths = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .option("pathGlobFilter", name).load(root).select("path"))
-        rows = paths.orderBy(F.length("path"), "path").limit(1).collect()
+        stem = name.rsplit(".", 1)[0]
+        as_file = F.regexp_extract("path", rf"^(.*/{stem}\.jsonl?)$", 1)
+        as_dir = F.regexp_extract("path", rf"^(.*/{stem})/[^/]+$", 1)
+        cand = files.select(F.when(as_file != "", as_file).when(as_dir != "", as_dir).alias("p")).where("p IS NOT NULL")
+        rows = cand.distinct().orderBy(F.length("p"), "p").limit(1).collect()
         if not rows:
             raise FileNotFoundError(f"missing in export: {name}")
-        found[name] = rows[0]["path"]
+        found[name] = rows[0]["p"]
     return found
 
 

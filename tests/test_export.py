@@ -130,3 +130,21 @@ def test_json_lines_input_equals_array_input(spark, export_tables, tmp_path):
     t = export.load_dir(spark, str(tmp_path), multiline=False)
     for name in ("conversations", "messages", "tool_calls", "citations", "attachments", "files", "projects", "docs"):
         assert rows(getattr(t, name).drop("raw")) == rows(getattr(export_tables, name).drop("raw")), name
+
+
+def test_export_as_folders_of_json_lines_parts(spark, export_tables, tmp_path):
+    import json
+
+    p = export.find_export(spark, os.path.join(FIXTURES, "export"))
+    for name, path in p.items():
+        arr = json.load(open(path.replace("file:", ""), encoding="utf-8"))
+        d = tmp_path / "big" / name.rsplit(".", 1)[0]
+        d.mkdir(parents=True)
+        for part in range(2):
+            with open(d / f"part-{part}.json", "w", encoding="utf-8") as f:
+                for item in arr[part::2]:
+                    f.write(json.dumps(item) + "\n")
+    found = export.find_export(spark, str(tmp_path / "big"))
+    assert found["conversations.json"].endswith("/big/conversations")
+    t = export.load_dir(spark, str(tmp_path / "big"), multiline=False)
+    assert rows(t.messages.drop("raw")) == rows(export_tables.messages.drop("raw"))
