@@ -79,3 +79,17 @@ def test_grouped_bounded_quantiles_equal_percentile(spark, tctx):
     exact = grouped_quantiles(m, ["sender"], F.col("chars_text"), (0.5, 0.9), bounded=False)
     bounded = grouped_quantiles(m, ["sender"], F.col("chars_text"), (0.5, 0.9), bounded=True, accuracy=2)
     assert rows(bounded) == rows(exact)
+
+
+def test_chunked_windows_with_null_keys(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    data = [("g", f"m{i:02d}", i, None if i % 4 == 0 else base + dt.timedelta(minutes=37 * i)) for i in range(20)]
+    data += [("h", f"n{i}", i, base + dt.timedelta(hours=i)) for i in range(3)]
+    df = spark.createDataFrame(data, "conversation_uuid string, message_uuid string, position int, created_at timestamp")
+    w = Window.partitionBy("conversation_uuid").orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
+    plain = df.select("message_uuid", F.lag("position").over(w).alias("p"), F.row_number().over(w).cast("long").alias("rn"))
+    lag = lag_within(df, "conversation_uuid", ORDER, ["position"], 3).select("message_uuid", F.col("prev_position").alias("p"))
+    rn = row_number_within(df, "conversation_uuid", ORDER, "rn", 3).select("message_uuid", "rn")
+    assert rows(lag.join(rn, "message_uuid")) == rows(plain)
