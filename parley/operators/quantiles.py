@@ -41,10 +41,11 @@ def grouped_exact(long: DataFrame, groups: list[str], value: str, qs: tuple[floa
     p1 = long.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_min"), F.max(x).alias("_max"),
                                    F.percentile_approx(x, brackets, accuracy).alias("_b"))
     whole = F.col("_n") <= small
+    # a bracket end clipped to q = 0 / 1 is the exact min / max from pass 1 (not a sketch value)
     br = p1.select(*groups, "_n", *[
-        c for j in range(len(qs)) for c in (
-            F.when(whole, F.col("_min")).otherwise(F.col("_b")[2 * j]).alias(f"_L{j}"),
-            F.when(whole, F.col("_max")).otherwise(F.col("_b")[2 * j + 1]).alias(f"_H{j}"))])
+        c for j, q in enumerate(qs) for c in (
+            F.when(whole | F.lit(q - d <= 0.0), F.col("_min")).otherwise(F.col("_b")[2 * j]).alias(f"_L{j}"),
+            F.when(whole | F.lit(q + d >= 1.0), F.col("_max")).otherwise(F.col("_b")[2 * j + 1]).alias(f"_H{j}"))])
     j = long.join(F.broadcast(br) if small_groups else br, groups)
     cell = F.filter(F.array(*[
         F.struct(F.lit(k).alias("qi"), (x < F.col(f"_L{k}")).alias("below"),

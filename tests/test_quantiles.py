@@ -55,3 +55,19 @@ def test_size_estimate_is_plan_time(spark):
 
     df = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
     assert estimated_bytes(df) > estimated_bytes(df.select("conv_id")) > 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.one_of(st.integers(-50, 50).map(float), st.floats(-1e6, 1e6, allow_nan=False)),
+                       min_size=1, max_size=300),
+       accuracy=st.sampled_from([1, 2, 5, 1000]))
+def test_bounded_quantiles_property(spark, values, accuracy):
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    got = {r.qi: r.value for r in exact_bounded(df, [F.col("a")], QS, accuracy).collect()}
+    for j, q in enumerate(QS):
+        ref = float(np.quantile(np.array(values), q))
+        assert got[j] == pytest.approx(ref, rel=1e-9, abs=1e-6)
