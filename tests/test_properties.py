@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parley.operators.stats import S, bucketize, summary_stats
@@ -75,3 +76,22 @@ def test_post_error_counts_cover_every_error_message(tctx):
     errs = (tctx.tables.tool_results.where("is_error").select("message_uuid").distinct()
             .join(tctx.stats.message.select("message_uuid"), "message_uuid").count())
     assert n == errs and G is not None
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.floats(-100, 100, allow_nan=False), max_size=200),
+       cuts=st.lists(st.integers(-120, 120), min_size=2, max_size=6, unique=True),
+       closed=st.booleans())
+def test_bucketize_property(spark, values, cuts, closed):
+    cuts = sorted(cuts)
+    edges = [(f"b{i}", float(lo), float(hi)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r["bucket"]: (r["n"], r["pct"]) for r in bucketize(df, [S("v")], edges, closed=closed).collect()}
+    for label, lo, hi in edges:
+        n = sum(1 for v in values if lo <= v and (v <= hi if closed else v < hi))
+        pct = 0.0 if not values else round(100.0 * n / len(values), 6)
+        assert got[label] == (n, pytest.approx(pct, abs=1e-6))
