@@ -53,3 +53,24 @@ def test_cli_writes_tables_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tables" / "stats" / "conversation")).count() == 8
     assert glob.glob(f"{tmp_path}/reports/m12/summary.json/part-*")
     assert glob.glob(f"{tmp_path}/reports/overview/overview_blocks.csv/*.csv")
+
+
+def test_cli_on_json_lines_part_folders(spark, tmp_path):
+    import json
+
+    from parley.__main__ import main
+    from tests.conftest import FIXTURES
+
+    src = os.path.join(FIXTURES, "export")
+    layout = {"conversations": "nested/dir/conversations.json", "projects": "nested/projects.json", "users": "users.json"}
+    for name, rel in layout.items():
+        arr = json.load(open(os.path.join(src, rel), encoding="utf-8"))
+        (tmp_path / "in" / name).mkdir(parents=True)
+        for part in range(3):
+            with open(tmp_path / "in" / name / f"part-{part}.json", "w", encoding="utf-8") as f:
+                for item in arr[part::3]:
+                    f.write(json.dumps(item) + "\n")
+    assert main(["--jsonl", "--modules", "m12", "--tz", "UTC", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    doc = json.loads(open(glob.glob(f"{tmp_path}/out/reports/m12/summary.json/part-*")[0], encoding="utf-8").read())
+    assert sorted(r["n"] for r in doc["m12_post_error"]) == [1, 1, 1, 1, 1]
+    assert spark.read.parquet(str(tmp_path / "out" / "tables" / "stats" / "message")).count() == 26
