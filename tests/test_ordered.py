@@ -93,3 +93,23 @@ def test_chunked_windows_with_null_keys(spark):
     lag = lag_within(df, "conversation_uuid", ORDER, ["position"], 3).select("message_uuid", F.col("prev_position").alias("p"))
     rn = row_number_within(df, "conversation_uuid", ORDER, "rn", 3).select("message_uuid", "rn")
     assert rows(lag.join(rn, "message_uuid")) == rows(plain)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 5)), min_size=1, max_size=80),
+       k=st.integers(1, 4), target=st.integers(1, 10))
+def test_top_k_per_group_property(spark, data, k, target):
+    from parley.operators.ranking import top_k_per_group
+
+    rows_in = [(g, f"id{i:03d}", v) for i, (g, v) in enumerate(data)]
+    df = spark.createDataFrame(rows_in, "g string, id string, v int")
+    got = top_k_per_group(df, ["g"], k, [F.desc("v"), F.asc("id")], "rank", target).select("g", "id", "rank")
+    want = []
+    for g in sorted({r[0] for r in rows_in}):
+        ordered = sorted((r for r in rows_in if r[0] == g), key=lambda r: (-r[2], r[1]))[:k]
+        want += [(g, r[1], i + 1) for i, r in enumerate(ordered)]
+    assert rows(got) == sorted(want)
