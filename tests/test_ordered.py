@@ -113,3 +113,20 @@ def test_top_k_per_group_property(spark, data, k, target):
         ordered = sorted((r for r in rows_in if r[0] == g), key=lambda r: (-r[2], r[1]))[:k]
         want += [(g, r[1], i + 1) for i, r in enumerate(ordered)]
     assert rows(got) == sorted(want)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=st.lists(st.tuples(st.sampled_from(["a", "b"]), st.one_of(st.none(), st.integers(0, 30)),
+                               st.sampled_from(["human", "assistant"])), min_size=1, max_size=60),
+       target=st.integers(1, 8))
+def test_chunked_windows_property(spark, data, target):
+    rows_in = [(g, f"id{i:03d}", i, t, s) for i, (g, t, s) in enumerate(data)]
+    df = spark.createDataFrame(rows_in, "g string, id string, pos int, t int, s string")
+    order = ["t", "pos", "id"]
+    w = Window.partitionBy("g").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    v = F.when(F.col("s") == "human", F.col("pos"))
+    plain = df.select("id", F.lag("pos").over(w).alias("p"), F.min(v).over(after).alias("nh"))
+    got = (lag_within(df, "g", order, ["pos"], target).select("id", F.col("prev_pos").alias("p"))
+           .join(min_after(df, "g", order, {"nh": v}, target).select("id", "nh"), "id"))
+    assert rows(got) == rows(plain)
