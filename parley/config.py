@@ -36,3 +36,10 @@ class Config:
     fanout_m07: bool = False
     merge_by_name: bool = False
     window_chunk_rows: int = 2_000_000
+
+    def __post_init__(self):
+        if self.quantile_mode not in ("auto", "exact", "bounded"):
+            raise ValueError(f"quantile_mode must be auto, exact or bounded, not {self.quantile_mode!r}")
+        for name in ("approx_accuracy", "bounded_accuracy", "window_chunk_rows"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be positive")

@@ -160,3 +160,12 @@ def test_q12_block_length_pct_counts_zero_length_blocks(spark):
     b = rows(bucketize(df, [S("chars", F.col("chars") > 0, total_cond=F.lit(True))],
                        [("<100", 0, 100), ("100+", 100, 10 ** 9)]), "bucket", "n", "pct")
     assert b == [("100+", 1, 25.0), ("<100", 1, 25.0)]  # denominator 4 blocks, not 2
+
+
+def test_config_rejects_unknown_modes():
+    import pytest
+
+    with pytest.raises(ValueError):
+        Config(quantile_mode="fast")
+    with pytest.raises(ValueError):
+        Config(window_chunk_rows=0)
