@@ -34,7 +34,7 @@ class Context:
                 if self.materialized:
                     path = prepare.scratch_dir(self.spark, f"derived-{name}")
                     df.write.mode("overwrite").parquet(path)
-                    df = self.spark.read.parquet(path)
+                    df = self.spark.read.schema(df.schema).parquet(path)
                 self._derived[name] = df
             return df
 
@@ -132,7 +132,7 @@ def materialize_tables(spark: SparkSession, t: Tables, names: tuple[str, ...] =
             if name in PARTITION_BY:  # filters on the column prune whole folders
                 w = w.partitionBy(*PARTITION_BY[name])
             w.parquet(f"{base}/{name}")
-            done[name] = spark.read.parquet(f"{base}/{name}").select(*df.columns)
+            done[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}").select(*df.columns)
     return replace(t, **done)
 
 
@@ -157,4 +157,5 @@ def context_for_export(spark: SparkSession, root: str, cfg: Config | None = None
     t = export.load_dir(spark, root, multiline, stage_dir=prepare.scratch_dir(spark, "export"))
     t = materialize_tables(spark, t, base=tables_dir)
     stats = prepare.build_materialized(t, cfg, spark, base_dir=f"{tables_dir}/stats" if tables_dir else None)
+    prepare.assert_sane(stats)
     return Context(spark, t, stats, cfg, materialized=True)

@@ -193,6 +193,14 @@ def sanity(stats: Stats) -> DataFrame:
     )
 
 
+def assert_sane(stats: Stats) -> dict:
+    """Raise when the stat tables are empty; returns the single sanity row."""
+    row = sanity(stats).collect()[0].asDict()  # one aggregated row
+    if not row["conversations"] or not row["messages"] or row["avg_message_count"] is None:
+        raise ValueError(f"stat tables are empty: {row}")
+    return row
+
+
 def build(t: Tables, cfg: Config) -> Stats:
     sm = stats_message(t, cfg)
     return Stats(message=sm, code_block=stats_code_block(sm), conversation=stats_conversation(t, sm, cfg))
@@ -210,7 +218,7 @@ def build_materialized(t: Tables, cfg: Config, spark=None, base_dir: str | None
 
     def write(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")  # known schema: no inference
 
     sm = write(stats_message(t, cfg), "message")
     return Stats(message=sm, code_block=write(stats_code_block(sm), "code_block"),

@@ -197,8 +197,8 @@ def load(spark: SparkSession, conversations_path: str, projects_path: str | None
     if stage_dir:
         convs.write.mode("overwrite").parquet(f"{stage_dir}/conversations")
         rows.write.mode("overwrite").parquet(f"{stage_dir}/message_rows")
-        convs = spark.read.parquet(f"{stage_dir}/conversations")
-        rows = spark.read.parquet(f"{stage_dir}/message_rows")
+        convs = spark.read.schema(convs.schema).parquet(f"{stage_dir}/conversations")
+        rows = spark.read.schema(rows.schema).parquet(f"{stage_dir}/message_rows")
     bl = blocks(rows)
     praw = _read(spark, projects_path, SC.PROJECT, multiline) if projects_path else None
     uraw = _read(spark, users_path, SC.USER, multiline) if users_path else None

@@ -171,7 +171,7 @@ def load(spark: SparkSession, sf_dir: str, stage_dir: str | None = None) -> Tabl
     tools = vt_tools(spark, sf_dir)
     if stage_dir:
         tools.write.mode("overwrite").parquet(f"{stage_dir}/tool_events")
-        tools = spark.read.parquet(f"{stage_dir}/tool_events")
+        tools = spark.read.schema(tools.schema).parquet(f"{stage_dir}/tool_events")
     per_conv = msgs.groupBy("conversation_uuid").agg(
         F.count(F.lit(1)).cast("int").alias("message_count"),
         F.min("created_at").alias("created_at"),

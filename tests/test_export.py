@@ -148,3 +148,12 @@ def test_export_as_folders_of_json_lines_parts(spark, export_tables, tmp_path):
     assert found["conversations.json"].endswith("/big/conversations")
     t = export.load_dir(spark, str(tmp_path / "big"), multiline=False)
     assert rows(t.messages.drop("raw")) == rows(export_tables.messages.drop("raw"))
+
+
+def test_empty_export_fails_sanity(spark, tmp_path):
+    from parley.plans.base import context_for_export
+
+    for name in ("conversations", "projects", "users"):
+        (tmp_path / f"{name}.json").write_text("[]")
+    with pytest.raises(ValueError):
+        context_for_export(spark, str(tmp_path))
