@@ -25,6 +25,7 @@ TYPE_LABELS = {
     "application/vnd.ant.mermaid": "mermaid",
     "text/plain": "plain",
 }
+# Labels are English renderings of the source's labels; edges, patterns and members are the source's values.
 UNTYPED = "(untyped)"
 NO_COMMAND = "(none)"
 MAIN_COMMANDS = ["create", "update", "rewrite"]

@@ -34,6 +34,7 @@ LANG_ALIAS = {
     "plaintext": "(plain)",
     "text": "(plain)",
 }
+# Labels are English renderings of the source's labels; edges, patterns and members are the source's values.
 EMPTY_LANG = "(empty)"
 TOP_LANGUAGES = 20
 SENDERS = ["human", "assistant"]
