@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, let, with_row_id
+from parley.llm.common import RID, let, with_row_id, written
 
 # placeholders; the same characters in a text are read as separators
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
@@ -93,7 +93,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
     pairs = (met.join(item_windows, "hash")
              .groupBy(RID, "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("ipos")))
 
-    # slots of each alignment: from the words as written on both sides
+    # slots of each alignment, from the words as written on both sides; with the alignments written, their
+    # size is known when the join is planned, and the texts are shuffled only if there are very many
+    pairs = written(pairs, "alignments")
     hit = rows.join(pairs, RID)
     both = bench.select("item", "item_id", "template", _words(F.lower("t")).alias("said"))
     hit = hit.join(both, "item")
