@@ -33,11 +33,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, texts_of, with_row_id
+from parley.llm.common import RID, slices, texts_of, with_row_id
+from parley.llm.words import coded, expanded
 
 MARK = "▁"
 CHUNK = 1 << 15
-CACHE = 400_000
+CACHE = 100_000  # pairs of pieces whose weight is remembered
+SLICE = 1 << 22  # characters encoded at a time
+NO_IDS = np.zeros(0, dtype=np.int32)
 START = ("", 0)  # state at the left end of a document: no piece yet
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -58,39 +61,37 @@ class Pieces:
             self.bytes[i] = p.replace(MARK, " ").encode()
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
-        self.words: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
     # whole texts and words ---------------------------------------------------------------------
-    def word(self, w: str) -> bytes:
-        """Ids (int32, little-endian) of the mark followed by w."""
-        got = self.words.get(w)
-        if got is None:
-            got = np.asarray(self.sp.encode(w), dtype="<i4").tobytes() if w else self.of(MARK)
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            if len(w) <= 64:
-                self.words[w] = got
-        return got
-
-    def of(self, piece: str) -> bytes:
+    def of(self, piece: str) -> np.ndarray:
         i = self.id.get(piece)
-        return np.asarray([i] if i is not None else [self.byte[b] for b in piece.encode("utf-8", "replace")], "<i4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:  # runs of marks: one word after another
-            return b"".join(self.word(w[1:].replace(MARK, " ")) for w in WORD.findall(MARK + text.replace(" ", MARK)))
-        known = self.words
-        parts = text.split(" ")
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            return b"".join([self.word(w) for w in parts])
-
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return np.asarray([i] if i is not None else [self.byte[b] for b in piece.encode("utf-8", "replace")], dtype=np.int32)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the mark followed by each word, and where each word's begin."""
+        found = [x if w else [self.id[MARK]] for w, x in zip(words, self.sp.encode(words, num_threads=1))]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        return np.fromiter((i for x in found for i in x), dtype=np.int32, count=ends[-1]), ends
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text: a batch's distinct words are encoded once."""
+        out = [None] * len(texts)
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = NO_IDS
+            elif "  " in t or t[0] == " " or t[-1] == " " or MARK in t:  # runs of marks: each goes to the word after it
+                out[i] = self.words([w[1:].replace(MARK, " ") for w in WORD.findall(MARK + t.replace(" ", MARK))])[0]
+        rest = [i for i in range(len(texts)) if out[i] is None]
+        codes, first, known = coded([texts[i] for i in rest])
+        ids, before = expanded(codes, *self.words(known))
+        for i, a, b in zip(rest, before[first[:-1]], before[first[1:]]):
+            out[i] = ids[a:b]
+        return out
+
+    def decode(self, ids: np.ndarray) -> str:
+        parts = [b"".join(map(self.bytes.__getitem__, ids[a:a + SLICE].tolist())) for a in range(0, len(ids), SLICE)]
+        return b"".join(parts).decode("utf-8", "replace")[1:]
 
     # the recurrence ----------------------------------------------------------------------------
     def merged(self, text: str) -> list[str]:
@@ -179,22 +180,22 @@ class Pieces:
         exits = [(p, stop - end) for stop in sorted(k for k in tail if k >= end) for p in tail[stop] if stop - len(p) < end]
         return {e: exits for e in ok}
 
-    def backtrace(self, text: str, left: int, n: int, entry: tuple, leave: tuple) -> bytes:
+    def backtrace(self, text: str, left: int, n: int, entry: tuple, leave: tuple) -> np.ndarray:
         """Ids of the pieces that begin in the chunk, given the states at its two borders."""
         first, last = self._borders(text, left, n)
         end = left + n
         stop = end + leave[1]
         if first is None:
             at = self.paths(text, left, end, [entry])
-            return b"".join(map(self.of, self._back(at, left, stop, leave[0], entry)))
-        out = []
+            return np.concatenate([NO_IDS, *map(self.of, self._back(at, left, stop, leave[0], entry))])
+        out = [NO_IDS]
         if left:
             at = self.paths(text, left, first, [entry])
             piece = next(p for p, f in at[first].items() if entry in f)
             out += map(self.of, self._back(at, left, first, piece, entry))
-        out += [self.word(w[1:].replace(MARK, " ")) for w in WORD.findall(text[first:last])]
+        out.append(self.words([w[1:].replace(MARK, " ") for w in WORD.findall(text[first:last])])[0])
         at = self.paths(text, last, end, [START])
-        return b"".join(out + [self.of(p) for p in self._back(at, last, stop, leave[0], START)])
+        return np.concatenate(out + [self.of(p) for p in self._back(at, last, stop, leave[0], START)])
 
 
 def combine(a: dict, b: dict) -> dict:
@@ -228,9 +229,9 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _list_of(ids: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0] + [len(b) // 4 for b in ids]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+def _list_of(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([NO_IDS, *ids])))
 
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +243,10 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for b in batches:
-            ids = [p.encode(t) for t in texts_of(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _list_of(ids)], names=[RID, "doc_id", "ids"])
+            texts = texts_of(b.column(2))
+            for a, z in slices([len(t) for t in texts], SLICE):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a),
+                                                  _list_of(p.encode(texts[a:z]))], names=[RID, "doc_id", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin = pieces(model).longest
@@ -301,10 +304,12 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
         p = pieces(model)
         for b in batches:
             ids = b.column(at)
-            flat, ends = ids.flatten().to_pylist(), np.cumsum([0] + [len(x) if x.is_valid else 0 for x in ids]).tolist()
-            text = pa.array([p.decode(flat[a:z]) for a, z in zip(ends, ends[1:])], pa.string())
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), text],
-                                             names=[*(n for n in b.schema.names if n != "ids"), "decoded"])
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+            for a, z in slices(np.diff(ends).tolist(), SLICE):
+                text = pa.array([p.decode(flat[i:j]) for i, j in zip(ends[a:z], ends[a + 1:z + 1])], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for i, c in enumerate(b.columns) if i != at), text],
+                                                 names=[*(n for n in b.schema.names if n != "ids"), "decoded"])
 
     keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
     return rows.mapInArrow(run, f"{keep}, decoded string")

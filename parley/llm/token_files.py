@@ -1,14 +1,13 @@
 """Token-ID output: documents in ascending id order as Simple-8b words, written and read back.
 
-Texts are encoded where they lie, packed, and the packed rows are range-partitioned by doc_id,
-sorted and written: one row per run of documents with its first ids, the Simple-8b words and the
-offsets of their blocks and documents ("binary" columns of a Parquet container, so that any store
-that Spark writes to will do). Position counts run inside a part; the parts' totals (one row a
-part) give the global start.
+Texts are range-partitioned by doc_id and sorted, encoded in that order, packed and written: one row
+per run of documents with its first position, the Simple-8b words and the offsets of their blocks
+("binary" columns of a Parquet container, so that any store that Spark writes to will do).
+Positions count inside a part; the parts' totals (one row a part) give the global start.
 
-The tokenizer works on pre-tokens that never cross a space or newline standing next to something
-else, so pieces between those are looked up in a bounded cache and only new ones go to the library;
-a text in which a space or newline has white space on both sides is encoded whole.
+The tokenizer's pre-tokens never cross a space or newline that stands next to something else, so a
+batch is cut there, its distinct words are encoded once, many to a call, and the ids are laid out by
+word. A text in which a space or newline has white space on both sides is encoded whole.
 
 NULL texts read as empty; every document ends with `end_id`. Documents without an id come first,
 equal ids stay apart, ordered by text checksum and row.
@@ -28,9 +27,11 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import RID, scratch_path, slices, texts_of, with_row_id
 from parley.llm.simple8b import pack_blocks, unpack_blocks
+from parley.llm.words import coded, expanded
 
 END_ID = 2
-CACHE = 500_000
+SLICE = 1 << 23  # characters encoded at a time
+JOINED = 4096  # words in a call
 RUN_IDS = 1 << 16  # ids of a written row; a longer document has a row of its own
 INNER_SPACE = re.compile(r"\s[ \n](?:\s|\Z)")
 
@@ -41,25 +42,51 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids (uint32, little-endian) of every text."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        # what follows a space keeps it, what follows a newline begins with it; the first piece has neither
-        split = [[t] if INNER_SPACE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        first = self.fresh([p[0] for p in split])
-        rest = [list(map(self.known.get, p[1:])) for p in split]
-        lacking = [i for i, r in enumerate(rest) if None in r]
-        new = list({w for i in lacking for w, ids in zip(split[i][1:], rest[i]) if ids is None})
-        self.known.update(zip(new, self.fresh([w if w[:1] == "\n" else " " + w for w in new])))
-        for i in lacking:
-            rest[i] = map(self.known.__getitem__, split[i][1:])
-        return [f + b"".join(r) for f, r in zip(first, rest)]
+        size = self.tok.get_vocab_size()
+        self.bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)])  # a character stands for a byte
+
+    def fresh(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and where each word's begin. Words without white space inside are
+        encoded strung together; their own lengths in bytes tell the ids apart."""
+        clean = np.array([s.split() == [s[1:]] for s in surfaces], dtype=bool)
+        n = np.zeros(len(surfaces), dtype=np.int64)
+        some, flat = np.flatnonzero(clean), np.zeros(0, dtype=np.uint32)
+        sizes = np.array([len(surfaces[i].encode()) for i in some], dtype=np.int64)
+        texts = ["".join(surfaces[i] for i in some[a:a + JOINED]) for a in range(0, len(some), JOINED)]
+        if texts:
+            flat = np.concatenate([ids for a in range(0, len(texts), 8) for ids in self.fresh(texts[a:a + 8])])
+            n[some] = np.diff(np.searchsorted(np.cumsum(self.bytes[flat]), np.cumsum(sizes)) + 1, prepend=0)
+        odd = self.fresh([surfaces[i] for i in np.flatnonzero(~clean)])
+        n[~clean] = [len(o) for o in odd]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.empty(ends[-1], dtype=np.uint32)
+        of_clean = np.repeat(clean, n)
+        ids[of_clean] = flat
+        if odd:
+            ids[~of_clean] = np.concatenate(odd)
+        return ids, ends
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text."""
+        whole = [i for i, t in enumerate(texts) if INNER_SPACE.search(t)]
+        out: list[np.ndarray] = [None] * len(texts)
+        for i, ids in zip(whole, self.fresh([texts[i] for i in whole])):
+            out[i] = ids
+        rest = [i for i in range(len(texts)) if out[i] is None]
+        codes, first, known = coded([texts[i].replace("\n", " \n") for i in rest])
+        # what follows a space keeps it, what follows a newline begins with it; a text's first word has neither
+        heads = [known[c] for c in codes[first[:-1]]]
+        codes[first[:-1]] = len(known) + np.arange(len(heads))
+        ids, ends = self.words([w if w[:1] == "\n" else " " + w for w in known])
+        tops = self.fresh(heads)
+        ends = np.concatenate([ends, ends[-1] + np.cumsum([len(h) for h in tops], dtype=np.int64)])
+        ids, before = expanded(codes, np.concatenate([ids, *tops]), ends)
+        for i, a, b in zip(rest, before[first[:-1]], before[first[1:]]):
+            out[i] = ids[a:b]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -75,46 +102,33 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
                                      .alias("crc"), RID, F.col(text_col).alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for b in batches:
-            texts = texts_of(b.column(3))
-            for a, z in slices([len(t) for t in texts], 1 << 22):
-                ids = [i + np.uint32(end_id).astype("<u4").tobytes() for i in enc.encode(texts[a:z])]
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).slice(a, z - a) for c in range(3)), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                     pa.array([np.frombuffer(i, "<u4").astype("<u2").tobytes() if max_id(i) < 65536 else i for i in ids])],
-                    names=["doc_id", "crc", RID, "n", "ids"])
-
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
         part, at, held, count = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
-            for key, n, ids in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist()):
-                if held and count + n > RUN_IDS:
-                    yield run(part, at, held, b.column("doc_id").type)
-                    at, held, count = at + count, [], 0
-                held.append((key, n, ids))
-                count += n
+            texts, keys = texts_of(b.column(1)), b.column(0).to_pylist()
+            for a, z in slices([len(t) for t in texts], SLICE):
+                for key, ids in zip(keys[a:z], enc.encode(texts[a:z])):
+                    if held and count + len(ids) >= RUN_IDS:
+                        yield run(part, at, held, b.column(0).type)
+                        at, held, count = at + count, [], 0
+                    held.append((key, np.concatenate([ids, end])))
+                    count += len(ids) + 1
         if held:
-            yield run(part, at, held, b.column("doc_id").type)
+            yield run(part, at, held, b.column(0).type)
 
-    encoded = rows.mapInArrow(encode, f"doc_id {kind}, crc long, {RID} long, n long, ids binary")
-    (encoded.repartitionByRange("doc_id", "crc", RID).sortWithinPartitions("doc_id", "crc", RID).select("doc_id", "n", "ids")
+    (rows.repartitionByRange("doc_id", "crc", RID).sortWithinPartitions("doc_id", "crc", RID).select("doc_id", "text")
      .mapInArrow(lay_out, f"part int, at long, ids long, doc_id array<{kind}>, n array<long>, words binary, offsets binary")
      .write.parquet(path))
 
 
-def max_id(ids: bytes) -> int:
-    return int(np.frombuffer(ids, "<u4").max(initial=0))
-
-
 def run(part: int, at: int, docs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     """One row of the container: the ids of documents in a row."""
-    ids = np.concatenate([np.frombuffer(i, "<u2" if len(i) == 2 * n else "<u4").astype(np.uint64) for _, n, i in docs])
+    ids = np.concatenate([i for _, i in docs])
     words, offsets = pack_blocks(ids)
     return pa.RecordBatch.from_arrays(
         [pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(ids)], pa.int64()),
-         pa.array([[k for k, _, _ in docs]], pa.list_(kind)), pa.array([[n for _, n, _ in docs]], pa.list_(pa.int64())),
+         pa.array([[k for k, _ in docs]], pa.list_(kind)), pa.array([[len(i) for _, i in docs]], pa.list_(pa.int64())),
          pa.array([words.astype("<u8").tobytes()]), pa.array([offsets.astype("<i8").tobytes()])],
         names=["part", "at", "ids", "doc_id", "n", "words", "offsets"])
 
