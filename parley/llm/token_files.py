@@ -5,9 +5,10 @@ per run of documents with its first position, the Simple-8b words and the offset
 ("binary" columns of a Parquet container, so that any store that Spark writes to will do).
 Positions count inside a part; the parts' totals (one row a part) give the global start.
 
-The tokenizer's pre-tokens never cross a space or newline that stands next to something else, so a
-batch is cut there, its distinct words are encoded once, many to a call, and the ids are laid out by
-word. A text in which a space or newline has white space on both sides is encoded whole.
+The tokenizer's pre-tokens never cross a space or newline that stands next to something else, nor go
+from a letter to a stop, so a batch is cut there, its distinct words are encoded once, many to a
+call, and the ids are laid out by word. A text in which a space or newline has white space on both
+sides, or a stop follows a space, is encoded whole.
 
 NULL texts read as empty; every document ends with `end_id`. Documents without an id come first,
 equal ids stay apart, ordered by text checksum and row.
@@ -33,7 +34,10 @@ END_ID = 2
 SLICE = 1 << 23  # characters encoded at a time
 JOINED = 4096  # words in a call
 RUN_IDS = 1 << 16  # ids of a written row; a longer document has a row of its own
-INNER_SPACE = re.compile(r"\s[ \n](?:\s|\Z)")
+CACHE = 250_000  # words remembered by a worker, the first ones it meets
+INNER_SPACE = re.compile(r"\s[ \n](?:\s|\Z)| [.,]")  # texts that the cuts below would not suit
+LETTER_STOP = re.compile(r"(?<=[A-Za-z])(?=[.,])")
+STOPS = ("\n", ".", ",")
 
 
 class Encoder:
@@ -43,31 +47,40 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings are ordinary text
         size = self.tok.get_vocab_size()
+        self.known: dict[str, bytes] = {}
         self.bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)])  # a character stands for a byte
 
     def fresh(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and where each word's begin. Words without white space inside are
+        """Ids of all words, and where each word's begin."""
+        found = list(map(self.known.get, surfaces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self.strung([surfaces[i] for i in new])):
+            found[i] = ids
+            if len(self.known) < CACHE:
+                self.known[surfaces[i]] = ids
+        ends = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64) // 4])
+        return np.frombuffer(b"".join(found), dtype="<u4"), ends
+
+    def strung(self, surfaces: list[str]) -> list[bytes]:
+        """Ids (uint32, little-endian) of each word. Words with a space or newline only in front are
         encoded strung together; their own lengths in bytes tell the ids apart."""
-        clean = np.array([s.split() == [s[1:]] for s in surfaces], dtype=bool)
-        n = np.zeros(len(surfaces), dtype=np.int64)
-        some, flat = np.flatnonzero(clean), np.zeros(0, dtype=np.uint32)
-        sizes = np.array([len(surfaces[i].encode()) for i in some], dtype=np.int64)
-        texts = ["".join(surfaces[i] for i in some[a:a + JOINED]) for a in range(0, len(some), JOINED)]
-        if texts:
-            flat = np.concatenate([ids for a in range(0, len(texts), 8) for ids in self.fresh(texts[a:a + 8])])
-            n[some] = np.diff(np.searchsorted(np.cumsum(self.bytes[flat]), np.cumsum(sizes)) + 1, prepend=0)
-        odd = self.fresh([surfaces[i] for i in np.flatnonzero(~clean)])
-        n[~clean] = [len(o) for o in odd]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = np.empty(ends[-1], dtype=np.uint32)
-        of_clean = np.repeat(clean, n)
-        ids[of_clean] = flat
-        if odd:
-            ids[~of_clean] = np.concatenate(odd)
-        return ids, ends
+        out: list[bytes] = [b""] * len(surfaces)
+        clean = [i for i, s in enumerate(surfaces) if s[0] in " \n" and s.split() == [s[1:]]]
+        for a in range(0, len(clean), JOINED):
+            part = clean[a:a + JOINED]
+            ids = self.fresh(["".join([surfaces[i] for i in part])])[0]
+            ends = np.cumsum([len(surfaces[i].encode()) for i in part])
+            cut = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).tolist()
+            raw = ids.astype("<u4").tobytes()
+            for i, x, z in zip(part, [0, *cut], cut):
+                out[i] = raw[x:z]
+        rest = sorted(set(range(len(surfaces))).difference(clean))
+        for i, ids in zip(rest, self.fresh([surfaces[i] for i in rest])):
+            out[i] = ids.astype("<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
@@ -76,11 +89,11 @@ class Encoder:
         for i, ids in zip(whole, self.fresh([texts[i] for i in whole])):
             out[i] = ids
         rest = [i for i in range(len(texts)) if out[i] is None]
-        codes, first, known = coded([texts[i].replace("\n", " \n") for i in rest])
-        # what follows a space keeps it, what follows a newline begins with it; a text's first word has neither
+        codes, first, known = coded([LETTER_STOP.sub(" ", texts[i]).replace("\n", " \n") for i in rest])
+        # what follows a space keeps it; a newline, or a stop cut off its word, begins a word; a text's first word has neither
         heads = [known[c] for c in codes[first[:-1]]]
         codes[first[:-1]] = len(known) + np.arange(len(heads))
-        ids, ends = self.words([w if w[:1] == "\n" else " " + w for w in known])
+        ids, ends = self.words([w if w[:1] in STOPS else " " + w for w in known])
         tops = self.fresh(heads)
         ends = np.concatenate([ends, ends[-1] + np.cumsum([len(h) for h in tops], dtype=np.int64)])
         ids, before = expanded(codes, np.concatenate([ids, *tops]), ends)
