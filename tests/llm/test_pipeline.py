@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from parley.llm import decontaminate, secrets_scan, simhash, toxicity
 from parley.llm.common import table
+from parley.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +49,14 @@ def test_registered(spark):
 
     names = set(__spark_entry__.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")} and "pipeline" in names
+
+
+@pytest.mark.parametrize("key", sorted(ORACLE_SQL))
+def test_matches_sql(spark, key):
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    want = con.execute(ORACLE_SQL[key])
+    names = [c[0] for c in want.description]
+    got = QUERIES[key](spark, SF)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
