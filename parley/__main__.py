@@ -16,7 +16,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("out_dir")
     ap.add_argument("--modules", default="", help="comma list (default: all)")
     ap.add_argument("--tz", default=None, help="wall-clock zone for local-time columns")
-    ap.add_argument("--jsonl", action="store_true", help="inputs are JSON Lines (splittable)")
+    ap.add_argument("--jsonl", action="store_true", help="read .json inputs as JSON Lines too (.jsonl and folders are)")
     a = ap.parse_args(argv)
 
     from parley import sinks
@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_spark()
     cfg = Config(tz=a.tz) if a.tz else Config()
     # normalised tables and stat tables are written once, straight into OUT_DIR/tables
-    ctx = context_for_export(spark, a.export_dir, cfg, multiline=not a.jsonl,
+    ctx = context_for_export(spark, a.export_dir, cfg, multiline=False if a.jsonl else None,
                              tables_dir=f"{a.out_dir.rstrip('/')}/tables")
     modules = [m for m in a.modules.split(",") if m] or sorted({m for m, _ in REGISTRY.values()})
     for m in modules:

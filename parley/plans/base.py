@@ -143,7 +143,7 @@ def context_for_tables(spark: SparkSession, t: Tables, cfg: Config | None = None
     return Context(spark, t, stats, cfg, materialized=materialize)
 
 
-def context_for_export(spark: SparkSession, root: str, cfg: Config | None = None, multiline: bool = True,
+def context_for_export(spark: SparkSession, root: str, cfg: Config | None = None, multiline: bool | None = None,
                        tables_dir: str | None = None) -> Context:
     """Context over one chat export folder: the JSON is parsed once into staged parquet under
     the shared checkpoint folder, the normalised and stat tables are written once (into
@@ -156,6 +156,9 @@ def context_for_export(spark: SparkSession, root: str, cfg: Config | None = None
     cfg = cfg or Config()
     t = export.load_dir(spark, root, multiline, stage_dir=prepare.scratch_dir(spark, "export"))
     t = materialize_tables(spark, t, base=tables_dir)
+    export.validate(t)
+    if not export.consistency(t).first()["consistent"]:
+        raise ValueError("the number of tool_use blocks and of tool calls differ")
     stats = prepare.build_materialized(t, cfg, spark, base_dir=f"{tables_dir}/stats" if tables_dir else None)
     prepare.assert_sane(stats)
     return Context(spark, t, stats, cfg, materialized=True)

@@ -8,10 +8,10 @@ from parley.operators.stats import S, bucketize, summary_stats
 from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi) — half-open [lo, hi).
-MSG_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16–50", 16, 51), ("51–100", 51, 101), ("101+", 101, 1e9)]
-TURN_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16–50", 16, 51), ("51+", 51, 1e9)]
+MSG_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16–50", 16, 51), ("51–100", 51, 101), ("101+", 101, float("inf"))]
+TURN_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16–50", 16, 51), ("51+", 51, float("inf"))]
 TOKEN_BUCKETS = [("<500", 0, 500), ("500–2K", 500, 2000), ("2K–10K", 2000, 10000), ("10K–50K", 10000, 50000),
-                 ("50K+", 50000, 1e12)]
+                 ("50K+", 50000, float("inf"))]
 
 M = "m01"
 

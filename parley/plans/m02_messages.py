@@ -10,7 +10,7 @@ from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
 TOKEN_BUCKETS = [("<50", 0, 50), ("50–200", 50, 200), ("200–1K", 200, 1000), ("1K–5K", 1000, 5000),
-                 ("5K+", 5000, 1e12)]
+                 ("5K+", 5000, float("inf"))]
 # Labels are English renderings of the source's labels; edges, patterns and members are the source's values.
 CODE_SHARE_BUCKETS = [("0% (no code)", 0, 1e-9), (">0–10%", 1e-9, 10), ("10–30%", 10, 30), ("30–60%", 30, 60),
                       ("60%+", 60, 100.0001)]

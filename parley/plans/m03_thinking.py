@@ -12,14 +12,14 @@ from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
 RESPONSE_BUCKETS = [("<200", 0, 200), ("200–1K", 200, 1000), ("1K–3K", 1000, 3000), ("3K–10K", 3000, 10000),
-                    ("10K+", 10000, 1e12)]
+                    ("10K+", 10000, float("inf"))]
 THINKING_BUCKETS = [("<200", 0, 200), ("200–1K", 200, 1000), ("1K–3K", 1000, 3000), ("3K–10K", 3000, 10000),
-                    ("10K+", 10000, 1e12)]
+                    ("10K+", 10000, float("inf"))]
 # Labels are English renderings of the source's labels; edges, patterns and members are the source's values.
 THINK_SHARE_BUCKETS = [("0% (no thinking)", 0, 1e-9), (">0–20%", 1e-9, 20), ("20–50%", 20, 50),
                        ("50–80%", 50, 80), ("80%+", 80, 100.0001)]
 CONVO_THINKING_BUCKETS = [("<1K", 0, 1000), ("1K–5K", 1000, 5000), ("5K–20K", 5000, 20000),
-                          ("20K–50K", 20000, 50000), ("50K+", 50000, 1e12)]
+                          ("20K–50K", 20000, 50000), ("50K+", 50000, float("inf"))]
 
 M = "m03"
 

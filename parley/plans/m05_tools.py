@@ -12,10 +12,10 @@ from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_sta
 from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
-TOOL_BUCKETS = [("0", 0, 1), ("1", 1, 2), ("2–9", 2, 10), ("10–49", 10, 50), ("50+", 50, 1e9)]
-DIVERSITY_BUCKETS = [("0", 0, 1), ("1", 1, 2), ("2–3", 2, 4), ("4–6", 4, 7), ("7+", 7, 1e9)]
+TOOL_BUCKETS = [("0", 0, 1), ("1", 1, 2), ("2–9", 2, 10), ("10–49", 10, 50), ("50+", 50, float("inf"))]
+DIVERSITY_BUCKETS = [("0", 0, 1), ("1", 1, 2), ("2–3", 2, 4), ("4–6", 4, 7), ("7+", 7, float("inf"))]
 # Labels are English renderings of the source's labels; edges, patterns and members are the source's values.
-DURATION_BUCKETS = [("<1s", 0, 1), ("1–5s", 1, 5), ("5–30s", 5, 30), ("30s–2m", 30, 120), ("2m+", 120, 1e9)]
+DURATION_BUCKETS = [("<1s", 0, 1), ("1–5s", 1, 5), ("5–30s", 5, 30), ("30s–2m", 30, 120), ("2m+", 120, float("inf"))]
 # Explicit tool-name membership per category (server prefix removed first);
 # category names are English renderings of the source's names, members are the source's.
 TOOL_CATEGORIES = [

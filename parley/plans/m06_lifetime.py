@@ -14,11 +14,11 @@ from parley.plans.base import Context, report
 # Bucket edges in seconds / messages (label, lo, hi), half-open.
 # Labels are English renderings of the source's labels; edges, patterns and members are the source's values.
 LIFETIME_BUCKETS = [("0s (same timestamp)", 0, 1), ("<1m", 1, 60), ("1–10m", 60, 600), ("10m–1h", 600, 3600),
-                    ("1–24h", 3600, 86400), ("1–7d", 86400, 604800), (">7d", 604800, 10 ** 12)]
+                    ("1–24h", 3600, 86400), ("1–7d", 86400, 604800), (">7d", 604800, float("inf"))]
 GAP_BUCKETS = [("<10s", 0, 10), ("10–60s", 10, 60), ("1–10m", 60, 600), ("10m–1h", 600, 3600),
-               ("1–24h", 3600, 86400), (">1d", 86400, 10 ** 12)]
+               ("1–24h", 3600, 86400), (">1d", 86400, float("inf"))]
 RESP_BUCKETS = GAP_BUCKETS
-MSG_BUCKETS = [("2–5", 2, 6), ("6–15", 6, 16), ("16–50", 16, 51), ("51+", 51, 10 ** 9)]
+MSG_BUCKETS = [("2–5", 2, 6), ("6–15", 6, 16), ("16–50", 16, 51), ("51+", 51, float("inf"))]
 SESSION_GAP_S = 3600
 
 M = "m06"

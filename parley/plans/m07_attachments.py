@@ -13,8 +13,8 @@ from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
 SIZE_BUCKETS = [("<1 KB", 0, 1024), ("1–10 KB", 1024, 10240), ("10–100 KB", 10240, 102400),
-                ("100 KB–1 MB", 102400, 1048576), (">1 MB", 1048576, 10 ** 12)]
-PER_CONVO_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16+", 16, 10 ** 9)]
+                ("100 KB–1 MB", 102400, 1048576), (">1 MB", 1048576, float("inf"))]
+PER_CONVO_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16+", 16, float("inf"))]
 UNKNOWN_TYPE = "(unknown)"
 TOP_TYPES = 8
 TOP_TYPES_MONTHLY = 4

@@ -9,13 +9,13 @@ from parley.operators.stats import S, bucketize, r6, summary_stats
 from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
-DOCS_PER_PROJECT_BUCKETS = [("0", 0, 1), ("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16+", 16, 10 ** 9)]
+DOCS_PER_PROJECT_BUCKETS = [("0", 0, 1), ("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16+", 16, float("inf"))]
 DOC_LEN_BUCKETS = [("<1 K", 0, 1000), ("1–10 K", 1000, 10000), ("10–100 K", 10000, 100000),
-                   ("100 K–1 M", 100000, 1000000), (">1 M", 1000000, 10 ** 12)]
+                   ("100 K–1 M", 100000, 1000000), (">1 M", 1000000, float("inf"))]
 # "none" holds empty / missing prompts; the other buckets hold positive lengths.
 # Labels are English renderings of the source's labels; edges, patterns and members are the source's values.
 PROMPT_LEN_BUCKETS = [("none", -1, 0), ("<200", 0, 200), ("200–1 K", 200, 1000), ("1–5 K", 1000, 5000),
-                      ("5 K+", 5000, 10 ** 9)]
+                      ("5 K+", 5000, float("inf"))]
 
 M = "m08"
 NEEDS = ("projects", "docs")

@@ -11,9 +11,9 @@ from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_sta
 from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
-PER_CONVO_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16–50", 16, 51), ("51+", 51, 10 ** 9)]
+PER_CONVO_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–15", 6, 16), ("16–50", 16, 51), ("51+", 51, float("inf"))]
 CONTENT_LEN_BUCKETS = [("<500", 0, 500), ("500–2 K", 500, 2000), ("2–10 K", 2000, 10000),
-                       ("10–50 K", 10000, 50000), ("50 K+", 50000, 10 ** 9)]
+                       ("10–50 K", 10000, 50000), ("50 K+", 50000, float("inf"))]
 # Raw artifact type -> readable label (others pass through).
 TYPE_LABELS = {
     "text/markdown": "markdown",

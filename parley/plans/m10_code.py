@@ -13,8 +13,8 @@ from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
 BLOCK_LEN_BUCKETS = [("<100", 0, 100), ("100–500", 100, 500), ("500–2 K", 500, 2000), ("2–10 K", 2000, 10000),
-                     ("10 K+", 10000, 10 ** 9)]
-BLOCKS_PER_CONVO_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–20", 6, 21), ("21–100", 21, 101), ("100+", 101, 10 ** 9)]
+                     ("10 K+", 10000, float("inf"))]
+BLOCKS_PER_CONVO_BUCKETS = [("1", 1, 2), ("2–5", 2, 6), ("6–20", 6, 21), ("21–100", 21, 101), ("100+", 101, float("inf"))]
 CODE_SHARE_BUCKETS = [("0%", 0.0, 1e-9), (">0–10%", 1e-9, 0.10), ("10–30%", 0.10, 0.30), ("30–60%", 0.30, 0.60),
                       ("60%+", 0.60, 1.01)]
 # Language tag aliases (after trim, lower case, first word).

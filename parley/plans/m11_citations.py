@@ -9,7 +9,7 @@ from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_sta
 from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
-PER_CONVO_BUCKETS = [("1-4", 1, 5), ("5-19", 5, 20), ("20-49", 20, 50), ("50-99", 50, 100), ("100+", 100, 10 ** 9)]
+PER_CONVO_BUCKETS = [("1-4", 1, 5), ("5-19", 5, 20), ("20-49", 20, 50), ("50-99", 50, 100), ("100+", 100, float("inf"))]
 WEB_TOOLS = ["web_search", "web_fetch"]
 TOP_DOMAINS = 20
 

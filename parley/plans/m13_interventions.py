@@ -18,7 +18,7 @@ from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_sta
 from parley.plans.base import Context, report
 
 # Fork points per conversation, closed [lo, hi] integer buckets.
-FORK_PER_CONVO_BUCKETS = [("1", 1, 1), ("2-5", 2, 5), ("6-20", 6, 20), ("20+", 21, 10 ** 9)]
+FORK_PER_CONVO_BUCKETS = [("1", 1, 1), ("2-5", 2, 5), ("6-20", 6, 20), ("20+", 21, float("inf"))]
 # In-place edit delay in seconds, half-open.
 # Labels are English renderings of the source's labels; edges, patterns and members are the source's values.
 INPLACE_DELTA_BUCKETS = [("1–5m", 60, 300), ("5–60m", 300, 3600), ("1–24h", 3600, 86400),

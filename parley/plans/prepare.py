@@ -83,12 +83,16 @@ def stats_message(t: Tables, cfg: Config) -> DataFrame:
     per_uuid = per_uuid.where(F.col("message_uuid").isNotNull()).groupBy("message_uuid").agg(
         F.sum("c").alias("tool_use_count"), F.sum("r").alias("tool_result_count"), F.sum("k").alias("child_count"))
     # parent's children (S10): the same aggregate looked up by the parent key, on the narrow
-    # (uuid, parent) projection; the wide per-message rows (they carry the code bodies) are
-    # then shuffled once, for a single join by their unique uuid
+    # (uuid, parent) projection of rows that have a real parent; both facts meet in one
+    # aggregate by uuid, and the wide per-message rows are shuffled once, for one join with it
     parent_cc = per_uuid.where(F.col("child_count") > 0).select(
         F.col("message_uuid").alias("parent_message_uuid"), F.col("child_count").alias("_siblings"))
-    siblings = m.select("message_uuid", "parent_message_uuid").join(parent_cc, "parent_message_uuid", "left")
-    flags = siblings.select("message_uuid", "_siblings").join(per_uuid, "message_uuid", "left")
+    counts = ("tool_use_count", "tool_result_count", "child_count")
+    siblings = (m.where(~is_root_parent() & F.col("message_uuid").isNotNull())
+                .select("message_uuid", "parent_message_uuid").join(parent_cc, "parent_message_uuid")
+                .select("message_uuid", "_siblings", *[F.lit(None).cast("long").alias(c) for c in counts]))
+    flags = (siblings.unionByName(per_uuid.withColumn("_siblings", F.lit(None).cast("long")))
+             .groupBy("message_uuid").agg(*[F.max(c).alias(c) for c in ("_siblings", *counts)]))
     base = base.join(flags, "message_uuid", "left")
 
     delta = TM.epoch_seconds_between("updated_at", "created_at")

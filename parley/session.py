@@ -43,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder; only set one when none is configured."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="parley-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:

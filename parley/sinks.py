@@ -18,7 +18,7 @@ ROW_LEVEL = {
     "m01_data", "m02_data", "m03_assistant_rows", "m09_parse", "m11_citations", "m11_domains",
     "m11_web_calls", "m11_scatter", "m12_error_messages", "m12_normalize", "m13_fork_list",
     "m13_inplace_list", "m13_multi_root_list", "stats_message_base", "message_tokens", "code_blocks",
-    "inline_code_count", "inplace_edit", "child_count", "fork_flags", "root_sender_forks", "stats_conversation",
+    "message_text", "code_concat", "m12_tool_rates", "inline_code_count", "inplace_edit", "child_count", "fork_flags", "root_sender_forks", "stats_conversation",
 }
 
 

@@ -6,7 +6,7 @@ char sums), so building `messages` needs no explode-and-regroup shuffle. Block-l
 (blocks, tool calls / results, citations) are narrow explodes of the same rows.
 
 A top-level JSON array file is one task per file (`multiLine`); for large exports pass
-JSON Lines (one conversation per line, `multiline=False`), which Spark splits freely.
+JSON Lines (`.jsonl` or a folder of part files, a conversation per line), which Spark splits freely.
 """
 
 from __future__ import annotations
@@ -21,27 +21,37 @@ EXPORT_FILES = ("conversations.json", "projects.json", "users.json")
 
 
 def find_export(spark: SparkSession, root: str) -> dict[str, str]:
-    """Locate the three export inputs at any depth below `root` (shallowest wins) and
+    """Locate the three export inputs at any depth below `root` (a folder with all three first, then the shallowest) and
     raise when one is missing. Each input may be `<name>.json`, `<name>.jsonl`, or a folder
     `<name>/` of part files (large exports: many splittable JSON Lines files read in
     parallel). Listing runs through Spark's file index; only one path per input returns."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select(F.col("path")))
-    found: dict[str, str] = {}
+    cand = None
     for name in EXPORT_FILES:
         stem = name.rsplit(".", 1)[0]
         as_file = F.regexp_extract("path", rf"^(.*/{stem}\.jsonl?)$", 1)
         as_dir = F.regexp_extract("path", rf"^(.*/{stem})/[^/]+$", 1)
-        cand = files.select(F.when(as_file != "", as_file).when(as_dir != "", as_dir).alias("p")).where("p IS NOT NULL")
-        rows = cand.distinct().orderBy(F.length("p"), "p").limit(1).collect()
-        if not rows:
+        one = files.select(F.lit(name).alias("name"), F.when(as_file != "", as_file).when(as_dir != "", as_dir).alias("p"))
+        cand = one if cand is None else cand.unionByName(one)
+    cand = cand.where("p IS NOT NULL").distinct().withColumn("folder", F.regexp_extract("p", "^(.*)/[^/]+$", 1))
+    # one folder that holds all three comes before any file elsewhere, then the fewest path parts
+    whole = cand.groupBy("folder").agg((F.count_distinct("name") == len(EXPORT_FILES)).alias("whole"))
+    best = (cand.join(whole, "folder").groupBy("name")
+            .agg(F.min(F.struct(~F.col("whole"), F.size(F.split("p", "/")), F.col("p").alias("p"))).alias("best")))
+    found = {r["name"]: r["best"]["p"] for r in best.collect()}  # one row an input
+    for name in EXPORT_FILES:
+        if name not in found:
             raise FileNotFoundError(f"missing in export: {name}")
-        found[name] = rows[0]["p"]
     return found
 
 
-def _read(spark: SparkSession, path: str, schema, multiline: bool) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
+def _read(spark: SparkSession, path: str, schema, multiline: bool | None) -> DataFrame:
+    """A `.json` file is one JSON value (usually an array); `.jsonl` files and folders of part
+    files hold a record per line. A record that is no JSON of this shape fails the read."""
+    if multiline is None:
+        multiline = path.endswith(".json")
+    return spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
 
 
 def _ts(s: Column) -> Column:
@@ -186,7 +196,7 @@ def files(rows: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, conversations_path: str, projects_path: str | None = None,
-         users_path: str | None = None, multiline: bool = True, stage_dir: str | None = None) -> Tables:
+         users_path: str | None = None, multiline: bool | None = None, stage_dir: str | None = None) -> Tables:
     """Normalised tables of one export (lazy DataFrames).
 
     stage_dir: parse the conversations file once into parquet there (conversation rows and
@@ -217,7 +227,7 @@ def load(spark: SparkSession, conversations_path: str, projects_path: str | None
     )
 
 
-def load_dir(spark: SparkSession, root: str, multiline: bool = True, stage_dir: str | None = None) -> Tables:
+def load_dir(spark: SparkSession, root: str, multiline: bool | None = None, stage_dir: str | None = None) -> Tables:
     p = find_export(spark, root)
     return load(spark, p["conversations.json"], p["projects.json"], p["users.json"], multiline, stage_dir)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
@@ -157,3 +158,44 @@ def test_empty_export_fails_sanity(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text("[]")
     with pytest.raises(ValueError):
         context_for_export(spark, str(tmp_path))
+
+
+def _write(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(text)
+
+
+def _small_export(root, conversations, name="conversations.json"):
+    _write(f"{root}/{name}", conversations)
+    _write(f"{root}/projects.json", "[]")
+    _write(f"{root}/users.json", "[]")
+
+
+def _conversation(i, message):
+    return json.dumps({"uuid": f"c{i}", "name": "n", "chat_messages": [{"uuid": message, "text": "x", "sender": "human", "content": []}]})
+
+
+def test_json_lines_are_read_line_by_line_by_default(spark, tmp_path):
+    lines = "\n".join(_conversation(i, f"m{i}") for i in range(5))
+    _small_export(tmp_path / "a", lines, "conversations.jsonl")
+    assert export.load_dir(spark, str(tmp_path / "a")).conversations.count() == 5
+    _small_export(tmp_path / "b", lines, "conversations/part-0.json")
+    assert export.load_dir(spark, str(tmp_path / "b")).conversations.count() == 5
+
+
+def test_malformed_records_and_repeated_keys_fail(spark, tmp_path):
+    from parley.plans.base import context_for_export
+
+    _small_export(tmp_path / "a", _conversation(1, "m1") + "\n{broken\n", "conversations.jsonl")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        export.load_dir(spark, str(tmp_path / "a")).conversations.collect()
+    _small_export(tmp_path / "b", "[" + _conversation(1, "m1") + "," + _conversation(2, "m1") + "]")
+    with pytest.raises(ValueError, match="messages:m1"):
+        context_for_export(spark, str(tmp_path / "b"))
+
+
+def test_export_is_found_by_depth(spark, tmp_path):
+    _small_export(tmp_path / "a_very_long_folder_name_for_an_export", "[]")
+    _write(f"{tmp_path}/a/b/c/conversations.json", "[]")
+    assert export.find_export(spark, str(tmp_path))["conversations.json"].endswith("a_very_long_folder_name_for_an_export/conversations.json")
