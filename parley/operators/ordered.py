@@ -4,13 +4,12 @@ safe for hot groups.
 `Window.partitionBy(group)` sends every row of a group to one task, so a conversation that
 holds a third of all messages would be sorted and buffered by a single task. These helpers
 first count rows per group (partial aggregation: a hot group costs one row per map task).
-Groups above `target_rows` are cut into contiguous chunks of their sort key; the window runs
-per (group, chunk) and chunk boundaries are stitched with per-chunk aggregates (one row per
-chunk), so no task holds more than about `target_rows` rows of one group. When no group is
-that large, the plan is the plain per-group window.
-
-The hot-group list is bounded by construction (at most total_rows / target_rows rows) and
-small, so it joins the rows as a broadcast; the row count decides the path before planning.
+The rows of groups above `target_rows` are range-partitioned by group and the whole sort order
+(so equal timestamps, clustered ones and NULLs are cut like any others) and written with the
+number of their range as `_chunk`; the window runs per (group, chunk) and chunk boundaries are
+stitched with per-chunk aggregates (one row per chunk). Ranges are cut from Spark's sample of the
+keys, at half the target, so that a task stays near it. When no group is that large, the plan
+is the plain per-group window.
 """
 
 from __future__ import annotations
@@ -19,50 +18,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.operators.sizing import is_small
-
 DEFAULT_TARGET_ROWS = 2_000_000
-NULL_CHUNK = 2 ** 62  # rows whose sort key is NULL sort last: their own final chunk
-BROADCAST_ROWS_LIMIT = 5_000_000
-
-
-def _key(col: str, kind: str) -> Column:
-    c = F.col(col)
-    return F.unix_micros(c) if kind == "timestamp" else c.cast("long")
-
-
-def add_chunk(df: DataFrame, group: str, key: str, target_rows: int) -> tuple[DataFrame, bool]:
-    """Add `_chunk` (0 for ordinary groups; contiguous key ranges of ~target_rows rows for hot
-    groups, NULL keys last). Returns (frame, any_hot_group)."""
-    if is_small(df, target_rows):
-        # fewer bytes than the row target means fewer rows than the target: nothing is hot
-        return df.withColumn("_chunk", F.lit(0).cast("long")), False
-    kind = "timestamp" if df.schema[key].dataType.typeName().startswith("timestamp") else "number"
-    k = _key(key, kind)
-    stats = (df.groupBy(group)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(k).alias("_lo"), F.max(k).alias("_hi"))
-             .where(F.col("_n") > target_rows))
-    n_hot = stats.count()  # small aggregate job; decides the plan
-    if n_hot == 0:
-        return df.withColumn("_chunk", F.lit(0).cast("long")), False
-    if n_hot > BROADCAST_ROWS_LIMIT:  # impossible below total_rows / target_rows, kept as a guard
-        raise ValueError(f"{n_hot} hot groups: raise target_rows")
-    width = F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) * float(target_rows) / F.col("_n"))
-    chunk = (F.when(F.col("_n").isNull(), F.lit(0))
-             .when(k.isNull(), F.lit(NULL_CHUNK))
-             .otherwise(F.floor((k - F.col("_lo")) / width))).cast("long")
-    j = df.join(F.broadcast(stats), group, "left")  # bounded: <= total_rows / target_rows rows
-    return j.withColumn("_chunk", chunk).drop("_n", "_lo", "_hi"), True
+
+def add_chunk(df: DataFrame, group: str, order: list[str], target_rows: int) -> tuple[DataFrame, bool]:
+    """Add `_chunk`: 0 for ordinary groups, contiguous ranges of `order` for hot ones (rows
+    without a group are one more group). Returns (frame, any_hot_group)."""
+    hot = (df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows))
+    n_hot = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()  # small aggregate job; decides the plan
+    plain = df.withColumn("_chunk", F.lit(0).cast("long"))
+    if n_hot[0] == 0:
+        return plain, False
+    same = F.col(group).eqNullSafe(F.col("_g"))
+    ranges = max(2, -(-2 * n_hot[1] // target_rows))
+    rows = df.join(hot.select("_g"), same, "left_semi").repartitionByRange(ranges, F.col(group).asc_nulls_last(), *_order(order))
+    # written, as two evaluations of a range partitioning may cut differently
+    rows = rows.withColumn("_chunk", F.spark_partition_id().cast("long")).checkpoint()
+    return plain.join(hot.select("_g"), same, "left_anti").unionByName(rows), True
 
 
 def _order(order: list[Column | str]) -> list[Column]:
     return [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in order]
 
 
+def _by_chunk(c: DataFrame, per: DataFrame, group: str) -> DataFrame:
+    """Per-chunk facts (one row per group and chunk) put onto the rows; NULL groups match too."""
+    per = per.withColumnsRenamed({group: "_pg", "_chunk": "_pc"})
+    return c.join(per, F.col(group).eqNullSafe(F.col("_pg")) & (F.col("_chunk") == F.col("_pc")), "left").drop("_pg", "_pc")
+
+
 def lag_within(df: DataFrame, group: str, order: list[str], cols: list[str],
                target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Add prev_<col> = value of the previous row of the group in `order` (NULL for the first)."""
-    c, hot = add_chunk(df, group, order[0], target_rows)
+    c, hot = add_chunk(df, group, order, target_rows)
     w = Window.partitionBy(group, "_chunk").orderBy(*_order(order))
     c = c.select("*", *[F.lag(x).over(w).alias(f"prev_{x}") for x in cols],
                  F.row_number().over(w).alias("_rn"))
@@ -74,7 +61,7 @@ def lag_within(df: DataFrame, group: str, order: list[str], cols: list[str],
         last = c.groupBy(group, "_chunk").agg(F.max(F.struct(okey.alias("k"), *[F.col(x) for x in cols])).alias("_l"))
         wc = Window.partitionBy(group).orderBy("_chunk")
         last = last.select(group, "_chunk", F.lag("_l").over(wc).alias("_pl"))
-        c = c.join(last, [group, "_chunk"], "left")
+        c = _by_chunk(c, last, group)
         for x in cols:
             c = c.withColumn(f"prev_{x}", F.when(F.col("_rn") == 1, F.col("_pl")[x]).otherwise(F.col(f"prev_{x}")))
         c = c.drop("_pl")
@@ -84,28 +71,28 @@ def lag_within(df: DataFrame, group: str, order: list[str], cols: list[str],
 def row_number_within(df: DataFrame, group: str, order: list[str], name: str = "rn",
                       target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Add the 1-based rank of each row inside its group by `order` (ties by later columns)."""
-    c, hot = add_chunk(df, group, order[0], target_rows)
+    c, hot = add_chunk(df, group, order, target_rows)
     w = Window.partitionBy(group, "_chunk").orderBy(*_order(order))
     c = c.withColumn(name, F.row_number().over(w).cast("long"))
     if hot:
         sizes = c.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_s"))
         wc = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         sizes = sizes.select(group, "_chunk", F.coalesce(F.sum("_s").over(wc), F.lit(0)).alias("_off"))
-        c = c.join(sizes, [group, "_chunk"], "left").withColumn(name, F.col(name) + F.col("_off")).drop("_off")
+        c = _by_chunk(c, sizes, group).withColumn(name, F.col(name) + F.col("_off")).drop("_off")
     return c.drop("_chunk")
 
 
 def min_after(df: DataFrame, group: str, order: list[str], values: dict[str, Column],
               target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Add, per name, min(value) over the rows strictly after each row in its group."""
-    c, hot = add_chunk(df, group, order[0], target_rows)
+    c, hot = add_chunk(df, group, order, target_rows)
     w = Window.partitionBy(group, "_chunk").orderBy(*_order(order)).rowsBetween(1, Window.unboundedFollowing)
     c = c.select("*", *[F.min(v).over(w).alias(n) for n, v in values.items()])
     if hot:
         per = c.groupBy(group, "_chunk").agg(*[F.min(v).alias(f"_m_{n}") for n, v in values.items()])
         wc = Window.partitionBy(group).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
         per = per.select(group, "_chunk", *[F.min(f"_m_{n}").over(wc).alias(f"_a_{n}") for n in values])
-        c = c.join(per, [group, "_chunk"], "left")
+        c = _by_chunk(c, per, group)
         for n in values:
             c = c.withColumn(n, F.least(F.col(n), F.col(f"_a_{n}"))).drop(f"_a_{n}")
     return c.drop("_chunk")

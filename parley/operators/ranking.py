@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.operators.sizing import is_small
 
 
 def order_key(*cols: Column | str, desc: bool = False) -> Column:
@@ -62,9 +61,7 @@ def top_k_per_group(df: DataFrame, group: list[str], k: int, order: list[Column]
     hot = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows)
            .select(*group, F.ceil(F.col("_n") / F.lit(target_rows)).cast("long").alias("_nb")))
     final = Window.partitionBy(*group).orderBy(*order)
-    # skip the count on inputs estimated below target_rows bytes (fewer rows than the target);
-    # otherwise a small aggregate job, bounded by total_rows / target_rows groups
-    if not is_small(df, target_rows) and hot.count() > 0:
+    if not hot.isEmpty():  # a small aggregate job, bounded by total_rows / target_rows groups
         salt = F.when(F.col("_nb").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]),
                                                                         F.col("_nb")))
         s = df.join(F.broadcast(hot), group, "left").withColumn("_salt", salt)

@@ -35,7 +35,7 @@ def test_hot_group_is_a_third(skewed):
 
 def test_chunks_bound_rows_per_window_partition(skewed):
     target = 20
-    c, hot = add_chunk(skewed, "conversation_uuid", "created_at", target)
+    c, hot = add_chunk(skewed, "conversation_uuid", ORDER, target)
     assert hot
     sizes = c.groupBy("conversation_uuid", "_chunk").count()
     assert sizes.agg(F.max("count")).collect()[0][0] <= 3 * target
@@ -63,3 +63,29 @@ def test_salted_top_k_on_hot_group(skewed):
     w = Window.partitionBy("conversation_uuid").orderBy(*order)
     plain = skewed.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("message_uuid", "rank")
     assert rows(got) == rows(plain)
+
+
+def test_chunks_are_bounded_for_ties_clusters_and_nulls(spark):
+    """One timestamp for a whole hot group, clustered ones, NULL keys, NULL group: no chunk grows past the target."""
+    from pyspark.sql import functions as F
+
+    from parley.operators import ordered
+
+    target = 500
+    n = spark.range(8000).select(
+        F.when(F.col("id") < 2000, "tied").when(F.col("id") < 4000, "clustered").when(F.col("id") < 6000, "nulls")
+        .when(F.col("id") < 7900, F.lit(None)).otherwise("small").alias("g"),
+        F.when(F.col("id") < 2000, 7).when(F.col("id") == 2000, 10 ** 12).when(F.col("id") < 4000, F.col("id") % 3)
+        .when(F.col("id") < 6000, F.lit(None)).otherwise(F.col("id")).alias("t"), F.col("id"))
+    chunked, hot = ordered.add_chunk(n, "g", ["t", "id"], target)
+    sizes = {(r.g, r._chunk): r["count"] for r in chunked.groupBy("g", "_chunk").count().collect()}
+    assert hot and max(sizes.values()) <= target and sum(sizes.values()) == 8000
+    got = ordered.row_number_within(n, "g", ["t", "id"], "rn", target)
+    got = ordered.lag_within(got, "g", ["t", "id"], ["id"], target).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append(r)
+    for rows in by.values():
+        rows.sort(key=lambda r: (r.t is None, r.t or 0, r.id))
+        assert [r.rn for r in rows] == list(range(1, len(rows) + 1))
+        assert [r.prev_id for r in rows] == [None] + [r.id for r in rows[:-1]]

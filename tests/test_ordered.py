@@ -20,7 +20,7 @@ def msgs(tctx):
 
 
 def test_small_target_really_chunks(msgs):
-    c, hot = add_chunk(msgs, "conversation_uuid", "created_at", 2)
+    c, hot = add_chunk(msgs, "conversation_uuid", ORDER, 2)
     assert hot and c.where(F.col("_chunk") > 0).count() > 0
 
 
