@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Once per application: send this package to the executors, whose Python may not have it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_llm_package_sent", False):
+        return
+    here = Path(__file__).parent.parent
+    with zipfile.ZipFile(archive := Path(tempfile.mkdtemp(prefix="llm-package-")) / "parley.zip", "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    sc._llm_package_sent = True
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """A row id that is the same on every evaluation of the same file scan, so that rows with
     equal or missing ids stay apart."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import labelled_sample, texts_of
+from parley.llm.common import labelled_sample, ship_package, texts_of
 
 PIECE = 1 << 17  # bytes convolved at a time
 
@@ -132,6 +132,7 @@ def fit(examples: list[tuple[list[bytes], int]], p: NetParams) -> Net:
 
 
 def train(docs: DataFrame, labels: DataFrame, p: NetParams = NetParams(), label: str = "quality") -> Net:
+    ship_package(docs.sparkSession)
     ids = labelled_sample(labels, label, p.mod, p.held, p.per_class, p.seed)  # bounded, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
@@ -148,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, p: NetParams = NetParams(), label:
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row, in one pass without a shuffle."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

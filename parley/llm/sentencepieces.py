@@ -33,7 +33,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, slices, texts_of, with_row_id
+from parley.llm.common import RID, ship_package, slices, texts_of, with_row_id
 from parley.llm.words import coded, expanded
 
 MARK = "▁"
@@ -236,6 +236,7 @@ def _list_of(ids: list[np.ndarray]) -> pa.Array:
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row id, doc_id, ids array<int>) of every row; `model` is a path that every executor can read."""
+    ship_package(docs.sparkSession)
     rows = with_row_id(docs).select(RID, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     long = F.coalesce(F.length("text"), F.lit(0)) >= chunk  # with the dummy prefix: more than one chunk
@@ -298,6 +299,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
     """rows with a column `ids` -> the same rows with its text `decoded` in place of it."""
+    ship_package(rows.sparkSession)
     at = rows.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from parley.llm.common import RID, scratch_path, with_row_id
+from parley.llm.common import RID, scratch_path, ship_package, with_row_id
 
 SHARDS = 16
 BUCKET_BYTES = 16 << 20
@@ -43,6 +43,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_B
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with two more columns, shard int and slot long, in shuffled order by bucket."""
     spark = docs.sparkSession
+    ship_package(spark)
     if clash := {BUCKET, SHARD, SLOT} & set(docs.columns):
         raise ValueError(f"rename the columns {sorted(clash)} first")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, texts_of, with_row_id, written
+from parley.llm.common import RID, ship_package, texts_of, with_row_id, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -56,6 +56,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row id, id, fp long) for every row, in one pass without a shuffle."""
+    ship_package(docs.sparkSession)
     narrow = with_row_id(docs).select(RID, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"{RID} long, doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long"
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, scratch_path, slices, texts_of, with_row_id
+from parley.llm.common import RID, scratch_path, ship_package, slices, texts_of, with_row_id
 from parley.llm.simple8b import pack_blocks, unpack_blocks
 from parley.llm.words import coded, expanded
 
@@ -111,6 +111,7 @@ def encoder(path: str) -> Encoder:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id",
           text_col: str = "text") -> None:
     """`tokenizer` is a file that every executor can read."""
+    ship_package(docs.sparkSession)
     rows = (with_row_id(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0))
                                      .alias("crc"), RID, F.col(text_col).alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -148,6 +149,7 @@ def run(part: int, at: int, docs: list[tuple], kind: pa.DataType) -> pa.RecordBa
 
 def read(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, uint32 little-endian) of every document in the files."""
+    ship_package(spark)
     files = spark.read.parquet(path)
     kind = files.schema["doc_id"].dataType.elementType.simpleString()
     base, total = {}, 0

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm.common import ship_package
+
 BLOCK = 4096
 BINS = 512
 CELLS = 1 << 22  # scores held at a time
@@ -91,7 +93,7 @@ class Block:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, bins: int = BINS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of every query's k highest candidates, ties to the
     smaller id; both frames hold vec_id and embedding."""
-    spark = vectors.sparkSession
+    ship_package(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL")
     blocks = max(1, math.ceil(asked.count() / block))

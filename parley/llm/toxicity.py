@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import crc_remainder, labelled_sample, texts_of
+from parley.llm.common import crc_remainder, labelled_sample, ship_package, texts_of
 from parley.llm.hashing import batches, features
 
 THRESHOLD = 0.3
@@ -85,6 +85,7 @@ def ftrl(examples: list[tuple[np.ndarray, int]], p: FtrlParams) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), label: str = "toxic") -> Model:
+    ship_package(docs.sparkSession)
     ids = labelled_sample(labels, label, p.mod, p.held, p.per_class, p.seed)  # bounded, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
@@ -106,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), labe
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -124,6 +126,7 @@ def with_prediction(scored: DataFrame, mod: int, held: int) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose score stays under the threshold, with all their columns."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
