@@ -13,10 +13,9 @@ class Config:
     tz               wall-clock zone for hour / weekday / local month columns.
     approx_quantiles use percentile_approx instead of exact quantiles (opt-in, inexact).
     approx_accuracy  accuracy parameter of percentile_approx.
-    quantile_mode    "auto": exact `percentile` for integer metrics (bounded distinct values)
-                     and for inputs estimated below `bounded_min_bytes`; bounded-memory exact
-                     quantiles (sketch bracket + exact pass) for larger fractional / wide
-                     metrics; "exact" / "bounded" force one of the two.
+    quantile_mode    "bounded": bounded-memory exact quantiles (sketch bracket + exact pass), the
+                     same plan at every size; "exact": Spark's `percentile`, whose map of values
+                     is merged in one task (for comparison on small data).
     bounded_accuracy sketch accuracy of the bounded exact mode.
     approx_distinct  approx_count_distinct (HyperLogLog++) for the distinct totals of m11
                      (opt-in, inexact; exact counts by default).
@@ -29,17 +28,16 @@ class Config:
     tz: str = "Europe/Istanbul"
     approx_quantiles: bool = False
     approx_accuracy: int = 100000
-    quantile_mode: str = "auto"
+    quantile_mode: str = "bounded"
     bounded_accuracy: int = 10000
-    bounded_min_bytes: int = 64 * 1024 * 1024
     approx_distinct: bool = False
     fanout_m07: bool = False
     merge_by_name: bool = False
     window_chunk_rows: int = 2_000_000
 
     def __post_init__(self):
-        if self.quantile_mode not in ("auto", "exact", "bounded"):
-            raise ValueError(f"quantile_mode must be auto, exact or bounded, not {self.quantile_mode!r}")
+        if self.quantile_mode not in ("exact", "bounded"):
+            raise ValueError(f"quantile_mode must be exact or bounded, not {self.quantile_mode!r}")
         for name in ("approx_accuracy", "bounded_accuracy", "window_chunk_rows"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be positive")

@@ -23,17 +23,27 @@ def _c(x: Column | str) -> Column:
 
 def approx_tokens(s: Column | str) -> Column:
     """Empty (or NULL) -> 0, otherwise max(1, chars div 4)."""
-    n = F.coalesce(F.length(_c(s)), F.lit(0))
+    return tokens_of(F.coalesce(F.length(_c(s)), F.lit(0)))
+
+
+def tokens_of(chars: Column | str) -> Column:
+    """P13 from a number of characters."""
+    n = _c(chars)
     return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
 
 
 def fences(text: Column | str) -> Column:
-    """ARRAY<STRUCT<tag, body>> of fenced blocks with ONE pass of the pattern over the text:
-    whole matches are extracted once, tag and body are then read from each (short) match
-    with the same pattern (a match re-matches itself from its start)."""
+    """ARRAY<STRUCT<tag, chars>> of fenced blocks with ONE pass of the pattern over the text: a
+    match is three backticks, the tag up to the first newline, the body (which holds no three
+    backticks) and, unless the text ends first, three more."""
+    def block(m: Column) -> Column:
+        tag = F.substring_index(F.substr(m, F.lit(4)), "\n", 1)
+        rest = F.length(m) - F.length(tag) - 4
+        closed = (rest >= 3) & F.endswith(m, F.lit("```"))
+        return F.struct(tag.alias("tag"), (rest - F.when(closed, 3).otherwise(0)).cast("long").alias("chars"))
+
     whole = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(FENCE_RE), 0)
-    return F.transform(whole, lambda m: F.struct(F.regexp_extract(m, FENCE_RE, 1).alias("tag"),
-                                                 F.regexp_extract(m, FENCE_RE, 2).alias("body")))
+    return F.transform(whole, block)
 
 
 def fence_bodies(text: Column | str) -> Column:

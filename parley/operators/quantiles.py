@@ -1,8 +1,8 @@
-"""Exact quantiles with bounded memory (for metrics whose distinct values grow with the data).
+"""Exact quantiles with bounded memory.
 
-Spark's exact `percentile` merges a value -> count map of a whole group in one task: fine for
-small-range integer counts, not for continuous metrics (gap seconds, durations) or byte
-sizes. Here, per group:
+Spark's exact `percentile` merges a value -> count map of a whole group in one task, and lengths,
+sums, gaps and durations take more distinct values the more data there is. Here, at every size,
+per group:
 
   pass 1  one aggregation: n, min, max and a sketch (`percentile_approx`, rank error
           <= n / accuracy) at q - d and q + d for every requested q (d = 3 / accuracy);
@@ -31,15 +31,23 @@ def grouped_exact(long: DataFrame, groups: list[str], value: str, qs: tuple[floa
 
     small_groups: the group list is tiny and fixed (e.g. a few series), so the bracket
     row may be broadcast; otherwise Spark picks the join (AQE splits skewed groups)."""
-    d = 3.0 / accuracy
-    small = 10 * accuracy
-    brackets: list[float] = []
-    for q in qs:
-        brackets += [max(0.0, q - d), min(1.0, q + d)]
-    x = F.col(value)
-    long = long.where(x.isNotNull())
-    p1 = long.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_min"), F.max(x).alias("_max"),
-                                   F.percentile_approx(x, brackets, accuracy).alias("_b"))
+    long = long.where(F.col(value).isNotNull())
+    return refined(long, sketched(long, groups, value, qs, accuracy), groups, value, qs, accuracy, small_groups)
+
+
+def sketched(long: DataFrame, groups: list[str], value: str, qs: tuple[float, ...], accuracy: int) -> DataFrame:
+    """Pass 1: count, mean, ends and the sketch's values around every quantile."""
+    d, x = 3.0 / accuracy, F.col(value)
+    brackets = [b for q in qs for b in (max(0.0, q - d), min(1.0, q + d))]
+    return long.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mean"), F.min(x).alias("_min"), F.max(x).alias("_max"),
+        F.percentile_approx(x, brackets, accuracy).alias("_b"))
+
+
+def refined(long: DataFrame, p1: DataFrame, groups: list[str], value: str, qs: tuple[float, ...], accuracy: int,
+            small_groups: bool) -> DataFrame:
+    """Passes 2 and 3."""
+    d, small, x = 3.0 / accuracy, 10 * accuracy, F.col(value)
     whole = F.col("_n") <= small
     # a bracket end clipped to q = 0 / 1 is the exact min / max from pass 1 (not a sketch value)
     br = p1.select(*groups, "_n", *[
@@ -77,31 +85,33 @@ def grouped_exact(long: DataFrame, groups: list[str], value: str, qs: tuple[floa
     return picked.select(*groups, "qi", val.alias("value"))
 
 
+def summaries(df: DataFrame, values: list[Column], qs: tuple[float, ...], accuracy: int = 10000) -> tuple[DataFrame, DataFrame]:
+    """(n, mean, max, min per sid), (quantile qs[qi] per sid and qi) of `values[sid]` over df.
+
+    The first frame comes from the same aggregation as the brackets."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("sid"), v.cast("double").alias("x"))
+                                        for i, v in enumerate(values)]))).where(F.col("x").isNotNull())
+    p1 = sketched(long, ["sid"], "x", qs, accuracy)
+    facts = p1.select("sid", F.col("_n").alias("n"), F.col("_mean").alias("mean"), F.col("_max").alias("max"),
+                      F.col("_min").alias("min"))
+    return facts, refined(long, p1, ["sid"], "x", qs, accuracy, small_groups=True)
+
+
 def exact_bounded(df: DataFrame, values: list[Column], qs: tuple[float, ...], accuracy: int = 10000) -> DataFrame:
     """One row per (sid, qi): quantile qs[qi] of `values[sid]` over df (series form)."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("sid"), v.cast("double").alias("x"))
-                                         for i, v in enumerate(values)])).alias("e")).select("e.sid", "e.x")
-    return grouped_exact(long, ["sid"], "x", qs, accuracy, small_groups=True)
+    return summaries(df, values, qs, accuracy)[1]
 
 
-def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, qs: tuple[float, ...], bounded: bool,
-                      accuracy: int = 10000) -> DataFrame:
-    """(groups..., p<q>...) with exact quantiles per group; `bounded` picks the bounded path."""
+def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, qs: tuple[float, ...], cfg,
+                      few_groups: bool = False) -> DataFrame:
+    """(groups..., p<q>...) with the quantiles of `value` per group (groups without values are absent)."""
     names = [f"p{int(round(q * 100))}" for q in qs]
-    if not bounded:
-        g = df.groupBy(*groups).agg(F.percentile(value.cast("double"), list(qs)).alias("_q"))
-        return g.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     long = df.select(*groups, value.cast("double").alias("_v"))
-    q = grouped_exact(long, groups, "_v", qs, accuracy)
+    if cfg.approx_quantiles or cfg.quantile_mode == "exact":
+        one = (F.percentile_approx("_v", list(qs), cfg.approx_accuracy) if cfg.approx_quantiles
+               else F.percentile("_v", list(qs)))
+        g = long.where(F.col("_v").isNotNull()).groupBy(*groups).agg(one.alias("_q"))
+        return g.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    q = grouped_exact(long, groups, "_v", qs, cfg.bounded_accuracy, few_groups)
     return q.groupBy(*groups).agg(*[F.max(F.when(F.col("qi") == i, F.col("value"))).alias(n)
                                     for i, n in enumerate(names)])
-
-
-def use_bounded(df: DataFrame, cfg) -> bool:
-    """Grouped quantiles of a wide / fractional metric: bounded path unless forced exact,
-    approximate, or the input is estimated small (see Config.quantile_mode)."""
-    from parley.operators.sizing import is_small
-
-    if cfg.approx_quantiles or cfg.quantile_mode == "exact":
-        return False
-    return cfg.quantile_mode == "bounded" or not is_small(df, cfg.bounded_min_bytes)

@@ -34,17 +34,6 @@ def flag_first(df: DataFrame, group: str, order: list[Column | str], id_col: str
     return df.join(firsts, id_col, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def flag_first_last(df: DataFrame, group: str, order: list[Column | str], id_col: str) -> DataFrame:
-    """Add `is_first` and `is_last` (by `order`, ties by id) with ONE aggregation per group
-    (min and max over a struct, partial-aggregated) joined back on the group key."""
-    f = F.min(F.struct(order_key(*order, id_col).alias("k"), F.col(id_col).alias("id")))
-    la = F.max(F.struct(order_key(*order, id_col, desc=True).alias("k"), F.col(id_col).alias("id")))
-    ends = df.groupBy(group).agg(f["id"].alias("_first_id"), la["id"].alias("_last_id"))
-    j = df.join(ends, group, "left")
-    return j.withColumn("is_first", F.col(id_col) == F.col("_first_id")).withColumn(
-        "is_last", F.col(id_col) == F.col("_last_id")).drop("_first_id", "_last_id")
-
-
 def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """First k rows by a total order (TakeOrderedAndProject: per-partition top-k, k rows merged)."""
     return df.orderBy(*order).limit(k)

@@ -1,11 +1,9 @@
 """P1 summary_stats, P2/P3/P4 bucketize, P5 cohort compare.
 
-Each operator is ONE aggregation over its input: every series is a filtered aggregate
-(`when(cond, v)` feeds NULL to the aggregate otherwise), so a single scan with
-partial (map-side) aggregation serves all series and only one small row per series
-leaves the executors. Empty series come out as n = 0 with NULL statistics (the
-source's NaN), and zero buckets are emitted because every bucket is its own column
-before the unpivot.
+Series are filtered values (`when(cond, v)`, NULL otherwise). Buckets of all series are ONE
+aggregation with partial (map-side) aggregation, and zero buckets are emitted because every
+bucket is its own column before the unpivot; summaries take two passes (operators/quantiles.py).
+Empty series come out as n = 0 with NULL statistics (the source's NaN).
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.config import Config
-from parley.operators.sizing import is_small
+from parley.operators import quantiles
 
 QS = (0.5, 0.9, 0.95, 0.99)
 STAT_COLS = ["n", "p50", "p90", "p95", "p99", "mean", "max", "min"]
@@ -30,13 +28,12 @@ class Series:
     cond: Column | None = None
     keys: dict = field(default_factory=dict)
     total_cond: Column | None = None  # denominator population for bucket pct (default: cond)
-    wide: bool = False  # integer metric whose distinct values grow with the data (byte sizes)
     edges: list | None = None  # own bucket edges (else the bucketize call's edges)
 
 
-def S(value, cond=None, total_cond=None, wide=False, edges=None, **keys) -> Series:
+def S(value, cond=None, total_cond=None, edges=None, **keys) -> Series:
     v = F.col(value) if isinstance(value, str) else value
-    return Series(v, cond, keys, total_cond, wide, edges)
+    return Series(v, cond, keys, total_cond, edges)
 
 
 def r6(c: Column) -> Column:
@@ -48,12 +45,6 @@ def _masked(s: Series) -> Column:
     return v if s.cond is None else F.when(s.cond, v)
 
 
-def _quantiles(x: Column, cfg: Config) -> Column:
-    if cfg.approx_quantiles:
-        return F.percentile_approx(x, list(QS), cfg.approx_accuracy)
-    return F.percentile(x, list(QS))
-
-
 def _key_names(series: list[Series]) -> list[str]:
     names: list[str] = []
     for s in series:
@@ -63,22 +54,6 @@ def _key_names(series: list[Series]) -> list[str]:
     return names
 
 
-def _is_fractional(df: DataFrame, value: Column) -> bool:
-    t = df.select(value.alias("_v")).schema["_v"].dataType
-    return t.typeName() in ("double", "float") or t.typeName().startswith("decimal")
-
-
-def _use_bounded(df: DataFrame, s: Series, cfg: Config) -> bool:
-    if cfg.approx_quantiles or cfg.quantile_mode == "exact":
-        return False
-    if cfg.quantile_mode == "bounded":
-        return True
-    if not (s.wide or _is_fractional(df, s.value)):
-        return False
-    # a small input cannot hold more distinct values than fit one task's value map
-    return not is_small(df, cfg.bounded_min_bytes)
-
-
 def _sql_str(v) -> str:
     if v is None:
         return "CAST(NULL AS STRING)"
@@ -101,48 +76,43 @@ def _keys_sql(s: Series, keys: list[str]) -> str:
 def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None) -> DataFrame:
     """N, p50, p90, p95, p99, mean, max, min per series (linear interpolation).
 
-    Quantiles of integer metrics use Spark's exact `percentile` inside the same aggregation
-    (its value -> count map is bounded by the value range); fractional metrics, whose
-    distinct values grow with the data, use the bounded-memory exact operator
-    (operators/quantiles.py). `cfg.approx_quantiles` switches to percentile_approx."""
+    Quantiles are exact with bounded memory (operators/quantiles.py), whatever the size of the
+    input. `cfg.quantile_mode="exact"` uses Spark's `percentile` (one value map a series) and
+    `cfg.approx_quantiles` percentile_approx, both inside the one aggregation."""
     cfg = cfg or Config()
-    bounded = [_use_bounded(df, s, cfg) for s in series]
+    keys = _key_names(series)
+    if cfg.approx_quantiles or cfg.quantile_mode == "exact":
+        return _one_pass(df, series, cfg, keys)
+    facts, found = quantiles.summaries(df, [_masked(s) for s in series], QS, cfg.bounded_accuracy)
+    by_sid = found.groupBy("sid").agg(*[F.max(F.when(F.col("qi") == j, F.col("value"))).alias(c)
+                                        for j, c in enumerate(STAT_COLS[1:5])])
+    # the fixed list of series on the left: empty ones stay, with n = 0
+    names = ", ".join(f"named_struct({_keys_sql(s, keys)}'sid', {i})" for i, s in enumerate(series))
+    out = (df.sparkSession.range(1).selectExpr(f"inline(array({names}))")
+           .join(facts, "sid", "left").join(by_sid, "sid", "left"))
+    return out.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[r6(F.col(c)).alias(c) for c in STAT_COLS[1:]])
+
+
+def _one_pass(df: DataFrame, series: list[Series], cfg: Config, keys: list[str]) -> DataFrame:
     helper = df.select(*[_masked(s).alias(f"_x{i}") for i, s in enumerate(series)])
     qs = ", ".join(_sql_num(q) for q in QS)
     aggs = []
     for i in range(len(series)):
         x = f"_x{i}"
-        aggs += [f"count({x}) AS n{i}", f"avg({x}) AS a{i}", f"max({x}) AS x{i}", f"min({x}) AS m{i}"]
-        if not bounded[i]:
-            q = (f"percentile_approx({x}, array({qs}), {int(cfg.approx_accuracy)})" if cfg.approx_quantiles
-                 else f"percentile({x}, array({qs}))")
-            aggs.append(f"{q} AS q{i}")
+        q = (f"percentile_approx({x}, array({qs}), {int(cfg.approx_accuracy)})" if cfg.approx_quantiles
+             else f"percentile({x}, array({qs}))")
+        aggs += [f"count({x}) AS n{i}", f"avg({x}) AS a{i}", f"max({x}) AS x{i}", f"min({x}) AS m{i}", f"{q} AS q{i}"]
     wide = helper.agg(*[F.expr(a) for a in aggs])
-    keys = _key_names(series)
 
     def r6s(e: str) -> str:
         return f"round(CAST({e} AS DOUBLE), 6)"
 
     structs = []
     for i, s in enumerate(series):
-        ps = "".join(f"'p{int(p * 100)}', " + ("CAST(NULL AS DOUBLE)" if bounded[i] else r6s(f"q{i}[{j}]")) + ", "
-                     for j, p in enumerate(QS))
-        structs.append(f"named_struct('_sid', {i}, {_keys_sql(s, keys)}'n', CAST(n{i} AS BIGINT), {ps}"
+        ps = "".join(f"'{c}', {r6s(f'q{i}[{j}]')}, " for j, c in enumerate(STAT_COLS[1:5]))
+        structs.append(f"named_struct({_keys_sql(s, keys)}'n', CAST(n{i} AS BIGINT), {ps}"
                        f"'mean', {r6s(f'a{i}')}, 'max', {r6s(f'x{i}')}, 'min', {r6s(f'm{i}')})")
-    out = wide.selectExpr(f"inline(array({', '.join(structs)}))")
-    if any(bounded):
-        from parley.operators.quantiles import exact_bounded
-
-        ids = [i for i, b in enumerate(bounded) if b]
-        qv = exact_bounded(df, [_masked(series[i]) for i in ids], QS, cfg.bounded_accuracy)
-        sid = F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("sid") + 1)
-        piv = qv.groupBy(sid.alias("_sid")).agg(
-            *[F.max(F.when(F.col("qi") == j, F.col("value"))).alias(f"_b{int(p * 100)}") for j, p in enumerate(QS)])
-        out = out.join(piv, "_sid", "left")
-        for p in QS:
-            c = f"p{int(p * 100)}"
-            out = out.withColumn(c, F.coalesce(F.col(c), r6(F.col(f"_b{int(p * 100)}")))).drop(f"_b{int(p * 100)}")
-    return out.select(*keys, *STAT_COLS)
+    return wide.selectExpr(f"inline(array({', '.join(structs)}))").select(*keys, *STAT_COLS)
 
 
 def bucketize(df: DataFrame, series: list[Series], edges: list[tuple] | None = None,

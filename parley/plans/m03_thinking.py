@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from parley.functions import time as TM
 from parley.operators.ordered import row_number_within
-from parley.operators.ranking import flag_first
-from parley.operators.stats import S, bucketize, r6, summary_stats
+from parley.operators.ranking import order_key
+from parley.operators.quantiles import grouped_quantiles
+from parley.operators.stats import S, bucket_index, bucketize, r6, summary_stats
 from parley.plans.base import Context, report
 
 # Bucket edges (label, lo, hi), half-open.
@@ -61,7 +62,7 @@ def assistant_rows(ctx: Context):
     r = row_number_within(a, "conversation_uuid", ["created_at", "position", "message_uuid"], "rn_asst",
                           ctx.cfg.window_chunk_rows)
     return r.select("message_uuid", "conversation_uuid", "tokens_text", "tokens_thinking", "tool_use_count",
-                    F.col("rn_asst").cast("int").alias("rn_asst"))
+                    F.col("rn_asst").cast("long").alias("rn_asst"))
 
 
 def _with_without(ctx: Context):
@@ -142,28 +143,29 @@ def contingency(ctx: Context):
 
 @report(M, "m03_first_rest")
 def first_rest(ctx: Context):
-    a = flag_first(_asst(ctx), "conversation_uuid", ["created_at", "position"], "message_uuid")
-    f, th = F.col("is_first"), F.col("tokens_thinking") > 0
-    g = a.agg(F.count_if(f).alias("n_first"), F.count_if(f & th).alias("n_first_thinking"),
-              F.count_if(~f).alias("n_rest"), F.count_if(~f & th).alias("n_rest_thinking"))
+    th = F.coalesce(F.col("tokens_thinking") > 0, F.lit(False))
+    first = F.min(F.struct(order_key("created_at", "position", "message_uuid").alias("k"), th.alias("th")))["th"]
+    per = _asst(ctx).groupBy("conversation_uuid").agg(first.alias("f"), F.count(F.lit(1)).alias("n"),
+                                                      F.count_if(th).alias("t"))
+    n1, t1 = F.count(F.lit(1)), F.count_if("f")
+    g = per.agg(n1.alias("n_first"), t1.alias("n_first_thinking"),
+                (F.coalesce(F.sum("n"), F.lit(0)) - n1).alias("n_rest"),
+                (F.coalesce(F.sum("t"), F.lit(0)) - t1).alias("n_rest_thinking"))
     return g.select("n_first", "n_first_thinking", _pct(F.col("n_first_thinking"), F.col("n_first")).alias("pct_first"),
                     "n_rest", "n_rest_thinking", _pct(F.col("n_rest_thinking"), F.col("n_rest")).alias("pct_rest"))
 
 
 @report(M, "m03_resp_by_bucket")
 def resp_by_bucket(ctx: Context):
-    th, tt = F.col("tokens_thinking"), F.col("tokens_text").cast("double")
-    aggs = []
-    for j, (_, lo, hi) in enumerate(THINKING_BUCKETS):
-        inb = (th > 0) & (th >= lo) & (th < hi)
-        resp = F.when(inb & (tt > 0), tt)
-        aggs += [F.count_if(inb).alias(f"n{j}"), F.percentile(resp, [0.5, 0.9]).alias(f"q{j}"),
-                 F.max(resp).alias(f"x{j}")]
-    wide = _asst(ctx).agg(*aggs)
-    rows = [F.struct(F.lit(j).alias("bucket_index"), F.lit(label).alias("bucket"),
-                     F.col(f"n{j}").cast("long").alias("n"),
-                     r6(F.col(f"q{j}")[0]).alias("resp_p50"), r6(F.col(f"q{j}")[1]).alias("resp_p90"),
-                     r6(F.col(f"x{j}")).alias("resp_max"))
-            for j, (label, _, _) in enumerate(THINKING_BUCKETS)]
-    return wide.select(F.inline(F.array(*rows)))
-
+    th, tt = F.col("tokens_thinking"), F.col("tokens_text")
+    # messages without thinking or outside every bucket have no index
+    b = _asst(ctx).select(F.when(th > 0, bucket_index(th, THINKING_BUCKETS)).alias("bucket_index"),
+                          F.when(tt > 0, tt).alias("resp")).where(F.col("bucket_index").isNotNull())
+    q = grouped_quantiles(b, ["bucket_index"], F.col("resp"), (0.5, 0.9), ctx.cfg, few_groups=True)
+    g = b.groupBy("bucket_index").agg(F.count(F.lit(1)).alias("n"), F.max("resp").alias("x"))
+    names = F.inline(F.array(*[F.struct(F.lit(j).alias("bucket_index"), F.lit(label).alias("bucket"))
+                               for j, (label, _, _) in enumerate(THINKING_BUCKETS)]))
+    every = ctx.spark.range(1).select(names)
+    return every.join(g, "bucket_index", "left").join(q, "bucket_index", "left").select(
+        "bucket_index", "bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        r6(F.col("p50")).alias("resp_p50"), r6(F.col("p90")).alias("resp_p90"), r6(F.col("x")).alias("resp_max"))

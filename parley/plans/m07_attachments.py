@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from parley.functions import time as TM
 from parley.operators.grid import dense_rows, names_array
-from parley.operators.quantiles import grouped_quantiles, use_bounded
-from parley.operators.ranking import flag_first, top_k
+from parley.operators.quantiles import grouped_quantiles
+from parley.operators.ranking import order_key, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
 
@@ -85,7 +85,7 @@ def _sized(ctx: Context):
 
 @report(M, "m07_size", needs=("attachments",))
 def size(ctx: Context):
-    return summary_stats(_sized(ctx), [S("file_size", wide=True)], ctx.cfg)
+    return summary_stats(_sized(ctx), [S("file_size")], ctx.cfg)
 
 
 @report(M, "m07_size_buckets", needs=("attachments",))
@@ -119,9 +119,10 @@ def compare(ctx: Context):
 @report(M, "m07_first_human")
 def first_human(ctx: Context):
     h = ctx.stats.message.where(F.col("sender") == "human")
-    f = flag_first(h, "conversation_uuid", ["created_at", "position"], "message_uuid").where("is_first")
-    g = f.agg(F.count(F.lit(1)).alias("n"),
-              F.count_if((F.col("attachment_count") > 0) | (F.col("file_count") > 0)).alias("with_item"))
+    item = (F.col("attachment_count") > 0) | (F.col("file_count") > 0)
+    key = order_key("created_at", "position", "message_uuid")
+    f = h.groupBy("conversation_uuid").agg(F.min(F.struct(key.alias("k"), item.alias("item")))["item"].alias("item"))
+    g = f.agg(F.count(F.lit(1)).alias("n"), F.count_if("item").alias("with_item"))
     return g.select("n", "with_item",
                     F.when(F.col("n") == 0, 0.0).otherwise(r6(100.0 * F.col("with_item") / F.col("n"))).alias("pct"))
 
@@ -133,8 +134,7 @@ def type_size(ctx: Context):
     top = top_k(g, TOP_TYPE_SIZE, [F.desc("n"), F.asc("file_type")])
     # byte sizes: distinct values grow with the data -> bounded exact quantiles, top types only
     rows = sized.join(F.broadcast(top.select("file_type")), "file_type", "left_semi")  # <= 6 rows
-    q = grouped_quantiles(rows, ["file_type"], F.col("file_size"), (0.5, 0.95), bounded=use_bounded(rows, ctx.cfg),
-                          accuracy=ctx.cfg.bounded_accuracy)
+    q = grouped_quantiles(rows, ["file_type"], F.col("file_size"), (0.5, 0.95), ctx.cfg, few_groups=True)
     return top.join(q, "file_type", "left").select(
         "file_type", "n", r6(F.col("p50")).alias("size_p50"), r6(F.col("p95")).alias("size_p95"),
         F.col("size_max").cast("long").alias("size_max"))

@@ -8,6 +8,7 @@ from parley.functions import text as T
 from parley.functions.categorize import map_alias
 from parley.operators.grid import axis, cells, zero_fill
 from parley.operators.ranking import top_k
+from parley.operators.quantiles import grouped_quantiles
 from parley.operators.stats import S, bucket_index, bucketize, r6, summary_stats
 from parley.plans.base import Context, report
 
@@ -89,10 +90,12 @@ def block_len_buckets(ctx: Context):
 
 @report(M, "m10_languages")
 def languages(ctx: Context):
-    b = _blocks(ctx)
-    g = b.groupBy(normalize_lang(F.col("language")).alias("language")).agg(
-        F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
-    tot = b.agg(F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))).scalar()
+    # raw tags are counted first, their names normalised once each; the totals come from the counts
+    raw = _blocks(ctx).groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    g = raw.groupBy(normalize_lang(F.col("language")).alias("language")).agg(
+        F.sum("n").alias("blocks"), F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("tokens"))
+    tot = g.agg(F.struct(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n"),
+                         F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))).scalar()
     nb, nt = tot["n"], tot["t"]
     return top_k(g, TOP_LANGUAGES, [F.desc("blocks"), F.asc("language")]).select(
         "language", "blocks", "tokens",
@@ -121,20 +124,17 @@ def code_share(ctx: Context):
          .where(F.col("text") > 0)
          .join(ctx.stats.conversation.select("conversation_uuid", "message_count"), "conversation_uuid"))
     a = a.select("message_count", bucket_index(F.col("code") / F.col("text"), CODE_SHARE_BUCKETS).alias("b"))
-    aggs = [F.count(F.lit(1)).alias("total")]
-    for j in range(len(CODE_SHARE_BUCKETS)):
-        mc = F.when(F.col("b") == j, F.col("message_count").cast("double"))
-        aggs += [F.count(mc).alias(f"n{j}"), F.percentile(mc, [0.5, 0.95]).alias(f"q{j}")]
-    wide = a.agg(*aggs)
-    rows = []
-    for j, (label, _, _) in enumerate(CODE_SHARE_BUCKETS):
-        n, q = F.col(f"n{j}"), F.col(f"q{j}")
-        rows.append(F.struct(
-            F.lit(j).alias("bucket_index"), F.lit(label).alias("bucket"), n.cast("long").alias("n"),
-            F.when(F.col("total") == 0, 0.0).otherwise(r6(100.0 * n / F.col("total"))).alias("pct"),
-            F.coalesce(q[0].cast("long"), F.lit(0).cast("long")).alias("message_count_p50"),
-            F.coalesce(q[1].cast("long"), F.lit(0).cast("long")).alias("message_count_p95")))
-    return wide.select(F.inline(F.array(*rows)))
+    q = grouped_quantiles(a.where(F.col("b").isNotNull()), ["b"], F.col("message_count"), (0.5, 0.95), ctx.cfg, few_groups=True)
+    g = a.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    total = F.coalesce(g.agg(F.sum("n").alias("t")).scalar(), F.lit(0))  # all, also outside every bucket
+    names = F.inline(F.array(*[F.struct(F.lit(j).alias("b"), F.lit(label).alias("bucket"))
+                               for j, (label, _, _) in enumerate(CODE_SHARE_BUCKETS)]))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    return ctx.spark.range(1).select(names).join(g, "b", "left").join(q, "b", "left").select(
+        F.col("b").alias("bucket_index"), "bucket", n.cast("long").alias("n"),
+        F.when(total == 0, 0.0).otherwise(r6(100.0 * n / total)).alias("pct"),
+        F.coalesce(F.col("p50").cast("long"), F.lit(0).cast("long")).alias("message_count_p50"),
+        F.coalesce(F.col("p95").cast("long"), F.lit(0).cast("long")).alias("message_count_p95"))
 
 
 @report(M, "m10_inline")

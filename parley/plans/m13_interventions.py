@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from parley.config import SENTINEL_ROOT
 from parley.operators.grid import axis, cells
-from parley.operators.quantiles import grouped_quantiles, use_bounded
-from parley.operators.ranking import flag_first_last, order_key, top_k
+from parley.operators.quantiles import grouped_quantiles
+from parley.operators.ranking import order_key, top_k
 from parley.operators.stats import S, bucketize, cohort_compare, r6, summary_stats
 from parley.plans.base import Context, report
 
@@ -106,12 +106,17 @@ def _per_kind(ctx: Context, agg_df, cols: list[str]):
 
 @report(M, "m13_branch_continued")
 def branch_continued(ctx: Context):
-    ch = flag_first_last(_fork_children(ctx), "parent_message_uuid", ["created_at"], "message_uuid")
-    c, f, la = F.col("cont"), F.col("is_first"), F.col("is_last")
-    a = ch.groupBy("kind").agg(
-        F.count_if(c & f).alias("first_continued"), F.count_if(c & la).alias("last_continued"),
-        F.count_if(c & ~f & ~la).alias("middle_continued"), F.count_if(c).alias("continued"),
-        F.count(F.lit(1)).alias("children"))
+    # the ends of every parent's children as min / max structs: partial aggregation, no join back
+    first, last = order_key("created_at", "message_uuid"), order_key("created_at", "message_uuid", desc=True)
+    per = _fork_children(ctx).groupBy("kind", "parent_message_uuid").agg(
+        F.min(F.struct(first.alias("k"), "cont"))["cont"].cast("int").alias("f"),
+        F.max(F.struct(last.alias("k"), "cont"))["cont"].cast("int").alias("l"),
+        F.count_if("cont").alias("c"), F.count(F.lit(1)).alias("n"))
+    ends = F.col("f") + F.when(F.col("n") > 1, F.col("l")).otherwise(0)  # an only child is both
+    a = per.groupBy("kind").agg(
+        F.sum("f").alias("first_continued"), F.sum("l").alias("last_continued"),
+        F.sum(F.col("c") - ends).alias("middle_continued"), F.sum("c").alias("continued"),
+        F.sum("n").alias("children"))
     cols = ["first_continued", "last_continued", "middle_continued", "continued", "children"]
     return _per_kind(ctx, a, [F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in cols])
 
@@ -125,11 +130,11 @@ def len_delta(ctx: Context):
         F.max(F.struct(keyd.alias("k"), F.col("chars_text").alias("v")))["v"].alias("last_chars"))
     fc, lc = F.col("first_chars").cast("double"), F.col("last_chars").cast("double")
     a = per.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"),
-        r6(F.percentile(fc, 0.5)).alias("first_p50"), r6(F.percentile(lc, 0.5)).alias("last_p50"),
-        r6(F.percentile(fc, 0.95)).alias("first_p95"), r6(F.percentile(lc, 0.95)).alias("last_p95"),
-        F.count_if(lc > fc).alias("lengthened"), F.count_if(lc < fc).alias("shortened"),
+        F.count(F.lit(1)).alias("n"), F.count_if(lc > fc).alias("lengthened"), F.count_if(lc < fc).alias("shortened"),
         F.count_if(lc == fc).alias("unchanged"))
+    for end, v in (("first", fc), ("last", lc)):
+        q = grouped_quantiles(per, ["kind"], v, (0.5, 0.95), ctx.cfg, few_groups=True)
+        a = a.join(q.select("kind", *[r6(F.col(p)).alias(f"{end}_{p}") for p in ("p50", "p95")]), "kind", "left")
     counts = ["n", "lengthened", "shortened", "unchanged"]
     return _per_kind(ctx, a, [F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) if x in counts else F.col(x)
                               for x in ["n", "first_p50", "last_p50", "first_p95", "last_p95", "lengthened",
@@ -159,14 +164,12 @@ def _multi_root(ctx: Context):
 @report(M, "m13_multi_root")
 def multi_root(ctx: Context):
     mr = _multi_root(ctx)
-    g = mr.groupBy("root_count").agg(
-        F.count(F.lit(1)).alias("n"),
-        r6(F.percentile(F.col("message_count").cast("double"), 0.5)).alias("message_count_p50"))
-    # lifetime is fractional seconds: bounded exact quantile per group
-    life = grouped_quantiles(mr, ["root_count"], F.col("lifetime_seconds"), (0.5,),
-                             bounded=use_bounded(mr, ctx.cfg), accuracy=ctx.cfg.bounded_accuracy)
-    return g.join(life, "root_count", "left").select("root_count", "n", "message_count_p50",
-                                                     r6(F.col("p50")).alias("lifetime_p50"))
+    g = mr.groupBy("root_count").agg(F.count(F.lit(1)).alias("n"))
+    p50s = [grouped_quantiles(mr, ["root_count"], F.col(c), (0.5,), ctx.cfg).select("root_count", r6(F.col("p50")).alias(out))
+            for c, out in (("message_count", "message_count_p50"), ("lifetime_seconds", "lifetime_p50"))]
+    for p in p50s:
+        g = g.join(p, "root_count", "left")
+    return g.select("root_count", "n", "message_count_p50", "lifetime_p50")
 
 
 @report(M, "m13_multi_root_list")

@@ -9,9 +9,9 @@ Shuffle plan (what `.explain()` shows):
                        (uuid, parent) projection; a parent with very many children is a skewed
                        key on that side only -> AQE skew join. The wide rows join once, by uuid
   * per conversation   one groupBy(conversation_uuid) with partial aggregation
-The text is scanned once: token estimates, the fenced-block array (kept as a column, so the
-code-block table is exploded from the stats without reading the text again) and inline spans
-are JVM expressions in the scan stage. Nothing is collected.
+The text is scanned once: token estimates, tag and lengths of every fenced block (an array
+column, from which the code-block table is exploded) and inline spans are JVM expressions in the
+scan stage. Code bodies are neither shuffled nor stored. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -60,12 +60,10 @@ def stats_message(t: Tables, cfg: Config) -> DataFrame:
         T.fences("text").alias("fences"),
         T.inline_code_count("text").alias("inline_code_count"),
     )
-    code = F.array_join(F.col("fences.body"), "\n\n")  # S4: bodies joined by a blank line
-    base = base.select(
-        "*",
-        F.length(code).cast("long").alias("chars_code"),
-        T.approx_tokens(code).alias("tokens_code"),
-    )
+    # S4's length: the bodies and a blank line (2 characters) between neighbours
+    chars = (F.aggregate("fences.chars", F.lit(0).cast("long"), lambda a, n: a + n)
+             + 2 * F.greatest(F.size("fences") - 1, F.lit(0))).cast("long")
+    base = base.select("*", chars.alias("chars_code")).select("*", T.tokens_of("chars_code").alias("tokens_code"))
 
     # One aggregation keyed by message uuid for everything counted "per message": tool calls,
     # tool results, and children (a child row is keyed by its parent's uuid). Root / NULL
@@ -125,8 +123,8 @@ def stats_code_block(sm: DataFrame) -> DataFrame:
         "message_uuid", "conversation_uuid", "sender",
         F.col("position").cast("int").alias("position"),
         T.strip_ws(F.col("f.tag")).alias("language"),
-        F.length(F.col("f.body")).cast("long").alias("chars"),
-        T.approx_tokens(F.col("f.body")).alias("tokens"),
+        F.col("f.chars").alias("chars"),
+        T.tokens_of("f.chars").alias("tokens"),
     )
 
 

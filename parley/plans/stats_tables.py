@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.functions import text as T
 from parley.operators.stats import r6
 from parley.plans import prepare
 from parley.plans.base import Context, report
@@ -34,8 +35,8 @@ def message_tokens(ctx: Context):
 @report(M, "code_concat")
 def code_concat(ctx: Context):
     """All fenced bodies of the message text joined by a blank line."""
-    code = F.array_join(F.col("fences.body"), "\n\n")
-    return ctx.stats.message.select("message_uuid", code.alias("code"), F.length(code).cast("long").alias("chars_code"))
+    code = T.code_concat("text")
+    return ctx.tables.messages.select("message_uuid", code.alias("code"), F.length(code).cast("long").alias("chars_code"))
 
 
 @report(M, "code_blocks")

@@ -94,17 +94,6 @@ def test_approx_quantiles_switch(spark):
     assert e == a
 
 
-def test_first_last_in_one_aggregation_matches_single_flags(spark):
-    from parley.operators.ranking import flag_first_last
-
-    df = spark.createDataFrame([("g", "a", None), ("g", "b", 5), ("g", "c", 7), ("h", "d", 1), ("h", "e", 1)],
-                               "g string, id string, t int")
-    both = {r["id"]: (r["is_first"], r["is_last"]) for r in flag_first_last(df, "g", ["t"], "id").collect()}
-    first = {r["id"]: r["is_first"] for r in flag_first(df, "g", ["t"], "id").collect()}
-    last = {r["id"]: r["is_last"] for r in flag_first(df, "g", ["t"], "id", "is_last", last=True).collect()}
-    assert both == {k: (first[k], last[k]) for k in first}
-
-
 def test_approx_distinct_switch(spark):
     from parley.plans.base import context_for_testdata
 
