@@ -42,12 +42,16 @@ class Context:
 REGISTRY: dict[str, tuple[str, Callable[[Context], DataFrame]]] = {}
 # input tables a report needs beyond messages / conversations (e.g. "attachments")
 NEEDS: dict[str, tuple[str, ...]] = {}
+ROW_LEVEL: set[str] = set()
 
 
-def report(module: str, key: str, needs: tuple[str, ...] = ()):
-    """Register `fn(ctx) -> DataFrame` as report `key` of `module` (m01 ... m13, overview)."""
+def report(module: str, key: str, needs: tuple[str, ...] = (), row_level: bool = False):
+    """Register `fn(ctx) -> DataFrame` as report `key` of `module` (m01 ... m13, overview); the rows
+    of a `row_level` report grow with the data."""
 
     def deco(fn):
+        if row_level:
+            ROW_LEVEL.add(key)
         REGISTRY[key] = (module, fn)
         NEEDS[key] = needs
         return fn
@@ -64,7 +68,7 @@ def module_keys(module: str) -> list[str]:
 
 
 def run_module(module: str, ctx: Context) -> dict[str, DataFrame]:
-    """All frames of one module, by key (lazy DataFrames; nothing runs yet)."""
+    """All frames of one module, by key (lazy; shared derived tables and counts of hot groups run while they are built)."""
     if not module_keys(module):
         raise KeyError(f"unknown module: {module}")
     return {k: REGISTRY[k][1](ctx) for k in module_keys(module) if runnable(k, ctx.tables)}

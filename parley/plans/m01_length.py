@@ -23,7 +23,7 @@ def _conv(ctx: Context):
     )
 
 
-@report(M, "m01_data")
+@report(M, "m01_data", row_level=True)
 def data(ctx: Context):
     return _conv(ctx)
 

@@ -23,7 +23,7 @@ def _msgs(ctx: Context):
     return ctx.stats.message.where(F.col("sender").isin(*SENDERS))
 
 
-@report(M, "m02_data")
+@report(M, "m02_data", row_level=True)
 def data(ctx: Context):
     return _msgs(ctx).select("message_uuid", "sender", "chars_text", "tokens_text", "tokens_code")
 

@@ -54,7 +54,7 @@ def monthly(ctx: Context):
     )
 
 
-@report(M, "m03_assistant_rows")
+@report(M, "m03_assistant_rows", row_level=True)
 def assistant_rows(ctx: Context):
     # Full rank inside the conversation (a report row per message); ties by position, uuid.
     a = _asst(ctx).select("message_uuid", "conversation_uuid", "tokens_text", "tokens_thinking", "tool_use_count",

@@ -83,6 +83,7 @@ def _tool_counts(ctx: Context):
 
 @report(M, "m05_top_tools")
 def top_tools(ctx: Context):
+    # every call counts in the total, those without a name too; the second scan reads no column
     total = ctx.tables.tool_calls.agg(F.count(F.lit(1))).scalar()
     top = top_k(_tool_counts(ctx), TOP_TOOLS, [F.desc("calls"), F.asc("name")])
     return top.select(

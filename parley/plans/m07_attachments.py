@@ -63,8 +63,9 @@ def _type_counts(ctx: Context):
 
 @report(M, "m07_top_types", needs=("attachments",))
 def top_types(ctx: Context):
-    total = ctx.tables.attachments.agg(F.count(F.lit(1))).scalar()
-    return top_k(_type_counts(ctx), TOP_TYPES, [F.desc("n"), F.asc("file_type")]).select(
+    counts = _type_counts(ctx)
+    total = F.coalesce(counts.agg(F.sum("n")).scalar(), F.lit(0))
+    return top_k(counts, TOP_TYPES, [F.desc("n"), F.asc("file_type")]).select(
         "file_type", "n", F.when(total == 0, 0.0).otherwise(r6(100.0 * F.col("n") / total)).alias("pct"))
 
 

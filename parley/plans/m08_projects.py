@@ -90,5 +90,5 @@ def prompt_len_buckets(ctx: Context):
 def monthly(ctx: Context):
     p = ctx.tables.projects.where(F.col("created_at").isNotNull())
     g = p.groupBy(TM.month(TM.local("created_at", ctx.cfg.tz)).alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    total = p.agg(F.count(F.lit(1))).scalar()
+    total = F.coalesce(g.agg(F.sum("n")).scalar(), F.lit(0))
     return g.select("month", "n", F.when(total == 0, 0.0).otherwise(r6(100.0 * F.col("n") / total)).alias("pct"))

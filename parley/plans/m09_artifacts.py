@@ -62,14 +62,14 @@ def _parse(ctx: Context):
     )
 
 
-@report(M, "m09_parse", needs=("tool_calls",))
+@report(M, "m09_parse", needs=("tool_calls",), row_level=True)
 def parse(ctx: Context):
     return parsed(ctx)
 
 
 def _share(df, key: str, ctx: Context):
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = F.coalesce(g.agg(F.sum("n")).scalar(), F.lit(0))
     return g.select(key, "n", F.when(total == 0, 0.0).otherwise(r6(100.0 * F.col("n") / total)).alias("pct"))
 
 
@@ -95,7 +95,7 @@ def type_command(ctx: Context):
 def languages(ctx: Context):
     code = parsed(ctx).where((F.col("type_label") == "code") & F.col("language").isNotNull())
     g = code.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-    total = code.agg(F.count(F.lit(1))).scalar()
+    total = F.coalesce(g.agg(F.sum("n")).scalar(), F.lit(0))
     return top_k(g, TOP_LANGUAGES, [F.desc("n"), F.asc("language")]).select(
         "language", "n", F.when(total == 0, 0.0).otherwise(r6(100.0 * F.col("n") / total)).alias("pct"))
 

@@ -21,7 +21,7 @@ def _cites(ctx: Context):
     return ctx.tables.citations
 
 
-@report(M, "m11_citations", needs=NEEDS)
+@report(M, "m11_citations", needs=NEEDS, row_level=True)
 def citations(ctx: Context):
     return _cites(ctx).select("conversation_uuid", "message_uuid", "cite_type", "url", "domain")
 
@@ -67,7 +67,7 @@ def _domains(ctx: Context):
     return g.select("*", F.when(total == 0, 0.0).otherwise(r6(100.0 * F.col("citations") / total)).alias("pct"))
 
 
-@report(M, "m11_domains", needs=NEEDS)
+@report(M, "m11_domains", needs=NEEDS, row_level=True)
 def domains(ctx: Context):
     return _domains(ctx)
 
@@ -85,7 +85,7 @@ def _web(ctx: Context):
                  F.count(F.lit(1)).alias("web_calls")))
 
 
-@report(M, "m11_web_calls", needs=NEEDS + ("tool_calls",))
+@report(M, "m11_web_calls", needs=NEEDS + ("tool_calls",), row_level=True)
 def web_calls(ctx: Context):
     return _web(ctx)
 
@@ -95,7 +95,7 @@ def _scatter(ctx: Context):
             .select("conversation_uuid", F.coalesce("web_calls", F.lit(0)).alias("web_calls"), "citations"))
 
 
-@report(M, "m11_scatter", needs=NEEDS + ("tool_calls",))
+@report(M, "m11_scatter", needs=NEEDS + ("tool_calls",), row_level=True)
 def scatter(ctx: Context):
     return _scatter(ctx)
 

@@ -81,7 +81,7 @@ def _rates(ctx: Context):
                     .alias("error_pct"))
 
 
-@report(M, "m12_tool_rates", needs=NEEDS)
+@report(M, "m12_tool_rates", needs=NEEDS, row_level=True)
 def tool_rates(ctx: Context):
     return _rates(ctx)
 
@@ -114,7 +114,7 @@ def _error_rows(ctx: Context):
     return r.select("name", "conversation_uuid", "message_uuid", F.explode("texts").alias("msg"))
 
 
-@report(M, "m12_error_messages", needs=NEEDS)
+@report(M, "m12_error_messages", needs=NEEDS, row_level=True)
 def error_messages(ctx: Context):
     return _error_rows(ctx)
 
@@ -130,8 +130,8 @@ def _categorized(ctx: Context):
 @report(M, "m12_categories", needs=NEEDS)
 def categories(ctx: Context):
     c = _categorized(ctx)
-    total = c.agg(F.count(F.lit(1))).scalar()
     g = c.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    total = F.coalesce(g.agg(F.sum("n")).scalar(), F.lit(0))
     return g.select("category", "n", F.when(total == 0, 0.0).otherwise(r6(100.0 * F.col("n") / total)).alias("pct"))
 
 
@@ -148,7 +148,7 @@ def category_tool(ctx: Context):
     return d.select("tool", "category", "n", F.sum("n").over(Window.partitionBy("tool")).alias("tool_total"))
 
 
-@report(M, "m12_normalize", needs=NEEDS)
+@report(M, "m12_normalize", needs=NEEDS, row_level=True)
 def normalized(ctx: Context):
     return _categorized(ctx).select("name", "message_uuid", "category", "normalized")
 
@@ -165,7 +165,12 @@ def _post_error(ctx: Context):
     assistant message after it, as (position, uuid); (2) for every message, the next human
     message after it, carrying that human message's next assistant. An error message then
     reads its follow-up from its own row: no self-joins."""
-    m = ctx.stats.message.select("conversation_uuid", "message_uuid", "position", "sender")
+    results = _results(ctx).where(F.col("is_error"))
+    # only conversations with an error are put in order
+    touched = results.select("message_uuid").distinct().join(
+        ctx.stats.message.select("message_uuid", "conversation_uuid"), "message_uuid").select("conversation_uuid").distinct()
+    m = ctx.stats.message.select("conversation_uuid", "message_uuid", "position", "sender").join(
+        touched, "conversation_uuid", "left_semi")
     order = ["position", "message_uuid"]
     rows = ctx.cfg.window_chunk_rows
     a = min_after(m, "conversation_uuid", order, {"next_a": F.when(
@@ -175,10 +180,11 @@ def _post_error(ctx: Context):
         F.col("sender") == "human", F.struct(F.col("position").alias("pos"), F.col("next_a").alias("a")))}, rows)
     nxt = h.select("message_uuid", F.col("next_h.pos").alias("h_pos"), F.col("next_h.a.pos").alias("a_pos"),
                    F.col("next_h.a.uuid").alias("a_uuid"))
-    errs = (_results(ctx).where(F.col("is_error")).groupBy("conversation_uuid", "message_uuid")
+    errs = (results.groupBy("conversation_uuid", "message_uuid")
             .agg(F.collect_set("name").alias("err_tools")))
     e = errs.join(nxt, "message_uuid")  # error messages that exist in the message table
-    tools = (ctx.tables.tool_calls.where(F.col("name").isNotNull()).groupBy(F.col("message_uuid").alias("a_uuid"))
+    tools = (ctx.tables.tool_calls.where(F.col("name").isNotNull()).withColumnRenamed("message_uuid", "a_uuid")
+             .join(e.select("a_uuid").distinct(), "a_uuid", "left_semi").groupBy("a_uuid")
              .agg(F.collect_set("name").alias("a_tools")))
     e = e.join(tools, "a_uuid", "left")
     a_tools = F.coalesce(F.col("a_tools"), F.array().cast("array<string>"))
@@ -196,7 +202,7 @@ def post_error(ctx: Context):
     counts = p.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
     grid = cells(ctx.spark.range(1).select(), {"outcome": axis(POST_ORDER)})
     d = zero_fill(grid, counts, ["outcome"], ["n"])
-    total = p.agg(F.count(F.lit(1))).scalar()
+    total = F.coalesce(counts.agg(F.sum("n")).scalar(), F.lit(0))
     idx = (F.array_position(axis(POST_ORDER), F.col("outcome")) - 1).cast("int")
     return d.select(idx.alias("outcome_index"), "outcome", "n",
                     F.when(total == 0, F.lit(None).cast("double")).otherwise(r6(100.0 * F.col("n") / total))

@@ -172,7 +172,7 @@ def multi_root(ctx: Context):
     return g.select("root_count", "n", "message_count_p50", "lifetime_p50")
 
 
-@report(M, "m13_multi_root_list")
+@report(M, "m13_multi_root_list", row_level=True)
 def multi_root_list(ctx: Context):
     return _multi_root(ctx).select("conversation_uuid", "name", "root_count", "message_count",
                                    r6(F.col("lifetime_seconds")).alias("lifetime_seconds"))
@@ -183,7 +183,7 @@ def combinations(ctx: Context):
     c = _sc(ctx).where(F.col("message_count") > 0)
     flags = [F.expr(cond).alias(f"f{i}") for i, (_, cond) in enumerate(COMBO_FLAGS)]
     g = c.select(*flags).groupBy(*[f"f{i}" for i in range(len(COMBO_FLAGS))]).agg(F.count(F.lit(1)).alias("n"))
-    total = c.agg(F.count(F.lit(1))).scalar()
+    total = F.coalesce(g.agg(F.sum("n")).scalar(), F.lit(0))
     tags = F.array_compact(F.array(*[F.when(F.col(f"f{i}"), F.lit(lbl)) for i, (lbl, _) in enumerate(COMBO_FLAGS)]))
     label = F.when(F.size(tags) == 0, F.lit(NO_FLAGS)).otherwise(F.array_join(tags, " + "))
     return g.select(*[F.col(f"f{i}").alias(lbl.replace("-", "_")) for i, (lbl, _) in enumerate(COMBO_FLAGS)],
@@ -235,7 +235,7 @@ def top_forks(ctx: Context):
         "conversation_uuid", "name", "human_fork_count", "assistant_fork_count", "total_forks", "message_count")
 
 
-@report(M, "m13_fork_list")
+@report(M, "m13_fork_list", row_level=True)
 def fork_list(ctx: Context):
     fp = _sm(ctx).where(F.col("fork_parent_flag") & F.col("sender").isin(*KINDS.values()))
     kind = F.when(F.col("sender") == "assistant", F.lit("human_fork")).otherwise(F.lit("assistant_fork"))
@@ -243,7 +243,7 @@ def fork_list(ctx: Context):
                      F.col("sender").alias("parent_sender"), F.col("chars_text").alias("parent_chars"), "child_count")
 
 
-@report(M, "m13_inplace_list")
+@report(M, "m13_inplace_list", row_level=True)
 def inplace_list(ctx: Context):
     return _sm(ctx).where("inplace_edit_flag").select("conversation_uuid", "message_uuid", "sender", "chars_text",
                                                       r6(F.col("edit_delta_seconds")).alias("edit_delta_seconds"))

@@ -13,7 +13,7 @@ M = "prepare"
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
-@report(M, "stats_message_base")
+@report(M, "stats_message_base", row_level=True)
 def message_base(ctx: Context):
     return ctx.stats.message.select(
         "message_uuid", "conversation_uuid", "sender", "chars_text", "chars_thinking", "tool_use_count",
@@ -21,59 +21,59 @@ def message_base(ctx: Context):
         F.date_format("created_local", TS_FMT).alias("created_local"))
 
 
-@report(M, "message_text", needs=("blocks",))
+@report(M, "message_text", needs=("blocks",), row_level=True)
 def message_text(ctx: Context):
     """Ordered text / thinking of each message (export input: built from content blocks)."""
     return ctx.tables.messages.select("message_uuid", "text", "thinking", "chars_text", "chars_thinking")
 
 
-@report(M, "message_tokens")
+@report(M, "message_tokens", row_level=True)
 def message_tokens(ctx: Context):
     return ctx.stats.message.select("message_uuid", "tokens_text", "tokens_thinking", "chars_code", "tokens_code")
 
 
-@report(M, "code_concat")
+@report(M, "code_concat", row_level=True)
 def code_concat(ctx: Context):
     """All fenced bodies of the message text joined by a blank line."""
     code = T.code_concat("text")
     return ctx.tables.messages.select("message_uuid", code.alias("code"), F.length(code).cast("long").alias("chars_code"))
 
 
-@report(M, "code_blocks")
+@report(M, "code_blocks", row_level=True)
 def code_blocks(ctx: Context):
     return ctx.stats.code_block.select("message_uuid", "conversation_uuid", "sender", "position", "language",
                                        "chars", "tokens")
 
 
-@report(M, "inline_code_count")
+@report(M, "inline_code_count", row_level=True)
 def inline_code_count(ctx: Context):
     return ctx.stats.message.select("message_uuid", "inline_code_count")
 
 
-@report(M, "inplace_edit")
+@report(M, "inplace_edit", row_level=True)
 def inplace_edit(ctx: Context):
     return ctx.stats.message.select("message_uuid", r6(F.col("edit_delta_seconds")).alias("edit_delta_seconds"),
                                     "inplace_edit_flag")
 
 
-@report(M, "child_count")
+@report(M, "child_count", row_level=True)
 def child_count(ctx: Context):
     return prepare.child_counts(ctx.tables.messages).select(
         F.col("puuid").alias("parent_message_uuid"), "child_count")
 
 
-@report(M, "fork_flags")
+@report(M, "fork_flags", row_level=True)
 def fork_flags(ctx: Context):
     return ctx.stats.message.select("message_uuid", "fork_parent_flag", "fork_child_flag", "fork_child_continued")
 
 
-@report(M, "root_sender_forks")
+@report(M, "root_sender_forks", row_level=True)
 def root_sender_forks(ctx: Context):
     return ctx.stats.conversation.select("conversation_uuid", "root_count", "human_fork_count",
                                          "assistant_fork_count", "inplace_edit_count")
 
 
-@report(M, "stats_conversation")
+@report(M, "stats_conversation", row_level=True)
 def stats_conversation(ctx: Context):
     c = ctx.stats.conversation
     ts = {"created_at", "created_local", "first_msg_at", "last_msg_at"}

@@ -1,8 +1,9 @@
 """Report outputs (CSV, JSON summaries), non-finite cleanup, table materialisation.
 
 Report frames that are aggregates (report-sized by construction) are written as one file
-(`coalesce(1)`); row-level frames (one row per message / citation / ...) keep their
-partitioning and are written in parallel. Nothing is collected to the driver.
+(`coalesce(1)`); row-level frames (one row per message / citation / domain / tool name ..., declared
+as `row_level` where the report is registered) keep their partitioning and are written in
+parallel. Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -11,15 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from parley.plans.base import REGISTRY, Context, module_keys, runnable
-
-# Row-level report keys: their size grows with the data, so they are never coalesced.
-ROW_LEVEL = {
-    "m01_data", "m02_data", "m03_assistant_rows", "m09_parse", "m11_citations", "m11_domains",
-    "m11_web_calls", "m11_scatter", "m12_error_messages", "m12_normalize", "m13_fork_list",
-    "m13_inplace_list", "m13_multi_root_list", "stats_message_base", "message_tokens", "code_blocks",
-    "message_text", "code_concat", "m12_tool_rates", "inline_code_count", "inplace_edit", "child_count", "fork_flags", "root_sender_forks", "stats_conversation",
-}
+from parley.plans import prepare
+from parley.plans.base import REGISTRY, ROW_LEVEL, Context, module_keys, runnable
 
 
 def sanitize_nonfinite(df: DataFrame) -> DataFrame:
@@ -95,12 +89,20 @@ def materialise(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
 def write_module(module: str, ctx: Context, out_dir: str) -> list[str]:
     """W6 + W1/W2: run one module and write each frame as CSV and JSON plus its summary."""
     written = []
-    frames = {k: REGISTRY[k][1](ctx) for k in module_keys(module) if runnable(k, ctx.tables)}
     base = out_dir.rstrip("/") + "/" + module
-    for key, df in frames.items():
+    scratch = prepare.scratch_dir(ctx.spark, f"reports-{module}")
+    frames = {}
+    for key in module_keys(module):
+        if not runnable(key, ctx.tables):
+            continue
         bounded = key not in ROW_LEVEL
-        write_csv(sanitize_nonfinite(df), f"{base}/{key}.csv", bounded)
-        write_json(df, f"{base}/{key}.json", bounded)
+        # every frame runs once: CSV, JSON and the summary read its rows back
+        df = sanitize_nonfinite(REGISTRY[key][1](ctx))
+        _sized(df, bounded).write.parquet(f"{scratch}/{key}")
+        frames[key] = ctx.spark.read.schema(df.schema).parquet(f"{scratch}/{key}")
+        write_csv(frames[key], f"{base}/{key}.csv", bounded)
+        write_json(frames[key], f"{base}/{key}.json", bounded)
         written.append(key)
-    summary_document(frames).coalesce(1).write.mode("overwrite").text(f"{base}/summary.json")
+    if set(frames) - ROW_LEVEL:
+        summary_document(frames).coalesce(1).write.mode("overwrite").text(f"{base}/summary.json")
     return written
