@@ -25,7 +25,7 @@ SELECT concat(CAST(conv_id AS VARCHAR),'#',CAST(turn AS VARCHAR)) AS message_uui
             ELSE concat(CAST(conv_id AS VARCHAR),'#',CAST(turn-1 AS VARCHAR)) END AS parent_message_uuid,
        CASE role WHEN 'user' THEN 'human' ELSE role END AS sender,
        CAST(turn AS INT) AS position,
-       1704067200 + conv_id*26000 + turn*900 + (conv_id*17 + turn*131) % 880
+       1704067200 + conv_id*26000 + conv_id % 14 * 2592000 + turn*900 + (conv_id*17 + turn*131) % 880
          + CASE WHEN conv_id % 10 = 0 AND turn >= 4 THEN 90000 ELSE 0 END AS created_s,
        CASE WHEN (conv_id + turn) % 9 = 0 THEN 61 + (conv_id*7919 + turn*104729) % 700000
             ELSE (conv_id + turn) % 5 END AS edit_s,
@@ -50,7 +50,12 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS conversation_uuid,
        concat(CAST(user_id AS VARCHAR),'#',CAST(1 + event_id % 8 AS VARCHAR)) AS message_uuid,
        CASE k % 9 WHEN 0 THEN 'web_search' WHEN 1 THEN 'web_fetch' WHEN 2 THEN 'filesystem:write_file' WHEN 3 THEN 'bash_tool'
             WHEN 4 THEN 'view' WHEN 5 THEN 'artifacts' WHEN 6 THEN 'grep' WHEN 7 THEN 'list_directory' ELSE 'custom:x' END AS name,
-       event_type = 'error' AS is_error, ts AS start_timestamp, value AS duration_s, props AS input,
+       event_type = 'error' AS is_error, ts AS start_timestamp, value AS duration_s,
+       CASE WHEN k % 9 <> 5 OR event_id % 8 = 0 THEN props WHEN event_id % 8 = 1 THEN 'not json {'
+            ELSE concat('{"type":"', ['text/markdown','application/vnd.ant.code','application/vnd.ant.react','image/svg+xml','text/html','x/other',''][event_id % 7 + 1],
+                        '","command":"', ['create','update','rewrite',''][event_id % 4 + 1],
+                        '","language":"', ['python','javascript','','sql','rust'][event_id % 5 + 1],
+                        '","content":"', repeat('x', CAST((event_id * 37) % 9000 AS INT)), '"}') END AS input,
        CASE k % 11 WHEN 0 THEN 'File not found: /tmp/a.txt' WHEN 1 THEN 'HTTP 403 forbidden' WHEN 2 THEN 'Request timed out'
             WHEN 3 THEN '429 Too Many Requests' WHEN 4 THEN 'blocked by robots.txt' WHEN 5 THEN 'client_error: https://a.b/c'
             WHEN 6 THEN 'validation failed' WHEN 7 THEN 'No result received' WHEN 8 THEN 'parse error' WHEN 9 THEN 'unknown error' ELSE 'boom' END AS error_text
@@ -73,7 +78,24 @@ FROM documents GROUP BY source
 VC = r"""
 SELECT CAST(page_id % 40 AS VARCHAR) AS conversation_uuid,
        concat(CAST(page_id % 40 AS VARCHAR), '#', CAST(1 + page_id % 4 AS VARCHAR)) AS message_uuid,
-       'web_search_citation' AS cite_type, url, regexp_extract(url, 'https?://([^/]+)', 1) AS domain FROM pages
+       'web_search_citation' AS cite_type, url, regexp_extract(url, 'https?://([^/]+)', 1) AS domain,
+       CASE WHEN page_id % 10 <> 0 THEN make_timestamp((1704067200 + page_id * 259200) * 1000000) END AS cited_at FROM pages
+"""
+
+VA = """
+SELECT concat(CAST(conv_id AS VARCHAR),'#',CAST(turn AS VARCHAR)) AS message_uuid, position,
+       CAST(x % [NULL, 1000, 10000, 100000, 1000000, 5000000, 10][x % 7 + 1] AS BIGINT) AS file_size,
+       ['txt','application/pdf','','image/png','text/csv','md','json','py','html',NULL][x % 10 + 1] AS file_type
+FROM (SELECT *, conv_id * 7919 + turn * 104729 + position * 31 AS x
+      FROM (SELECT conv_id, turn, unnest(range(0, conv_id % 3 + 1)) AS position FROM conversations
+            WHERE role = 'user' AND conv_id % 6 = 0)) a
+"""
+
+VB = """
+SELECT message_uuid, 'thinking' AS type FROM msg WHERE chars_thinking > 0
+UNION ALL SELECT message_uuid, CASE WHEN sender = 'human' AND CAST(conversation_uuid AS BIGINT) % 11 = 3
+                               THEN 'voice_note' ELSE 'text' END FROM msg WHERE chars_text > 0
+UNION ALL SELECT message_uuid, unnest(['tool_use', 'tool_result']) FROM vt
 """
 
 
@@ -99,6 +121,8 @@ vconv AS ({VCONV}),
 docs AS ({VD_DOCS}),
 projects AS ({VD_PROJECTS}),
 cites AS ({VC}),
+attachments AS ({VA}),
+blocks AS ({VB}),
 conv AS (
   SELECT v.conversation_uuid, v.name, p.created_at, CAST(coalesce(p.message_count, 0) AS BIGINT) AS message_count
   FROM vconv v LEFT JOIN (SELECT conversation_uuid, count(*) AS message_count, min(created_at) AS created_at

@@ -88,12 +88,20 @@ def conversations(raw: DataFrame) -> DataFrame:
 
 
 def message_rows(raw: DataFrame) -> DataFrame:
-    """One row per message with its blocks parsed once (`b`) next to their raw JSON text."""
+    """One row per message with its blocks parsed once (`b`) next to their raw JSON text (E6 keeps it).
+
+    Of the message's own text and of attached texts only the lengths are kept."""
     m = raw.select(F.col("uuid").alias("conversation_uuid"),
                    F.posexplode(F.coalesce("chat_messages", F.array())).alias("position", "m"))
-    parsed = F.transform(F.coalesce(F.col("m.content"), F.array()), lambda b: F.from_json(b, SC.BLOCK_DDL))
-    return m.select("conversation_uuid", "position", "m", parsed.alias("b"),
-                    F.coalesce(F.col("m.content"), F.array()).alias("raw_blocks"))
+    content = F.coalesce(F.col("m.content"), F.array())
+    attached = F.transform("m.attachments", lambda a: F.struct(
+        a["file_name"].alias("file_name"), a["file_size"].alias("file_size"), a["file_type"].alias("file_type"),
+        F.length(F.coalesce(a["extracted_content"], F.lit(""))).cast("long").alias("content_length")))
+    kept = F.struct(*[F.col(f"m.{c}").alias(c) for c in ("uuid", "parent_message_uuid", "sender", "created_at", "updated_at")],
+                    F.length(F.coalesce(F.col("m.text"), F.lit(""))).cast("long").alias("text_length"),
+                    attached.alias("attachments"), F.col("m.files").alias("files"))
+    return m.select("conversation_uuid", "position", kept.alias("m"),
+                    F.transform(content, lambda b: F.from_json(b, SC.BLOCK_DDL)).alias("b"), content.alias("raw_blocks"))
 
 
 def _join_texts(blocks: Column, types: list[str], field: str) -> Column:
@@ -117,7 +125,7 @@ def messages(r: DataFrame) -> DataFrame:
         F.col("m.parent_message_uuid").alias("parent_message_uuid"), F.col("m.sender").alias("sender"),
         F.col("position").cast("int").alias("position"),
         F.col("m.created_at").alias("created_at"), F.col("m.updated_at").alias("updated_at"),
-        F.length(F.coalesce(F.col("m.text"), F.lit(""))).cast("long").alias("text_length"),
+        F.col("m.text_length").alias("text_length"),
         F.size(b).cast("int").alias("content_block_count"),
         F.size(F.coalesce(F.col("m.attachments"), F.array())).cast("int").alias("attachment_count"),
         F.size(F.coalesce(F.col("m.files"), F.array())).cast("int").alias("file_count"),
@@ -183,8 +191,7 @@ def attachments(rows: DataFrame) -> DataFrame:
                                   F.posexplode(F.col("m.attachments")).alias("position", "a"))
     return a.select("message_uuid", F.col("position").cast("int").alias("position"),
                     F.col("a.file_name").alias("file_name"), F.col("a.file_size").alias("file_size"),
-                    F.col("a.file_type").alias("file_type"),
-                    F.length(F.coalesce(F.col("a.extracted_content"), F.lit(""))).cast("long").alias("content_length"))
+                    F.col("a.file_type").alias("file_type"), F.col("a.content_length").alias("content_length"))
 
 
 def files(rows: DataFrame) -> DataFrame:

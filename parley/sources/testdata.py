@@ -1,7 +1,7 @@
 """Adapters that reshape the driver test tables into the chat data model.
 
 The driver tables (`conversations`, `events`, `documents`, `pages`) carry no timestamps,
-tree, tools or attachments, so the adapters derive them by fixed arithmetic (the rules are
+tree, tools, blocks or attachments, so the adapters derive them by fixed arithmetic (the rules are
 spelled out in FIXTURES.md; the DuckDB oracle uses the same rules as SQL text). All of it is
 column expressions on the scans, so predicates and pruning still reach parquet.
 """
@@ -26,6 +26,10 @@ VT_ERROR_TEXTS = [
     "validation failed", "No result received", "parse error", "unknown error", "boom",
 ]
 VM_CODE_TAGS = ["python", "py", "JS ", "", "bash x"]
+VA_FILE_TYPES = ["txt", "application/pdf", "", "image/png", "text/csv", "md", "json", "py", "html", None]
+VT_ARTIFACT_TYPES = ["text/markdown", "application/vnd.ant.code", "application/vnd.ant.react", "image/svg+xml", "text/html", "x/other", ""]
+VT_ARTIFACT_COMMANDS = ["create", "update", "rewrite", ""]
+VT_ARTIFACT_LANGUAGES = ["python", "javascript", "", "sql", "rust"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +59,7 @@ def vm_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(mid(turn - 1))
     )
     created_s = (
-        F.lit(EPOCH_BASE) + conv * 26000 + turn * 900 + (conv * 17 + turn * 131) % 880
+        F.lit(EPOCH_BASE) + conv * 26000 + (conv % 14) * 2592000 + turn * 900 + (conv * 17 + turn * 131) % 880
         + F.when((conv % 10 == 0) & (turn >= 4), F.lit(90000)).otherwise(F.lit(0))
     )
     edit_s = (
@@ -98,6 +102,14 @@ def vm_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vt_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
+    event = F.col("event_id")
+    # an artifact call holds a JSON object, one in eight the event's props, one no JSON at all
+    artifact = F.concat(F.lit('{"type":"'), _pick(event % 7, VT_ARTIFACT_TYPES),
+                        F.lit('","command":"'), _pick(event % 4, VT_ARTIFACT_COMMANDS),
+                        F.lit('","language":"'), _pick(event % 5, VT_ARTIFACT_LANGUAGES),
+                        F.lit('","content":"'), F.expr("repeat('x', CAST((event_id * 37) % 9000 AS INT))"), F.lit('"}'))
+    props = (F.when((k % 9 != 5) | (event % 8 == 0), F.col("props")).when(event % 8 == 1, F.lit("not json {"))
+             .otherwise(artifact))
     uid = F.col("user_id").cast("string")
     return e.select(
         F.col("event_id"),
@@ -109,7 +121,7 @@ def vt_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("start_timestamp"),
         F.col("value").alias("duration_s"),
         _pick(k % 11, VT_ERROR_TEXTS).alias("error_text"),
-        F.col("props").alias("input"),
+        props.alias("input"),
     )
 
 
@@ -159,9 +171,35 @@ def vc_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("web_search_citation").alias("cite_type"),
         F.col("url"),
         F.regexp_extract("url", r"https?://([^/]+)", 1).alias("domain"),
+        F.when(F.col("page_id") % 10 != 0, F.timestamp_seconds(F.lit(EPOCH_BASE) + F.col("page_id") * 259200)).alias("cited_at"),
     )
 
 
+def va_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rows a message as its attachment_count; one in seven has no size."""
+    c = _read(spark, sf_dir, "conversations").where((F.col("role") == "user") & (F.col("conv_id") % 6 == 0))
+    a = c.select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.col("conv_id") % 3)).alias("position"))
+    x = F.col("conv_id") * 7919 + F.col("turn") * 104729 + F.col("position") * 31
+    size = _pick(x % 7, [None, 1000, 10000, 100000, 1000000, 5000000, 10])
+    return a.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string")).alias("message_uuid"),
+        F.col("position").cast("int").alias("position"),
+        F.concat(F.lit("f"), F.col("position").cast("string")).alias("file_name"),
+        (x % size).cast("long").alias("file_size"),
+        _pick(x % 10, VA_FILE_TYPES).alias("file_type"))
+
+
+def vb_blocks(messages: DataFrame, tools: DataFrame) -> DataFrame:
+    """A block a kind of content that a message or a tool event has."""
+    voice = (F.col("sender") == "human") & (F.col("conversation_uuid").cast("long") % 11 == 3)
+    kinds = F.array_compact(F.array(
+        F.when(F.col("chars_thinking") > 0, F.lit("thinking")),
+        F.when(F.col("chars_text") > 0, F.when(voice, F.lit("voice_note")).otherwise(F.lit("text")))))
+    said = messages.select("message_uuid", F.posexplode(kinds).alias("position", "type"))
+    return said.unionByName(tools.select(
+        "message_uuid", F.posexplode(F.array(F.lit("tool_use"), F.lit("tool_result"))).alias("position", "type")))
+
+
 def load(spark: SparkSession, sf_dir: str, stage_dir: str | None = None) -> Tables:
     """Tables for the report modules from the driver test tables.
 
@@ -181,7 +219,6 @@ def load(spark: SparkSession, sf_dir: str, stage_dir: str | None = None) -> Tabl
         .select("conversation_uuid", "name", "created_at",
                 F.coalesce("message_count", F.lit(0)).alias("message_count"))
     )
-    # the event's JSON props stand in for the tool input (typeless, commandless artifacts)
     tool_calls = tools.select("conversation_uuid", "message_uuid", "name", "input",
                               "start_timestamp", "duration_s")
     tool_results = tools.select("conversation_uuid", "message_uuid", "name", "is_error",
@@ -194,4 +231,6 @@ def load(spark: SparkSession, sf_dir: str, stage_dir: str | None = None) -> Tabl
         citations=vc_citations(spark, sf_dir),
         projects=vd_projects(spark, sf_dir),
         docs=vd_docs(spark, sf_dir),
+        attachments=va_attachments(spark, sf_dir),
+        blocks=vb_blocks(msgs, tools),
     )

@@ -19,7 +19,7 @@ from parley.oracle.compare import compare, connect
 sf = "/root/testdata/sf0.01"
 con = connect(sf)
 q, o = E.queries(), E.oracle_sql()
-assert set(o) <= set(q) and len(o) >= 149
+assert set(o) <= set(q) and len(o) >= 158
 bad = [k for k in ["m03_monthly", "m04_heatmap", "m06_gaps", "m12_post_error", "overview_portrait"]
        if not compare(q[k](s, sf), con, o[k], strict=True)[0]]
 assert not bad, bad
