@@ -76,8 +76,8 @@ def test_grouped_bounded_quantiles_equal_percentile(spark, tctx):
     from parley.operators.quantiles import grouped_quantiles
 
     m = tctx.stats.message
-    exact = grouped_quantiles(m, ["sender"], F.col("chars_text"), (0.5, 0.9), bounded=False)
-    bounded = grouped_quantiles(m, ["sender"], F.col("chars_text"), (0.5, 0.9), bounded=True, accuracy=2)
+    exact = grouped_quantiles(m, ["sender"], F.col("chars_text"), (0.5, 0.9), Config(quantile_mode="exact"))
+    bounded = grouped_quantiles(m, ["sender"], F.col("chars_text"), (0.5, 0.9), Config(bounded_accuracy=2))
     assert rows(bounded) == rows(exact)
 
 
