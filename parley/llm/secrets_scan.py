@@ -5,8 +5,8 @@ entropy rule looks at every other run of at least `WINDOW` characters that could
 slides over the run, the counts of its characters are updated by the one that enters and the one
 that leaves, and with them the sum of c * log2(c) from which the Shannon entropy of the window
 follows. A run is reported as `entropy` when its highest window entropy reaches the threshold of
-its character class (hex digits, letters with digits, letters only) and no allow-list pattern
-suppresses it. Base findings are never suppressed.
+its character class (`FLOORS`: hex digits of either case, letters of one or both cases, with or without
+digits, with separators) and no allow-list pattern suppresses it. Base findings are never suppressed.
 
 Positions: each rule's matches are wrapped in marker characters by one regexp_replace, the marked
 text is split at the markers and the lengths of the pieces are summed with a window over the row,
@@ -32,7 +32,15 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 WINDOW = 20
 RUN = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-BITS = {"hex": 3.0, "mixed": 3.7, "letters": 4.25}  # of at most log2(20) = 4.32
+# entropy floors of the character classes, first match first, of at most log2(20) = 4.32: what 90 to 97 % of random
+# 20-character strings of the alphabet reach; letters of one case and words with separators stand above clean words
+# instead, and find 20-character strings less often (recall by class and length: README)
+FLOORS = (("hex", "^[0-9A-Fa-f]+$", 3.0),
+          ("letters of one case", "^([A-Z]?[a-z]+|[A-Z]+)$", 3.6),
+          ("letters", "^[A-Za-z]+$", 3.7),
+          ("letters of one case, digits", "^([0-9a-z]+|[0-9A-Z]+)$", 3.5),
+          ("letters, separators", "^[^0-9]+$", 4.0),
+          ("mixed", "", 3.7))
 # runs that look random and are none: identifiers made for examples, alphabets, UUIDs, paths, rulers
 ALLOW = (r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(?:api|key|token|secret)|xxxx",
          r"(?i)abcdefgh|0123456789|qwertyui",
@@ -71,14 +79,16 @@ def _top_entropy(run: str) -> Column:
         s -> {math.log2(WINDOW)}D - s.least / {WINDOW})""")
 
 
+def _floor(text: Column) -> Column:
+    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(bits)) for _, pattern, bits in FLOORS])
+
+
 def _suspicious(run: str) -> Column:
     text = F.col(run)
-    floor = (F.when(text.rlike(r"^[0-9a-f]+$"), BITS["hex"])
-             .when(text.rlike(r"[0-9]") & text.rlike(r"[A-Za-z]"), BITS["mixed"]).otherwise(BITS["letters"]))
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | text.rlike(pattern)
-    return F.when(allowed, False).otherwise(_top_entropy(run) >= floor)
+    return F.when(allowed, False).otherwise(_top_entropy(run) >= _floor(text))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

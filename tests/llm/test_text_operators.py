@@ -110,6 +110,23 @@ def test_entropy_runs_and_allow_list(docs_of, spark):
         assert r.h == pytest.approx(brute_entropy(r.run))
 
 
+def test_entropy_recall_by_class(spark):
+    """Share of random keys found by class and length, and no clean word."""
+    rng, lower, digits = random.Random(7), "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    least = {("lower hex", digits + "abcdef"): (0.92, 0.98), ("upper hex", digits + "ABCDEF"): (0.92, 0.98),
+             ("lower", lower): (0.5, 0.95), ("upper", lower.upper()): (0.5, 0.95), ("letters", lower + lower.upper()): (0.88, 0.98),
+             ("lower, digits", lower + digits): (0.9, 0.98), ("alphanumeric", lower + lower.upper() + digits): (0.92, 0.98)}
+    keys = [(name, n, "".join(rng.choice(chars) for _ in range(n))) for name, chars in least for n in (20, 40) for _ in range(200)]
+    words = ["thentionerandthesebleing", "keitstlichschenverpf", "Einungtzheitgeungverlich", "internationalization", "antidisestablishmentarianism",
+             "well-known-and-long-hyphenated-words", "snake_case_names_in_prose"]
+    rows = spark.createDataFrame([*keys, *[("clean", 0, w) for w in words]], "name string, n int, run string")
+    got = rows.groupBy("name", "n").agg(F.avg(secrets_scan._suspicious("run").cast("int")).alias("share")).collect()
+    share = {(r.name, r.n): r.share for r in got}
+    assert share.pop(("clean", 0)) == 0
+    for (name, _), (at20, at40) in least.items():
+        assert share[name, 20] >= at20 and share[name, 40] >= at40, (name, share)
+
+
 def test_secrets_odd_rows(docs_of):
     got = secrets_scan.findings(docs_of(ODD)).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got)
