@@ -4,9 +4,11 @@ Base rules: assignments of a password, token or key, access key ids, long hex st
 entropy rule looks at every other run of at least `WINDOW` characters that could be a key: a window
 slides over the run, the counts of its characters are updated by the one that enters and the one
 that leaves, and with them the sum of c * log2(c) from which the Shannon entropy of the window
-follows. A run is reported as `entropy` when its highest window entropy reaches the threshold of
-its character class (`FLOORS`: hex digits of either case, letters of one or both cases, with or without
-digits, with separators) and no allow-list pattern suppresses it. Base findings are never suppressed.
+follows. What an allow-listed mark suppresses is taken out of the run; the parts that are left, and
+their pieces between separators, are scored each for itself. A run is reported as `entropy` when the
+highest window entropy of any of them reaches the threshold of its character class (`FLOORS`: hex
+digits of either case, letters of one or both cases, with or without digits, with separators). Base
+findings are never suppressed.
 
 Positions: each rule's matches are wrapped in marker characters by one regexp_replace, the marked
 text is split at the markers and the lengths of the pieces are summed with a window over the row,
@@ -41,17 +43,23 @@ FLOORS = (("hex", "^[0-9A-Fa-f]+$", 3.0),
           ("letters of one case, digits", "^([0-9a-z]+|[0-9A-Z]+)$", 3.5),
           ("letters, separators", "^[^0-9]+$", 4.0),
           ("mixed", "", 3.7))
-# runs that look random and are none: identifiers made for examples, alphabets, UUIDs, paths, rulers
-ALLOW = (r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(?:api|key|token|secret)|xxxx",
-         r"(?i)abcdefgh|0123456789|qwertyui",
-         r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-         r"^/?(?:[A-Za-z_-]+/)+[A-Za-z_-]*$",
+# what looks random and is none. Marks (identifiers made for examples, alphabets) suppress the letters and digits around
+# them, WINDOW to each side at most; whole parts that are UUIDs, paths or rulers are not scored as one
+MARKS = (r"(?i)(?:example|sample|dummy|placeholder|changeme|your[_-]?(?:api|key|token|secret)|x{4,}"
+         r"|abcdefgh|0123456789|qwertyui)")
+WHOLE = ("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+         "^/?(?:[A-Za-z_-]+/)+[A-Za-z_-]*$",
          r"^(.)\1+$")
+GONE = "\u0003"
 OPEN, END = "\u0001", "\u0002"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
 def _top_entropy(run: str) -> Column:
+    return F.expr(_top_entropy_sql(run))
+
+
+def _top_entropy_sql(run: str) -> str:
     """Highest entropy of a window over column `run`.
 
     The fold carries the count of each character of the alphabet in the window and the sum of
@@ -59,7 +67,7 @@ def _top_entropy(run: str) -> Column:
     """
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
     term = ", ".join(repr(c * math.log2(c)) + "D" if c else "0D" for c in range(WINDOW + 2))
-    return F.expr(f"""
+    return f"""
       aggregate(
         transform(sequence(1, length({run})), i -> struct(
           instr('{alphabet}', substring({run}, i, 1)) AS enter,
@@ -76,19 +84,21 @@ def _top_entropy(run: str) -> Column:
                                          - CASE WHEN j = c.leave - 1 THEN 1 ELSE 0 END) AS n,
               total AS total,
               CASE WHEN c.whole THEN least(s.least, total) ELSE s.least END AS least))[0])[0],
-        s -> {math.log2(WINDOW)}D - s.least / {WINDOW})""")
-
-
-def _floor(text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(bits)) for _, pattern, bits in FLOORS])
+        s -> {math.log2(WINDOW)}D - s.least / {WINDOW})"""
 
 
 def _suspicious(run: str) -> Column:
-    text = F.col(run)
-    allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | text.rlike(pattern)
-    return F.when(allowed, False).otherwise(_top_entropy(run) >= _floor(text))
+    around = f"[A-Za-z0-9]{{0,{WINDOW}}}{GONE}[A-Za-z0-9]{{0,{WINDOW}}}"
+    floor = " ".join(f"WHEN part RLIKE r'{pattern}' THEN {bits}D" for _, pattern, bits in FLOORS)
+    whole = " OR ".join(f"part RLIKE r'{pattern}'" for pattern in WHOLE)
+    return F.expr(f"""
+      exists(
+        filter(
+          transform(array(CASE WHEN {run} RLIKE r'{MARKS}' THEN regexp_replace(regexp_replace({run}, r'{MARKS}', '{GONE}'), '{around}', '{GONE}')
+                               ELSE {run} END),
+            t -> array_distinct(concat(split(t, '{GONE}'), split(t, '[/_=+{GONE}-]'))))[0],
+          part -> length(part) >= {WINDOW}),
+        part -> CASE WHEN {whole} THEN false ELSE {_top_entropy_sql("part")} >= CASE {floor} END END)""")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -110,6 +110,15 @@ def test_entropy_runs_and_allow_list(docs_of, spark):
         assert r.h == pytest.approx(brute_entropy(r.run))
 
 
+def test_allow_list_stays_with_its_part(docs_of):
+    key, blob = "Zk39QmPa77xRtLw0vBnE4yHc", "".join(random.Random(9).choices("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789", k=200))
+    path = "a/bQxWzKvRtYpLmNcDgHjFs/of/letters"
+    runs = [f"files/example/{key}", f"https/sample_dir/{key}/x", blob[:100] + "xxxx" + blob[100:], path, "x" * 100_000,
+            f"sample-{'F00DBABE12345678' * 2}", f"some/example{key}", "files/example/of/paths", "0123456789abcdefghijklmnopqrstuvwxyz"]
+    got = {r.doc_id: r.n_entropy for r in secrets_scan.findings(docs_of(list(enumerate(runs)))).collect()}
+    assert [got[i] for i in range(len(runs))] == [1, 1, 1, 1, 0, 1, 0, 0, 0]
+
+
 def test_entropy_recall_by_class(spark):
     """Share of random keys found by class and length, and no clean word."""
     rng, lower, digits = random.Random(7), "abcdefghijklmnopqrstuvwxyz", "0123456789"
