@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,25 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A row id that is the same on every evaluation of the same file scan, so that rows with
-    equal or missing ids stay apart."""
-    return df.withColumn(RID, F.monotonically_increasing_id())
+    """A row id, so that rows with equal or missing ids stay apart; one that is there is kept.
+
+    It depends on the file splits, and those on the cores registered when a job starts: for one
+    evaluation only. What is joined or counted again needs `numbered` or `placed`."""
+    return df if RID in df.columns else df.withColumn(RID, F.monotonically_increasing_id())
+
+
+def numbered(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df with its row ids, written once to the shared folder: the same in every later job."""
+    return df if RID in df.columns else written(with_row_id(df), name)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df with a row id made of file name and position in the file, whatever the splits; rows may
+    share one by chance. Frames that are no file scan are written once instead."""
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias(RID))
+    except AnalysisException:
+        return numbered(df)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, let, with_row_id, written
+from parley.llm.common import RID, let, numbered, with_row_id, written
 
 # placeholders; the same characters in a text are read as separators
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
@@ -74,11 +74,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
     """One row per (input row, item) pair found: row id, doc_id, item_id, windows matched, the
     item's windows, coverage, reparameterised."""
     w = p.window
-    rows = with_row_id(docs).select(RID, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # written once: the ids are joined in later jobs
+    rows = numbered(docs.select(*[c for c in docs.columns if c == RID], F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     slot = lambda x: x.isin(NAME, NUMBER, UNIT)
 
-    bench = (with_row_id(items).select(F.col(RID).alias("item"), "item_id", F.col("text").alias("t"))
-             .withColumn("template", _template(F.col("t"))))
+    bench = written(with_row_id(items).select(F.col(RID).alias("item"), "item_id", F.col("text").alias("t"))
+                    .withColumn("template", _template(F.col("t"))), "items")
     item_windows = (bench.select("item", "template", F.posexplode(_windows(F.col("template"), w)).alias("ipos", "hash"))
                     .where(F.size(F.filter(F.slice("template", F.col("ipos") + 1, w), lambda x: ~slot(x))) >= p.literals)
                     .select("item", "ipos", "hash"))
@@ -121,5 +122,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
 
 def without_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
     """docs without the rows found for any item, all columns kept."""
-    found = find_leaks(docs, items, p).select(RID).distinct()
-    return with_row_id(docs).join(found, RID, "left_anti").drop(RID)
+    rows = numbered(docs)
+    found = find_leaks(rows, items, p).select(RID).distinct()
+    return rows.join(found, RID, "left_anti").drop(RID)

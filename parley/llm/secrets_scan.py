@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, with_row_id
+from parley.llm.common import RID, numbered, with_row_id
 
 # fixed values: the rules of the base scan, in the order in which kinds are listed
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -144,5 +144,6 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """docs without the rows in which anything was found, all columns kept."""
-    found = scan(docs).where(F.size("found") > 0).select(RID)
-    return with_row_id(docs).join(found, RID, "left_anti").drop(RID)
+    rows = numbered(docs)
+    found = scan(rows).where(F.size("found") > 0).select(RID)
+    return rows.join(found, RID, "left_anti").drop(RID)

@@ -1,14 +1,15 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters the records uniformly into buckets small enough for a task's memory, by a seeded
-hash of the whole record key with its row number, so equal texts and repeated ids spread too. Pass
+hash of the whole record key with its place in its file, so equal texts and repeated ids spread too. Pass
 two reads bucket by bucket, puts its records into a Fisher-Yates order and writes them. Buckets one
 after another are the global order; record i of it goes to shard i mod n at slot i div n, so shard
 sizes differ by one record at most ("rows" law) and slots have no gaps. Only the buckets' counts
 (one row a bucket) pass through the driver.
 
-NULL texts have no bytes, empty tables give empty shards. The order depends on seed, files and
-split size, not on timing: a repeated task gives the same records.
+NULL texts have no bytes, empty tables give empty shards. The order depends on seed and files, not
+on splits or timing: a repeated task gives the same records. Tables that are no file scan are written
+with their row numbers first.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from parley.llm.common import RID, scratch_path, ship_package, with_row_id
+from parley.llm.common import RID, placed, scratch_path, ship_package
 
 SHARDS = 16
 BUCKET_BYTES = 16 << 20
@@ -47,9 +48,10 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_B
     if clash := {BUCKET, SHARD, SLOT} & set(docs.columns):
         raise ValueError(f"rename the columns {sorted(clash)} first")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
-    total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
+    rows = placed(docs)
+    total = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows = with_row_id(docs).withColumn(BUCKET, F.pmod(F.xxhash64(F.lit(seed), id_col, RID), F.lit(buckets)))
+    rows = rows.withColumn(BUCKET, F.pmod(F.xxhash64(F.lit(seed), id_col, RID), F.lit(buckets)))
     counts = {r[0]: r[1] for r in rows.groupBy(BUCKET).count().collect()}  # total / bucket_bytes rows
     first, at = {}, 0
     for b in range(buckets):
@@ -58,7 +60,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_B
     names = docs.columns
 
     def order(group: pa.Table) -> pa.Table:
-        group = group.sort_by(RID)  # the order in which records arrive does not matter
+        group = group.sort_by([(RID, "ascending"), (id_col, "ascending")])  # the order in which records arrive does not matter
         b = group.column(BUCKET)[0].as_py()
         place = first.value[b] + np.arange(group.num_rows)
         out = group.select(names).take(_fisher_yates(group.num_rows, seed, b))

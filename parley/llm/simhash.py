@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, ship_package, texts_of, with_row_id, written
+from parley.llm.common import RID, numbered, ship_package, texts_of, with_row_id, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -171,5 +171,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each component: the smallest doc_id, all columns kept."""
-    kept = near_duplicates(docs, shingle, max_bits).where(F.col(RID) == F.col("keep")).select(RID)
-    return with_row_id(docs).join(kept, RID, "left_semi").drop(RID)
+    rows = numbered(docs)
+    kept = near_duplicates(rows, shingle, max_bits).where(F.col(RID) == F.col("keep")).select(RID)
+    return rows.join(kept, RID, "left_semi").drop(RID)

@@ -210,6 +210,28 @@ def test_one_of_each_keeps_one_row(docs_of):
     assert kept[0].__fields__ == docs_of(ODD).columns
 
 
+# row ids ---------------------------------------------------------------------------------------
+@pytest.fixture
+def resplit(spark):
+    """Other file splits from the call on, as with executors lost or added between jobs."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    yield lambda: spark.conf.set(key, "20000")
+    spark.conf.set(key, before)
+
+
+def test_row_ids_do_not_depend_on_splits(spark, sample, resplit):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    same = lambda df: sorted(r.doc_id for r in df.collect())
+    want = [same(simhash.one_of_each(sample)), same(decontaminate.without_leaks(sample, bench)), same(secrets_scan.without_secrets(sample))]
+    order = {(r.doc_id, r.shard, r.slot) for r in shards.shuffled(sample, bucket_bytes=2000).collect()}
+    late = [simhash.one_of_each(sample), decontaminate.without_leaks(sample, bench), secrets_scan.without_secrets(sample)]
+    late_order = shards.shuffled(sample, bucket_bytes=2000)
+    resplit()
+    assert [same(df) for df in late] == want
+    assert {(r.doc_id, r.shard, r.slot) for r in late_order.collect()} == order
+
+
 # shards --------------------------------------------------------------------------------------
 @pytest.mark.parametrize("bucket_bytes", [1 << 24, 2000])
 def test_shards_hold_everything_once(sample, bucket_bytes):
