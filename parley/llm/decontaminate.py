@@ -6,9 +6,10 @@ other words lower-cased. Every window of `window` placeholders and words is hash
 the hashed windows of the benchmark items; windows that meet are lined up by item and by the
 distance between the two positions (one alignment per occurrence). Within an alignment the slots
 must be consistent: the same item value always stands for the same value in the document, and
-different ones for different ones; windows holding slots of an inconsistent alignment do not count.
+different ones for different ones; windows that hold a changed slot which breaks this do not count.
 A document is reported for an item when the windows that count, over all its alignments, cover at
-least `coverage` of the item's windows. `reparameterised` says that a slot value differs.
+least `coverage` of the item's windows. `reparameterised` says that windows meet only with
+a slot value that differs.
 
 Defined results: NULL and empty texts, and items with fewer words than the window, match nothing.
 Item windows with fewer than `literals` words that are no placeholders are too unspecific to be
@@ -103,16 +104,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
     covered = F.array_distinct(F.flatten(F.transform("ipos", lambda i: F.sequence(i, i + (w - 1)))))
     hit = hit.withColumn("at", F.filter(covered, lambda i: slot(F.get("template", i))))
     hit = hit.withColumn("slots", let(_words(F.lower("text")), lambda words: F.transform("at", lambda i: F.struct(
-        F.get("template", i).alias("kind"), F.get("said", i).alias("item"), F.get(words, i + F.col("shift")).alias("doc")))))
-    distinct = lambda *f: F.size(F.array_distinct(F.transform(
-        "slots", lambda s: F.struct(*[s[x].alias(x) for x in ("kind", *f)]))))
-    consistent = (distinct("item") == distinct("item", "doc")) & (distinct("doc") == distinct("item", "doc"))
-    free = F.filter("ipos", lambda i: ~F.exists(F.slice("template", i + 1, F.lit(w)), slot))
-    hit = hit.select(RID, "doc_id", "item", "item_id", F.when(consistent, F.col("ipos")).otherwise(free).alias("ipos"),
-                     (consistent & F.exists("slots", lambda s: s["item"] != s["doc"])).alias("changed"))
+        i.alias("at"), F.struct(F.get("template", i).alias("kind"), F.get("said", i).alias("item"),
+                                F.get(words, i + F.col("shift")).alias("doc")).alias("value")))))
+    # a slot that is equal as written always counts; a changed one conflicts if its value stands for two, on either side
+    values = F.array_distinct(F.transform("slots", lambda s: s["value"]))
+    hit = hit.withColumn("conflicts", let(values, lambda all_: F.filter(all_, lambda c: (c["item"] != c["doc"]) & F.exists(
+        all_, lambda o: (o["kind"] == c["kind"]) & ((o["item"] == c["item"]) != (o["doc"] == c["doc"]))))))
+    hit = hit.withColumn("bad", F.transform(F.filter("slots", lambda s: F.array_contains("conflicts", s["value"])), lambda s: s["at"]))
+    hit = hit.withColumn("changed", F.transform(F.filter("slots", lambda s: s["value"]["item"] != s["value"]["doc"]), lambda s: s["at"]))
+    without = lambda slots: F.filter("ipos", lambda i: ~F.exists(slots, lambda x: x.between(i, i + (w - 1))))
+    hit = hit.select(RID, "doc_id", "item", "item_id", "ipos", without("bad").alias("counted"), without("changed").alias("same"))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     return (hit.groupBy(RID, "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"),
-                                         F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).alias("matched"),
-                                         F.max("changed").alias("reparameterised"))
+                                         F.size(union("counted")).alias("matched"),
+                                         (F.size(F.array_except(union("ipos"), union("same"))) > 0).alias("reparameterised"))
             .join(of_item, "item")
             .withColumn("coverage", F.col("matched") / F.col("n_windows"))
             .where(F.col("coverage") >= p.coverage)

@@ -39,6 +39,13 @@ def test_leaks_exact_reparameterised_and_clean(spark, docs_of):
     assert 3 not in found or found[3].coverage < found[1].coverage  # slots do not agree: only free windows count
 
 
+def test_leaks_one_changed_number_to_a_value_of_the_item(spark, docs_of):
+    found = leaks(spark, docs_of, [ITEM.replace("30 people", "45 people"), ITEM, ITEM.replace("120 bags", "45 bags").replace("30", "120")])
+    assert found[0].reparameterised and 0.3 <= found[0].coverage < 1
+    assert not found[1].reparameterised and found[1].coverage == 1
+    assert 2 not in found or found[2].coverage < 1
+
+
 def test_leaks_whole_words_only_and_short_items(spark, docs_of):
     assert leaks(spark, docs_of, ["two words"], items=("two words",)) == {}
     assert leaks(spark, docs_of, [], items=(ITEM,)) == {}
