@@ -8,12 +8,13 @@ distance between the two positions (one alignment per occurrence). Within an ali
 must be consistent: the same item value always stands for the same value in the document, and
 different ones for different ones; windows that hold a changed slot which breaks this do not count.
 A document is reported for an item when the windows that count, over all its alignments, cover at
-least `coverage` of the item's windows. `reparameterised` says that windows meet only with
+least `coverage` of the item's windows, or `run` of them one after another, whatever the item's length. `reparameterised` says that windows meet only with
 a slot value that differs.
 
-Defined results: NULL and empty texts, and items with fewer words than the window, match nothing.
-Item windows with fewer than `literals` words that are no placeholders are too unspecific to be
-matched and do not count for coverage. Items whose text repeats are reported each. Repeated rows
+Defined results: NULL and empty texts match nothing. Item windows with fewer than `literals` words that
+are no placeholders are too unspecific to be matched and do not count for coverage. Items without a
+window (short ones, arithmetic) are found where all their words stand as written, case aside, as one
+window; items of fewer than `whole` words match nothing. Items whose text repeats are reported each. Repeated rows
 and equal doc_ids are kept apart inside and reported under their doc_id.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import RID, let, numbered, with_row_id, written
@@ -47,6 +48,8 @@ class TemplateParams:
     window: int = 8
     literals: int = 4
     coverage: float = 0.3
+    run: int = 6            # windows one after another that are enough whatever the item's length: 13 words
+    whole: int = 3          # words that an item without windows needs at least
 
 
 def _clean(text: Column) -> Column:
@@ -70,6 +73,24 @@ def _windows(template: Column, n: int) -> Column:
         F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(F.slice(t, i + 1, F.lit(n))))))
 
 
+def _worded(words: Column) -> Column:
+    """Without the empty words before the first and after the last break."""
+    return F.filter(words, lambda x: x != "")
+
+
+def _longest_run(windows: Column, n: int) -> Column:
+    """Most windows one after another among an alignment's array<struct<ipos, nth>>; windows of the item
+    that cannot be matched may lie between, words that no window covers may not."""
+    def step(s: Column, x: Column) -> Column:
+        follows = (x["nth"] == s["last"]["nth"] + 1) & (x["ipos"] - s["last"]["ipos"] <= n)
+        now = F.when(follows, s["now"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    none = F.struct(F.lit(-2).alias("ipos"), F.lit(-2).alias("nth"))
+    start = F.struct(none.alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.sort_array(windows), start, step, lambda s: s["most"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplateParams(),
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per (input row, item) pair found: row id, doc_id, item_id, windows matched, the
@@ -80,10 +101,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
     slot = lambda x: x.isin(NAME, NUMBER, UNIT)
 
     bench = written(with_row_id(items).select(F.col(RID).alias("item"), "item_id", F.col("text").alias("t"))
-                    .withColumn("template", _template(F.col("t"))), "items")
+                    .withColumn("template", _worded(_template(F.col("t"))))
+                    .withColumn("said", _worded(_words(F.lower("t")))), "items")
     item_windows = (bench.select("item", "template", F.posexplode(_windows(F.col("template"), w)).alias("ipos", "hash"))
                     .where(F.size(F.filter(F.slice("template", F.col("ipos") + 1, w), lambda x: ~slot(x))) >= p.literals)
-                    .select("item", "ipos", "hash"))
+                    .withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("ipos")))
+                    .select("item", F.struct("ipos", "nth").alias("ipos"), "hash"))
     of_item = item_windows.groupBy("item").agg(F.count("*").alias("n_windows"))
     hashes = item_windows.select("hash").distinct()
     if item_windows.count() <= BROADCAST_WINDOWS:  # benchmarks are small; a larger one is joined by shuffle
@@ -93,15 +116,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
     met = (rows.select(RID, F.posexplode(_windows(_template(F.col("text")), w)).alias("pos", "hash"))
            .join(hashes, "hash"))
     pairs = (met.join(item_windows, "hash")
-             .groupBy(RID, "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("ipos")))
+             .groupBy(RID, "item", (F.col("pos") - F.col("ipos.ipos")).alias("shift")).agg(F.collect_set("ipos").alias("ipos")))
 
     # slots of each alignment, from the words as written on both sides; with the alignments written, their
     # size is known when the join is planned, and the texts are shuffled only if there are very many
     pairs = written(pairs, "alignments")
     hit = rows.join(pairs, RID)
-    both = bench.select("item", "item_id", "template", _words(F.lower("t")).alias("said"))
-    hit = hit.join(both, "item")
-    covered = F.array_distinct(F.flatten(F.transform("ipos", lambda i: F.sequence(i, i + (w - 1)))))
+    hit = hit.join(bench.select("item", "item_id", "template", "said"), "item")
+    covered = F.array_distinct(F.flatten(F.transform("ipos", lambda i: F.sequence(i["ipos"], i["ipos"] + (w - 1)))))
     hit = hit.withColumn("at", F.filter(covered, lambda i: slot(F.get("template", i))))
     hit = hit.withColumn("slots", let(_words(F.lower("text")), lambda words: F.transform("at", lambda i: F.struct(
         i.alias("at"), F.struct(F.get("template", i).alias("kind"), F.get("said", i).alias("item"),
@@ -112,17 +134,39 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
         all_, lambda o: (o["kind"] == c["kind"]) & ((o["item"] == c["item"]) != (o["doc"] == c["doc"]))))))
     hit = hit.withColumn("bad", F.transform(F.filter("slots", lambda s: F.array_contains("conflicts", s["value"])), lambda s: s["at"]))
     hit = hit.withColumn("changed", F.transform(F.filter("slots", lambda s: s["value"]["item"] != s["value"]["doc"]), lambda s: s["at"]))
-    without = lambda slots: F.filter("ipos", lambda i: ~F.exists(slots, lambda x: x.between(i, i + (w - 1))))
+    without = lambda slots: F.filter("ipos", lambda i: ~F.exists(slots, lambda x: x.between(i["ipos"], i["ipos"] + (w - 1))))
     hit = hit.select(RID, "doc_id", "item", "item_id", "ipos", without("bad").alias("counted"), without("changed").alias("same"))
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    return (hit.groupBy(RID, "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"),
-                                         F.size(union("counted")).alias("matched"),
+    found = (hit.groupBy(RID, "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"),
+                                         F.size(union("counted")).alias("matched"), F.max(_longest_run(F.col("counted"), w)).alias("run"),
                                          (F.size(F.array_except(union("ipos"), union("same"))) > 0).alias("reparameterised"))
             .join(of_item, "item")
             .withColumn("coverage", F.col("matched") / F.col("n_windows"))
-            .where(F.col("coverage") >= p.coverage)
+            .where((F.col("coverage") >= p.coverage) | (F.col("run") >= p.run))
             .select(RID, "doc_id", "item_id", F.col("matched").cast("long").alias("matched"), "n_windows", "coverage",
                     "reparameterised"))
+    rest = bench.join(of_item, "item", "left_anti").where(F.size("said") >= p.whole)
+    lengths = sorted(r[0] for r in rest.select(F.least(F.size("said"), F.lit(w))).distinct().collect())  # at most w
+    return found.unionByName(_whole_items(rows, rest, lengths, w)) if lengths else found
+
+
+def _whole_items(rows: DataFrame, items: DataFrame, lengths: list[int], w: int) -> DataFrame:
+    """Rows that hold all words of an item as written; its first words, `w` at most, are joined by hash."""
+    first = items.select("item", "item_id", "said", F.least(F.size("said"), F.lit(w)).alias("n"))
+    first = first.withColumn("hash", F.xxhash64(F.slice("said", F.lit(1), F.col("n"))))
+
+    def windows(words: Column, n: int) -> Column:
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(
+            F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(F.slice(words, i + 1, F.lit(n))).alias("hash"))))
+
+    starts = let(_words(F.lower("text")), lambda words: F.flatten(F.array_compact(F.array(*[windows(words, n) for n in lengths]))))
+    met = written(rows.select(RID, F.inline(starts)).join(F.broadcast(first.select("item", "n", "hash")), ["n", "hash"])
+                  .groupBy(RID, "item").agg(F.collect_list("pos").alias("pos")), "starts")
+    held = let(_words(F.lower("text")), lambda words: F.exists(
+        "pos", lambda i: F.slice(words, i + 1, F.size("said")) == F.col("said")))
+    return (rows.join(met, RID).join(first.select("item", "item_id", "said"), "item").where(held)
+            .select(RID, "doc_id", "item_id", F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("n_windows"),
+                    F.lit(1.0).alias("coverage"), F.lit(False).alias("reparameterised")))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:

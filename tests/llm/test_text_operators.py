@@ -52,6 +52,22 @@ def test_leaks_whole_words_only_and_short_items(spark, docs_of):
     assert leaks(spark, docs_of, [ITEM], items=()) == {}
 
 
+def test_leaks_question_of_a_long_item(spark, docs_of):
+    rng = random.Random(11)
+    passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500))
+    question = "which of the seven bridges over the old river was closed for repairs during the winter"
+    found = leaks(spark, docs_of, ["before " + question + " after", " ".join(question.split()[:8])], items=(passage + ". " + question + "?",))
+    assert set(found) == {0} and found[0].coverage < 0.3 and not found[0].reparameterised
+
+
+def test_leaks_items_without_windows(spark, docs_of):
+    items = ("What is 12 + 7?", "12 + 7 = 19, 13 + 8 = 21, 14 + 9 = 23", "name the capital of this country")
+    found = leaks(spark, docs_of, ["so what is 12+7 then", "what is 12 + 8", "12 + 7 = 19; 13 + 8 = 21; 14 + 9 = 23 and on",
+                                   "12 + 7 = 19, 13 + 8 = 21, 14 + 9 = 24", "Name the capital of this country!", None, ""], items=items)
+    assert {i: r.item_id for i, r in found.items()} == {0: 0, 2: 1, 4: 2}
+    assert all(r.coverage == 1 and not r.reparameterised for r in found.values())
+
+
 def test_leaks_against_brute_force(spark, sample):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     texts, items = sample.collect(), bench.collect()
