@@ -2,7 +2,8 @@
 
 Texts become word sequences in which numbers (with a unit written onto them), units that follow a
 number, and names (capitalised words inside a sentence) are replaced by typed placeholders, all
-other words lower-cased. Every window of `window` placeholders and words is hashed and joined with
+other words lower-cased; white space, quotes and brackets before a name do not matter. A second template
+has the names as lower-cased words; windows that meet in either count. Every window of `window` placeholders and words is hashed and joined with
 the hashed windows of the benchmark items; windows that meet are lined up by item and by the
 distance between the two positions (one alignment per occurrence). Within an alignment the slots
 must be consistent: the same item value always stands for the same value in the document, and
@@ -29,6 +30,7 @@ from parley.llm.common import RID, let, numbered, with_row_id, written
 
 # placeholders; the same characters in a text are read as separators
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
+SPACES = "\t\n\x0b\f\r\u00a0\u2028\u2029\"\u201c\u201d\u201e\u00ab\u00bb()[]{}"
 UNITS = ("mm", "cm", "dm", "km", "m", "mg", "kg", "g", "ml", "cl", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz",
          "w", "kw", "mw", "kwh", "v", "a", "j", "kj", "cal", "kcal", "pa", "kpa", "n", "k", "c", "f", "mph", "kmh",
          "inch", "inches", "feet", "foot", "ft", "miles", "mile", "yards", "pounds", "lb", "oz", "meters", "metres",
@@ -56,6 +58,11 @@ def _clean(text: Column) -> Column:
     return F.translate(text, NAME + NUMBER + UNIT, "   ")
 
 
+def _spaced(text: Column) -> Column:
+    """White space, double quotes and brackets as one space: no word begins or ends there that did not before."""
+    return F.regexp_replace(F.translate(text, NAME + NUMBER + UNIT + SPACES, " " * (3 + len(SPACES))), "  +", " ")
+
+
 def _words(text: Column) -> Column:
     """The words as written."""
     return F.split(_clean(text), BREAK_RE)
@@ -63,14 +70,28 @@ def _words(text: Column) -> Column:
 
 def _template(text: Column) -> Column:
     """The words with placeholders; as long as _words, position by position."""
-    t = F.regexp_replace(_clean(text), NAME_RE, NAME)
+    t = F.regexp_replace(_spaced(text), NAME_RE, NAME)
     t = F.regexp_replace(F.regexp_replace(t, NUMBER_RE, NUMBER), UNIT_RE, f"{NUMBER} {UNIT}")
     return F.split(F.lower(t), BREAK_RE)
 
 
-def _windows(template: Column, n: int) -> Column:
-    return let(template, lambda t: F.when(F.size(t) >= n, F.transform(
-        F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(F.slice(t, i + 1, F.lit(n))))))
+def _named(template: Column, words: Column) -> Column:
+    """The template with names as lower-cased words: equal for copies in other cases or after other marks."""
+    return F.zip_with(template, words, lambda t, said: F.when(t == NAME, said).otherwise(t))
+
+
+def _windows(text: Column, n: int) -> Column:
+    """array<struct<pos, hash>> of the template's windows, and of those with names once more with the names as words."""
+    both = let(_template(text), lambda t: F.struct(t.alias("t"), _named(t, _words(F.lower(text))).alias("named")))
+
+    def hashed(b: Column) -> Column:
+        cut = lambda kind, i: F.slice(b[kind], i + 1, F.lit(n))
+        at = lambda kind: lambda i: F.struct(i.alias("pos"), F.xxhash64(cut(kind, i)).alias("hash"))
+        every = F.sequence(F.lit(0), F.size(b["t"]) - n)
+        return F.when(F.size(b["t"]) >= n, F.concat(
+            F.transform(every, at("t")), F.transform(F.filter(every, lambda i: F.array_contains(cut("t", i), NAME)), at("named"))))
+
+    return let(both, hashed)
 
 
 def _worded(words: Column) -> Column:
@@ -103,17 +124,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
     bench = written(with_row_id(items).select(F.col(RID).alias("item"), "item_id", F.col("text").alias("t"))
                     .withColumn("template", _worded(_template(F.col("t"))))
                     .withColumn("said", _worded(_words(F.lower("t")))), "items")
-    item_windows = (bench.select("item", "template", F.posexplode(_windows(F.col("template"), w)).alias("ipos", "hash"))
-                    .where(F.size(F.filter(F.slice("template", F.col("ipos") + 1, w), lambda x: ~slot(x))) >= p.literals)
+    # windows are matched with names as placeholders or as words; items of names alone only with names as words
+    cut = lambda c: F.slice(c, F.col("ipos") + 1, F.lit(w))
+    enough = lambda c: F.size(F.filter(cut(c), lambda x: ~slot(x))) >= p.literals
+    item_windows = (bench.withColumn("named", _named(F.col("template"), F.col("said"))).where(F.size("template") >= w)
+                    .select("item", "template", "named", F.explode(F.sequence(F.lit(0), F.size("template") - w)).alias("ipos"))
+                    .select("item", "ipos", F.xxhash64(cut("template")).alias("hash"), F.xxhash64(cut("named")).alias("named"),
+                            enough("template").alias("free"), enough("named").alias("literal"))
+                    .withColumn("any", F.max("free").over(Window.partitionBy("item")))
+                    .where(F.col("free") | (~F.col("any") & F.col("literal")))
                     .withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("ipos")))
-                    .select("item", F.struct("ipos", "nth").alias("ipos"), "hash"))
-    of_item = item_windows.groupBy("item").agg(F.count("*").alias("n_windows"))
+                    .select("item", F.struct("ipos", "nth").alias("ipos"), F.explode(F.when(F.col("free"), F.array_distinct(F.array("hash", "named")))
+                                                      .otherwise(F.array("named"))).alias("hash")))
+    of_item = item_windows.groupBy("item").agg(F.countDistinct("ipos").alias("n_windows"))
     hashes = item_windows.select("hash").distinct()
     if item_windows.count() <= BROADCAST_WINDOWS:  # benchmarks are small; a larger one is joined by shuffle
         hashes, item_windows, of_item = F.broadcast(hashes), F.broadcast(item_windows), F.broadcast(of_item)
 
     # every window of every document against the item windows; only matches go on
-    met = (rows.select(RID, F.posexplode(_windows(_template(F.col("text")), w)).alias("pos", "hash"))
+    met = (rows.select(RID, F.inline(_windows(F.col("text"), w)))
            .join(hashes, "hash"))
     pairs = (met.join(item_windows, "hash")
              .groupBy(RID, "item", (F.col("pos") - F.col("ipos.ipos")).alias("shift")).agg(F.collect_set("ipos").alias("ipos")))

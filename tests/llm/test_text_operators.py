@@ -52,6 +52,17 @@ def test_leaks_whole_words_only_and_short_items(spark, docs_of):
     assert leaks(spark, docs_of, [ITEM], items=()) == {}
 
 
+def test_leaks_names_wrapped_and_case_folded(spark, docs_of):
+    item = "The Treaty of Lisbon between Anna Berger, Carl Dorn and the City of Essen was signed by Franz Gruber in Hamburg after Ida Jung left"
+    names = "Anna Berger, Carl Dorn, Ida Jung, Otto Klein, Paul Quast, Rita Stein"
+    texts = [item.replace(" ", "\n"), item.replace(" ", "  "), item.lower(), item.upper(), item.replace("Lisbon", '"Lisbon"').replace("Essen", "(Essen)"),
+             item.replace("Hamburg", "Bremen").replace(" ", "\t"), "with " + names.lower() + " in it", item.replace("Franz", "Hans")]
+    found = leaks(spark, docs_of, texts, items=(item, names))
+    assert {i: r.item_id for i, r in found.items()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1, 7: 0}
+    assert all(found[i].coverage == 1 and not found[i].reparameterised for i in (0, 1, 2, 3, 4, 6))
+    assert found[5].reparameterised and found[7].reparameterised
+
+
 def test_leaks_question_of_a_long_item(spark, docs_of):
     rng = random.Random(11)
     passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500))
