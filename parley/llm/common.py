@@ -107,6 +107,11 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def one_row_each(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row of each doc_id, the one with the smallest text hash (column `text_hash`)."""
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), "text_hash").alias("of")).select("doc_id", "of.*")
+
+
 def labelled_sample(labels: DataFrame, label: str, mod: int, held: int, per_class: int, seed: int) -> DataFrame:
     """(doc_id, y) of about `per_class` ids of each class, the held-out remainder left out.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import labelled_sample, ship_package, texts_of
+from parley.llm.common import labelled_sample, one_row_each, ship_package, texts_of
 
 PIECE = 1 << 17  # bytes convolved at a time
 
@@ -134,15 +134,16 @@ def fit(examples: list[tuple[list[bytes], int]], p: NetParams) -> Net:
 def train(docs: DataFrame, labels: DataFrame, p: NetParams = NetParams(), label: str = "quality") -> Net:
     ship_package(docs.sparkSession)
     ids = labelled_sample(labels, label, p.mod, p.held, p.per_class, p.seed)  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(ids), "doc_id")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             found = [spread(t.encode("utf-8", "surrogatepass"), p.stride, p.chunks) for t in texts_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.list_(pa.binary()))],
-                                             names=["doc_id", "y", "chunks"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("text_hash"), pa.array(found, pa.list_(pa.binary()))],
+                                             names=["doc_id", "y", "text_hash", "chunks"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, chunks array<binary>").toArrow()
+    # one row of each id reaches the driver, however often an id is repeated
+    got = one_row_each(rows.mapInArrow(run, "doc_id long, y int, text_hash long, chunks array<binary>"), "y", "chunks").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     return fit(list(zip(got.column("chunks").to_pylist(), got.column("y").to_pylist())), p)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import crc_remainder, labelled_sample, ship_package, texts_of
+from parley.llm.common import crc_remainder, labelled_sample, one_row_each, ship_package, texts_of
 from parley.llm.hashing import batches, features
 
 THRESHOLD = 0.3
@@ -87,16 +87,17 @@ def ftrl(examples: list[tuple[np.ndarray, int]], p: FtrlParams) -> Model:
 def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), label: str = "toxic") -> Model:
     ship_package(docs.sparkSession)
     ids = labelled_sample(labels, label, p.mod, p.held, p.per_class, p.seed)  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(ids), "doc_id")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             texts = texts_of(b.column("text"))
             found = [np.unique(features([t], p.bits)[1]).astype(np.int32) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.list_(pa.int32()))],
-                                             names=["doc_id", "y", "feature"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("text_hash"), pa.array(found, pa.list_(pa.int32()))],
+                                             names=["doc_id", "y", "text_hash", "feature"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, feature array<int>").toArrow()
+    # one row of each id reaches the driver, however often an id is repeated
+    got = one_row_each(rows.mapInArrow(run, "doc_id long, y int, text_hash long, feature array<int>"), "y", "feature").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     examples = [(np.asarray(f.as_py() or [], dtype=np.int64), int(y.as_py()))
                 for f, y in zip(got.column("feature"), got.column("y"))]

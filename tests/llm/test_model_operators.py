@@ -156,3 +156,14 @@ def test_topk_large_components_stay_exact():
 
 def test_models_are_where_the_package_says():
     assert PIECE_MODEL == public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.mark.parametrize("module, learn", [(quality, "fit"), (toxicity, "ftrl")])
+def test_training_takes_one_row_of_each_id(spark, monkeypatch, module, learn):
+    docs = spark.createDataFrame([(i, f"text {i} of {k}") for i in range(40) for k in range(25 if i < 3 else 1)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(module, learn, lambda examples, p: seen.append(examples))
+    module.train(docs, labels)
+    p = (quality.NetParams if module is quality else toxicity.FtrlParams)()
+    assert len(seen[0]) == sum(zlib.crc32(str(i).encode()) % p.mod != p.held for i in range(40))
