@@ -64,7 +64,9 @@ SENTENCES = {
     "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "mpl-line": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-line-a": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
 }
+PARTS = {"mpl-line-b": "2.0."}  # what the cutter leaves of a known sentence, without a word of ANCHOR: only as a rule's later part
 RULES = (
     ("Apache-2.0", ("apache-line",)), ("Apache-2.0", ("apache-line-2",)), ("Apache-2.0", ("apache-header", "apache-comply")),
     ("Apache-2.0", ("apache-obtain", "apache-basis")),
@@ -76,7 +78,7 @@ RULES = (
     ("GPL-2.0", ("gpl2-line",)), ("GPL-2.0-or-later", ("gpl2-later-a", "gpl2-later-b", "gpl-hope")),
     ("GPL-3.0", ("gpl3-line",)), ("GPL-3.0", ("gpl3-line-2",)), ("GPL-3.0-or-later", ("gpl3-later", "gpl-hope")),
     ("MIT", ("mit-line",)), ("MIT", ("mit-line-2",)), ("MIT", ("mit-line-3",)), ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
-    ("MPL-2.0", ("mpl-line",)),
+    ("MPL-2.0", ("mpl-line",)), ("MPL-2.0", ("mpl-line-a", "mpl-line-b")),
 )
 GAP = 3
 ANCHOR = r"(?i)licen[cs]e|redistribut|permission|warrant|copyright"  # every known sentence holds one of them
@@ -90,7 +92,7 @@ def normal(sentence: str) -> str:
 
 
 # a sentence that the cutter itself would cut is known by its parts only where those are listed
-KNOWN = {normal(s): k for k, s in SENTENCES.items()}
+KNOWN = {normal(s): k for k, s in {**SENTENCES, **PARTS}.items()}
 
 
 def normalised(sentence: Column) -> Column:

@@ -102,6 +102,16 @@ def test_licence_sequences(docs_of):
     assert all(re.search(licences.ANCHOR, k) for k in licences.SENTENCES.values())
 
 
+def test_every_licence_rule_fires(docs_of):
+    said = {**licences.SENTENCES, **licences.PARTS}
+    texts = ["\n\n".join(["Intro.", *(said[k] for k in rule), "More words follow."]) for _, rule in licences.RULES]
+    texts += ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not\n */",
+              "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."]
+    got = {r.doc_id: r.licences.split(",") for r in licences.scan(docs_of(list(enumerate(texts)))).collect()}
+    assert all(name in got[i] for i, (name, _) in enumerate(licences.RULES))
+    assert got[len(texts) - 2] == ["MPL-2.0"] and got[len(texts) - 1] == [""]
+
+
 # secrets -------------------------------------------------------------------------------------
 def brute_secrets(text):
     out = []
