@@ -48,11 +48,11 @@ def test_registered(spark):
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")} and "pipeline" in names
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE_SQL))
-def test_matches_sql(spark, key):
+def test_query_matches_sql(spark, key):
     con = duckdb.connect()
     for name in ("documents", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
