@@ -7,17 +7,18 @@ serve twice: hashed band by band they are bucket keys, and the low `bits` of eac
 longs, are the signature that stays. Sets that share a bucket are candidates; the signatures'
 equal lanes, counted by bit operations and corrected for chance (2^-bits of the unequal minima
 agree), estimate the similarity; what reaches `least_estimate` is confirmed on the full sets.
-128 minima in 32 bands miss a pair at similarity 0.8 with probability (1 - 0.8^4)^32 < 5e-8; the
-estimate lies six standard deviations under 0.8.
+240 minima in 40 bands miss a pair at similarity 0.8 with probability (1 - 0.8^6)^40 = 5e-6, at 0.85
+with 6e-9; the least estimate lies over five standard deviations (0.031) under 0.8.
 
 No bucket emits all its pairs. Texts with equal sets are one class from the start. Then every
 bucket compares its members with one leader, the one with most company over all bands: a row a
 member. While a bucket is left with more than `partners` pairs of different components a member,
 up to `star_rounds` such rounds follow, with seeded random leaders and only for buckets that still
-hold several components. Pairs of different components that are left are compared one by one in buckets
-with at most `partners` of them a member; a bucket with more is split by further bands of
-its own (a pair at 0.8 is lost there with probability under 0.02 a bucket, and has 13 buckets on
-average), `deep_levels` times at most, before all that is left is compared.
+hold several components. Of the pairs of different components that are left, those in buckets with at most
+`partners` of them a member are joined and confirmed one by one. Buckets with more, as groups of texts just under the
+similarity make them, are united into their connected crowds and compared exactly inside tasks:
+a crowd is cut into blocks of at most `block` sets and `block_items` hashes, a task gets two blocks, filters
+by signature, counts shared hashes by matrix products and emits links alone.
 
 Every row of the input gives one row. Rows without doc_id link others but cannot name a component:
 component_id is the smallest doc_id there is, NULL if no row of the component has one, and `kept`
@@ -41,6 +42,7 @@ from parley.llm.simhash import components
 
 WORDS_AT_ONCE = 1 << 18
 HASHES_AT_ONCE = 1 << 16
+COLUMNS_AT_ONCE = 1 << 13
 _A = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -48,14 +50,14 @@ _A = np.uint64(0xC2B2AE3D27D4EB4F)
 class MinHashParams:
     shingle: int = 2
     percent: int = 80            # links: 100 * intersection >= percent * union
-    bands: int = 32
-    rows: int = 4
+    bands: int = 40
+    rows: int = 6
     bits: int = 2                # low bits kept of each minimum: 1, 2 or 4
-    least_estimate: float = 0.55
-    star_rounds: int = 4
-    partners: int = 32
-    deep_bands: int = 8
-    deep_levels: int = 4
+    least_estimate: float = 0.63
+    star_rounds: int = 2
+    partners: int = 8
+    block: int = 512
+    block_items: int = 1 << 22
     seed: int = 1
 
 
@@ -86,11 +88,11 @@ def minima(sets: list[np.ndarray], n: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
-def band_keys(least: np.ndarray, bands: int, rows: int, level: int = 0) -> np.ndarray:
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key a band, different for equal minima in different bands."""
     keys = np.empty((len(least), bands), dtype=np.uint64)
     for band in range(bands):
-        acc = np.full(len(least), (band + 1) * 0x9E3779B97F4A7C15 + level & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        acc = np.full(len(least), (band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         for r in range(rows):
             acc = mix(acc * _A + least[:, band * rows + r])
         keys[:, band] = acc
@@ -147,16 +149,6 @@ def _full_sets(texts: DataFrame, p: MinHashParams) -> DataFrame:
     return texts.select("text").mapInArrow(run, "cid binary, items array<long>")
 
 
-def _deeper(sets: DataFrame, p: MinHashParams, level: int) -> DataFrame:
-    """(cid, sub): further band keys of the sets, from minima of their own."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            least = minima(_unsigned(b.column(1)), p.deep_bands * p.rows, p.seed + level)
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(band_keys(least, p.deep_bands, p.rows, level))], names=["cid", "subs"])
-
-    return sets.select("cid", "items").mapInArrow(run, "cid binary, subs array<long>").select("cid", F.explode("subs").alias("sub"))
-
-
 def estimate(a: str, b: str, p: MinHashParams) -> Column:
     """Similarity of two signature columns: share of equal lanes, corrected for chance agreement."""
     lanes = sum(1 << i for i in range(0, 64, p.bits))
@@ -240,19 +232,85 @@ def linked_classes(classes: DataFrame, texts: DataFrame, p: MinHashParams) -> Da
         roots = _joined_roots(roots, found)
     else:
         members = _rooted(members, roots)
-    rest = None
-    for level in range(1, p.deep_levels + 1):
-        crowded = written(_crowded(members, p.partners), "mh-crowded")
-        if crowded.isEmpty():
-            break
-        pairs = _left_pairs(members.join(crowded, "key", "left_anti"), p)
-        rest = pairs if rest is None else rest.unionByName(pairs)
-        deep = members.join(crowded, "key")
-        subs = _deeper(sets.join(deep.select("cid").distinct(), "cid", "left_semi"), p, level)
-        members = _rooted(deep.join(subs, "cid").withColumn("key", F.xxhash64("key", "sub")).drop("sub"), None)
-    pairs = _left_pairs(members, p)
-    rest = written((pairs if rest is None else rest.unionByName(pairs)).dropDuplicates(["a", "b"]), "mh-rest")
-    return _joined_roots(roots, written(_confirmed(rest, sets, p), "mh-links"))
+    crowded = written(_crowded(members, p.partners), "mh-crowded")
+    found = _confirmed(_left_pairs(members.join(crowded, "key", "left_anti"), p), sets, p).select("a", "b")
+    if not crowded.isEmpty():
+        found = found.unionByName(_crowd_links(written(members.join(crowded, "key"), "mh-crowds"), sets, p))
+    return _joined_roots(roots, written(found, "mh-links"))
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
+    """The links (a, b) between different components inside the connected crowds of buckets."""
+    hub = members.groupBy("key").agg(F.min("cid").alias("a"))
+    crowd = components(members.join(hub, "key").select("a", F.col("cid").alias("b")).where("a <> b").distinct())
+    nodes = members.select("cid", "root", "n", "sig").dropDuplicates(["cid"]).join(crowd.withColumnsRenamed({"node": "cid", "root": "crowd"}), "cid")
+    blocks = nodes.groupBy("crowd").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_items)).cast("int").alias("blocks"))
+    nodes = nodes.join(blocks, "crowd").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = nodes.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = (dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+             .select("crowd", "lo", "hi", "own", "cid", "root", "n", "sig").join(sets, "cid"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        a, b = _block_links(t, p) if len(t) else ([], [])
+        cid = t.column("cid")
+        return pa.table({"a": cid.take(pa.array(a, pa.int64())), "b": cid.take(pa.array(b, pa.int64()))})
+
+    return dealt.groupBy("crowd", "lo", "hi").applyInArrow(run, "a binary, b binary")
+
+
+def _block_links(t: pa.Table, p: MinHashParams) -> tuple[list[int], list[int]]:
+    """Rows (a, b) of a task's two blocks that are linked and of different components."""
+    column = lambda name: t.column(name).combine_chunks() if len(t) else t.column(name)
+    own, n = column("own").to_numpy(zero_copy_only=False), column("n").to_numpy(zero_copy_only=False)
+    root = column("root").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    sig = column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(n), -1)
+    sets = _unsigned(column("items"))
+    left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+    unequal = np.zeros((len(left), len(right)), dtype=np.int64)
+    lanes = np.uint64(sum(1 << i for i in range(0, 64, p.bits)))
+    for word in range(sig.shape[1]):
+        x = sig[left, word][:, None] ^ sig[right, word][None, :]
+        for i in range(1, p.bits):
+            x |= x >> np.uint64(i)
+        unequal += np.bitwise_count(x & lanes)
+    chance = 2.0 ** -p.bits
+    size = np.minimum(n[left][:, None], n[right][None, :]) * 100 >= p.percent * np.maximum(n[left][:, None], n[right][None, :])
+    maybe = ((1 - unequal / (p.bands * p.rows) - chance) / (1 - chance) >= p.least_estimate) & size
+    maybe &= root[left][:, None] != root[right][None, :]
+    if len(left) == len(right) and (left == right).all():
+        maybe &= left[:, None] < right[None, :]
+    rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if not len(rows):
+        return [], []
+    shared = _shared([sets[i] for i in left[rows]], [sets[i] for i in right[cols]])
+    total = n[left[rows]][:, None] + n[right[cols]][None, :] - shared
+    r, c = np.nonzero(maybe[np.ix_(rows, cols)] & (100 * shared >= p.percent * total))
+    return left[rows[r]].tolist(), right[cols[c]].tolist()
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices, some hashes at a time."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(flat_a, flat_b)
+
+    def cells(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), dtype=bool)
+        return of[hit], at[hit]
+
+    (row_a, at_a), (row_b, at_b) = cells(flat_a, a), cells(flat_b, b)
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    for c in range(0, len(both), COLUMNS_AT_ONCE):
+        width = min(COLUMNS_AT_ONCE, len(both) - c)
+        parts = []
+        for rows, at, n in ((row_a, at_a, len(a)), (row_b, at_b, len(b))):
+            m, inside = np.zeros((n, width), dtype=np.float32), (at >= c) & (at < c + width)  # sums stay whole under 2^24
+            m[rows[inside], at[inside] - c] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
 
 
 def _joined_roots(roots: DataFrame | None, found: DataFrame) -> DataFrame | None:
