@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,27 +62,29 @@ class Model:
 def ftrl(examples: list[tuple[np.ndarray, int]], p: FtrlParams) -> Model:
     """Per-coordinate FTRL-proximal updates, one example at a time; the bias has no L1."""
     size = 1 << p.bits
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    l1 = np.full(size + 1, p.l1)
-    l1[size] = 0.0
+    z, n = np.zeros(size), np.zeros(size)
+    zb = nb = 0.0
 
-    def weights(i):
-        s = z[i]
-        return np.where(np.abs(s) <= l1[i], 0.0, -(s - np.sign(s) * l1[i]) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2))
+    def weights(s, was):
+        return np.where(np.abs(s) <= p.l1, 0.0, -(s - np.sign(s) * p.l1) / ((p.beta + np.sqrt(was)) / p.alpha + p.l2))
+
+    def of_bias():
+        return -zb / ((p.beta + nb ** 0.5) / p.alpha + p.l2)
 
     order = np.random.default_rng(p.seed)
-    rows = [(np.append(f, size), y) for f, y in examples]
     for _ in range(p.epochs):
-        for k in order.permutation(len(rows)):
-            i, y = rows[k]
-            w = weights(i)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -40, 40))) - y
+        for k in order.permutation(len(examples)):
+            i, y = examples[k]
             was = n[i]
+            w, wb = weights(z[i], was), of_bias()
+            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + wb, -40, 40))) - y
             z[i] += g - (np.sqrt(was + g * g) - np.sqrt(was)) / p.alpha * w
             n[i] = was + g * g
-    w = weights(np.arange(size + 1))
-    index = np.flatnonzero(w[:size])
-    return Model(float(w[size]), index, w[index], p.bits)
+            zb += g - ((nb + g * g) ** 0.5 - nb ** 0.5) / p.alpha * wb
+            nb += g * g
+    w = weights(z, n)
+    index = np.flatnonzero(w)
+    return Model(float(of_bias()), index, w[index], p.bits)
 
 
 def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), label: str = "toxic") -> Model:
@@ -98,12 +101,16 @@ def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), labe
 
     # one row of each id reaches the driver, however often an id is repeated
     got = one_row_each(rows.mapInArrow(run, "doc_id long, y int, text_hash long, feature array<int>"), "y", "feature").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    examples = [(np.asarray(f.as_py() or [], dtype=np.int64), int(y.as_py()))
-                for f, y in zip(got.column("feature"), got.column("y"))]
+    order = pc.sort_indices(got, [("doc_id", "ascending"), ("y", "ascending")]).to_numpy()
+    feature = got.column("feature").combine_chunks()
+    flat, ends, y = feature.values.to_numpy(), feature.offsets.to_numpy(), got.column("y").to_numpy()
+    examples = [(flat[ends[k]:ends[k + 1]], int(y[k])) for k in order]  # views of the one array of 32-bit indices
     if len({y for _, y in examples}) < 2:
         return Model(-40.0, np.zeros(0, dtype=np.int64), np.zeros(0), p.bits)
-    return ftrl(examples, p)
+    model = ftrl(examples, p)
+    del examples, flat, ends, feature, got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
