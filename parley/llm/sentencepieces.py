@@ -33,7 +33,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, ship_package, slices, texts_of, with_row_id
+from parley.llm.common import RID, ship_package, slices, texts_of, with_row_id, written
 from parley.llm.words import coded, expanded
 
 MARK = "▁"
@@ -286,8 +286,9 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
                                              names=[RID, "doc_id", "k", "ids"])
 
     short = rows.where(~long).mapInArrow(whole, f"{RID} long, doc_id {kind}, ids array<int>")
-    parts = (rows.where(long).mapInArrow(cut, f"{RID} long, doc_id {kind}, k int, left int, n int, part string")
-             .repartition(RID, "k"))
+    # written once: the row ids depend on the file splits, and two later reads meet on them
+    parts = written(rows.where(long).mapInArrow(cut, f"{RID} long, doc_id {kind}, k int, left int, n int, part string")
+                    .repartition(RID, "k"), "parts")
     states = (parts.mapInArrow(matrix, f"{RID} long, k int, matrix string")
               .groupBy(RID).applyInArrow(borders, f"{RID} long, k int, entry string, leave string"))
     traced = parts.join(states, [RID, "k"]).mapInArrow(trace, f"{RID} long, doc_id {kind}, k int, ids array<int>")
