@@ -12,7 +12,7 @@ findings are never suppressed.
 
 Positions: each rule's matches are wrapped in marker characters by one regexp_replace, the marked
 text is split at the markers and the lengths of the pieces are summed with a window over the row,
-so a text with any number of matches costs linear work. Offsets count code points, end exclusive.
+so a text with any number of matches, or a run of any length, costs linear work. Offsets count code points, end exclusive.
 NULL texts read as empty; markers in a text count as one ordinary character that no rule accepts.
 Every input row gives one result row, equal and missing doc_ids too.
 """
@@ -33,6 +33,7 @@ HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 WINDOW = 20
+PIECE = 4096  # windows folded at a time
 RUN = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 # entropy floors of the character classes, first match first, of at most log2(20) = 4.32: what 90 to 97 % of random
 # 20-character strings of the alphabet reach; letters of one case and words with separators stand above clean words
@@ -62,29 +63,36 @@ def _top_entropy(run: str) -> Column:
 def _top_entropy_sql(run: str) -> str:
     """Highest entropy of a window over column `run`.
 
-    The fold carries the count of each character of the alphabet in the window and the sum of
-    count * log2(count); a step adds the entering character and takes out the leaving one.
+    The run is cut into its characters once and folded in pieces of `PIECE` windows, which overlap
+    by a window less one character, so that long runs cost linear work and bounded state. The
+    fold carries the count of each character of the alphabet in the window, twelve counts of five bits a
+    long, and the sum of count * log2(count); a step adds the entering character and takes out the leaving one.
     """
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    first, cells = ord("+"), (ord("z") - ord("+")) // 12 + 1
     term = ", ".join(repr(c * math.log2(c)) + "D" if c else "0D" for c in range(WINDOW + 2))
+    place = lambda at: f"ascii({at}) - {first}"
+    count = lambda x: f"cast(shiftrightunsigned(s.n[c.{x}.cell], c.{x}.at) & 31L AS int)"
+    spot = lambda x: f"struct(cast(({x}) div 12 AS int) AS cell, 5 * (({x}) % 12) AS at)"
     return f"""
+      transform(array(split({run}, '')), chars -> array_max(transform(sequence(0, cast(greatest(length({run}) - {WINDOW}, 0) div {PIECE} AS int)), q ->
       aggregate(
-        transform(sequence(1, length({run})), i -> struct(
-          instr('{alphabet}', substring({run}, i, 1)) AS enter,
-          CASE WHEN i > {WINDOW} THEN instr('{alphabet}', substring({run}, i - {WINDOW}, 1)) ELSE 0 END AS leave,
-          i >= {WINDOW} AS whole)),
-        struct(array_repeat(0, {len(alphabet)}) AS n, 0D AS total, {WINDOW * math.log2(WINDOW)}D AS least),
+        transform(array(slice(chars, q * {PIECE} + 1, least({PIECE + WINDOW - 1}, length({run}) - q * {PIECE}))), piece ->
+          transform(piece, (ch, i) -> struct(
+            {spot(place("ch"))} AS enter,
+            CASE WHEN i >= {WINDOW} THEN {spot(place(f"piece[i - {WINDOW}]"))} END AS leave,
+            i >= {WINDOW - 1} AS whole)))[0],
+        struct(array_repeat(0L, {cells}) AS n, 0D AS total, {WINDOW * math.log2(WINDOW)}D AS least),
         (s, c) -> transform(array(struct(
-            s.n[c.enter - 1] AS a,
-            CASE WHEN c.leave > 0 THEN s.n[c.leave - 1] + CASE WHEN c.leave = c.enter THEN 1 ELSE 0 END ELSE 1 END AS b)),
+            {count("enter")} AS a,
+            CASE WHEN c.leave IS NOT NULL THEN {count("leave")} + CASE WHEN c.leave = c.enter THEN 1 ELSE 0 END ELSE 1 END AS b)),
           k -> transform(array(s.total + array({term})[k.a + 1] - array({term})[k.a]
-                 + CASE WHEN c.leave > 0 THEN array({term})[k.b - 1] - array({term})[k.b] ELSE 0D END),
+                 + CASE WHEN c.leave IS NOT NULL THEN array({term})[k.b - 1] - array({term})[k.b] ELSE 0D END),
             total -> struct(
-              transform(s.n, (v, j) -> v + CASE WHEN j = c.enter - 1 THEN 1 ELSE 0 END
-                                         - CASE WHEN j = c.leave - 1 THEN 1 ELSE 0 END) AS n,
+              transform(s.n, (v, j) -> v + CASE WHEN j = c.enter.cell THEN shiftleft(1L, c.enter.at) ELSE 0L END
+                                         - CASE WHEN j = c.leave.cell THEN shiftleft(1L, c.leave.at) ELSE 0L END) AS n,
               total AS total,
               CASE WHEN c.whole THEN least(s.least, total) ELSE s.least END AS least))[0])[0],
-        s -> {math.log2(WINDOW)}D - s.least / {WINDOW})"""
+        s -> {math.log2(WINDOW)}D - s.least / {WINDOW}))))[0]"""
 
 
 def _suspicious(run: str) -> Column:
