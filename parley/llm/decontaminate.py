@@ -13,7 +13,8 @@ least `coverage` of the item's windows, or `run` of them one after another, what
 a slot value that differs.
 
 Defined results: NULL and empty texts match nothing. Item windows with fewer than `literals` words that
-are no placeholders are too unspecific to be matched and do not count for coverage. Items without a
+are no placeholders are too unspecific to be matched and do not count for coverage, nor do windows that more than
+`sharing` items of different texts hold (instructions, preambles). Items without a
 window (short ones, arithmetic) are found where all their words stand as written, case aside, as one
 window; items of fewer than `whole` words match nothing. Items whose text repeats are reported each. Repeated rows
 and equal doc_ids are kept apart inside and reported under their doc_id.
@@ -52,6 +53,7 @@ class TemplateParams:
     coverage: float = 0.3
     run: int = 6            # windows one after another that are enough whatever the item's length: 13 words
     whole: int = 3          # words that an item without windows needs at least
+    sharing: int = 8        # different item texts that may hold a window; others (instructions, preambles) tell no item
 
 
 def _clean(text: Column) -> Column:
@@ -127,12 +129,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: TemplateParams = TemplatePa
     # windows are matched with names as placeholders or as words; items of names alone only with names as words
     cut = lambda c: F.slice(c, F.col("ipos") + 1, F.lit(w))
     enough = lambda c: F.size(F.filter(cut(c), lambda x: ~slot(x))) >= p.literals
-    item_windows = (bench.withColumn("named", _named(F.col("template"), F.col("said"))).where(F.size("template") >= w)
+    all_windows = (bench.withColumn("named", _named(F.col("template"), F.col("said"))).where(F.size("template") >= w)
                     .select("item", "template", "named", F.explode(F.sequence(F.lit(0), F.size("template") - w)).alias("ipos"))
                     .select("item", "ipos", F.xxhash64(cut("template")).alias("hash"), F.xxhash64(cut("named")).alias("named"),
                             enough("template").alias("free"), enough("named").alias("literal"))
                     .withColumn("any", F.max("free").over(Window.partitionBy("item")))
-                    .where(F.col("free") | (~F.col("any") & F.col("literal")))
+                    .where(F.col("free") | (~F.col("any") & F.col("literal"))))
+    # windows of very many different items are no evidence for one of them
+    key = F.when(F.col("free"), F.col("hash")).otherwise(F.col("named"))
+    often = (all_windows.join(bench.select("item", F.xxhash64("said").alias("said_hash")), "item")
+             .groupBy(key.alias("key")).agg(F.countDistinct("said_hash").alias("texts")).where(F.col("texts") > p.sharing).select("key"))
+    common = (all_windows.withColumn("key", key).join(often, "key").groupBy("item").agg(F.collect_set("ipos").alias("common")))
+    item_windows = (all_windows
+                    .join(common, "item", "left").where(~F.coalesce(F.array_contains("common", F.col("ipos")), F.lit(False)))
                     .withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("ipos")))
                     .select("item", F.struct("ipos", "nth").alias("ipos"), F.explode(F.when(F.col("free"), F.array_distinct(F.array("hash", "named")))
                                                       .otherwise(F.array("named"))).alias("hash")))
@@ -189,7 +198,10 @@ def _whole_items(rows: DataFrame, items: DataFrame, lengths: list[int], w: int)
             F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(F.slice(words, i + 1, F.lit(n))).alias("hash"))))
 
     starts = let(_words(F.lower("text")), lambda words: F.flatten(F.array_compact(F.array(*[windows(words, n) for n in lengths]))))
-    met = written(rows.select(RID, F.inline(starts)).join(F.broadcast(first.select("item", "n", "hash")), ["n", "hash"])
+    firsts = first.select("item", "n", "hash")
+    if firsts.count() <= BROADCAST_WINDOWS:
+        firsts = F.broadcast(firsts)
+    met = written(rows.select(RID, F.inline(starts)).join(firsts, ["n", "hash"])
                   .groupBy(RID, "item").agg(F.collect_list("pos").alias("pos")), "starts")
     held = let(_words(F.lower("text")), lambda words: F.exists(
         "pos", lambda i: F.slice(words, i + 1, F.size("said")) == F.col("said")))

@@ -302,3 +302,32 @@ def test_fisher_yates_is_a_permutation():
     order = shards._fisher_yates(500, 1, 2)
     assert sorted(order.tolist()) == list(range(500)) and order.tolist() != list(range(500))
     assert zlib.crc32(order.tobytes()) == zlib.crc32(shards._fisher_yates(500, 1, 2).tobytes())
+
+
+def test_leaks_shared_preamble_is_no_evidence(spark, docs_of):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    preamble = " ".join(word() for _ in range(23))
+    items = [preamble + " " + " ".join(word() for _ in range(20)) for _ in range(20)]
+    texts = [preamble + " " + " ".join(word() for _ in range(30)) for _ in range(20)]
+    texts += ["before " + items[3], " ".join(items[5].split()[-16:]) + " after", items[7].split(" ", 23)[-1]]
+    found = leaks(spark, docs_of, texts, items=tuple(items))
+    assert {i: r.item_id for i, r in found.items()} == {20: 3, 21: 5, 22: 7}
+
+
+@pytest.mark.parametrize("n", [20, 4096 + 19, 4096 + 20, 9000])
+def test_entropy_of_long_runs_equals_brute_force(spark, n):
+    rng = random.Random(n)
+    run = "".join(rng.choice("ab") for _ in range(n - 20)) + "".join(rng.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-09", 20))
+    for s in (run, run[::-1], run[n // 2:] + run[:n // 2]):
+        got = spark.createDataFrame([(s,)], "part string").select(secrets_scan._top_entropy("part")).first()[0]
+        assert abs(got - brute_entropy(s)) < 1e-9
+
+
+def test_million_character_run_is_scored_in_linear_time(docs_of):
+    import time
+    rng = random.Random(9)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+") for _ in range(1_000_000))
+    start = time.time()
+    got = secrets_scan.findings(docs_of([(1, "see " + blob + " end")])).collect()
+    assert got[0].spans == f"entropy:4:{4 + len(blob)}" and time.time() - start < 60
