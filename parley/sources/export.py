@@ -5,8 +5,9 @@ Per-message work stays row-local: the `content` array of a message is parsed onc
 char sums), so building `messages` needs no explode-and-regroup shuffle. Block-level tables
 (blocks, tool calls / results, citations) are narrow explodes of the same rows.
 
-A top-level JSON array file is one task per file (`multiLine`); for large exports pass
-JSON Lines (`.jsonl` or a folder of part files, a conversation per line), which Spark splits freely.
+A `.json` file that is a top-level array, the export's own form, is read in byte ranges (`json_array`), down
+to single messages, so neither a large file nor a large conversation is one task's work. JSON Lines
+(`.jsonl` or a folder of part files, a conversation per line) are split by Spark at line ends.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.sources import json_array
 from parley.sources import schema as SC
 from parley.sources.tables import Tables
 
@@ -50,10 +52,25 @@ def _read(spark: SparkSession, path: str, schema, multiline: bool | None) -> Dat
     """A `.json` file is one JSON value (usually an array); `.jsonl` files and folders of part
     files hold a record per line. A record that is no JSON of this shape fails the read."""
     if multiline is None:
+        if path.endswith(".json") and json_array.is_array(spark, path):
+            text = json_array.records(spark, path, _scratch(spark, "array"))
+            return text.select(_parsed("text", schema).alias("r")).select("r.*")
         multiline = path.endswith(".json")
     return spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
 
 
+def _parsed(text: str, schema) -> Column:
+    return F.from_json(text, schema, {"mode": "FAILFAST"})
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    from parley.plans.prepare import scratch_dir
+    from parley.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return scratch_dir(spark, name)
+
+
 def _ts(s: Column) -> Column:
     return F.try_to_timestamp(s)
 
@@ -80,19 +97,23 @@ def docs(raw: DataFrame) -> DataFrame:
                     F.col("d.created_at").alias("created_at"))
 
 
-def conversations(raw: DataFrame) -> DataFrame:
-    """message_count = array length (NULL -> 0)."""
+def conversations(raw: DataFrame, count: Column | None = None) -> DataFrame:
+    """message_count = array length (NULL -> 0), or `count` where the messages were framed apart."""
+    count = F.size(F.coalesce("chat_messages", F.array())) if count is None else count
     return raw.select(
         F.col("uuid").alias("conversation_uuid"), "name", "summary", F.col("account.uuid").alias("account_uuid"),
-        "created_at", "updated_at", F.size(F.coalesce("chat_messages", F.array())).cast("int").alias("message_count"))
+        "created_at", "updated_at", count.cast("int").alias("message_count"))
 
 
 def message_rows(raw: DataFrame) -> DataFrame:
     """One row per message with its blocks parsed once (`b`) next to their raw JSON text (E6 keeps it).
 
     Of the message's own text and of attached texts only the lengths are kept."""
-    m = raw.select(F.col("uuid").alias("conversation_uuid"),
-                   F.posexplode(F.coalesce("chat_messages", F.array())).alias("position", "m"))
+    return _message_rows(raw.select(F.col("uuid").alias("conversation_uuid"),
+                                    F.posexplode(F.coalesce("chat_messages", F.array())).alias("position", "m")))
+
+
+def _message_rows(m: DataFrame) -> DataFrame:
     content = F.coalesce(F.col("m.content"), F.array())
     attached = F.transform("m.attachments", lambda a: F.struct(
         a["file_name"].alias("file_name"), a["file_size"].alias("file_size"), a["file_type"].alias("file_type"),
@@ -104,6 +125,15 @@ def message_rows(raw: DataFrame) -> DataFrame:
                     F.transform(content, lambda b: F.from_json(b, SC.BLOCK_DDL)).alias("b"), content.alias("raw_blocks"))
 
 
+def framed_conversations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """E4 and `message_rows` of a top-level array, conversations and messages framed in parallel."""
+    whole, messages_ = json_array.nested_records(spark, path, "chat_messages", _scratch(spark, "array"))
+    whole = whole.select("file", "record", "elements", _parsed("text", SC.CONVERSATION).alias("c"))
+    rows = (messages_.join(whole.select("file", "record", F.col("c.uuid").alias("conversation_uuid")), ["file", "record"])
+            .select("conversation_uuid", "position", _parsed("text", SC.MESSAGE).alias("m")))
+    return conversations(whole.select("c.*", "elements"), F.col("elements")), _message_rows(rows)
+
+
 def _join_texts(blocks: Column, types: list[str], field: str) -> Column:
     """Texts of the given block types in block order joined by newline; NULLs skipped."""
     picked = F.transform(blocks, lambda x: F.when(x["type"].isin(*types), x[field]))
@@ -209,8 +239,11 @@ def load(spark: SparkSession, conversations_path: str, projects_path: str | None
     stage_dir: parse the conversations file once into parquet there (conversation rows and
     message rows with parsed blocks) and derive every table from it; without it each table
     re-reads the JSON. Use a folder on shared storage (e.g. under spark.checkpoint.dir)."""
-    craw = _read(spark, conversations_path, SC.CONVERSATION, multiline)
-    convs, rows = conversations(craw), message_rows(craw)
+    if multiline is None and conversations_path.endswith(".json") and json_array.is_array(spark, conversations_path):
+        convs, rows = framed_conversations(spark, conversations_path)
+    else:
+        craw = _read(spark, conversations_path, SC.CONVERSATION, multiline)
+        convs, rows = conversations(craw), message_rows(craw)
     if stage_dir:
         convs.write.mode("overwrite").parquet(f"{stage_dir}/conversations")
         rows.write.mode("overwrite").parquet(f"{stage_dir}/message_rows")
