@@ -109,8 +109,8 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         return _EXPORTS[key]
 
 
-def _of(table: str, *columns: str | Column) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: getattr(tables(spark, sf_dir), table).select(*columns)
+def _of(table: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: getattr(tables(spark, sf_dir), table).selectExpr(*columns)
 
 
 def _repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,15 +134,15 @@ def _reread(kind: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e01_users": _of("users", "uuid", "full_name", "email_address"),
     "e02_projects": _of("projects", "project_uuid", "is_private", "creator_uuid"),
-    "e03_docs": _of("docs", "doc_uuid", "project_uuid", "filename", F.md5("content").alias("content_md5"), "content_length"),
-    "e04_conversations": _of("conversations", "conversation_uuid", "name", "account_uuid", F.unix_micros("created_at").alias("created_us"), "message_count"),
+    "e03_docs": _of("docs", "doc_uuid", "project_uuid", "filename", "md5(content) AS content_md5", "content_length"),
+    "e04_conversations": _of("conversations", "conversation_uuid", "name", "account_uuid", "unix_micros(created_at) AS created_us", "message_count"),
     "e05_messages": _of("messages", "message_uuid", "conversation_uuid", "parent_message_uuid", "sender", "position",
-                        F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"), "text_length",
-                        "content_block_count", "attachment_count", "file_count", F.md5("text").alias("text_md5"), "chars_text", "chars_thinking"),
+                        "unix_micros(created_at) AS created_us", "unix_micros(updated_at) AS updated_us", "text_length",
+                        "content_block_count", "attachment_count", "file_count", "md5(text) AS text_md5", "chars_text", "chars_thinking"),
     "e06_blocks": _of("blocks", "block_id", "message_uuid", "conversation_uuid", "position", "type", "text_length"),
-    "e07_tool_calls": _of("tool_calls", "block_id", "message_uuid", "tool_use_id", "name", F.get_json_object("input", "$.k").cast("int").alias("k"),
-                          F.unix_micros("start_timestamp").alias("start_us"), F.round("duration_s", 6).alias("duration_s")),
-    "e08_tool_results": _of("tool_results", "block_id", "message_uuid", "tool_use_id", "name", "is_error", F.array_join("texts", "\n").alias("said")),
+    "e07_tool_calls": _of("tool_calls", "block_id", "message_uuid", "tool_use_id", "name", "cast(get_json_object(input, '$.k') AS int) AS k",
+                          "unix_micros(start_timestamp) AS start_us", "round(duration_s, 6) AS duration_s"),
+    "e08_tool_results": _of("tool_results", "block_id", "message_uuid", "tool_use_id", "name", "is_error", "array_join(texts, '\\n') AS said"),
     "e09_attachments": _of("attachments", "message_uuid", "position", "file_name", "file_size", "file_type", "content_length"),
     "e10_files": _of("files", "message_uuid", "position", "file_uuid", "file_name"),
     "e11_counts": lambda spark, sf_dir: export.load_counts(tables(spark, sf_dir)),
