@@ -1,6 +1,6 @@
 """Command line: python -m parley EXPORT_DIR OUT_DIR [--modules m01,m12] [--tz ZONE] [--jsonl]
 
-Parses the export once, writes the normalised and stat tables (W5) under OUT_DIR/tables, and
+Parses the export once, publishes the normalised and stat tables (W5) as a version below OUT_DIR/tables, and
 writes every requested module's frames as CSV + JSON plus a summary document (W1/W2/W6).
 """
 
@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = get_spark()
     cfg = Config(tz=a.tz) if a.tz else Config()
-    # normalised tables and stat tables are written once, straight into OUT_DIR/tables
+    # normalised and stat tables are written once, into a new version below OUT_DIR/tables
     ctx = context_for_export(spark, a.export_dir, cfg, multiline=False if a.jsonl else None,
                              tables_dir=f"{a.out_dir.rstrip('/')}/tables")
     modules = [m for m in a.modules.split(",") if m] or sorted({m for m, _ in REGISTRY.values()})

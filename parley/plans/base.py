@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.config import Config
 from parley.plans import prepare
+from parley.sources.load_metrics import LoadMetrics
 from parley.sources.tables import Tables
 
 
@@ -20,6 +21,7 @@ class Context:
     stats: prepare.Stats
     cfg: Config
     materialized: bool = False
+    load: LoadMetrics | None = None  # figures of the load, where this context made it
     _derived: dict = field(default_factory=dict)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
@@ -121,22 +123,19 @@ PARTITION_BY = {"blocks": ["type"]}
 
 
 def materialize_tables(spark: SparkSession, t: Tables, names: tuple[str, ...] = ALL_TABLES,
-                       base: str | None = None) -> Tables:
+                       base: str | None = None, metrics: LoadMetrics | None = None) -> Tables:
     """Persist the normalised tables (the ETL output) once as parquet in the shared checkpoint
     folder: parsing / derivation runs once, later readers get pruning and pushdown, and a
-    lost executor re-reads files instead of recomputing lineage."""
+    lost executor re-reads files instead of recomputing lineage. `metrics` keeps the figures taken while writing."""
     from dataclasses import replace
 
     base = base or prepare.scratch_dir(spark, "tables")
+    metrics = metrics or LoadMetrics()
     done = {}
     for name in names:
         df = getattr(t, name)
-        if df is not None:
-            w = df.write.mode("overwrite")
-            if name in PARTITION_BY:  # filters on the column prune whole folders
-                w = w.partitionBy(*PARTITION_BY[name])
-            w.parquet(f"{base}/{name}")
-            done[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}").select(*df.columns)
+        if df is not None:  # filters on a partition column prune whole folders
+            done[name] = metrics.write(name, df, f"{base}/{name}", PARTITION_BY.get(name))
     return replace(t, **done)
 
 
@@ -150,19 +149,26 @@ def context_for_tables(spark: SparkSession, t: Tables, cfg: Config | None = None
 def context_for_export(spark: SparkSession, root: str, cfg: Config | None = None, multiline: bool | None = None,
                        tables_dir: str | None = None) -> Context:
     """Context over one chat export folder: the JSON is parsed once into staged parquet under
-    the shared checkpoint folder, the normalised and stat tables are written once (into
-    `tables_dir` when given — the W5 output — else the checkpoint folder), and every report
-    reads those files."""
+    the shared checkpoint folder, the normalised and stat tables are written once and every report
+    reads those files. Counts, missing keys and consistency are taken while writing.
+
+    tables_dir: publish the tables there (W5): they go into a new version folder, which readers
+    (`published.table`) see only when all of it is written and checked."""
     from parley.session import ensure_checkpoint_dir
-    from parley.sources import export
+    from parley.sources import export, published
 
     ensure_checkpoint_dir(spark)
     cfg = cfg or Config()
+    base = published.begin(tables_dir) if tables_dir else prepare.scratch_dir(spark, "tables")
+    metrics = LoadMetrics()
     t = export.load_dir(spark, root, multiline, stage_dir=prepare.scratch_dir(spark, "export"))
-    t = materialize_tables(spark, t, base=tables_dir)
+    t = materialize_tables(spark, t, base=base, metrics=metrics)
     export.validate(t)
-    if not export.consistency(t).first()["consistent"]:
-        raise ValueError("the number of tool_use blocks and of tool calls differ")
-    stats = prepare.build_materialized(t, cfg, spark, base_dir=f"{tables_dir}/stats" if tables_dir else None)
+    metrics.check()
+    stats = prepare.build_materialized(t, cfg, spark, base_dir=f"{base}/stats" if tables_dir else None)
     prepare.assert_sane(stats)
-    return Context(spark, t, stats, cfg, materialized=True)
+    if tables_dir:
+        held = {n: (getattr(t, n).schema, f["rows"]) for n, f in metrics.figures.items()}
+        held.update({f"stats/{n}": (getattr(stats, n).schema, None) for n in ("message", "code_block", "conversation")})
+        published.commit(spark, base, held)
+    return Context(spark, t, stats, cfg, materialized=True, load=metrics)

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from parley import sinks
 from parley.config import Config
 from parley.plans import prepare
-from parley.plans.base import REGISTRY, _session_key, context_for_testdata
+from parley.plans.base import REGISTRY, _session_key, context_for_testdata, materialize_tables
 from parley.sources import export, testdata
+from parley.sources.load_metrics import LoadMetrics
 from parley.sources.tables import Tables
 
 TURNS, EVENTS, DOCS = 64, 8, 4  # most members of a conversation of turns, one of events, a project
@@ -91,12 +92,16 @@ def nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return conversations, projects, users
 
 
-_EXPORTS: dict[tuple, Tables] = {}
+_EXPORTS: dict[tuple, tuple[Tables, LoadMetrics]] = {}
 _LOCK = threading.Lock()
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The export of `sf_dir`, written and read back once per application."""
+    return loaded(spark, sf_dir)[0]
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> tuple[Tables, LoadMetrics]:
+    """The export of `sf_dir`, written and read back into tables once per application, with the load's figures."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     with _LOCK:
@@ -105,7 +110,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
             root = prepare.scratch_dir(spark, "nested")
             for name, df in zip(("conversations", "projects", "users"), nested(spark, sf_dir)):
                 df.write.text(f"{root}/{name}")
-            _EXPORTS[key] = export.load_dir(spark, root, stage_dir=prepare.scratch_dir(spark, "nested-staged"))
+            metrics = LoadMetrics()
+            read = export.load_dir(spark, root, stage_dir=prepare.scratch_dir(spark, "nested-staged"))
+            _EXPORTS[key] = materialize_tables(spark, read, metrics=metrics), metrics
         return _EXPORTS[key]
 
 
@@ -145,9 +152,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e08_tool_results": _of("tool_results", "block_id", "message_uuid", "tool_use_id", "name", "is_error", "array_join(texts, '\\n') AS said"),
     "e09_attachments": _of("attachments", "message_uuid", "position", "file_name", "file_size", "file_type", "content_length"),
     "e10_files": _of("files", "message_uuid", "position", "file_uuid", "file_name"),
-    "e11_counts": lambda spark, sf_dir: export.load_counts(tables(spark, sf_dir)),
+    "e11_counts": lambda spark, sf_dir: loaded(spark, sf_dir)[1].counts(spark),
     "e12_key_violations": _repeated_keys,
-    "e13_consistency": lambda spark, sf_dir: export.consistency(tables(spark, sf_dir)),
+    "e13_consistency": lambda spark, sf_dir: loaded(spark, sf_dir)[1].consistency(spark),
     "w01_csv": _reread("csv", "m04_monthly"),
     "w02_json": _reread("json", "m08_totals"),
 }

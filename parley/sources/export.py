@@ -303,23 +303,26 @@ def load_counts(t: Tables) -> DataFrame:
 def key_violations(t: Tables) -> DataFrame:
     """Duplicate or missing primary keys (empty frame = valid).
 
-    Duplicates are found with a groupBy on the key (partial aggregation), so a hot key
-    costs one row per map task, never a whole group in one task."""
+    One keyed aggregation over the keys of all tables together, so one exchange whatever the number of
+    tables; partial aggregation makes a hot key one row per map task, never a whole group in one task."""
     out = None
     for name, keys in PRIMARY_KEYS.items():
         df = getattr(t, name, None)
         if df is None:
             continue
         k = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in keys])
-        missing = F.lit(False)
-        for c in keys:
-            missing = missing | F.col(c).isNull()
-        g = df.groupBy(k.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max(missing.cast("int")).alias("null_key"))
-        bad = g.where((F.col("n") > 1) | (F.col("null_key") == 1)).select(
-            F.lit(name).alias("table"), "key", "n",
-            F.when(F.col("null_key") == 1, F.lit("missing key")).otherwise(F.lit("duplicate key")).alias("problem"))
-        out = bad if out is None else out.unionByName(bad)
-    return out
+        one = df.select(F.lit(name).alias("table"), k.alias("key"), _missing_key(keys).cast("int").alias("null_key"))
+        out = one if out is None else out.unionByName(one)
+    g = out.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.max("null_key").alias("null_key"))
+    return g.where((F.col("n") > 1) | (F.col("null_key") == 1)).select(
+        "table", "key", "n", F.when(F.col("null_key") == 1, F.lit("missing key")).otherwise(F.lit("duplicate key")).alias("problem"))
+
+
+def _missing_key(keys: list[str]) -> Column:
+    missing = F.lit(False)
+    for c in keys:
+        missing = missing | F.col(c).isNull()
+    return missing
 
 
 def validate(t: Tables) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parley import sinks
 from parley.plans.base import run_module
+from parley.sources import published
 
 
 def test_sanitize_nonfinite(spark):
@@ -49,8 +50,8 @@ def test_cli_writes_tables_and_reports(spark, tmp_path):
     from tests.conftest import FIXTURES
 
     assert main([os.path.join(FIXTURES, "export"), str(tmp_path), "--modules", "m12,overview", "--tz", "UTC"]) == 0
-    assert spark.read.parquet(str(tmp_path / "tables" / "messages")).count() == 26
-    assert spark.read.parquet(str(tmp_path / "tables" / "stats" / "conversation")).count() == 8
+    assert published.table(spark, str(tmp_path / "tables"), "messages").count() == 26
+    assert published.table(spark, str(tmp_path / "tables"), "stats/conversation").count() == 8
     assert glob.glob(f"{tmp_path}/reports/m12/summary.json/part-*")
     assert glob.glob(f"{tmp_path}/reports/overview/overview_blocks.csv/*.csv")
 
@@ -73,4 +74,4 @@ def test_cli_on_json_lines_part_folders(spark, tmp_path):
     assert main(["--jsonl", "--modules", "m12", "--tz", "UTC", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
     doc = json.loads(open(glob.glob(f"{tmp_path}/out/reports/m12/summary.json/part-*")[0], encoding="utf-8").read())
     assert sorted(r["n"] for r in doc["m12_post_error"]) == [1, 1, 1, 1, 1]
-    assert spark.read.parquet(str(tmp_path / "out" / "tables" / "stats" / "message")).count() == 26
+    assert published.table(spark, str(tmp_path / "out" / "tables"), "stats/message").count() == 26
