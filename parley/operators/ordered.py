@@ -82,18 +82,55 @@ def row_number_within(df: DataFrame, group: str, order: list[str], name: str = "
     return c.drop("_chunk")
 
 
+def _after(group: str, order: list[Column | str]):
+    """The rows strictly after each row. Read from the end, the frame only grows, so its aggregates are carried along;
+    a frame up to `unboundedFollowing` would be gone through anew for every row."""
+    back = [(F.col(c) if isinstance(c, str) else c).desc_nulls_first() for c in order]
+    return Window.partitionBy(group, "_chunk").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _later_chunks(group: str):
+    return Window.partitionBy(group).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def min_after(df: DataFrame, group: str, order: list[str], values: dict[str, Column],
               target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Add, per name, min(value) over the rows strictly after each row in its group."""
     c, hot = add_chunk(df, group, order, target_rows)
-    w = Window.partitionBy(group, "_chunk").orderBy(*_order(order)).rowsBetween(1, Window.unboundedFollowing)
+    w = _after(group, order)
     c = c.select("*", *[F.min(v).over(w).alias(n) for n, v in values.items()])
     if hot:
         per = c.groupBy(group, "_chunk").agg(*[F.min(v).alias(f"_m_{n}") for n, v in values.items()])
-        wc = Window.partitionBy(group).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+        wc = _later_chunks(group)
         per = per.select(group, "_chunk", *[F.min(f"_m_{n}").over(wc).alias(f"_a_{n}") for n in values])
         c = _by_chunk(c, per, group)
         for n in values:
             c = c.withColumn(n, F.least(F.col(n), F.col(f"_a_{n}"))).drop(f"_a_{n}")
     return c.drop("_chunk")
 
+
+def first_then_after(df: DataFrame, group: str, order: list[str], first: Column, then: Column, value: Column,
+                     target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+    """Add `first_after`, `value` of the first row after each row of its group for which `first` holds, and `then_after`,
+    `value` of the first row after that one for which `then` holds (NULL where there is none).
+
+    One ordering for both: what follows a row is the triple (next first, next then after it, next then), which
+    combines over adjoining ranges, so a hot group is cut and written once and its ranges are stitched by one scan
+    over one row a range."""
+    c, hot = add_chunk(df, group, order, target_rows)
+    w = _after(group, order)
+    c = c.select("*", F.last(F.when(then, value), ignorenulls=True).over(w).alias("_t"))
+    c = c.select("*", F.last(F.when(first, F.struct(value.alias("v"), F.col("_t").alias("t"))), ignorenulls=True).over(w).alias("_f"))
+    if hot:
+        key = F.struct(*[x for i, o in enumerate(order) for x in (F.col(o).isNull().alias(f"_z{i}"), F.col(o).alias(f"_o{i}"))])
+        per = c.groupBy(group, "_chunk").agg(
+            F.min(F.when(first, F.struct(key.alias("k"), value.alias("v"), F.col("_t").alias("t")))).alias("_own"),
+            F.min(F.when(then, F.struct(key.alias("k"), value.alias("v")))).alias("_then"))
+        wc = _later_chunks(group)
+        per = per.select(group, "_chunk", "_own", F.last(F.col("_then.v"), ignorenulls=True).over(wc).alias("_lt"))
+        whole = F.when(F.col("_own").isNotNull(), F.struct(F.col("_own.v").alias("v"), F.coalesce("_own.t", "_lt").alias("t")))
+        per = per.select(group, "_chunk", "_lt", F.last(whole, ignorenulls=True).over(wc).alias("_lf"))
+        c = _by_chunk(c, per, group)
+        c = c.withColumn("_f", F.when(F.col("_f").isNotNull(), F.struct(F.col("_f.v").alias("v"), F.coalesce("_f.t", "_lt").alias("t")))
+                         .otherwise(F.col("_lf"))).drop("_lt", "_lf")
+    return c.select("*", F.col("_f.v").alias("first_after"), F.col("_f.t").alias("then_after")).drop("_chunk", "_t", "_f")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from parley.functions import text as T
 from parley.functions.categorize import regex_categorize
 from parley.operators.grid import axis, cells, names_array, zero_fill
-from parley.operators.ordered import min_after
+from parley.operators.ordered import first_then_after
 from parley.operators.ranking import top_k, top_k_per_group
 from parley.operators.stats import cohort_compare, r6
 from parley.plans.base import Context, report
@@ -161,25 +161,19 @@ def samples(ctx: Context):
 
 
 def _post_error(ctx: Context):
-    """m12.9 with two chained windows instead of range joins: (1) for every message, the next
-    assistant message after it, as (position, uuid); (2) for every message, the next human
-    message after it, carrying that human message's next assistant. An error message then
-    reads its follow-up from its own row: no self-joins."""
+    """m12.9 in one ordering of the messages: every message gets the next human message after it and the
+    next assistant message after that one. An error message then reads its follow-up from its own row: no self-joins."""
     results = _results(ctx).where(F.col("is_error"))
     # only conversations with an error are put in order
     touched = results.select("message_uuid").distinct().join(
         ctx.stats.message.select("message_uuid", "conversation_uuid"), "message_uuid").select("conversation_uuid").distinct()
     m = ctx.stats.message.select("conversation_uuid", "message_uuid", "position", "sender").join(
         touched, "conversation_uuid", "left_semi")
-    order = ["position", "message_uuid"]
-    rows = ctx.cfg.window_chunk_rows
-    a = min_after(m, "conversation_uuid", order, {"next_a": F.when(
-        F.col("sender") == "assistant", F.struct(F.col("position").alias("pos"), F.col("message_uuid").alias("uuid")))},
-        rows)
-    h = min_after(a, "conversation_uuid", order, {"next_h": F.when(
-        F.col("sender") == "human", F.struct(F.col("position").alias("pos"), F.col("next_a").alias("a")))}, rows)
-    nxt = h.select("message_uuid", F.col("next_h.pos").alias("h_pos"), F.col("next_h.a.pos").alias("a_pos"),
-                   F.col("next_h.a.uuid").alias("a_uuid"))
+    at = F.struct(F.col("position").alias("pos"), F.col("message_uuid").alias("uuid"))
+    h = first_then_after(m, "conversation_uuid", ["position", "message_uuid"], F.col("sender") == "human",
+                         F.col("sender") == "assistant", at, ctx.cfg.window_chunk_rows)
+    nxt = h.select("message_uuid", F.col("first_after.pos").alias("h_pos"), F.col("then_after.pos").alias("a_pos"),
+                   F.col("then_after.uuid").alias("a_uuid"))
     errs = (results.groupBy("conversation_uuid", "message_uuid")
             .agg(F.collect_set("name").alias("err_tools")))
     e = errs.join(nxt, "message_uuid")  # error messages that exist in the message table

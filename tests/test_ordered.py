@@ -130,3 +130,56 @@ def test_chunked_windows_property(spark, data, target):
     got = (lag_within(df, "g", order, ["pos"], target).select("id", F.col("prev_pos").alias("p"))
            .join(min_after(df, "g", order, {"nh": v}, target).select("id", "nh"), "id"))
     assert rows(got) == rows(plain)
+
+
+def _follow_ups(rows_):
+    """Loop version: rows (id, g, pos, s) -> id -> (next human's id, the next assistant's id after it)."""
+    out = {}
+    for i, g, pos, _ in rows_:
+        later = sorted((r for r in rows_ if r[1] == g and _place(r) > _place((i, g, pos, None))), key=_place)
+        h = next((r for r in later if r[3] == "human"), None)
+        a = next((r for r in later if h and _place(r) > _place(h) and r[3] == "assistant"), None)
+        out[i] = (h and h[0], a and a[0])
+    return out
+
+
+def _place(r):
+    return (r[2] is None, r[2] or 0, r[0])
+
+
+@pytest.mark.parametrize("target", [1, 3, 8, 10 ** 9])
+def test_follow_ups_in_one_ordering_equal_a_loop(spark, target):
+    import random
+
+    from parley.operators.ordered import first_then_after
+
+    draw = random.Random(7)
+    data = [(i, draw.choice(["a", "a", "b", None]), draw.choice([None, 1, 2, 3, 4, 5, 6, 7, 8]),
+             draw.choice(["human", "assistant", "assistant", "tool", None])) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, g string, pos long, s string")
+    got = first_then_after(df, "g", ["pos", "id"], F.col("s") == "human", F.col("s") == "assistant", F.col("id"), target)
+    assert got.columns == ["id", "g", "pos", "s", "first_after", "then_after"]
+    assert {r["id"]: (r["first_after"], r["then_after"]) for r in got.collect()} == _follow_ups(data)
+
+
+def test_follow_ups_take_one_exchange_and_one_sort(spark, msgs):
+    from parley.operators.ordered import first_then_after
+
+    got = first_then_after(msgs, "conversation_uuid", ["position", "message_uuid"], F.col("sender") == "human",
+                           F.col("sender") == "assistant", F.col("position"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
+
+
+def test_rows_after_of_a_long_group_cost_a_scan(spark):
+    """300,000 rows of one group in one window: going through all later rows for each would be 4.5e10 steps."""
+    from parley.operators.ordered import first_then_after
+
+    n = 300_000
+    df = spark.range(n).select("id", F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, "human").otherwise("assistant").alias("s"))
+    got = first_then_after(df, "g", ["id"], F.col("s") == "human", F.col("s") == "assistant", F.col("id"))
+    r = got.agg(F.sum("first_after"), F.sum("then_after")).first()
+    first = [3 * (i // 3 + 1) for i in range(n) if 3 * (i // 3 + 1) < n]
+    assert list(r) == [sum(first), sum(first) + len(first)]
+    m = min_after(df, "g", ["id"], {"h": F.when(F.col("s") == "human", F.col("id"))}).agg(F.sum("h")).first()[0]
+    assert m == sum(first)
