@@ -6,11 +6,12 @@ per group:
 
   pass 1  one aggregation: n, min, max and a sketch (`percentile_approx`, rank error
           <= n / accuracy) at q - d and q + d for every requested q (d = 3 / accuracy);
-  pass 2  the brackets join back as ONE row per group; one aggregation histograms the rows
-          inside each bracket by value (duplicates collapse) and counts the rows below it in
-          one flagged cell (partial aggregation folds those to one row per task);
-  pass 3  per (group, q), a running count over that small histogram finds the values at
-          ranks floor((n-1)q) and ceil((n-1)q), interpolated as Spark's `percentile` does.
+  pass 2  the brackets join back as ONE row per group. They come in ascending order, so every row has one
+          place: the first bracket that ends at or above it (its block), and there its value, or, below that
+          bracket's start, the block's one cell without a value. One aggregation counts the rows per
+          cell for all quantiles together (duplicates collapse, partial aggregation folds the cells without values);
+  pass 3  per (group, block) a running count over its cells, on top of the earlier blocks' totals, finds the values
+          at ranks floor((n-1)q) and ceil((n-1)q), interpolated as Spark's `percentile` does.
 
 For n <= 10 * accuracy the bracket is the whole group (at most that many rows). Above that,
 3n/accuracy covers the sketch error plus the one-rank gap between the sketch's q*n rank and
@@ -32,7 +33,9 @@ def grouped_exact(long: DataFrame, groups: list[str], value: str, qs: tuple[floa
     small_groups: the group list is tiny and fixed (e.g. a few series), so the bracket
     row may be broadcast; otherwise Spark picks the join (AQE splits skewed groups)."""
     long = long.where(F.col(value).isNotNull())
-    return refined(long, sketched(long, groups, value, qs, accuracy), groups, value, qs, accuracy, small_groups)
+    wide = refined(long, sketched(long, groups, value, qs, accuracy), groups, value, qs, accuracy, small_groups)
+    return wide.select(*groups, F.inline(F.array(*[F.struct(F.lit(k).alias("qi"), F.col(f"_q{k}").alias("value"))
+                                                  for k in range(len(qs))])))
 
 
 def sketched(long: DataFrame, groups: list[str], value: str, qs: tuple[float, ...], accuracy: int) -> DataFrame:
@@ -46,60 +49,64 @@ def sketched(long: DataFrame, groups: list[str], value: str, qs: tuple[float, ..
 
 def refined(long: DataFrame, p1: DataFrame, groups: list[str], value: str, qs: tuple[float, ...], accuracy: int,
             small_groups: bool) -> DataFrame:
-    """Passes 2 and 3."""
+    """Passes 2 and 3: rows (groups..., _n, _mean, _min, _max, _q0, _q1, ...) with the quantiles qs[0], qs[1], ...
+
+    Pass 1's facts go along with the cells as further grouping columns (the same ones on all cells of a group), so that
+    nobody needs to join pass 1 once more, which Spark would run again with other columns."""
     d, small, x = 3.0 / accuracy, 10 * accuracy, F.col(value)
     whole = F.col("_n") <= small
+    up = sorted(range(len(qs)), key=lambda k: qs[k])
     # a bracket end clipped to q = 0 / 1 is the exact min / max from pass 1 (not a sketch value)
-    br = p1.select(*groups, "_n", *[
-        c for j, q in enumerate(qs) for c in (
-            F.when(whole | F.lit(q - d <= 0.0), F.col("_min")).otherwise(F.col("_b")[2 * j]).alias(f"_L{j}"),
-            F.when(whole | F.lit(q + d >= 1.0), F.col("_max")).otherwise(F.col("_b")[2 * j + 1]).alias(f"_H{j}"))])
-    j = long.join(F.broadcast(br) if small_groups else br, groups)
-    cell = F.filter(F.array(*[
-        F.struct(F.lit(k).alias("qi"), (x < F.col(f"_L{k}")).alias("below"),
-                 F.when(x >= F.col(f"_L{k}"), x).alias("v"), (x <= F.col(f"_H{k}")).alias("keep"))
-        for k in range(len(qs))]), lambda c: c["keep"])
-    hist = (j.select(*groups, F.explode(cell).alias("_s"))
-            .groupBy(*groups, F.col("_s.qi").alias("qi"), F.col("_s.below").alias("_is_below"), F.col("_s.v").alias("_x"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    # per (group, q): interpolation position (one row each)
-    meta = br.select(*groups, F.inline(F.array(*[
-        F.struct(F.lit(k).alias("qi"), ((F.col("_n") - 1) * F.lit(qs[k])).alias("_pos")) for k in range(len(qs))])))
-    # the "below" cell sorts first, then the bracket's values ascending
-    w = (Window.partitionBy(*groups, "qi").orderBy(F.col("_is_below").desc(), F.col("_x").asc())
+    facts = ["_n", "_mean", "_min", "_max"]
+    br = p1.select(*groups, *facts, *[
+        c for i, k in enumerate(up) for c in (
+            F.when(whole | F.lit(qs[k] - d <= 0.0), F.col("_min")).otherwise(F.col("_b")[2 * k]).alias(f"_L{i}"),
+            F.when(whole | F.lit(qs[k] + d >= 1.0), F.col("_max")).otherwise(F.col("_b")[2 * k + 1]).alias(f"_H{i}"))])
+    block, cell = F, F
+    for i in range(len(qs)):
+        block = block.when(x <= F.col(f"_H{i}"), F.lit(i))
+        cell = cell.when(x <= F.col(f"_H{i}"), F.when(x >= F.col(f"_L{i}"), x))
+    hist = (long.join(F.broadcast(br) if small_groups else br, groups)
+            .select(*groups, *facts, block.alias("_block"), cell.alias("_x")).where(F.col("_block").isNotNull())
+            .groupBy(*groups, *facts, "_block", "_x").agg(F.count(F.lit(1)).alias("_c")))
+    # rows in the blocks before each block: one row a group
+    offsets = hist.groupBy(*groups).agg(F.lit(0).cast("long").alias("_o0"), *[
+        F.coalesce(F.sum(F.when(F.col("_block") < i, F.col("_c"))), F.lit(0)).alias(f"_o{i}") for i in range(1, len(qs))])
+    before = F
+    for i in range(len(qs)):
+        before = before.when(F.col("_block") == i, F.col(f"_o{i}"))
+    w = (Window.partitionBy(*groups, "_block").orderBy(F.col("_x").asc_nulls_first())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    h = hist.join(meta, [*groups, "qi"]).withColumn("_upto", F.sum("_c").over(w))
-    fl, ce = F.floor(F.col("_pos")), F.ceil(F.col("_pos"))
-    inb = ~F.col("_is_below")
-    picked = h.groupBy(*groups, "qi", "_pos").agg(
-        F.min(F.when(inb & (F.col("_upto") > fl), F.col("_x"))).alias("_lo"),
-        F.min(F.when(inb & (F.col("_upto") > ce), F.col("_x"))).alias("_hi"),
-        F.coalesce(F.sum(F.when(F.col("_is_below"), F.col("_c"))), F.lit(0)).alias("_below"))
-    pos, fl, ce = F.col("_pos"), F.floor(F.col("_pos")), F.ceil(F.col("_pos"))
-    val = F.when(fl == ce, F.col("_lo")).otherwise((ce - pos) * F.col("_lo") + (pos - fl) * F.col("_hi"))
-    # never a silently wrong value: the bracket must start at or below the lower target rank
-    # and reach the upper one (guaranteed by the sketch bound; checked anyway)
-    ok = (F.col("_below") <= fl) & F.col("_lo").isNotNull() & F.col("_hi").isNotNull()
-    val = F.when(ok, val).otherwise(F.raise_error(F.lit("bounded quantile bracket missed its rank; "
-                                                        "raise Config.bounded_accuracy")).cast("double"))
-    return picked.select(*groups, "qi", val.alias("value"))
-
-
-def summaries(df: DataFrame, values: list[Column], qs: tuple[float, ...], accuracy: int = 10000) -> tuple[DataFrame, DataFrame]:
-    """(n, mean, max, min per sid), (quantile qs[qi] per sid and qi) of `values[sid]` over df.
-
-    The first frame comes from the same aggregation as the brackets."""
+    h = (hist.join(F.broadcast(offsets) if small_groups else offsets, groups)
+         .withColumn("_upto", before + F.sum("_c").over(w)))
+    ranks = [(k, (F.col("_n") - 1) * F.lit(q)) for k, q in enumerate(qs)]
+    picked = h.groupBy(*groups, *facts).agg(*[
+        F.min_by("_x", F.when(F.col("_upto") > end, F.col("_upto"))).alias(f"_{name}{k}")
+        for k, pos in ranks for name, end in (("lo", F.floor(pos)), ("hi", F.ceil(pos)))])
+    out = []
+    for k, pos in ranks:
+        lo, hi, fl, ce = F.col(f"_lo{k}"), F.col(f"_hi{k}"), F.floor(pos), F.ceil(pos)
+        val = F.when(fl == ce, lo).otherwise((ce - pos) * lo + (pos - fl) * hi)
+        # never a silently wrong value: both ranks must fall on cells with a value (guaranteed by
+        # the sketch bound; checked anyway)
+        out.append(F.when(lo.isNotNull() & hi.isNotNull(), val).otherwise(F.raise_error(F.lit(
+            "bounded quantile bracket missed its rank; raise Config.bounded_accuracy")).cast("double")).alias(f"_q{k}"))
+    return picked.select(*groups, *facts, *out)
+
+
+def summaries(df: DataFrame, values: list[Column], qs: tuple[float, ...], accuracy: int = 10000) -> DataFrame:
+    """(sid, n, mean, max, min, _q0, _q1, ...): count, ends and quantiles qs[0], qs[1], ... of `values[sid]` over df, for
+    series that have values."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("sid"), v.cast("double").alias("x"))
                                         for i, v in enumerate(values)]))).where(F.col("x").isNotNull())
-    p1 = sketched(long, ["sid"], "x", qs, accuracy)
-    facts = p1.select("sid", F.col("_n").alias("n"), F.col("_mean").alias("mean"), F.col("_max").alias("max"),
-                      F.col("_min").alias("min"))
-    return facts, refined(long, p1, ["sid"], "x", qs, accuracy, small_groups=True)
+    found = refined(long, sketched(long, ["sid"], "x", qs, accuracy), ["sid"], "x", qs, accuracy, small_groups=True)
+    return found.withColumnsRenamed({f"_{c}": c for c in ("n", "mean", "max", "min")})
 
 
 def exact_bounded(df: DataFrame, values: list[Column], qs: tuple[float, ...], accuracy: int = 10000) -> DataFrame:
     """One row per (sid, qi): quantile qs[qi] of `values[sid]` over df (series form)."""
-    return summaries(df, values, qs, accuracy)[1]
+    return summaries(df, values, qs, accuracy).select("sid", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("qi"), F.col(f"_q{k}").alias("value")) for k in range(len(qs))])))
 
 
 def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, qs: tuple[float, ...], cfg,
@@ -112,6 +119,6 @@ def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, qs: tuple
                else F.percentile("_v", list(qs)))
         g = long.where(F.col("_v").isNotNull()).groupBy(*groups).agg(one.alias("_q"))
         return g.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    q = grouped_exact(long, groups, "_v", qs, cfg.bounded_accuracy, few_groups)
-    return q.groupBy(*groups).agg(*[F.max(F.when(F.col("qi") == i, F.col("value"))).alias(n)
-                                    for i, n in enumerate(names)])
+    long = long.where(F.col("_v").isNotNull())
+    q = refined(long, sketched(long, groups, "_v", qs, cfg.bounded_accuracy), groups, "_v", qs, cfg.bounded_accuracy, few_groups)
+    return q.select(*groups, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)])

@@ -83,13 +83,12 @@ def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None
     keys = _key_names(series)
     if cfg.approx_quantiles or cfg.quantile_mode == "exact":
         return _one_pass(df, series, cfg, keys)
-    facts, found = quantiles.summaries(df, [_masked(s) for s in series], QS, cfg.bounded_accuracy)
-    by_sid = found.groupBy("sid").agg(*[F.max(F.when(F.col("qi") == j, F.col("value"))).alias(c)
-                                        for j, c in enumerate(STAT_COLS[1:5])])
+    found = quantiles.summaries(df, [_masked(s) for s in series], QS, cfg.bounded_accuracy).withColumnsRenamed(
+        {f"_q{j}": c for j, c in enumerate(STAT_COLS[1:5])})
     # the fixed list of series on the left: empty ones stay, with n = 0
     names = ", ".join(f"named_struct({_keys_sql(s, keys)}'sid', {i})" for i, s in enumerate(series))
     out = (df.sparkSession.range(1).selectExpr(f"inline(array({names}))")
-           .join(facts, "sid", "left").join(by_sid, "sid", "left"))
+           .join(found, "sid", "left"))
     return out.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[r6(F.col(c)).alias(c) for c in STAT_COLS[1:]])
 
 
