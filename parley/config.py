@@ -17,6 +17,8 @@ class Config:
                      same plan at every size; "exact": Spark's `percentile`, whose map of values
                      is merged in one task (for comparison on small data).
     bounded_accuracy sketch accuracy of the bounded exact mode.
+    quantile_levels  narrowing passes for groups too large for one sketch; none is run below
+                     5 * 10^9 rows a group, whatever the number.
     approx_distinct  approx_count_distinct (HyperLogLog++) for the distinct totals of m11
                      (opt-in, inexact; exact counts by default).
     fanout_m07       reproduce the attachment x file join fan-out of the monthly counts.
@@ -30,6 +32,7 @@ class Config:
     approx_accuracy: int = 100000
     quantile_mode: str = "bounded"
     bounded_accuracy: int = 10000
+    quantile_levels: int = 1
     approx_distinct: bool = False
     fanout_m07: bool = False
     merge_by_name: bool = False

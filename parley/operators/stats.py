@@ -83,7 +83,8 @@ def summary_stats(df: DataFrame, series: list[Series], cfg: Config | None = None
     keys = _key_names(series)
     if cfg.approx_quantiles or cfg.quantile_mode == "exact":
         return _one_pass(df, series, cfg, keys)
-    found = quantiles.summaries(df, [_masked(s) for s in series], QS, cfg.bounded_accuracy).withColumnsRenamed(
+    found = quantiles.summaries(df, [_masked(s) for s in series], QS, cfg.bounded_accuracy,
+                                levels=cfg.quantile_levels).withColumnsRenamed(
         {f"_q{j}": c for j, c in enumerate(STAT_COLS[1:5])})
     # the fixed list of series on the left: empty ones stay, with n = 0
     names = ", ".join(f"named_struct({_keys_sql(s, keys)}'sid', {i})" for i, s in enumerate(series))

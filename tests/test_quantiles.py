@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.config import Config
-from parley.operators.quantiles import exact_bounded
+from parley.operators.quantiles import brackets, exact_bounded, grouped_exact, narrowed, sketched
 from parley.plans import REGISTRY
 from tests.conftest import SF_SMALL, rows
 
@@ -31,6 +31,34 @@ def test_matches_percentile_with_hot_value(spark, n, accuracy):
             assert got[(1, j)] == pytest.approx(ref.s[j], abs=1e-9)
 
 
+@pytest.mark.parametrize("levels", [1, 4])
+def test_narrowed_brackets_match_percentile(spark, levels):
+    """Many distinct values, coarse first sketch, brackets far above the limit, a heavy value, a group that is not open."""
+    df = spark.range(300_000, numPartitions=8).select(
+        F.when(F.col("id") % 1000 == 0, "few").when(F.col("id") % 3 == 0, "heavy").otherwise("many").alias("g"),
+        F.when((F.col("id") % 3 == 0) & (F.col("id") % 2 == 0), F.lit(1e8))
+        .otherwise(F.exp(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 50_000.0)).alias("x"))
+    got = {(r.g, r.qi): r.value for r in grouped_exact(df, ["g"], "x", QS, 10, True, limit=5000, levels=levels).collect()}
+    for r in df.groupBy("g").agg(F.percentile("x", list(QS)).alias("p")).collect():
+        for j in range(len(QS)):
+            assert got[(r.g, j)] == pytest.approx(r.p[j], rel=1e-12)
+
+
+def test_narrowing_bounds_the_bracket(spark):
+    """Accuracy 10 and 10^6 distinct values: the first brackets hold most rows, the narrowed ones at most the limit."""
+    df = spark.range(1_000_000, numPartitions=8).select(F.lit(0).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double").alias("x"))
+    br = brackets(sketched(df, ["g"], "x", QS, 10), ["g"], list(QS), 10, [0, 1, 2, 3])
+
+    def rows_inside(b):
+        return max(df.join(F.broadcast(b), "g").agg(*[F.count_if(F.col("x").between(F.col(f"_L{i}"), F.col(f"_H{i}")))
+                                                      for i in range(len(QS))]).collect()[0])
+
+    assert rows_inside(br) > 300_000
+    for _ in range(3):
+        br = narrowed(df, br, ["g"], "x", list(QS), limit=5000)
+    assert rows_inside(br) <= 5000
+
+
 @pytest.mark.parametrize("key", ["m01_quantiles", "m02_quantiles", "m05_per_convo", "m06_gaps", "m06_lifetime",
                                  "m05_duration", "m12_compare", "m13_multi_root", "m13_len_delta", "m03_resp_by_bucket",
                                  "m10_code_share", "m08_doc_len", "m10_block_len"])
