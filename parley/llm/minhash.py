@@ -43,6 +43,7 @@ from parley.llm.simhash import components
 WORDS_AT_ONCE = 1 << 18
 HASHES_AT_ONCE = 1 << 16
 COLUMNS_AT_ONCE = 1 << 13
+FILTER_BITS = 1 << 26
 _A = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -149,6 +150,21 @@ def _full_sets(texts: DataFrame, p: MinHashParams) -> DataFrame:
     return texts.select("text").mapInArrow(run, "cid binary, items array<long>")
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts without most of those whose row id is not wanted, so that few of the others are shuffled.
+
+    The ids' hashes are marked in FILTER_BITS bits, cut into rows of 4 KiB: 8 MiB are broadcast at most, however many
+    ids there are. All wanted texts stay; with very many ids the others stay too."""
+    place = F.pmod(F.xxhash64(RID), F.lit(FILTER_BITS)) + 1
+    maps = (wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("__part"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__bits")))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return (texts.withColumn("__part", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "__part")
+            .where(marked).drop("__part", "__bits"))
+
+
 def estimate(a: str, b: str, p: MinHashParams) -> Column:
     """Similarity of two signature columns: share of equal lanes, corrected for chance agreement."""
     lanes = sum(1 << i for i in range(0, 64, p.bits))
@@ -217,7 +233,7 @@ def linked_classes(classes: DataFrame, texts: DataFrame, p: MinHashParams) -> Da
     shared = written(keys.join(many, "key"), "mh-shared")
     nodes = written(classes.drop("keys").join(shared.groupBy("cid").agg(F.sum("count").alias("company")), "cid"), "mh-nodes")
     wanted = nodes.select(F.col("at").alias(RID))
-    sets = written(_full_sets(texts.join(wanted, RID, "left_semi"), p), "mh-sets")
+    sets = written(_full_sets(_likely(texts, wanted).join(wanted, RID), p), "mh-sets")  # ids occur once; a semi-join would be pushed below the filter
     members = shared.drop("count").join(nodes.drop("at"), "cid").withColumn("root", F.col("cid"))
 
     roots = None
