@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -298,6 +299,24 @@ def test_shards_odd_rows(docs_of):
         shards.shuffled(docs_of(ODD).withColumn("slot", F.lit(1)))
 
 
+def test_shards_send_no_text_to_python(sample):
+    """Python numbers the records; texts stay in Spark's rows, which its sorts spill."""
+    plan = shards.shuffled(sample, bucket_bytes=2000)._jdf.queryExecution().executedPlan().toString()
+    to_python = [line for line in plan.splitlines() if "Python" in line or "InArrow" in line]
+    assert to_python and all("ArrowEvalPython" in line and "text#" not in line for line in to_python)
+
+
+def test_places_of_buckets_in_any_batches():
+    first = {0: (0, 5), 1: (5, 0), 2: (5, 7)}
+    bucket, number = np.repeat([0, 2], [5, 7]), np.concatenate([np.arange(1, 6), np.arange(1, 8)])
+    whole = shards._places(bucket, number, first, 3)
+    assert sorted(whole.tolist()) == list(range(12)) and sorted(whole[:5].tolist()) == list(range(5))
+    parts = [shards._places(bucket[a:a + 4], number[a:a + 4], first, 3) for a in range(0, 16, 4)]
+    assert np.concatenate(parts).tolist() == whole.tolist()
+    order = shards._fisher_yates(7, 3, 2)
+    assert [(whole[5:] - 5).tolist().index(i) for i in range(7)] == order.tolist()
+
+
 def test_fisher_yates_is_a_permutation():
     order = shards._fisher_yates(500, 1, 2)
     assert sorted(order.tolist()) == list(range(500)) and order.tolist() != list(range(500))
