@@ -7,8 +7,9 @@ Positions count inside a part; the parts' totals (one row a part) give the globa
 
 The tokenizer's pre-tokens never cross a space or newline that stands next to something else, nor go
 from a letter to a stop, so a batch is cut there, its distinct words are encoded once, many to a
-call, and the ids are laid out by word. A text in which a space or newline has white space on both
-sides, or a stop follows a space, is encoded whole.
+call, and the ids are laid out by word. The cuts are found in the batch's UTF-8 bytes; a word is a
+piece of them with the space or newline before it. A text in which a space or newline has white
+space on both sides, or a stop follows a space, is encoded whole.
 
 NULL texts read as empty; every document ends with `end_id`. Documents without an id come first,
 equal ids stay apart, ordered by text checksum and row.
@@ -22,22 +23,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, scratch_path, ship_package, slices, texts_of, with_row_id
+from parley.llm.common import RID, scratch_path, ship_package, slices, with_row_id
 from parley.llm.simple8b import pack_blocks, unpack_blocks
-from parley.llm.words import coded, expanded
+from parley.llm.words import coded_pieces, expanded, text_bytes
 
 END_ID = 2
-SLICE = 1 << 23  # characters encoded at a time
+SLICE = 3 << 22  # bytes encoded at a time
 JOINED = 4096  # words in a call
 RUN_IDS = 1 << 16  # ids of a written row; a longer document has a row of its own
 CACHE = 250_000  # words remembered by a worker, the first ones it meets
+BLANKS = [chr(c).encode() for c in range(1 << 16) if chr(c).isspace()]
+BLANK_ENDS, BLANK_BEGINS = (np.isin(np.arange(256), [b[i] for b in BLANKS]) for i in (-1, 0))  # bytes that white space may end or begin with
 INNER_SPACE = re.compile(r"\s[ \n](?:\s|\Z)| [.,]")  # texts that the cuts below would not suit
-LETTER_STOP = re.compile(r"(?<=[A-Za-z])(?=[.,])")
-STOPS = ("\n", ".", ",")
 
 
 class Encoder:
@@ -82,26 +84,47 @@ class Encoder:
             out[i] = ids.astype("<u4").tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        whole = [i for i, t in enumerate(texts) if INNER_SPACE.search(t)]
-        out: list[np.ndarray] = [None] * len(texts)
-        for i, ids in zip(whole, self.fresh([texts[i] for i in whole])):
-            out[i] = ids
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        codes, first, known = coded([LETTER_STOP.sub(" ", texts[i]).replace("\n", " \n") for i in rest])
-        # what follows a space keeps it; a newline, or a stop cut off its word, begins a word; a text's first word has neither
-        heads = [known[c] for c in codes[first[:-1]]]
-        codes[first[:-1]] = len(known) + np.arange(len(heads))
-        ids, ends = self.words([w if w[:1] in STOPS else " " + w for w in known])
-        tops = self.fresh(heads)
-        ends = np.concatenate([ends, ends[-1] + np.cumsum([len(h) for h in tops], dtype=np.int64)])
-        ids, before = expanded(codes, np.concatenate([ids, *tops]), ends)
-        for i, a, b in zip(rest, before[first[:-1]], before[first[1:]]):
-            out[i] = ids[a:b]
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        data, at = text_bytes(texts)
+        begins, odd = cuts(data, at)
+        whole = [i for i in odd.tolist() if INNER_SPACE.search(texts[i].as_py())]
+        codes, known = coded_pieces(data, begins)
+        first = np.searchsorted(begins, at)
+        if whole:  # their words are not asked for
+            asked = np.ones(len(codes), dtype=bool)
+            for i in whole:
+                asked[first[i]:first[i + 1]] = False
+            used, codes[asked] = np.unique(codes[asked], return_inverse=True)
+            codes[~asked] = len(used)
+            known = [known[c] for c in used.tolist()]
+        ids, ends = self.words(known)
+        ids, before = expanded(codes, ids, np.concatenate([ends, ends[-1:]]))
+        out = [ids[a:b] for a, b in zip(before[first[:-1]].tolist(), before[first[1:]].tolist())]
+        for i, own in zip(whole, self.fresh([texts[i].as_py() for i in whole])):
+            out[i] = own
         return out
 
 
+def cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in the bytes of texts that begin at `at` (their end last), and the texts that may hold an
+    INNER_SPACE: one byte next to the gap is looked at here."""
+    gap, stop = (data == 32) | (data == 10), (data == 46) | (data == 44)
+    begins = gap.copy()
+    letter = ((data[:-1] | 32) >= 97) & ((data[:-1] | 32) <= 122)
+    begins[1:] |= stop[1:] & letter
+    begins = np.append(begins, False)
+    begins[at] = True
+    begins[-1] = True
+    first, last = at[:-1][at[:-1] < at[1:]], at[1:][at[:-1] < at[1:]] - 1
+    before, after, then_stop = np.empty(len(data), bool), np.empty(len(data), bool), np.empty(len(data), bool)
+    before[1:], after[:-1], then_stop[:-1] = BLANK_ENDS[data[:-1]], BLANK_BEGINS[data[1:]], stop[1:]
+    before[first], after[last], then_stop[last] = False, True, False
+    odd = np.flatnonzero(gap & ((before & after) | (then_stop & (data == 32))))
+    return np.flatnonzero(begins), np.unique(np.searchsorted(at, odd, side="right") - 1)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """Once per worker process."""
@@ -120,9 +143,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
         enc, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
         part, at, held, count = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
-            texts, keys = texts_of(b.column(1)), b.column(0).to_pylist()
-            for a, z in slices([len(t) for t in texts], SLICE):
-                for key, ids in zip(keys[a:z], enc.encode(texts[a:z])):
+            texts, keys = b.column(1).fill_null(""), b.column(0).to_pylist()
+            for a, z in slices(pc.binary_length(texts).to_pylist(), SLICE):
+                for key, ids in zip(keys[a:z], enc.encode(texts.slice(a, z - a))):
                     if held and count + len(ids) >= RUN_IDS:
                         yield run(part, at, held, b.column(0).type)
                         at, held, count = at + count, [], 0

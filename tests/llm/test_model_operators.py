@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from parley.llm import quality, sentencepieces, simple8b, token_files, topk, toxicity
@@ -75,6 +76,17 @@ def test_encoder_equals_library():
     assert [g.tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_takes_arrow_slices():
+    """Words are cut in the bytes of an Arrow array, part of it included; white space beyond ASCII is found."""
+    enc, rng = token_files.encoder(BYTE_BPE), random.Random(8)
+    texts = ["".join(rng.choice(" \n.,aZ\u3000\u00a0\u2003\u0085\x1cé日") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for kind in (pa.string(), pa.large_string()):
+        part = pa.array(["left out", *texts, "too"], kind).slice(1, len(texts))
+        assert [g.tolist() for g in enc.encode(part)] == [w.tolist() for w in enc.fresh(texts)]
+    _, odd = token_files.cuts(*token_files.text_bytes(pa.array(texts)))
+    assert {i for i, t in enumerate(texts) if token_files.INNER_SPACE.search(t)} <= set(odd.tolist())
+
+
 def test_token_files_in_id_order(spark, docs_of, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(BYTE_BPE)
