@@ -7,6 +7,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from parley.sources import export, json_array
 from tests.conftest import FIXTURES
@@ -105,3 +106,14 @@ def test_export_tables_equal_spark_reader(spark, ranges, tmp_path):
             a, b = getattr(mine, name), getattr(theirs, name)
             assert a.schema == b.schema or a.dtypes == b.dtypes, name
             assert values(a) == values(b), name
+
+
+def test_a_parsers_filter_meets_elements_only(spark, tmp_path):
+    """A filter on the parsed element that is pushed to the units keeps the text of other units from the parser."""
+    (tmp_path / "a.json").write_text('[{"id": 1, "ms": [{"x": 1}, {"x": 2}], "t": {"u": 2}}, {"id": 2, "ms": [{"x": 3}]}]')
+    elements = json_array.nested_records(spark, str(tmp_path / "a.json"), "ms", str(tmp_path / "scratch"))[1]
+    x = F.from_json("text", "x INT", {"mode": "FAILFAST"})["x"]
+    found = elements.where(x > 1)
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line and "from_json" in line]
+    assert filters and all("CASE WHEN (after#" in line for line in filters)
+    assert sorted((r.record, r.position, r.text) for r in found.collect()) == [(0, 1, '{"x": 2}'), (1, 0, '{"x": 3}')]
