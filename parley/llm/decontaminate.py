@@ -32,6 +32,8 @@ from parley.llm.common import RID, let, numbered, with_row_id, written
 # placeholders; the same characters in a text are read as separators
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 SPACES = "\t\n\x0b\f\r\u00a0\u2028\u2029\"\u201c\u201d\u201e\u00ab\u00bb()[]{}"
+_SPACE = "".join(f"\\u{ord(c):04x}" for c in NAME + NUMBER + UNIT + SPACES)
+SPACES_RE = rf"(?:[{_SPACE}]| [{_SPACE} ])[{_SPACE} ]*+"  # anything but a single space
 UNITS = ("mm", "cm", "dm", "km", "m", "mg", "kg", "g", "ml", "cl", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz",
          "w", "kw", "mw", "kwh", "v", "a", "j", "kj", "cal", "kcal", "pa", "kpa", "n", "k", "c", "f", "mph", "kmh",
          "inch", "inches", "feet", "foot", "ft", "miles", "mile", "yards", "pounds", "lb", "oz", "meters", "metres",
@@ -62,7 +64,7 @@ def _clean(text: Column) -> Column:
 
 def _spaced(text: Column) -> Column:
     """White space, double quotes and brackets as one space: no word begins or ends there that did not before."""
-    return F.regexp_replace(F.translate(text, NAME + NUMBER + UNIT + SPACES, " " * (3 + len(SPACES))), "  +", " ")
+    return F.regexp_replace(text, SPACES_RE, " ")
 
 
 def _words(text: Column) -> Column:
@@ -70,9 +72,9 @@ def _words(text: Column) -> Column:
     return F.split(_clean(text), BREAK_RE)
 
 
-def _template(text: Column) -> Column:
-    """The words with placeholders; as long as _words, position by position."""
-    t = F.regexp_replace(_spaced(text), NAME_RE, NAME)
+def _template(text: Column, name: str = NAME) -> Column:
+    """The words with placeholders, `name` for names; as long as _words, position by position."""
+    t = F.regexp_replace(_spaced(text), NAME_RE, name)
     t = F.regexp_replace(F.regexp_replace(t, NUMBER_RE, NUMBER), UNIT_RE, f"{NUMBER} {UNIT}")
     return F.split(F.lower(t), BREAK_RE)
 
@@ -83,17 +85,27 @@ def _named(template: Column, words: Column) -> Column:
 
 
 def _windows(text: Column, n: int) -> Column:
-    """array<struct<pos, hash>> of the template's windows, and of those with names once more with the names as words."""
-    both = let(_template(text), lambda t: F.struct(t.alias("t"), _named(t, _words(F.lower(text))).alias("named")))
+    """array<struct<pos, hash>> of the template's windows, and of those with names once more with the names as words.
+
+    The text is split once, names as placeholder and word; only windows at a name are visited again."""
+    named = lambda x: F.startswith(x, F.lit(NAME))
+    marked = let(_template(text, NAME + "$0"), lambda m: F.struct(
+        m.alias("m"), F.array_compact(F.transform(m, lambda x, i: F.when(named(x), i))).alias("at")))
+
+    def both(b: Column) -> Column:
+        each = lambda value: F.transform(b["m"], lambda x: F.when(named(x), value(x)).otherwise(x))
+        none = F.size(b["at"]) == 0
+        return F.struct(F.when(none, b["m"]).otherwise(each(lambda x: F.lit(NAME))).alias("t"),
+                        F.when(none, b["m"]).otherwise(each(lambda x: F.substring(x, 2, 1 << 30))).alias("named"),
+                        b["at"].alias("at"))
 
     def hashed(b: Column) -> Column:
-        cut = lambda kind, i: F.slice(b[kind], i + 1, F.lit(n))
-        at = lambda kind: lambda i: F.struct(i.alias("pos"), F.xxhash64(cut(kind, i)).alias("hash"))
-        every = F.sequence(F.lit(0), F.size(b["t"]) - n)
-        return F.when(F.size(b["t"]) >= n, F.concat(
-            F.transform(every, at("t")), F.transform(F.filter(every, lambda i: F.array_contains(cut("t", i), NAME)), at("named"))))
+        last = F.size(b["t"]) - n
+        at = lambda kind: lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(b[kind], i + 1, F.lit(n))).alias("hash"))
+        around = F.array_distinct(F.flatten(F.transform(b["at"], lambda i: F.sequence(F.greatest(i - (n - 1), F.lit(0)), F.least(i, last)))))
+        return F.when(last >= 0, F.concat(F.transform(F.sequence(F.lit(0), last), at("t")), F.transform(around, at("named"))))
 
-    return let(both, hashed)
+    return let(let(marked, both), hashed)
 
 
 def _worded(words: Column) -> Column:

@@ -90,6 +90,23 @@ def test_leaks_against_brute_force(spark, sample):
     assert kept == {d.doc_id for d in texts} - {i for i, _ in got}
 
 
+def test_template_windows_in_one_split(spark):
+    """The windows of template and names as the definition has them, from one split of the text."""
+    d, n, t = decontaminate, 4, F.col("text")
+    texts = [None, "", "a Paris", "in Rome", 'we saw Paris, and (Rome) "Berlin" at 5 km and 7km; then Bob  met Äda in 12 Km or 3.5 Kg of X',
+             "x: Anna's dog, Bob; Cid ran 5 Km to İstanbul, Σας then Paris' «Lyon»  [Nice] {Metz} a b c", "the " * 20 + "Paris",
+             "tab\t(two)\u00a0 marks\ue001 of \ue002\ue003 \u2028Ann ran  on and on", "no name here at all, 3 of 4"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    words = [(r.t, r.said) for r in df.select(d._template(t).alias("t"), d._words(F.lower(t)).alias("said")).collect()]
+    hashed = spark.createDataFrame([(k, i, kind[i:i + n]) for k, (a, said) in enumerate(words) if a
+                                    for kind in (a, [s if x == d.NAME else x for x, s in zip(a, said)])
+                                    for i in range(len(a) - n + 1) if kind is a or d.NAME in a[i:i + n]], "k int, pos int, w array<string>")
+    want = Counter((r.k, r.pos, r.hash) for r in hashed.select("k", "pos", F.xxhash64("w").alias("hash")).collect())
+    got = Counter((k, x.pos, x.hash) for k, r in enumerate(df.select(d._windows(t, n).alias("w")).collect()) for x in r.w or [])
+    assert got == want and len(want) > 60
+    assert str(d._windows(t, n)).count("split(") == 1 and "translate(" not in str(d._windows(t, n))
+
+
 # licences ------------------------------------------------------------------------------------
 def test_licence_sequences(docs_of):
     s = licences.SENTENCES
