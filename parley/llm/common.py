@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RID = "__llm_rid"  # row id used inside the operators; no input column may have this name
+ROWS_A_FILE = 500_000  # of narrow tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """df of about `rows` narrow rows, in no more partitions than these or the cores need: a small table
+    written with hundreds of shuffle partitions is hundreds of files to create, list and open again."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Once per application: send this package to the executors, whose Python may not have it."""
     sc = spark.sparkContext

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import RID, numbered, ship_package, texts_of, with_row_id, written
+from parley.llm.common import RID, in_files, numbered, ship_package, texts_of, with_row_id, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -129,12 +129,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_values: int = HOT_VALUES
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge, root the smallest node reachable.
 
-    Alternating large-star / small-star; each round is a written table, finished when a round
-    changes nothing.
+    Alternating large-star / small-star; each round is a written table in as many files as its edges
+    need, finished when a round changes nothing.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(edges, "cc")
-    before = None
+    n, before = edges.count(), None
     for _ in range(max_rounds):
         # large-star: larger neighbours go to the smallest of the node and its neighbours
         e = both(edges)
@@ -142,12 +142,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = (e.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
         # small-star: the node and its smaller neighbours go to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        edges = written(large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-                        .where("a <> b").distinct(), "cc")
+        small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        edges = written(in_files(small.where("a <> b").distinct(), 2 * n), "cc")  # at most two rows an edge
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
-        before = tuple(now)
+        n, before = now[0], tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fp")
     # smallest id first, then the row id among equal ids; rows without an id come last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col(RID).alias("rid")))
-    own = written(fps.groupBy("fp").agg(first.alias("first")), "fpset")
+    own = written(in_files(fps.groupBy("fp").agg(first.alias("first")), fps.count()), "fpset")
     roots = components(links(own.select("fp"), max_bits))
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.select("fp", "first", F.coalesce("root", "fp").alias("root"))

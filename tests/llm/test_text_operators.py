@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, licences, secrets_scan, shards, simhash
+from parley.llm.common import shared_dir
 
 ODD = [(1, None), (2, ""), (3, "   \n\t"), (None, "no id"), (4, "same"), (4, "same"), (5, "same"), (6, "word " * 30_000)]
 
@@ -266,6 +268,26 @@ def test_components_of_a_chain(spark):
     assert simhash.components(edges.where("a < 0")).collect() == []
 
 
+def test_rounds_write_few_files(spark):
+    """A round's table has as many files as its edges need, not as there are shuffle partitions."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    tables = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("llm-cc-*"))
+    before = tables()
+    edges = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 2000 + F.col("id") % 7).alias("b"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in simhash.components(edges).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = [len(list(d.glob("part-*"))) for d in sorted(tables() - before, key=lambda d: d.stat().st_mtime)]
+    root = {i + 2000 + i % 7: i for i in reversed(range(2000))}  # every a has one edge
+    assert got == root | {i: root[i + 2000 + i % 7] for i in range(2000) if i > root[i + 2000 + i % 7]}
+    assert len(files) > 1 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_one_of_each_keeps_one_row(docs_of):
     kept = simhash.one_of_each(docs_of(ODD)).collect()
     assert Counter(r.text for r in kept)["same"] == 1 and len([r for r in kept if not (r.text or "").strip()]) == 1
