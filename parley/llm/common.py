@@ -38,10 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
+    """df written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    It is read only after the write returned, so no marker file is made on the driver."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -286,6 +286,7 @@ def test_rounds_write_few_files(spark):
     root = {i + 2000 + i % 7: i for i in reversed(range(2000))}  # every a has one edge
     assert got == root | {i: root[i + 2000 + i % 7] for i in range(2000) if i > root[i + 2000 + i % 7]}
     assert len(files) > 1 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+    assert not [d for d in tables() - before if (d / "_SUCCESS").exists()]  # a file the driver itself would create
 
 
 def test_one_of_each_keeps_one_row(docs_of):
